@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, exact_dedup, langid, mixing, pii, quality_classifier, quality_rules, secret_scan, simhash
+from . import bpe, exact_dedup, html_text, langid, mixing, pii, quality_classifier, quality_rules, secret_scan, simhash
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), trusted)
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.secret_scan(table(spark, sf_dir, "documents")))
 
@@ -55,7 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_mix_sources, op3_byte_bpe, op4_quality_classifier, op5_exact_dedup, op6_quality_rules,
-        op8_secret_scan, op9_simhash, op10_pii,
+        op7_html_text, op8_secret_scan, op9_simhash, op10_pii,
     )
 }
 
