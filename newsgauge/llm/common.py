@@ -41,6 +41,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_key(*columns: Column) -> Column:
+    """One non-null string for the columns' values, so that joins and windows share a partitioning."""
+    return F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("~")) for c in columns])
+
+
 def words(text: Column) -> Column:
     """Array of the words of a non-null text."""
     return F.filter(F.split(text, WORD_GAP), lambda w: w != "")

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, materialize, row_key
 
 #: Bins of virtual time; each is put in order on its own.
 TIME_BINS = 4096
@@ -144,8 +144,7 @@ def mix_sources(
 def apply_mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
     """The rows of df as often as the mix takes them, with their columns. Ids name documents."""
     mixed = mix_sources(df, id_col=id_col, source_col=source_col, **options)
-    copies = mixed.groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    copies = copies.withColumnRenamed("doc_id", "_mixed_id")
-    held = df.join(copies, F.col(id_col).eqNullSafe(F.col("_mixed_id")))
+    copies = mixed.groupBy(row_key(F.col("doc_id")).alias("_row_key")).agg(F.max("copies").alias("_copies"))
+    held = df.withColumn("_row_key", row_key(df[id_col])).join(copies.where("_copies > 0"), "_row_key")
     repeats = F.explode(F.sequence(F.lit(1), F.col("_copies")))
     return held.withColumn("_repeat", repeats).select(*df.columns)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, row_key
 from .components import components
 
 SEED = 42
@@ -163,7 +163,8 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     Ids name documents: rows of one id and one text are one document.
     """
     found = simhash_components(df, id_col, text_col, **options)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id"))
-    held = df.join(kept.distinct(), F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
-    first = F.row_number().over(Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(0)))
-    return held.withColumn("_n", first).where("_n = 1").drop("_n")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = kept.select(row_key(F.col("doc_id")).alias("_row_key")).distinct()
+    held = df.withColumn("_row_key", row_key(df[id_col])).join(kept, "_row_key", "left_semi")
+    first = F.row_number().over(Window.partitionBy("_row_key", F.xxhash64(text_col)).orderBy("_row_key"))
+    return held.withColumn("_nth", first).where("_nth = 1").drop("_nth", "_row_key")
