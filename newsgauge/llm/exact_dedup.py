@@ -55,11 +55,17 @@ def block_names(df: DataFrame, id_col: str, text_col: str, block_chars: int, buc
         F.collect_list(F.struct("rid", "pos", "doc_id", "sha", "n_blocks")).alias("occ"),
         F.min(F.struct("rid", "pos")).alias("lid"),
     )
-    local = local.select("block", "occ", F.col("lid.rid").alias("lid"), F.col("lid.pos").alias("lpos"))
-    named = _bucketed(local.select("block", "lid", "lpos"), ["block"], buckets)
-    named = named.select("lid", "lpos", _name(["block"], buckets).alias("name"))
-    occ = local.select("lid", "lpos", "occ").join(named, ["lid", "lpos"])
-    return occ.select("name", F.inline("occ"))
+    rows = local.select("block", F.col("lid.rid").alias("lid"), F.col("lid.pos").alias("lpos"), F.inline("occ"))
+    stands = (F.col("rid") == F.col("lid")) & (F.col("pos") == F.col("lpos"))
+    rows = rows.withColumn("block", F.when(stands, F.col("block")))
+    # the other occurrences go on without text, spread over buckets of their own, and take the name afterwards
+    apart = -1 - F.pmod(F.col("rid"), F.lit(buckets))
+    rows = _bucketed(rows, ["block"], buckets).withColumn("bucket", F.when(stands, F.col("bucket")).otherwise(apart))
+    name = F.when(stands, _name(["block"], buckets))
+    named = materialize(rows.withColumn("name", name).drop("block", "bucket"), "block-names")
+    first = named.where(stands)
+    others = named.where(~stands).drop("name").join(first.select("lid", "lpos", "name"), ["lid", "lpos"])
+    return first.unionByName(others).drop("lid", "lpos")
 
 
 def document_names(blocks: DataFrame, buckets: int) -> DataFrame:
@@ -93,7 +99,7 @@ def exact_dedup(
     many characters are named in one step, longer ones in log2(blocks) more.
     df should be a scan or a written table: row numbers are taken from it.
     """
-    blocks = materialize(block_names(df, id_col, text_col, block_chars, buckets), "block-names")
+    blocks = block_names(df, id_col, text_col, block_chars, buckets)
     names = document_names(blocks, buckets)
     groups = names.groupBy("n_blocks", "name").agg(
         F.max(F.struct("doc_id", "rid")).alias("keep"), F.count("*").alias("group_size")
