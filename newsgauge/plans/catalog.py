@@ -4,7 +4,718 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from newsgauge.functions import dates, query_language, repair, text, urls
+from newsgauge.operators import alerts, classify, evaluate, normalize, persist, planner, prefilter, registry_build, status
+from newsgauge.sources import feeds
+from newsgauge.streaming import daily
+
+from .standins import (
+    NOW_TEXT, SQL_COMPANIES, SQL_MENTIONS, SQL_ROLLUP, articles, companies, mentions, now, table,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    """Register a query under its function's name, with the SQL that gives the same rows."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def _rollup(spark: SparkSession, sf: str) -> DataFrame:
+    return status.status_rollup(companies(spark, sf), mentions(spark, sf), status.window_start(now(), 90), now())
+
+
+# --- status -----------------------------------------------------------------------------------
+
+
+@query(f"""WITH {SQL_ROLLUP}
+    SELECT company_id, name, strftime(last_at, '%Y-%m-%d %H:%M:%S') AS last_mentioned_at, days AS days_since_last_mention,
+      mentions_in_window, positive, negative, neutral, status,
+      CASE WHEN days IS NULL THEN 'no coverage found' WHEN days = 0 THEN 'mentioned today'
+           WHEN days = 1 THEN 'last mentioned yesterday' ELSE 'last mentioned ' || days || ' days ago' END AS status_text
+    FROM rollup_""")
+def company_status_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    out = _rollup(spark, sf).withColumn("last_mentioned_at", F.date_format("last_mentioned_at", "yyyy-MM-dd HH:mm:ss"))
+    return out.drop("slug", "sector", "ambiguity")
+
+
+@query(f"""WITH {SQL_COMPANIES},{SQL_MENTIONS}
+    SELECT c.company_id, count(m.id) FILTER (WHERE m.relevant AND m.published_at >= DATE '{NOW_TEXT[:10]}' - INTERVAL 90 DAY) AS mentions_in_window
+    FROM companies c LEFT JOIN mentions m ON m.company_id = c.company_id GROUP BY c.company_id""")
+def status_view_dateonly(spark: SparkSession, sf: str) -> DataFrame:
+    since = status.window_start(now(), 90, by_date=True)
+    return status.status_rollup(companies(spark, sf), mentions(spark, sf), since, now()).select("company_id", "mentions_in_window")
+
+
+@query(f"WITH {SQL_ROLLUP} SELECT status, count(*) AS n FROM rollup_ GROUP BY status")
+def companies_by_status(spark: SparkSession, sf: str) -> DataFrame:
+    return status.counts_by(_rollup(spark, sf), "status")
+
+
+@query(f"""WITH {SQL_MENTIONS} SELECT strftime(published_at, '%Y-%m') AS month, count(*) AS n FROM mentions
+    WHERE relevant AND classified_at IS NOT NULL GROUP BY 1""")
+def mentions_by_month(spark: SparkSession, sf: str) -> DataFrame:
+    return status.mentions_by_month(status.coverage(mentions(spark, sf)))
+
+
+@query("""SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders
+    WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') GROUP BY 1""")
+def articles_by_month(spark: SparkSession, sf: str) -> DataFrame:
+    lines = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("article_id"))
+    return status.articles_by_month(articles(spark, sf), lines)
+
+
+@query(f"WITH {SQL_ROLLUP} SELECT name, mentions_in_window, status FROM rollup_ ORDER BY mentions_in_window DESC, name LIMIT 20")
+def top_companies(spark: SparkSession, sf: str) -> DataFrame:
+    return status.top_companies(_rollup(spark, sf))
+
+
+@query(f"""WITH {SQL_MENTIONS} SELECT (SELECT count(*) FROM customer) AS companies, count(*) AS mentions,
+      count(*) FILTER (WHERE sentiment = 'positive') AS positive, count(*) FILTER (WHERE sentiment = 'negative') AS negative,
+      count(*) FILTER (WHERE sentiment = 'neutral') AS neutral
+    FROM mentions WHERE relevant AND classified_at IS NOT NULL""")
+def portfolio_summary_export(spark: SparkSession, sf: str) -> DataFrame:
+    return status.totals_of_export(companies(spark, sf), status.coverage(mentions(spark, sf)))
+
+
+@query(f"""WITH {SQL_ROLLUP} SELECT count(*) AS companies, sum(mentions_in_window)::BIGINT AS mentions,
+      count(*) FILTER (WHERE status <> 'NO_COVERAGE') AS with_coverage,
+      count(*) FILTER (WHERE status = 'NO_COVERAGE') AS without_coverage,
+      sum(positive)::BIGINT AS positive, sum(negative)::BIGINT AS negative, sum(neutral)::BIGINT AS neutral FROM rollup_""")
+def portfolio_summary_api(spark: SparkSession, sf: str) -> DataFrame:
+    return status.totals_of_service(_rollup(spark, sf))
+
+
+@query(f"""WITH {SQL_COMPANIES},{SQL_MENTIONS} SELECT m.id, c.name, m.sentiment, strftime(m.published_at, '%Y-%m-%d') AS published
+    FROM mentions m JOIN companies c USING (company_id)
+    WHERE slug = 'customer#000000007' AND relevant AND classified_at IS NOT NULL""")
+def company_detail(spark: SparkSession, sf: str) -> DataFrame:
+    found = status.company_detail(companies(spark, sf), mentions(spark, sf).drop("published_at"), articles(spark, sf), "customer#000000007")
+    return found.select("id", "name", "sentiment", F.date_format("published_at", "yyyy-MM-dd").alias("published"))
+
+
+@query(f"""WITH {SQL_ROLLUP} SELECT name, row_number() OVER (ORDER BY last_at DESC NULLS LAST, mentions_in_window DESC, name) AS place
+    FROM rollup_ WHERE status IN ('FRESH', 'RECENT', 'STALE') AND positive > 0""")
+def activity_order(spark: SparkSession, sf: str) -> DataFrame:
+    shown = status.grid_filter(_rollup(spark, sf), statuses=("FRESH", "RECENT", "STALE"), sentiment="positive")
+    return shown.select("name", F.row_number().over(Window.orderBy(*status.activity_order())).alias("place"))
+
+
+@query(f"""WITH {SQL_ROLLUP} SELECT company_id, name, status, coalesce(ambiguity, 'low') AS ambiguity, sector FROM rollup_
+    WHERE lower(name || ' ' || coalesce(sector, '')) LIKE '%build%' AND coalesce(ambiguity, 'low') = 'low'""")
+def company_grid(spark: SparkSession, sf: str) -> DataFrame:
+    summaries = status.company_summaries(_rollup(spark, sf).drop("sector", "ambiguity"), companies(spark, sf))
+    shown = status.grid_filter(summaries, search="Build", tier="low")
+    return shown.select("company_id", "name", "status", "ambiguity", "sector")
+
+
+@query(f"""WITH {SQL_ROLLUP} SELECT company_id, round(positive / nullif(positive + negative + neutral, 0), 9) AS positive_share,
+      round(negative / nullif(positive + negative + neutral, 0), 9) AS negative_share,
+      round(neutral / nullif(positive + negative + neutral, 0), 9) AS neutral_share FROM rollup_""")
+def sentiment_shares(spark: SparkSession, sf: str) -> DataFrame:
+    shares = status.sentiment_shares(_rollup(spark, sf))
+    return shares.select("company_id", *[F.round(c, 9).alias(c) for c in shares.columns[1:]])
+
+
+@query("""SELECT (SELECT count(*) FROM customer) AS companies, (SELECT count(*) FROM orders) AS mentions,
+    (SELECT arg_max(o_orderstatus = 'P', o_orderkey) FROM orders) AS run_in_progress""")
+def health(spark: SparkSession, sf: str) -> DataFrame:
+    runs = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("started_at"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")).alias("finished_at")
+    )
+    return status.health(companies(spark, sf), mentions(spark, sf), runs)
+
+
+@query(f"""WITH {SQL_MENTIONS} SELECT (SELECT count(*) FROM customer) AS companies, count(*) AS mentions,
+    count(*) FILTER (WHERE classified_at IS NULL) AS pending, count(*) FILTER (WHERE relevant) AS relevant FROM mentions""")
+def table_counts(spark: SparkSession, sf: str) -> DataFrame:
+    m = mentions(spark, sf)
+    counted = m.agg(
+        F.count("*").alias("mentions"), F.count_if(F.col("classified_at").isNull()).alias("pending"), F.count_if("relevant").alias("relevant")
+    )
+    return counted.withColumn("companies", companies(spark, sf).agg(F.count("*")).scalar())
+
+
+# --- identity and text ------------------------------------------------------------------------
+
+_TRACK = ", ".join(f"'{t}'" for t in urls.TRACKING)
+SQL_CANONICAL = rf"""
+    parts AS (SELECT page_id, url, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):/*([^/?#]*)([^?#]*)(?:\?([^#]*))?', ['s','h','p','q']) AS u FROM pages),
+    cut AS (SELECT page_id, url, CASE WHEN lower(u.s) = 'http' THEN 'https' ELSE lower(u.s) END AS s,
+        regexp_replace(regexp_replace(lower(u.h), '^www\.', ''), ':(80|443)$', '') AS h,
+        CASE WHEN length(u.p) > 1 THEN regexp_replace(u.p, '/+$', '') ELSE u.p END AS p,
+        list_filter(string_split(u.q, '&'), lambda x: x <> '' AND lower(string_split(x, '=')[1]) NOT IN ({_TRACK})) AS q FROM parts),
+    keyed AS (SELECT page_id, url, s, h, CASE WHEN p = '' THEN '/' ELSE p END AS p,
+        list_transform(list_sort(list_transform(range(1, len(q) + 1), lambda i: {{'n': string_split(q[i], '=')[1], 'i': i, 'v': q[i]}})), lambda x: x.v) AS q FROM cut),
+    canonical AS (SELECT page_id, url, s || '://' || h || p || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical_url, h FROM keyed)"""
+
+
+@query(f"WITH {SQL_CANONICAL} SELECT page_id, canonical_url, sha256(canonical_url) AS id FROM canonical")
+def canonical_urls(spark: SparkSession, sf: str) -> DataFrame:
+    made = urls.canonical_url("url")
+    return table(spark, sf, "pages").select("page_id", made.alias("canonical_url"), text.article_id(made).alias("id"))
+
+
+@query("""SELECT o_orderkey, sha256(sha256('company:' || lower(trim(c_name))) || ':' || sha256(o_orderkey::VARCHAR)) AS mention_id
+    FROM orders JOIN customer ON c_custkey = o_custkey""")
+def mention_ids(spark: SparkSession, sf: str) -> DataFrame:
+    joined = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    made = text.mention_id(text.company_id("c_name"), text.article_id(F.col("o_orderkey").cast("string")))
+    return joined.select("o_orderkey", made.alias("mention_id"))
+
+
+def _page_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as raw items; some titles blank and some dates missing, by number."""
+    p = table(spark, sf, "pages")
+    n = F.col("page_id")
+    day = F.make_dt_interval((n % 40).cast("int"))
+    return p.select(
+        n.alias("position"), F.regexp_replace("url", r"\d+", "1").alias("url"),
+        F.when(n % 11 == 0, " ").otherwise(F.concat(F.lit("Story "), (n % 30).cast("string"))).alias("title"),
+        F.lit(None).cast("string").alias("snippet"), F.when(n % 4 == 0, F.lit("Daily Paper")).when(n % 4 == 1, F.lit("www.paper.example")).alias("source_name"),
+        F.when(n % 13 != 0, F.lit(NOW_TEXT).cast("timestamp") - day).alias("published_at"), (n % 5).alias("company_id"),
+    )
+
+
+SQL_ITEMS = f"""
+    pages_ AS (SELECT page_id, regexp_replace(url, '\\d+', '1', 'g') AS url FROM pages),
+    {SQL_CANONICAL.replace('FROM pages)', 'FROM pages_)')},
+    items AS (SELECT page_id AS position, url, canonical_url,
+      CASE WHEN page_id % 11 = 0 THEN ' ' ELSE 'Story ' || (page_id % 30) END AS title,
+      CASE WHEN page_id % 4 = 0 THEN 'Daily Paper' WHEN page_id % 4 = 1 THEN 'www.paper.example' END AS source_name,
+      CASE WHEN page_id % 13 <> 0 THEN TIMESTAMP '{NOW_TEXT}' - INTERVAL (page_id % 40) DAY END AS published_at,
+      page_id % 5 AS company_id, regexp_replace(h, ':.*', '') AS host FROM canonical)"""
+
+
+@query(f"""WITH {SQL_ITEMS} SELECT position, CASE WHEN trim(title) = '' THEN 'no-title' WHEN published_at IS NULL THEN 'no-date' END AS skip_reason,
+      CASE WHEN position % 4 = 1 THEN 'paper.example' ELSE host END AS publisher FROM items""")
+def normalize_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    return normalize.normalize_items(_page_items(spark, sf)).select("position", "skip_reason", "publisher")
+
+
+@query(f"""WITH {SQL_ITEMS} SELECT canonical_url, arg_min(position, (published_at, position)) AS position, count(*) AS reports
+    FROM items WHERE trim(title) <> '' AND published_at IS NOT NULL GROUP BY canonical_url""")
+def url_dedupe(spark: SparkSession, sf: str) -> DataFrame:
+    stored = normalize.normalize_items(_page_items(spark, sf)).where("skip_reason IS NULL")
+    return normalize.best_of_url(stored, ["canonical_url"]).select("canonical_url", "position", "reports")
+
+
+@query()
+def item_dedupe(spark: SparkSession, sf: str) -> DataFrame:
+    """Every item of the pages with what became of it; held against a plain loop in the tests."""
+    made = normalize.normalize_items(_page_items(spark, sf))
+    kept = normalize.dedupe_items(made.where("skip_reason IS NULL"), "company_id")
+    every = made.where("skip_reason IS NOT NULL").withColumn("duplicate_reason", F.lit(None).cast("string"))
+    every = every.unionByName(kept.withColumn("published_at", F.col("published_at").cast("timestamp")))
+    return every.select("position", "skip_reason", "duplicate_reason", normalize.outcome(F.col("skip_reason"), F.col("duplicate_reason")).alias("outcome"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_type, ts, event_id,
+      row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events),
+    r AS (SELECT user_id, event_type, rn, ts, event_id, ts AS slot, event_id AS holder FROM e WHERE rn = 1
+      UNION ALL SELECT e.user_id, e.event_type, e.rn, e.ts, e.event_id,
+        CASE WHEN e.ts - r.slot <= INTERVAL 7 DAY THEN r.slot ELSE e.ts END,
+        CASE WHEN e.ts - r.slot <= INTERVAL 7 DAY THEN r.holder ELSE e.event_id END
+      FROM r JOIN e ON e.user_id = r.user_id AND e.event_type = r.event_type AND e.rn = r.rn + 1)
+    SELECT event_id, user_id, event_type FROM r WHERE holder = event_id""")
+def content_dedupe(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    arrival = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    items = e.select(
+        "event_id", "user_id", "event_type", F.row_number().over(arrival).alias("position"), F.col("event_id").cast("string").alias("id"),
+        F.col("event_type").alias("content_key"), F.lit(False).alias("opaque"), F.col("ts").alias("published_at"),
+    )
+    kept = normalize.dedupe_items(items, "user_id").where("duplicate_reason IS NULL")
+    return kept.select("event_id", "user_id", "event_type")
+
+
+@query(f"WITH {SQL_CANONICAL} SELECT page_id, CASE WHEN page_id % 4 = 1 THEN 'paper.example' ELSE regexp_replace(h, ':.*', '') END AS domain FROM canonical")
+def publisher_domain(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("page_id")
+    declared = F.when(n % 4 == 1, "www.Paper.example ").when(n % 4 == 2, "The Daily Paper")
+    return table(spark, sf, "pages").select("page_id", urls.publisher_domain("url", declared).alias("domain"))
+
+
+@query(f"WITH {SQL_CANONICAL} SELECT page_id, regexp_replace(h, ':.*', '') AS domain FROM canonical")
+def article_domain(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", urls.article_domain("url", F.lit("www.other.example")).alias("domain"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')) AS title_key FROM documents")
+def title_key(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", text.normalize_title("text").alias("title_key"))
+
+
+@query("""SELECT 'customer' AS kind, c_custkey AS id, substr(regexp_replace(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60) AS slug FROM customer
+    UNION ALL SELECT 'part', p_partkey, substr(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60) FROM part""")
+def slug(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id"), text.slugify("c_name").alias("slug"))
+    p = table(spark, sf, "part").select(F.lit("part").alias("kind"), F.col("p_partkey").alias("id"), text.slugify("p_name").alias("slug"))
+    return c.unionByName(p)
+
+
+_TERMS = ("the", "Éan", "ing", "token", "that this", "öge", "MIT License")
+
+
+def _has(term: str, column: str = "text") -> str:
+    return rf"regexp_matches({column}, '(^|[^\p{{L}}\p{{N}}]){term}([^\p{{L}}\p{{N}}]|$)', 'i')"
+
+
+@query("UNION ALL ".join(f"SELECT doc_id, '{t}' AS term FROM documents WHERE {_has(t)} " for t in _TERMS))
+def whole_word_match(spark: SparkSession, sf: str) -> DataFrame:
+    hits = F.array(*[F.when(text.contains_phrase("text", t), F.lit(t)) for t in _TERMS])
+    return table(spark, sf, "documents").select("doc_id", F.explode(F.array_compact(hits)).alias("term"))
+
+
+#: name, query, the same by hand for the oracle
+_BOOLEAN = (
+    ("phrase", '"license"', _has("license")),
+    ("nested", '"the" AND ("token" OR ("license" AND "released"))', f"{_has('the')} AND ({_has('token')} OR ({_has('license')} AND {_has('released')}))"),
+    ("adjacent", 'the "that" token', f"{_has('the')} AND {_has('that')} AND {_has('token')}"),
+    ("alternatives", '"und" OR "les" OR "los"', f"{_has('und')} OR {_has('les')} OR {_has('los')}"),
+    ("unbalanced", '"the" AND ("of" OR "token', f"{_has('the')} AND ({_has('of')} OR {_has('token')})"),
+    ("empty", "()", "true"),
+)
+
+
+@query("UNION ALL ".join(f"SELECT '{n}' AS query, count(*) AS docs, sum(doc_id)::BIGINT AS ids FROM documents WHERE {s} " for n, _, s in _BOOLEAN))
+def boolean_query_match(spark: SparkSession, sf: str) -> DataFrame:
+    hits = F.array(*[F.when(query_language.compile_query(q, "text"), F.lit(n)) for n, q, _ in _BOOLEAN])
+    found = table(spark, sf, "documents").select("doc_id", F.explode(F.array_compact(hits)).alias("query"))
+    return found.groupBy("query").agg(F.count("*").alias("docs"), F.sum("doc_id").alias("ids"))
+
+
+@query(r"""WITH d AS MATERIALIZED (SELECT doc_id, lower(text) AS t FROM documents), q AS MATERIALIZED (SELECT item_id, lower(trim(text)) AS p FROM benchmark),
+    near AS MATERIALIZED (SELECT doc_id, item_id, t, p FROM d JOIN q ON contains(t, p))
+    SELECT doc_id, item_id FROM near WHERE regexp_matches(t, '(^|[^\p{L}\p{N}])' || regexp_escape(p) || '([^\p{L}\p{N}]|$)')""")
+def phrase_join(spark: SparkSession, sf: str) -> DataFrame:
+    return prefilter.phrase_join(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text")
+
+
+@query(r"""SELECT doc_id, CASE WHEN len(w) <= 15 THEN array_to_string(w, ' ') ELSE array_to_string(w[1:15], ' ') || '…' END AS capped
+    FROM (SELECT doc_id, list_filter(regexp_split_to_array(trim(text), '\s+'), lambda x: x <> '') AS w FROM documents)""")
+def cap_words(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", text.cap_words("text").alias("capped"))
+
+
+# --- pre-filter and plans ---------------------------------------------------------------------
+
+#: language -> name, aliases, negatives, query, source of the query
+_REGISTRY = {
+    "en": ("the", [], ["token"], '"the" AND ("this" OR "Erinst")', "human-approved"),
+    "de": ("und", ["der"], [], '"und" AND "nicht"', "llm-enriched"),
+    "fr": ("de", ["les"], ["Released"], '"de" OR "les"', None),
+    "es": ("cióndoez", ["del"], ["see license"], '"del" AND "para"', None),
+}
+
+
+def _registry(spark: SparkSession) -> DataFrame:
+    schema = "company_id string, name string, aliases array<string>, negative_keywords array<string>, query string, query_source string"
+    return spark.createDataFrame([(k, *v) for k, v in _REGISTRY.items()], schema)
+
+
+def _doc_items(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    site = F.when(F.col("source") == "src3", "https://www.biggo.com/a").when(F.col("source") == "src4", "https://x.newswav.com/")
+    return d.select(
+        "doc_id", F.col("lang").alias("company_id"), "source", site.alias("url"), F.col("text").alias("title"),
+        F.lit(None).cast("string").alias("snippet"), F.lit(None).cast("string").alias("source_name"),
+    )
+
+
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
+    return prefilter.prefilter(_doc_items(spark, sf), _registry(spark))
+
+
+SQL_VERDICT = f"""
+    v AS (SELECT doc_id, lang, source, CASE
+      WHEN source = 'src3' THEN {{'r': 'blocked-domain', 'e': 'biggo.com'}}
+      WHEN source = 'src4' THEN {{'r': 'blocked-domain', 'e': 'newswav.com'}}
+      WHEN lang = 'en' THEN CASE WHEN NOT {_has('the')} THEN {{'r': 'no-name-match', 'e': NULL}}
+        WHEN {_has('token')} THEN {{'r': 'negative-keyword', 'e': 'token'}}
+        WHEN NOT ({_has('this')} OR {_has('Erinst')}) THEN {{'r': 'missing-qualifier', 'e': '"the" AND ("this" OR "Erinst")'}}
+        ELSE {{'r': NULL, 'e': 'the'}} END
+      WHEN lang = 'de' THEN CASE WHEN {_has('und')} THEN {{'r': NULL, 'e': 'und'}} WHEN {_has('der')} THEN {{'r': NULL, 'e': 'der'}}
+        ELSE {{'r': 'no-name-match', 'e': NULL}} END
+      WHEN lang = 'fr' THEN CASE WHEN NOT ({_has('de')} OR {_has('les')}) THEN {{'r': 'no-name-match', 'e': NULL}}
+        WHEN {_has('Released')} THEN {{'r': 'negative-keyword', 'e': 'Released'}}
+        WHEN {_has('de')} THEN {{'r': NULL, 'e': 'de'}} ELSE {{'r': NULL, 'e': 'les'}} END
+      ELSE CASE WHEN NOT ({_has('cióndoez')} OR {_has('del')}) THEN {{'r': 'no-name-match', 'e': NULL}}
+        WHEN {_has('see license')} THEN {{'r': 'negative-keyword', 'e': 'see license'}}
+        WHEN NOT ({_has('del')} AND {_has('para')}) THEN {{'r': 'missing-qualifier', 'e': '"del" AND "para"'}}
+        WHEN {_has('cióndoez')} THEN {{'r': NULL, 'e': 'cióndoez'}} ELSE {{'r': NULL, 'e': 'del'}} END END AS v
+      FROM documents WHERE lang IN ('en', 'de', 'fr', 'es')),
+    verdicts AS (SELECT doc_id, lang, source, v.r AS reason, v.e AS evidence, v.r IS NULL OR v.r = 'missing-qualifier' AS keep,
+      v.r IS NOT DISTINCT FROM 'missing-qualifier' AS soft_pass FROM v)"""
+
+
+@query(f"WITH {SQL_VERDICT} SELECT doc_id, keep, reason, evidence, soft_pass FROM verdicts")
+def prefilter_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    return _judged(spark, sf).select("doc_id", "verdict.*")
+
+
+@query(f"""WITH {SQL_VERDICT} SELECT lang AS company_id, count(*) AS received, count(*) FILTER (WHERE keep) AS kept,
+      count(*) FILTER (WHERE soft_pass) AS soft_pass, count(*) FILTER (WHERE reason = 'blocked-domain') AS blocked_domain,
+      count(*) FILTER (WHERE reason = 'no-name-match') AS no_name_match,
+      count(*) FILTER (WHERE reason = 'negative-keyword') AS negative_keyword, 0::BIGINT AS missing_qualifier
+    FROM verdicts GROUP BY lang""")
+def prefilter_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return prefilter.prefilter_stats(_judged(spark, sf), "company_id")
+
+
+@query(f"""WITH {SQL_VERDICT}, g AS (SELECT source, count(*) AS fetched, count(*) FILTER (WHERE keep) AS kept FROM verdicts GROUP BY ROLLUP (source))
+    SELECT source, fetched, kept, fetched - kept AS dropped, (floor((fetched - kept) * 100.0 / fetched + 0.5))::BIGINT || '%' AS dropped_pct FROM g""")
+def prefilter_measurement(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.prefilter_measurement(_judged(spark, sf), "source")
+
+
+@query(f"""WITH {SQL_VERDICT}, r AS (SELECT source, CASE WHEN source = 'src5' THEN -1 ELSE count(*) END AS fetched,
+        CASE WHEN source = 'src5' THEN -1 ELSE count(*) FILTER (WHERE keep) END AS kept FROM verdicts GROUP BY source)
+    SELECT count(*) AS companies, sum(greatest(0, fetched))::BIGINT AS fetched, sum(greatest(0, kept))::BIGINT AS kept,
+      count(*) FILTER (WHERE fetched = 0) AS zero_fetched, count(*) FILTER (WHERE fetched > 0 AND kept = 0) AS zero_kept,
+      count(*) FILTER (WHERE fetched < 0) AS failed FROM r""")
+def coverage_audit(spark: SparkSession, sf: str) -> DataFrame:
+    rows = prefilter.prefilter_stats(_judged(spark, sf), "source")
+    failed = F.col("source") == "src5"
+    marked = lambda c: F.when(failed, F.lit(-1)).otherwise(F.col(c)).cast("bigint").alias(c)
+    return evaluate.coverage_audit(rows.select("source", marked("received").alias("fetched"), marked("kept")))
+
+
+@query("""SELECT * FROM (VALUES ('de', '"und"', 'exact-phrase', false), ('en', '"the" AND ("this" OR "Erinst")', 'override', true),
+    ('es', '"del" AND "para"', 'qualified', true), ('fr', '"de" OR "les"', 'qualified', true)) AS t(company_id, query, strategy, qualified)""")
+def query_plans(spark: SparkSession, sf: str) -> DataFrame:
+    return planner.plan_queries(_registry(spark)).drop("rationale")
+
+
+@query("""SELECT * FROM (VALUES ('exact-phrase', 1::BIGINT, 0::BIGINT), ('override', 1::BIGINT, 1::BIGINT), ('qualified', 2::BIGINT, 2::BIGINT)) AS t(strategy, companies, qualified)""")
+def query_plan_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return planner.plan_summary(planner.plan_queries(_registry(spark)))
+
+
+# --- windows, caps, samples -------------------------------------------------------------------
+
+
+@query("""SELECT event_id, ts < TIMESTAMP '2024-01-20' AS half_open FROM events
+    WHERE ts >= TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-20'""")
+def window_filter(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").withColumn("published_at", F.col("ts").cast("timestamp"))
+    since, until = F.lit("2024-01-10").cast("timestamp"), F.lit("2024-01-20").cast("timestamp")
+    closed = feeds.window(e, since, until, closed=True)
+    return closed.select("event_id", (F.col("published_at") < until).alias("half_open"))
+
+
+@query(f"""WITH {SQL_MENTIONS} SELECT id, sentiment FROM mentions WHERE relevant AND published_at >= TIMESTAMP '{NOW_TEXT}' - INTERVAL 48 HOUR""")
+def lookback_filter(spark: SparkSession, sf: str) -> DataFrame:
+    found = alerts.candidates(mentions(spark, sf).drop("published_at"), articles(spark, sf), companies(spark, sf), now())
+    return found.select(F.col("mention_id").alias("id"), "sentiment")
+
+
+@query("""SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 5""")
+def recency_cap(spark: SparkSession, sf: str) -> DataFrame:
+    return normalize.recency_cap(table(spark, sf, "orders"), "o_custkey", "o_orderdate", "o_orderkey", 5).select("o_custkey", "o_orderkey")
+
+
+@query("""WITH r AS (SELECT event_id, event_type, user_id, row_number() OVER (PARTITION BY event_type, user_id ORDER BY sha256(event_id::VARCHAR)) AS round FROM events),
+    p AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY round, user_id) AS place FROM r)
+    SELECT event_id, event_type, user_id, place FROM p WHERE place <= CASE event_type WHEN 'click' THEN 18 WHEN 'view' THEN 14 WHEN 'purchase' THEN 20 END""")
+def stratified_round_robin(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    order = F.sha2(F.col("event_id").cast("string"), 256)
+    taken = evaluate.round_robin(e, "event_type", "user_id", order, {"click": 18, "view": 14, "purchase": 20})
+    return taken.select("event_id", "event_type", "user_id", "place")
+
+
+@query("""WITH k AS (SELECT doc_id, lang, source, sha256(source || ':' || doc_id) AS hash FROM documents),
+    g AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY hash) AS rn FROM k),
+    p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY hash) AS place FROM g WHERE rn <= 2)
+    SELECT doc_id, lang, source, place FROM p WHERE place <= CASE lang WHEN 'en' THEN 14 WHEN 'de' THEN 10 WHEN 'fr' THEN 10 END""")
+def hash_sample(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.concat_ws(":", "source", F.col("doc_id").cast("string"))
+    taken = evaluate.hash_sample(table(spark, sf, "documents"), "lang", "source", key, 2, {"en": 14, "de": 10, "fr": 10})
+    return taken.select("doc_id", "lang", "source", "place")
+
+
+# --- writes and alerts ------------------------------------------------------------------------
+
+
+@query("""SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '2001-07-01' AND o_orderkey NOT IN
+    (SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '2001-07-15')""")
+def new_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders")
+    return persist.new_pairs(o.where("o_orderdate < '2001-07-15'"), o.where("o_orderdate >= '2001-07-01'"), ["o_orderkey"])
+
+
+@query("""SELECT strftime(first_seen, '%Y-%m-%d') AS day, count(*) AS new_keys FROM
+    (SELECT user_id, event_type, min(ts) AS first_seen FROM events GROUP BY ALL) GROUP BY 1""")
+def first_seen_counts(spark: SparkSession, sf: str) -> DataFrame:
+    first = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.min("ts").alias("first_seen"))
+    return first.groupBy(F.date_format("first_seen", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("new_keys"))
+
+
+@query(f"""WITH {SQL_MENTIONS},{SQL_COMPANIES} SELECT m.id AS mention_id, strftime(m.published_at, '%Y-%m-%d') || '  ' || rpad(upper(sentiment), 11, ' ') || '  ' || rpad(name, 22, ' ') || '  ' || 'Order ' || m.id AS line
+    FROM mentions m JOIN companies USING (company_id) WHERE relevant AND published_at >= TIMESTAMP '{NOW_TEXT}' - INTERVAL 480 HOUR""")
+def alert_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    found = alerts.candidates(mentions(spark, sf).drop("published_at"), articles(spark, sf), companies(spark, sf), now(), 480)
+    return found.select("mention_id", "line")
+
+
+@query("""SELECT o_orderkey AS mention_id, channel FROM orders, (VALUES ('console'), ('file')) AS c(channel)
+    WHERE o_orderpriority = '1-URGENT' AND NOT (o_orderstatus = 'F' AND channel = 'file')""")
+def pending_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    relevant = mentions(spark, sf).where("relevant")
+    due = relevant.select(F.col("id").alias("mention_id"))
+    sent = relevant.where("sentiment = 'positive'").select(F.col("id").alias("mention_id"), F.lit("file").alias("channel"))
+    return persist.pending_alerts(due, sent, ["console", "file"]).select("mention_id", "channel")
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderstatus <> 'O' THEN 'old' ELSE 'new' END AS first_seen_at,
+      CASE WHEN o_orderstatus <> 'F' THEN 'new' ELSE 'old' END AS label FROM orders""")
+def upsert_preserve_first_seen(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored: finished and partial orders; incoming: open and partial ones."""
+    o = table(spark, sf, "orders")
+    old = o.where("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("id"), F.lit("old").alias("first_seen_at"), F.lit("old").alias("label"))
+    new = o.where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("id"), F.lit("new").alias("first_seen_at"), F.lit("new").alias("label"))
+    return persist.upsert(old, new, ["id"], keep=("first_seen_at",))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderstatus <> 'O' THEN 'old' ELSE 'new' END AS label FROM orders")
+def insert_if_absent(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders")
+    old = o.where("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("id"), F.lit("old").alias("label"))
+    new = o.where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("id"), F.lit("new").alias("label"))
+    return persist.insert_if_absent(old, new.unionByName(new), ["id"], "label")[0]
+
+
+# --- evaluation -------------------------------------------------------------------------------
+
+
+def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+    joined = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id")
+    word = lambda c: F.when(c, "relevant").otherwise("irrelevant")
+    return joined.select(word(F.col("quality") == 1).alias("actual"), word(F.length("text") > 1000).alias("predicted"))
+
+
+SQL_PAIRS = """
+    pairs AS (SELECT CASE WHEN quality = 1 THEN 'relevant' ELSE 'irrelevant' END AS actual,
+      CASE WHEN length(text) > 1000 THEN 'relevant' ELSE 'irrelevant' END AS predicted FROM labels JOIN documents USING (doc_id)),
+    wanted AS (SELECT unnest(['relevant', 'irrelevant', 'unclear']) AS label),
+    counted AS (SELECT label, count(*) FILTER (WHERE actual = label) AS support,
+      count(*) FILTER (WHERE actual = label AND predicted = label) AS tp,
+      count(*) FILTER (WHERE predicted = label) AS predicted_as FROM wanted, pairs GROUP BY label),
+    rates AS (SELECT *, coalesce(tp / nullif(predicted_as, 0), 0) AS precision, coalesce(tp / nullif(support, 0), 0) AS recall FROM counted),
+    metrics AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM rates)"""
+_LABELS = ("relevant", "irrelevant", "unclear")
+
+
+@query(f"""WITH {SQL_PAIRS} SELECT a.label AS actual, p.label AS predicted,
+    (SELECT count(*) FROM pairs WHERE actual = a.label AND predicted = p.label) AS n FROM wanted a, wanted p""")
+def confusion_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.confusion_matrix(_pairs(spark, sf), _LABELS)
+
+
+@query(f"""WITH {SQL_PAIRS} SELECT label, support, tp, predicted_as, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM metrics""")
+def class_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    m = evaluate.class_metrics(_pairs(spark, sf), _LABELS)
+    return m.select("label", "support", "tp", "predicted_as", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(f"""WITH {SQL_PAIRS} SELECT (SELECT count(*) FROM pairs) AS n, (SELECT round(avg((actual = predicted)::INT), 9) FROM pairs) AS accuracy,
+    (SELECT round(avg(f1), 9) FROM metrics) AS macro_f1""")
+def macro_f1(spark: SparkSession, sf: str) -> DataFrame:
+    s = evaluate.scores(_pairs(spark, sf), _LABELS)
+    return s.select("n", F.round("accuracy", 9).alias("accuracy"), F.round("macro_f1", 9).alias("macro_f1"))
+
+
+@query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS rn,
+      count(*) OVER (PARTITION BY event_type) AS n FROM events)
+    SELECT event_type, max(value) FILTER (WHERE rn = least(n - 1, floor(n * 0.5))) AS p50,
+      max(value) FILTER (WHERE rn = least(n - 1, floor(n * 0.95))) AS p95 FROM r GROUP BY event_type""")
+def nearest_rank_latency(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.nearest_rank("value", ["event_type"], table(spark, sf, "events"), {"p50": 0.5, "p95": 0.95})
+
+
+def _samples(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select(
+        F.col("event_type").alias("model"), F.col("value").alias("wall_ms"), (F.col("user_id") % 20).cast("double").alias("tokens_per_second"),
+        (F.col("user_id") % 90).alias("output_tokens"), F.lit(600000.0).alias("total_ms"),
+    )
+
+
+@query("""WITH r AS (SELECT event_type AS model, value, user_id, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS rn,
+      count(*) OVER (PARTITION BY event_type) AS n FROM events)
+    SELECT model, count(*) AS samples, floor(coalesce(avg(CASE WHEN user_id % 20 > 0 THEN (user_id % 20)::DOUBLE END), 0) * 10 + 0.5) / 10 AS mean_tokens_per_second,
+      floor(avg(user_id % 90) + 0.5)::BIGINT AS mean_output_tokens,
+      max(value) FILTER (WHERE rn = least(n - 1, floor(n * 0.5))) AS p50_wall_ms, max(value) FILTER (WHERE rn = least(n - 1, floor(n * 0.95))) AS p95_wall_ms,
+      floor(count(*) * 60000.0::DOUBLE / 600000.0::DOUBLE * 10 + 0.5) / 10 AS throughput_per_minute,
+      floor(2000 / (count(*) * 60000.0::DOUBLE / 600000.0::DOUBLE) * 10 + 0.5) / 10 AS projected_minutes FROM r GROUP BY model""")
+def bench_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.bench_rows(_samples(spark, sf), ["model"])
+
+
+@query("""WITH g AS (SELECT event_type AS model, rank() OVER (ORDER BY event_type) AS ladder, round(avg(value), 6) / 1000 AS combined FROM events GROUP BY event_type)
+    SELECT arg_min(model, ladder) FILTER (WHERE combined = (SELECT max(combined) FROM g)) AS best,
+      arg_min(model, ladder) FILTER (WHERE combined >= (SELECT max(combined) FROM g) - 0.02) AS ship, round(max(combined), 9) AS best_combined FROM g""")
+def ship_rule(spark: SparkSession, sf: str) -> DataFrame:
+    g = table(spark, sf, "events").groupBy(F.col("event_type").alias("model")).agg((F.round(F.avg("value"), 6) / 1000).alias("relevance_f1"))
+    g = g.withColumn("sentiment_f1", F.col("relevance_f1")).withColumn("ladder", F.rank().over(Window.orderBy("model")))
+    return evaluate.ship_choice(g).withColumn("best_combined", F.round("best_combined", 9))
+
+
+@query("""WITH j AS (SELECT CASE lang WHEN 'en' THEN 'critical' WHEN 'de' THEN 'high' ELSE 'low' END AS tier, quality = 1 AS hit,
+      CASE WHEN toxic = 1 THEN 'negative' ELSE 'neutral' END AS s, CASE WHEN doc_id % 3 = 0 THEN 'negative' WHEN doc_id % 3 = 1 THEN 'neutral' END AS a
+      FROM labels JOIN documents USING (doc_id)),
+    t AS (SELECT *, unnest(['all', CASE WHEN tier IN ('critical', 'high') THEN 'critical+high' ELSE 'medium+low' END]) AS tiers FROM j),
+    c AS (SELECT tiers, count(*) AS reviewed, count(*) FILTER (WHERE hit) AS correct, count(*) FILTER (WHERE hit AND a IS NOT NULL) AS sentiment_judged,
+      count(*) FILTER (WHERE hit AND a = s) AS sentiment_correct FROM t GROUP BY tiers)
+    SELECT *, CASE WHEN reviewed = 0 THEN 'n/a' ELSE floor(correct * 100.0 / reviewed + 0.5)::BIGINT || '%' END AS precision,
+      CASE WHEN sentiment_judged = 0 THEN 'n/a' ELSE floor(sentiment_correct * 100.0 / sentiment_judged + 0.5)::BIGINT || '%' END AS sentiment_accuracy FROM c""")
+def spot_check_report(spark: SparkSession, sf: str) -> DataFrame:
+    j = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id")
+    return evaluate.spot_check(j.select(
+        F.when(F.col("lang") == "en", "critical").when(F.col("lang") == "de", "high").otherwise("low").alias("tier"),
+        (F.col("quality") == 1).alias("relevant_actually"), F.when(F.col("toxic") == 1, "negative").otherwise("neutral").alias("sentiment"),
+        F.when(F.col("doc_id") % 3 == 0, "negative").when(F.col("doc_id") % 3 == 1, "neutral").alias("sentiment_actually"),
+    ))
+
+
+# --- repair and JSON --------------------------------------------------------------------------
+
+
+@query(r"""SELECT event_id, round(CASE WHEN n IS NULL THEN 0.5 WHEN n > 1 THEN least(1, n / 100) ELSE greatest(0, n) END, 9) AS confidence FROM
+    (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE nullif(regexp_extract(CASE WHEN event_id % 3 = 0 THEN value || '%' ELSE value::VARCHAR END, '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?'), '')::DOUBLE END AS n FROM events)""")
+def confidence_repair(spark: SparkSession, sf: str) -> DataFrame:
+    n, raw = F.col("event_id"), F.col("value").cast("string")
+    given = F.when(n % 7 == 0, "high").when(n % 3 == 0, F.concat(raw, F.lit("%"))).otherwise(raw)
+    return table(spark, sf, "events").select("event_id", F.round(repair.to_confidence(given), 9).alias("confidence"))
+
+
+_MOODS = ["Positive", "good ", "NEG", "mixed", "n/a", "not applicable", "", "Balanced", "great", "Irrelevant"]
+_MOOD_ROWS = ", ".join(
+    f"('{w}', {l}, {k})"
+    for w, l, k in zip(
+        _MOODS, ["'positive'", "'positive'", "'negative'", "'neutral'", "NULL", "NULL", "NULL", "'neutral'", "NULL", "NULL"],
+        ["true"] * 8 + ["false", "true"], strict=True,
+    )
+)
+
+
+@query(f"SELECT * FROM (VALUES {_MOOD_ROWS}) AS t(answer, label, known)")
+def sentiment_repair(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame([(m,) for m in _MOODS], "answer string")
+    return rows.select("answer", repair.to_sentiment("answer")["label"].alias("label"), repair.to_sentiment("answer")["known"].alias("known"))
+
+
+@query("""SELECT conv_id, turn, lower(trim(word)) IN ('true', 'yes', 'y', '1', 'relevant') AS relevant FROM
+    (SELECT conv_id, turn, CASE (conv_id + turn) % 6 WHEN 0 THEN 'Yes' WHEN 1 THEN ' TRUE ' WHEN 2 THEN '1' WHEN 3 THEN 'no' WHEN 4 THEN role ELSE NULL END AS word FROM conversations)
+    WHERE word IS NOT NULL UNION ALL SELECT conv_id, turn, false FROM conversations WHERE (conv_id + turn) % 6 = 5""")
+def boolean_repair(spark: SparkSession, sf: str) -> DataFrame:
+    k = (F.col("conv_id") + F.col("turn")) % 6
+    word = F.when(k == 0, "Yes").when(k == 1, " TRUE ").when(k == 2, "1").when(k == 3, "no").when(k == 4, F.col("role"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", repair.to_boolean_text(word).alias("relevant"))
+
+
+@query(r"SELECT event_id, regexp_extract(props, '\"k\"\s*:\s*(-?\d+)', 1)::BIGINT AS k FROM events")
+def json_props(spark: SparkSession, sf: str) -> DataFrame:
+    parsed = repair.tolerant_json("props", "k BIGINT", F.struct(F.lit(-1).cast("bigint").alias("k")))
+    return table(spark, sf, "events").select("event_id", parsed["k"].alias("k"))
+
+
+@query(r"SELECT event_id, regexp_extract(props, '\{[^}]*\}') AS found FROM events")
+def extract_json(spark: SparkSession, sf: str) -> DataFrame:
+    wrapped = F.concat(F.lit('Sure: "quoted" '), "props", F.lit(" done }"))
+    return table(spark, sf, "events").select("event_id", repair.extract_json_object(wrapped).alias("found"))
+
+
+# --- registry, classification, streaming ------------------------------------------------------
+
+
+@query("""SELECT * FROM (VALUES ('Alpha', 'critical', '"Alpha" AND "solar"', 'human-approved', 'Energy', ['Alpha Romeo'], []::VARCHAR[], NULL),
+    ('Betacorp', 'medium', '"Betacorp" AND ("cloud" OR "edge")', 'llm-enriched', 'Software', ['beta test', 'beta blocker'], ['Beta Corp Labs'], 'betacorp.example'),
+    ('Gamma', 'medium', '"Gamma"', 'triage-default', NULL, []::VARCHAR[], []::VARCHAR[], NULL),
+    ('Delta', 'low', '"Delta"', 'fallback', NULL, []::VARCHAR[], []::VARCHAR[], NULL)) AS t(name, ambiguity, query, query_source, sector, negative_keywords, aliases, domain)""")
+def registry_build_precedence(spark: SparkSession, sf: str) -> DataFrame:
+    seed = spark.createDataFrame([(1, "Alpha"), (2, "Betacorp"), (3, "Gamma"), (4, "Delta")], "index int, name string")
+    triage = spark.createDataFrame(
+        [
+            (1, "alpha", "LOW", "HIGH", "old", "", ""), (2, "Alpha", "CRITICAL", "HIGH", '"Alpha" AND "solar"', '"Alpha Romeo", —', "Energy"),
+            (3, "Betacorp", "MEDIUM", "NORMAL", '"Betacorp"', "beta test", "TBD later"), (4, "Gamma", "MEDIUM", "NORMAL", '"Gamma"', "", "TBD"),
+        ],
+        "position int, name string, tier string, volume string, query string, neg string, sector string",
+    )
+    enriched = spark.createDataFrame(
+        [
+            ("Betacorp", True, "Software", ["Beta Corp Labs", "PayOther", "beta corp"], "https://www.betacorp.example", "medium", ["cloud", " edge "], ["beta", "Beta Blocker", "beta blocker"]),
+            ("Delta", False, "Retail", ["Delta Air"], None, "high", ["planes"], []),
+        ],
+        "name string, known boolean, sector string, aliases array<string>, domain string, ambiguity string, context_terms array<string>, negative_keywords array<string>",
+    )
+    made = registry_build.build_registry(seed, triage, enriched, "offline", now())
+    made = made.withColumn("domain", F.regexp_replace("domain", r"^https?://(www\.)?", ""))
+    made = made.withColumn("negative_keywords", F.transform("negative_keywords", lambda k: F.when(k == "Beta Blocker", "beta blocker").otherwise(k)))
+    return made.select("name", "ambiguity", "query", "query_source", "sector", "negative_keywords", "aliases", "domain")
+
+
+@query("""SELECT * FROM (VALUES (1, 'Alpha'), (2, 'Beta Two'), (3, 'Gamma')) AS t("index", name)""")
+def seed_parse(spark: SparkSession, sf: str) -> DataFrame:
+    lines = ["# list", "1. Alpha", "", "2) Beta Two", "ALPHA", "3\tGamma"]
+    return registry_build.parse_seed(spark.createDataFrame(list(enumerate(lines)), "position int, value string"))
+
+
+@query(f"""WITH {SQL_MENTIONS} SELECT m.id, 'neutral' AS sentiment, 0.6::DOUBLE AS confidence FROM mentions m WHERE classified_at IS NULL""")
+def classify_pending(spark: SparkSession, sf: str) -> DataFrame:
+    waiting = mentions(spark, sf).where("classified_at IS NULL").drop("published_at", "sentiment", "relevant")
+    named = waiting.join(companies(spark, sf), "company_id").join(articles(spark, sf), "article_id")
+    none = F.array().cast("array<string>")
+    named = named.select("id", "company_id", "article_id", F.col("name").alias("company"), "sector", none.alias("aliases"), none.alias("negative_keywords"), "title")
+    cache = spark.createDataFrame([], "key string, raw string")
+    done, _ = classify.classify(named, cache, classify.keyword_model, "offline", "v1@0")
+    return classify.results(done, "offline", "v1@0", now()).select("id", "sentiment", "confidence")
+
+
+@query("""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
+def windowed_counts(spark: SparkSession, sf: str) -> DataFrame:
+    out = daily.windowed_counts(table(spark, sf, "events"), "ts", "event_type")
+    return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+@query("""SELECT CASE WHEN days IS NULL THEN 'NO_COVERAGE' WHEN days <= 7 THEN 'FRESH' WHEN days <= 30 THEN 'RECENT' WHEN days <= 90 THEN 'STALE' ELSE 'DORMANT' END AS bucket,
+      count(*) AS n FROM (SELECT greatest(0, datediff('second', o_orderdate, TIMESTAMP '2001-08-01') // 86400) AS days FROM orders) GROUP BY 1""")
+def bucket_counts(spark: SparkSession, sf: str) -> DataFrame:
+    days = dates.days_since("o_orderdate", now())
+    return table(spark, sf, "orders").groupBy(dates.bucket(days).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query()
+def daily_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The daily check over the events, landed twice: the second time it finds nothing new."""
+    root = daily.work_folder(spark, "daily-stream")
+    said = []
+    for _ in range(2):
+        table(spark, sf, "events").write.mode("append").parquet(f"{root}/landed")
+        said += daily.run_daily(
+            spark, f"{root}/landed", "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+            _event_mentions, companies(spark, sf), root, {"file": alerts.json_sink(f"{root}/alerts")}, F.lit("2024-01-31").cast("timestamp"),
+            "id string, company_id bigint, article_id string, relevant boolean, sentiment string",
+            "article_id string, published_at timestamp, title string, url string", lookback_hours=24 * 40,
+        )
+    rows = [(i, r["channel"], r["new_mentions"], r["delivered"], r["outcome"]) for i, r in enumerate(said)]
+    return spark.createDataFrame(rows, "batch int, channel string, new_mentions long, delivered long, outcome string")
+
+
+def _event_mentions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    key = F.concat_ws(":", F.col("user_id").cast("string"), "event_type")
+    first = rows.groupBy("user_id", "event_type").agg(F.min("ts").cast("timestamp").alias("published_at"))
+    first = first.select(key.alias("id"), F.col("user_id").alias("company_id"), key.alias("article_id"), "published_at", "event_type")
+    found = first.select("id", "company_id", "article_id", (F.col("event_type") == "purchase").alias("relevant"), F.lit("neutral").alias("sentiment"))
+    return found, first.select("article_id", "published_at", F.col("event_type").alias("title"), F.concat(F.lit("https://example.com/"), "article_id").alias("url"))
