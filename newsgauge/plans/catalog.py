@@ -289,7 +289,7 @@ _BOOLEAN = (
 )
 
 
-@query("UNION ALL ".join(f"SELECT '{n}' AS query, count(*) AS docs, sum(doc_id)::BIGINT AS ids FROM documents WHERE {s} " for n, _, s in _BOOLEAN))
+@query("UNION ALL ".join(f"SELECT '{n}' AS query, count(*) AS docs, sum(doc_id)::BIGINT AS ids FROM documents WHERE {s} HAVING count(*) > 0 " for n, _, s in _BOOLEAN))
 def boolean_query_match(spark: SparkSession, sf: str) -> DataFrame:
     hits = F.array(*[F.when(query_language.compile_query(q, "text"), F.lit(n)) for n, q, _ in _BOOLEAN])
     found = table(spark, sf, "documents").select("doc_id", F.explode(F.array_compact(hits)).alias("query"))
