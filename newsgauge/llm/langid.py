@@ -101,13 +101,13 @@ def train(
     ]
     padded = F.concat(F.lit("^"), "w", F.lit("$"))
     size = F.length("w") + 2
-    cuts = F.flatten(
-        F.array(*[
-            F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i, n=n: F.substring(padded, i, F.lit(n))))
-            .otherwise(F.array().cast("array<string>"))
-            for n in range(1, max_gram + 1)
-        ])
-    )
+
+    def grams_of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), size - n + 1)
+        cut = F.transform(starts, lambda i: F.substring(padded, i, F.lit(n)))
+        return F.when(size >= n, cut).otherwise(F.array().cast("array<string>"))
+
+    cuts = F.flatten(F.array(*[grams_of(n) for n in range(1, max_gram + 1)]))
     grams = counts.select("lang", "n", F.explode(cuts).alias("g")).groupBy("lang", "g").agg(F.sum("n").alias("n"))
 
     def logs(found: list[tuple[str, dict]]) -> tuple[dict[str, np.ndarray], np.ndarray]:

@@ -59,9 +59,10 @@ def test_base_columns(spark):
 
 
 def test_unlike_texts_are_dropped(spark):
-    good = [(i, " ".join(f"good{(i * 7 + j * j) % 50}" for j in range(40))) for i in range(30)]
-    bad = [(100 + i, " ".join(f"junk{(i * 3 + j * j * j) % 90}" for j in range(40))) for i in range(10)]
-    trusted = spark.createDataFrame([(i,) for i in range(0, 30, 2)] + [(0,), (None,)], "doc_id long")
+    rng = random.Random(1)
+    some = lambda stem: " ".join(f"{stem}{rng.randrange(12)}" for _ in range(60))
+    good, bad = [(i, some("good")) for i in range(60)], [(100 + i, some("junk")) for i in range(20)]
+    trusted = spark.createDataFrame([(i,) for i in range(0, 60, 2)] + [(0,), (None,)], "doc_id long")
     out = {r["doc_id"]: r for r in quality_rules.quality_rules(docs(spark, good + bad), trusted).collect()}
     assert all(out[i]["kept"] for i, _ in good if not out[i]["base_failed"])
     assert not any(out[i]["kept"] for i, _ in bad)
