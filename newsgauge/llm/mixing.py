@@ -8,8 +8,10 @@ that has sent all its repeats stops, and the others go on in proportion to their
 weights; so each source ends near the share that resharing the excess gives it.
 
 Scale: words are counted once and only (id, source, size, shuffle key) go on. Running
-totals are taken in two steps, over the sums of hash buckets and inside a bucket, for
-sources and again for the merged order, so no window holds a source or the corpus.
+totals of a source are taken in two steps, over the sums of hash buckets and inside a
+bucket. The merged order is cut into ranges of finish time; only the range in which the
+budget ends is cut again, until what is left of it is small enough to be sorted at once.
+So no window holds a source or the corpus.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, materialize, row_key
 
-#: Bins of virtual time; each is put in order on its own.
-TIME_BINS = 4096
+#: Bins of virtual time, and the rows of the bin at the budget that are put in order at once.
+TIME_BINS, EDGE_ROWS = 4096, 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -114,19 +116,30 @@ def mix_sources(
         )
 
     epochs = F.sequence(F.lit(0), F.lit(max_repeats - 1))
-    items = queued.select("size", "budget", F.explode(F.transform(epochs, place)).alias("at"))
-    end = queued.agg(F.max(finish(F.lit(max_repeats - 1)))).first()[0] or 1.0
-    items = items.withColumn("bin", F.floor(F.col("at.finish") / F.lit(end) * F.lit(TIME_BINS)))
-    bins = items.groupBy("bin").agg(F.sum("size").alias("s"), F.first("budget").alias("budget"))
-    up_to = F.sum("s").over(Window.orderBy("bin"))  # as many rows as there are bins
-    crossed = bins.withColumn("total", up_to).where("total > budget").orderBy("bin").select("bin", "total", "s").first()
+    items = queued.select("size", F.explode(F.transform(epochs, place)).alias("at"))
+    low, high, budget = queued.agg(F.lit(0.0), F.max(finish(F.lit(max_repeats - 1))), F.first("budget")).first()
+    items = items.where("size > 0")  # others do not move the total
+    before, crossed = 0, None
+    while high is not None:
+        place_in = F.floor((F.col("at.finish") - F.lit(low)) / F.lit(high - low or 1.0) * F.lit(TIME_BINS))
+        items = items.withColumn("bin", F.least(place_in, F.lit(TIME_BINS - 1)))
+        bins = items.groupBy("bin").agg(
+            F.sum("size").alias("s"), F.count("*").alias("n"), F.min("at.finish").alias("low"), F.max("at.finish").alias("high")
+        )
+        up_to = F.sum("s").over(Window.orderBy("bin")) + F.lit(before)  # at most TIME_BINS rows
+        crossed = bins.withColumn("total", up_to).where(F.col("total") > F.lit(budget)).orderBy("bin").first()
+        if crossed is None:
+            break
+        items, before = items.where(F.col("bin") == crossed["bin"]), crossed["total"] - crossed["s"]
+        low, high = crossed["low"], crossed["high"]
+        if crossed["n"] <= EDGE_ROWS or low == high:  # equal times are at most one of each source and epoch
+            break
     if crossed is None:
         copies = F.lit(max_repeats)
     else:
-        edge = items.where(F.col("bin") == crossed["bin"])
         running = F.sum("size").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
-        total = running + F.lit(crossed["total"] - crossed["s"])
-        cut = edge.withColumn("total", total).where("total > budget").agg(F.min("at").alias("at"))
+        total = running + F.lit(before)
+        cut = items.withColumn("total", total).where(F.col("total") > F.lit(budget)).agg(F.min("at").alias("at"))
         at = cut.first()["at"]
         limit = F.struct(
             F.lit(at["finish"]).alias("finish"), F.lit(at["src_no"]).alias("src_no"), F.lit(at["epoch"]).alias("epoch"),

@@ -71,6 +71,18 @@ def test_small_tables(spark, rows):
     check(rows, mixing.mix_sources(docs(spark, rows)).collect())
 
 
+def test_narrow_ranges_give_the_same_mix(spark, monkeypatch):
+    """The range at the budget is cut again and again; ties of finish time end it."""
+    rows = ROWS + [(2000 + i, "w " * 4, f"s{i % 5}") for i in range(40)] + [(3000 + i, "", "s1") for i in range(30)]
+    key = lambda r: (str(r["doc_id"]), r["size"], str(r["source"]), r["taken"], r["copies"])
+    once = sorted(map(key, mixing.mix_sources(docs(spark, rows)).collect()))
+    monkeypatch.setattr(mixing, "TIME_BINS", 3)
+    monkeypatch.setattr(mixing, "EDGE_ROWS", 1)
+    out = mixing.mix_sources(docs(spark, rows)).collect()
+    check(rows, out)
+    assert sorted(map(key, out)) == once
+
+
 def test_apply_repeats_rows(spark):
     df = docs(spark, ROWS[:200])
     mixed = {r["doc_id"]: r["copies"] for r in mixing.mix_sources(df).collect()}
