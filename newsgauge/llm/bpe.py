@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct words that a Python worker keeps; it starts afresh beyond.
-CACHE = 300_000
+#: Distinct words that a Python worker keeps, and bytes of them and their ids; it starts afresh beyond.
+CACHE, CACHE_BYTES = 1_000_000, 64_000_000
 #: Words sent to DuckDB at once, and the bytes from which a word is contracted round by round.
-WORDS_AT_ONCE, LONG_WORD = 40_000, 200
+WORDS_AT_ONCE, LONG_WORD = 100_000, 200
 #: Bytes of text handled at once, whole texts at least.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 8_000_000
 
 #: White space of any script followed by a space: there, cutting at spaces would not keep to the pattern.
 _SPACES = re.compile(
@@ -45,7 +45,7 @@ _CONTRACT = """
         FROM (SELECT w, unnest(toks[:-2]) AS l, unnest(toks[2:]) AS r, generate_subscripts(toks[2:], 1) AS i FROM t) p
         JOIN merges g ON g.l = p.l AND g.r = p.r
         GROUP BY p.w) b ON b.w = t.w, LATERAL (SELECT (best & 4294967295)::INT AS i, (best >> 32)::INT AS m))
-    SELECT w, arg_max(toks, step) AS toks FROM t GROUP BY w
+    SELECT w, toks FROM t QUALIFY row_number() OVER (PARTITION BY w ORDER BY step DESC) = 1
 """
 
 #: One round for long words: every occurrence of the least pair at once where no merge of its
@@ -86,7 +86,7 @@ class Codec:
         import regex
 
         self.pieces = regex.compile(pattern)
-        self.single = ranks
+        self.single = {token: rank.to_bytes(4, "little") for token, rank in ranks.items()}
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         rows = [
             (left, right, merged)
@@ -105,6 +105,7 @@ class Codec:
         self.spaced: dict[bytes, bytes] = {}
         self.plain: dict[bytes, bytes] = {}
         self.decoded: dict[bytes, bytes] = {}  # of ids whose decoding is not the word itself
+        self.held = 0  # bytes of words and ids
 
     def _load(self, name: str, table: pa.Table) -> None:
         self.db.register("incoming", table)
@@ -116,14 +117,23 @@ class Codec:
 
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of each distinct, non-empty piece that is not itself a token."""
-        out: list[list[int]] = [[]] * len(pieces)
+        return [np.frombuffer(x, "<u4").tolist() for x in self.packed_pieces(pieces)]
+
+    def packed_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """The same as little-endian unsigned 32-bit integers."""
+        out = [b""] * len(pieces)
         small = [i for i, p in enumerate(pieces) if len(p) < LONG_WORD]
         large = [i for i, p in enumerate(pieces) if len(p) >= LONG_WORD]
         for at in range(0, len(small), WORDS_AT_ONCE):
             self._start("start", some := small[at : at + WORDS_AT_ONCE], pieces)
             found = self._rows(_CONTRACT)
-            for w, toks in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
-                out[some[w]] = toks
+            toks = found.column(1).combine_chunks()
+            packed = toks.flatten().to_numpy().astype("<u4").tobytes()
+            ends = 4 * np.cumsum(toks.value_lengths().to_numpy())
+            begin = 0
+            for w, end in zip(found.column(0).to_pylist(), ends.tolist(), strict=True):
+                out[some[w]] = packed[begin:end]
+                begin = end
         for i in large:
             self._start("long_now", [i], pieces)
             while True:
@@ -131,7 +141,7 @@ class Codec:
                 if not self.db.sql("SELECT more FROM long_next").fetchall()[0][0]:
                     break
                 self.db.execute("CREATE OR REPLACE TEMP TABLE long_now AS SELECT w, toks FROM long_next")
-            out[i] = self._rows("SELECT toks FROM long_next").column(0)[0].as_py()
+            out[i] = np.array(self._rows("SELECT toks FROM long_next").column(0)[0].as_py(), "<u4").tobytes()
         return out
 
     def _start(self, name: str, which: list[int], pieces: list[bytes]) -> None:
@@ -153,28 +163,30 @@ class Codec:
 
     def learn(self, words: list[bytes], known: dict[bytes, bytes], lead: bytes) -> None:
         """Encode and decode distinct words that begin with lead, as little-endian unsigned 32-bit ids."""
-        cut = [[p.encode() for p in self.pieces.findall((lead + w).decode("utf-8", "replace"))] for w in words]
-        new = list({p for own in cut for p in own if p not in self.single})
-        ids = dict(zip(new, self.encode_pieces(new), strict=True))
-        flat = [[t for p in own for t in ((self.single[p],) if p in self.single else ids[p])] for own in cut]
-        sizes = np.fromiter(map(len, flat), np.int64, len(flat))
-        every = np.fromiter((t for own in flat for t in own), np.int32, int(sizes.sum()))
-        packed, ends = every.astype("<u4").tobytes(), np.cumsum(sizes)
-        for at in range(0, len(words), WORDS_AT_ONCE):
-            part = slice(at, at + WORDS_AT_ONCE)
-            first = int(ends[at] - sizes[at])
-            got = self.decode_rows(every[first : int(ends[part][-1])], sizes[part])
-            for w, text, e, n in zip(words[part], got, ends[part].tolist(), sizes[part].tolist(), strict=True):
-                known[w] = packed[4 * (e - n) : 4 * e]
-                if text != lead + w:
-                    self.decoded[lead + w] = text
+        findall, ids, back = self.pieces.findall, self.single, {}
+        cut = [[p.encode() for p in findall((lead + w).decode("utf-8", "replace"))] for w in words]
+        if new := list({p for own in cut for p in own if p not in ids}):
+            packed = self.packed_pieces(new)
+            ids = ids | dict(zip(new, packed, strict=True))
+            for at in range(0, len(new), WORDS_AT_ONCE):
+                part = slice(at, at + WORDS_AT_ONCE)
+                sizes = np.fromiter(map(len, packed[part]), np.int64) // 4
+                got = self.decode_rows(np.frombuffer(b"".join(packed[part]), "<u4"), sizes)
+                back |= {p: text for p, text in zip(new[part], got, strict=True) if p != text}
+        for w, own in zip(words, cut, strict=True):
+            known[w] = b"".join([ids[p] for p in own])
+            self.held += len(w) + len(known[w])
+            text = b"".join([back.get(p, p) for p in own] if back else own)
+            if text != lead + w:
+                self.decoded[lead + w] = text
 
     def texts(self, batch: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """(ids, decoded bytes) of each text; ids are little-endian unsigned 32-bit integers."""
-        if len(self.spaced) + len(self.plain) > CACHE:
+        if len(self.spaced) + len(self.plain) > CACHE or self.held > CACHE_BYTES:
             self.spaced.clear()
             self.plain.clear()
             self.decoded.clear()
+            self.held = 0
         rows, spaced, plain = [], set(), set()
         for text in batch:
             if _SPACES.search(text):
