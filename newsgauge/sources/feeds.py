@@ -131,16 +131,18 @@ def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def combine(sources: list[DataFrame]) -> DataFrame:
     """Bag union of sources in their configured order, with provider_rank and a position over all of them.
 
-    Arrival is by rank, then newest first, then URL; position numbers it within company_id
-    where there is one, so no window holds everything.
+    Arrival is by rank, then newest first, then URL. Where there is a company_id, position
+    numbers it within each company; else it grows along a range sort, with gaps, so that no
+    window holds everything.
     """
     ranked = [s.withColumn("provider_rank", F.lit(i)) for i, s in enumerate(sources)]
     whole = ranked[0]
     for s in ranked[1:]:
         whole = whole.unionByName(s)
-    scope = [c for c in ("company_id",) if c in whole.columns]
-    arrival = Window.partitionBy(*scope).orderBy("provider_rank", F.desc_nulls_last("published_at"), "url", "title")
-    return whole.withColumn("position", F.row_number().over(arrival))
+    order = ["provider_rank", F.desc_nulls_last("published_at"), "url", "title"]
+    if "company_id" not in whole.columns:
+        return whole.orderBy(*order).withColumn("position", F.monotonically_increasing_id())
+    return whole.withColumn("position", F.row_number().over(Window.partitionBy("company_id").orderBy(*order)))
 
 
 def select_sources(known: dict[str, DataFrame], names: str) -> list[DataFrame]:
