@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +53,14 @@ def row_key(*columns: Column) -> Column:
 def words(text: Column) -> Column:
     """Array of the words of a non-null text."""
     return F.filter(F.split(text, WORD_GAP), lambda w: w != "")
+
+
+def slices(batch: pa.RecordBatch, text: int, rows: int = 500, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of at most ``rows`` rows and some ``size`` bytes of whole texts, one text at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        stop = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, side="right"))))
+        yield batch.slice(at, stop - at)
+        at = stop

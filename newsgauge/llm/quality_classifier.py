@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
 from .langid import held_out
 
 BITS = 18
@@ -85,10 +86,10 @@ def ftrl(texts: list[str | None], labels: list[int], alpha: float, beta: float,
     for text, label in zip(texts, labels, strict=True):
         places, count = features([text], hashes)
         at, times = np.unique(places, return_counts=True)
-        rows.append((np.append(at, size - 1), np.append(times * (SCALE / max(1, count[0])), 1.0), label))
+        rows.append((np.append(at, size - 1).astype(np.int32), times.astype(np.int32), SCALE / max(1, count[0]), label))
     for _ in range(epochs):
-        for at, x, label in rows:
-            w = weights(at)
+        for at, times, share, label in rows:
+            x, w = np.append(times * share, 1.0), weights(at)
             p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
             g = (p - label) * x
             z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha * w
@@ -141,8 +142,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, hashes = sent.value, _Hashes()
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for batch in slices(whole, 1):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(scores(batch.column(1).to_pylist(), w, hashes))], ["doc_id", "score"]
                 )
@@ -186,8 +186,7 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, hashes = sent.value, _Hashes()
         for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
+            for batch in slices(whole, at):
                 yield batch.filter(pa.array(scores(batch.column(at).to_pylist(), w, hashes) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -90,3 +90,16 @@ def test_score_is_a_sparse_dot_product(text):
     margin = float(w[-1]) + sum(float(w[p]) for p in places) * quality_classifier.SCALE / max(1, counts[0])
     got = quality_classifier.scores([text], w, quality_classifier._Hashes())[0]
     assert abs(got - 1 / (1 + np.exp(-np.clip(margin, -35, 35)))) < 1e-5
+
+
+def test_slices_cover_every_row_once():
+    import pyarrow as pa
+
+    from newsgauge.llm.common import slices
+
+    texts = ["a" * n for n in (0, 5, 50, 3, 3, 3, 3)] + [None, "b" * 7, "é" * 10]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["i", "t"])
+    found = list(slices(batch, 1, rows=3, size=10))
+    assert [t for b in found for t in b.column(1).to_pylist()] == texts
+    assert max(b.num_rows for b in found) <= 3 and all(b.num_rows == 1 or sum(len((x or "").encode()) for x in b.column(1).to_pylist()) <= 10 for b in found)
+    assert list(slices(batch.slice(0, 0), 1)) == []
