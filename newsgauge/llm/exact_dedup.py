@@ -104,7 +104,8 @@ def exact_dedup(
     groups = names.groupBy("n_blocks", "name").agg(
         F.max(F.struct("doc_id", "rid")).alias("keep"), F.count("*").alias("group_size")
     )
-    out = names.join(groups, ["n_blocks", "name"])
+    # written first: a join right on an aggregation could not split a group that holds a third of the rows
+    out = names.join(materialize(groups, "groups"), ["n_blocks", "name"])
     return out.select(
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),
