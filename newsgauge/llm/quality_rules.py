@@ -9,7 +9,8 @@ a score of at least ``threshold`` is kept.
 
 Scale: two narrow passes over the texts and one aggregation to 2 * buckets rows, with
 map-side combine; the table of log ratios is a bounded array that a scalar subquery
-hands to each row. No text is shuffled and no n-gram leaves its task uncounted.
+hands to each row. Every trusted document is counted: texts meet the trusted ids in one
+equi-join on the id, a sort-merge join at every size, which AQE splits. No n-gram leaves its task uncounted.
 """
 
 from __future__ import annotations
@@ -98,12 +99,11 @@ def quality_rules(
     buckets: int = 8192,
     smooth: float = 1.0,
     threshold: float = -0.12,
-    max_trusted: int = 50_000,
 ) -> DataFrame:
     """Rule columns and the verdict, one row per input row.
 
-    trusted_ids has one column of ids; at most max_trusted of them (smallest hashes) make
-    the target, the raw counts cover all documents. Returns doc_id, n_words, word_chars,
+    trusted_ids has one column of ids; all documents that they name make the target, the
+    raw counts cover all documents. Returns doc_id, n_words, word_chars,
     n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr. A null or empty text
     has no word and fails the rules; without trusted ids every ratio is 0. Repeated rows
     are judged alike and counted each. An empty input gives no rows; other columns are
@@ -111,9 +111,8 @@ def quality_rules(
     """
     name = trusted_ids.columns[0]
     trusted = trusted_ids.select(F.col(name).alias("_trusted")).where("_trusted IS NOT NULL").distinct()
-    trusted = trusted.orderBy(F.xxhash64(F.col("_trusted").cast("string")), "_trusted").limit(max_trusted)
     thin = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    flagged = thin.join(F.broadcast(trusted), F.col("doc_id") == F.col("_trusted"), "left")  # at most max_trusted ids
+    flagged = thin.join(trusted.hint("merge"), F.col("doc_id") == F.col("_trusted"), "left")
     ratios = log_ratios(flagged, F.col("_trusted").isNotNull(), buckets, smooth)
 
     text = F.coalesce("text", F.lit(""))

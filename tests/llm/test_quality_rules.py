@@ -101,3 +101,10 @@ def test_ratio_is_a_mean_over_the_grams(spark, buckets):
     for r in out.collect():
         want = sum(math.log(p(target, g) / p(raw, g)) for g in own[r["doc_id"]]) / len(own[r["doc_id"]])
         assert abs(r["llr"] - want) < 1e-9
+
+
+def test_every_trusted_document_is_counted(spark):
+    """All documents are trusted, beyond any number that a bound would keep: target and raw are one distribution."""
+    some = [(i, " ".join(f"w{i}x{j}" for j in range(25))) for i in range(300)]
+    out = quality_rules.quality_rules(docs(spark, some), spark.range(60_000)).collect()
+    assert len(out) == 300 and all(abs(r["llr"]) < 1e-12 for r in out)
