@@ -36,7 +36,7 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 
 #: Weak kinds: a mixed token of 20 or more characters, a named login, an address with a scheme.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}"
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
 LOGIN = r"\b[uU][sS][eE][rR](?:[nN][aA][mM][eE]|_?[iI][dD])?[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@-]{3,}"
 ENDPOINT = r"\b[a-z][a-z0-9+]{1,15}://[A-Za-z0-9._:-]{3,}"
 
