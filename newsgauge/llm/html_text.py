@@ -3,7 +3,8 @@
 A tree builder reads the tags of a page, closing what HTML closes by implication (a
 paragraph before a block, a list item before the next, cells and rows of tables) and
 dropping nothing but what a browser does not show: scripts, styles, templates, comments,
-elements hidden by attribute or inline style. The renderer then lays the visible text
+elements hidden by attribute or inline style. Neither the builder nor the renderer
+recurses, so the depth of a page is not bounded. The renderer then lays the visible text
 out: blocks on lines of their own, a blank line around paragraphs and headings, list
 markers with indentation, table cells padded to the width of their column.
 """
@@ -12,7 +13,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 #: Fixed sets of HTML element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style template noscript title head datalist iframe object svg math audio video canvas".split())
+UNSEEN = frozenset("script style template noscript title head datalist iframe object audio video canvas".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure article section main".split())
 BLOCK = SPACED | frozenset(
@@ -35,41 +36,73 @@ CLOSES = {
 }
 #: Elements that an end tag for something further out does not look through.
 SCOPE = frozenset({"table", "td", "th", "caption"})
-DEPTH = 200
+#: Inside svg and math, whose elements may close themselves: what is not shown there, and runs of text placed on their own.
+FOREIGN = frozenset({"svg", "math"})
+FOREIGN_UNSEEN = frozenset(
+    "defs symbol desc metadata clippath mask marker pattern lineargradient radialgradient filter annotation annotation-xml mphantom".split()
+)
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>|<[a-zA-Z][^>]*+>", re.S
 )
-_HIDDEN = re.compile(
-    r"(?:^|\s)hidden(?=[\s=/]|$)|style\s*=\s*[\"']?[^\"'>]*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I
-)
+#: Attributes that decide about visibility have one of these words in their name.
+_DECIDES = re.compile(r"hidden|style|display|visibility", re.I)
+_ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*+)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?")
+#: Comments, strings and arguments of a style, in which nothing is a declaration.
+_ASIDE = re.compile(r"/\*.*?(?:\*/|\Z)|\"[^\"]*+\"?|'[^']*+'?|\([^()]*+\)?", re.S)
 _GAP = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "hidden", "children")
+    """An element; hidden ones show nothing, the text right in an unlit one is not shown."""
+
+    __slots__ = ("tag", "hidden", "lit", "foreign", "children")
+
+    def __init__(self, tag: str, hidden: bool = False, lit: bool = True, foreign: bool = False):
+        self.tag, self.hidden, self.lit, self.foreign, self.children = tag, hidden, lit, foreign, []
 
-    def __init__(self, tag: str, hidden: bool = False):
-        self.tag, self.hidden, self.children = tag, hidden, []
+
+def _visibility(attributes: str, foreign: bool) -> tuple[bool, str]:
+    """Whether an element with these attributes is hidden, and its own visibility, empty if inherited."""
+    found: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        found.setdefault(name.lower(), "".join(values))
+    style: dict[str, tuple[bool, str]] = {}
+    if foreign:
+        style = {k: (False, found[k].strip().lower()) for k in ("display", "visibility") if k in found}
+    for part in _ASIDE.sub(" ", html.unescape(found.get("style", ""))).split(";"):
+        name, _, value = part.partition(":")
+        name, (value, _, rest) = name.strip().lower(), value.strip().lower().partition("!")
+        strong = rest.strip() == "important"
+        if strong or not style.get(name, (False,))[0]:
+            style[name] = strong, value.strip()
+    return "hidden" in found or style.get("display", (False, ""))[1] == "none", style.get("visibility", (False, ""))[1]
 
 
 def parse(page: str) -> Node:
     """The tree of a page; text children are strings with entities resolved."""
     root = Node("body")
     stack, at = [root], 0
+    places: dict[str, list[int]] = {}  # of the open elements of each name, the innermost last
+
+    def innermost(names: set[str] | frozenset[str]) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
 
     def close(names: set[str], limits: set[str] | frozenset[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in names:
-                del stack[k:]
-                return
-            if stack[k].tag in limits:
-                return
+        k = innermost(names)
+        if k and k >= innermost(limits):
+            for node in stack[k:]:
+                places[node.tag].pop()
+            del stack[k:]
+
+    def add(text: str) -> None:
+        if stack[-1].lit:
+            stack[-1].children.append(html.unescape(text))
 
     end_of_raw: dict[str, re.Pattern] = {}
     while m := _TOKEN.search(page, at):
         if m.start() > at:
-            stack[-1].children.append(html.unescape(page[at : m.start()]))
+            add(page[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
@@ -81,21 +114,43 @@ def parse(page: str) -> Node:
             close(*CLOSES[tag])
         elif tag in BLOCK:
             close({"p"}, SCOPE | {"button"})
-        node = Node(tag, tag in UNSEEN or bool(m[3] and _HIDDEN.search(m[3])))
-        stack[-1].children.append(node)
+        over = stack[-1]
+        foreign = tag in FOREIGN or over.foreign and over.tag != "foreignobject"
+        hidden, own = _visibility(m[3], foreign) if m[3] and _DECIDES.search(m[3]) else (False, "")
+        lit = own not in ("hidden", "collapse") if own not in ("", "inherit") else over.lit
+        node = Node(tag, hidden or tag in UNSEEN or foreign and tag in FOREIGN_UNSEEN, lit, foreign)
+        over.children.append(node)
+        if foreign and m[3].endswith("/"):
+            continue
         if tag in RAW:
             ending = end_of_raw.setdefault(tag, re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I))
             stop = ending.search(page, at)
-            if not node.hidden:
+            if not node.hidden and lit:
                 node.children.append(html.unescape(page[at : stop.start() if stop else len(page)]))
             at = stop.end() if stop else len(page)
-        elif tag not in VOID and len(stack) < DEPTH:
+        elif tag not in VOID:
+            places.setdefault(tag, []).append(len(stack))
             stack.append(node)
     if at < len(page):
-        stack[-1].children.append(html.unescape(page[at:]))
+        add(page[at:])
     return root
 
 
+def _run(work: Generator):
+    """The result of a generator that yields the generators whose results it needs, by a stack of its own."""
+    stack, value = [work], None
+    while stack:
+        try:
+            inner = stack[-1].send(value)
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+        else:
+            stack.append(inner)
+            value = None
+    return value
+
+
 class _Out:
     """Lines of a block: text flows into the last one until something breaks it."""
 
@@ -122,7 +177,7 @@ class _Out:
         self.blank = True
 
 
-def _render(node: Node, out: _Out, depth: int) -> None:
+def _render(node: Node, out: _Out, depth: int) -> Generator:
     for child in node.children:
         if isinstance(child, str):
             out.text(child)
@@ -138,7 +193,7 @@ def _render(node: Node, out: _Out, depth: int) -> None:
             out.blank = True
         elif tag == "table":
             out.space()
-            out.add(_table(child, depth))
+            out.add((yield _table(child, depth)))
             out.blank = True
         elif tag in ("ul", "ol"):
             (out.line if depth else out.space)()
@@ -150,7 +205,7 @@ def _render(node: Node, out: _Out, depth: int) -> None:
                         out.line()
                     continue
                 inner = _Out()
-                _render(item if item.tag == "li" else _wrap(item), inner, depth + 1)
+                yield _render(item if item.tag == "li" else _wrap(item), inner, depth + 1)
                 inner.line()
                 number += item.tag == "li"
                 mark = "" if item.tag != "li" else f"{number}. " if tag == "ol" else "- "
@@ -161,10 +216,14 @@ def _render(node: Node, out: _Out, depth: int) -> None:
         elif tag in BLOCK:
             spaced = tag in SPACED
             (out.space if spaced else out.line)()
-            _render(child, out, depth)
+            yield _render(child, out, depth)
             (out.space if spaced else out.line)()
+        elif child.foreign and tag == "text":
+            out.line()
+            yield _render(child, out, depth)
+            out.line()
         else:
-            _render(child, out, depth)
+            yield _render(child, out, depth)
 
 
 def _wrap(node: Node) -> Node:
@@ -174,20 +233,24 @@ def _wrap(node: Node) -> Node:
 
 
 def _plain(node: Node) -> Iterator[str]:
-    for child in node.children:
+    rest = node.children[::-1]
+    while rest:
+        child = rest.pop()
         if isinstance(child, str):
             yield child
+        elif child.hidden:
+            continue
         elif child.tag == "br":
             yield "\n"
-        elif not child.hidden:
-            yield from _plain(child)
+        else:
+            rest += child.children[::-1]
 
 
-def _table(table: Node, depth: int) -> list[str]:
+def _table(table: Node, depth: int) -> Generator:
     """Rows of cells, each column padded to its widest line; captions and stray text go before."""
     before, rows = _Out(), []
 
-    def gather(node: Node) -> None:
+    def gather(node: Node) -> Generator:
         for child in node.children:
             if isinstance(child, str):
                 before.text(child)
@@ -195,23 +258,23 @@ def _table(table: Node, depth: int) -> list[str]:
                 continue
             elif child.tag == "tr":
                 rows.append([c for c in child.children if isinstance(c, Node) and c.tag in ("td", "th") and not c.hidden])
-                _render(_only(child, ("td", "th")), before, depth)
+                yield _render(_only(child, ("td", "th")), before, depth)
             elif child.tag in ("td", "th"):
                 rows.append([child])
             elif child.tag in ("thead", "tbody", "tfoot"):
-                gather(child)
+                yield gather(child)
             else:
-                _render(_wrap(child), before, depth)
+                yield _render(_wrap(child), before, depth)
                 before.line()
 
-    gather(table)
+    yield gather(table)
     before.line()
     grid = []
     for row in rows:
         cells = []
         for cell in row:
             inner = _Out()
-            _render(cell, inner, depth + 1)
+            yield _render(cell, inner, depth + 1)
             inner.line()
             cells.append([x for x in inner.lines if x] or [""])
         grid.append(cells)
@@ -241,7 +304,7 @@ def page_text(page: str | None) -> str:
     if not page:
         return ""
     out = _Out()
-    _render(parse(page), out, 0)
+    _run(_render(parse(page), out, 0))
     out.line()
     return "\n".join(out.lines).strip("\n")
 
@@ -250,7 +313,7 @@ def extract(df: DataFrame, id_col: str = "page_id", html_col: str = "html", keep
     """id, the columns in keep, and text; one row per input row, no shuffle.
 
     A null or empty page has empty text; so has one with nothing visible. Broken markup
-    is read as far as the rules go, elements nested deeper than DEPTH are flattened.
+    is read as far as the rules go, at any depth.
     Repeated rows are rendered alike; an empty input gives no rows; other columns are
     not read.
     """

@@ -51,3 +51,25 @@ def test_query(spark):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     assert len(rows) == len(pages) and all(r["text"] == html_text.page_text(pages[r["page_id"]]) for r in rows)
     assert not any("margin:0" in r["text"] or "track(" in r["text"] or "<p>" in r["text"] for r in rows)
+
+
+SHOWN = [
+    ('<a title="Find hidden gems">a</a> <div class="menu hidden md:flex">b</div>', "a\nb"),
+    ("<p title='style=display:none'>a<p HIDDEN=false>no<p style='color:red; DISPLAY : none'>no", "a"),
+    ("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b></div>", "yes"),
+    ("<p style='display:none;display:block'>a", "a"),
+    ("<math><mi>x</mi><mo>=</mo><mn>2</mn></math>", "x=2"),
+    ("<svg><title>no</title><defs/><path d='m'/><text>one</text><text>two</text></svg>z", "one\ntwo\nz"),
+    ("<span>" * 300 + "<table><tr><td>a<td>b", "a  b"),
+    ("<font>" * 300 + "<p>a<p style='display:none'>no<p>b<ul><li>c<li>d</ul>", "a\n\nb\n\n- c\n- d"),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), SHOWN)
+def test_visibility_and_depth(page, want):
+    assert html_text.page_text(page) == want
+
+
+def test_depth_has_no_bound():
+    assert html_text.page_text("<div>" * 100_000 + "<table><tr><td>a<td>b") == "a  b"
+    assert html_text.page_text("<pre>" + "<b>" * 100_000 + "x") == "x"
