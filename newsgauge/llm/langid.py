@@ -6,8 +6,9 @@ through its character n-grams: at each place the longest known n-gram scores, fr
 to the log prior of the language; the softmax of the sums is the score.
 
 The model is fitted on at most ``max_docs`` training rows (those of the smallest
-hashes of their ids) and holds at most ``max_words`` words and ``max_grams`` n-grams,
-so what is sent to the executors does not grow with the corpus.
+hashes of their ids) and holds the ``max_words`` most frequent words and ``max_grams``
+n-grams of each language, so what is sent to the executors does not grow with the
+corpus and a language with little text keeps its own.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Letters; digits and underscores end a word. No-letter numerals are dropped below.
@@ -38,7 +39,7 @@ class Model:
 
     def unseen(self, word: str) -> np.ndarray:
         """Mean over the places of a word of the score of the longest known n-gram there."""
-        padded, total, places = f"^{word[:200]}$", np.zeros(len(self.langs)), 0
+        padded, total, places = f"^{word}$", np.zeros(len(self.langs)), 0
         at, last = 0, len(padded)
         while at < last:
             for n in range(min(self.max_gram, last - at), 0, -1):
@@ -53,10 +54,10 @@ class Model:
 class _Rows(dict):
     """word -> row of a growing score matrix; one per Python worker, emptied when full."""
 
-    LIMIT = 300_000
+    LIMIT, CHARS = 300_000, 16_000_000
 
     def __init__(self, model: Model):
-        self.model, self.matrix = model, np.empty((4096, len(model.langs)))
+        self.held, self.model, self.matrix = 0, model, np.empty((4096, len(model.langs)))
 
     def __missing__(self, word: str) -> int:
         row = len(self)
@@ -67,6 +68,7 @@ class _Rows(dict):
             known = self.model.unseen(word) if word.isalpha() else np.zeros(len(self.model.langs))
         self.matrix[row] = known
         self[word] = row
+        self.held += len(word)
         return row
 
 
@@ -90,12 +92,12 @@ def train(
     words = held.select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("w"))
     counts = words.groupBy("lang", "w").agg(F.count("*").alias("n"))
     langs = sorted(r[0] for r in held.select("lang").distinct().collect())
-    by = lambda frame, key, most: [  # noqa: E731  at most `most` rows reach the driver
+    by = lambda frame, key, most: [  # noqa: E731  at most `most` rows of a language reach the driver
         (r[0], r[1])
-        for r in frame.groupBy(key)
-        .agg(F.sum("n").alias("t"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("m"))
-        .orderBy(F.desc("t"), key)
-        .limit(most)
+        for r in frame.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), key)))
+        .groupBy(key)
+        .agg(F.min("rank").alias("rank"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("m"))
+        .where(F.col("rank") <= most)
         .select(key, "m")
         .collect()
     ]
@@ -129,8 +131,9 @@ def score_texts(texts: list[str | None], model: Model, rows: _Rows) -> tuple[lis
         found += own
         sizes.append(len(own))
         lettered.append(any(map(str.isalpha, own)) or any(c.isalpha() for w in own for c in w))
-    if len(rows) > _Rows.LIMIT:
+    if len(rows) > _Rows.LIMIT or rows.held > _Rows.CHARS:
         rows.clear()
+        rows.held = 0
     at = np.fromiter(map(rows.__getitem__, found), np.int64, len(found))
     sums = np.zeros((len(texts), len(model.langs)))
     sizes = np.array(sizes)

@@ -103,3 +103,19 @@ def test_slices_cover_every_row_once():
     assert [t for b in found for t in b.column(1).to_pylist()] == texts
     assert max(b.num_rows for b in found) <= 3 and all(b.num_rows == 1 or sum(len((x or "").encode()) for x in b.column(1).to_pylist()) <= 10 for b in found)
     assert list(slices(batch.slice(0, 0), 1)) == []
+
+
+def test_long_words_count_whole(spark):
+    rows = [(i, "abab", "x") for i in range(9)] + [(20 + i, "cdcd", "y") for i in range(9)]
+    model = langid.train(docs(spark, rows), "doc_id", "text", "lang")
+    got = langid.predict(docs(spark, [(1, "ab" * 100 + "cd" * 5000, None), (2, "ab" * 5000, None)]), model).collect()
+    assert [r["lang_pred"] for r in got] == ["y", "x"]
+    rows = langid._Rows(model)
+    assert rows[long := "ab" * 1000] == 0 and rows.held == len(long)
+
+
+def test_a_hot_language_leaves_the_others_their_words(spark):
+    rows = [(i, " ".join(f"{a}{b}" for a in "abcdef" for b in "uvwxyz"), "hot") for i in range(30)] + [(99, "qqq rrr", "rare")]
+    model = langid.train(docs(spark, rows), "doc_id", "text", "lang", max_words=2, max_grams=3)
+    assert len(model.words) == 4 and {"qqq", "rrr"} <= set(model.words)
+    assert len(model.grams) <= 6 and "q" in model.grams
