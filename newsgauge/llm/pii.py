@@ -25,6 +25,16 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Kinds that the method adds.
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
+#: Length of an account number by country (ISO 13616), which ends one that is printed in groups.
+LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_BODIES = "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:[\x20-]?[A-Z0-9]){{{n - 4}}}" for n, c in LENGTHS.items())
+#: Only the first four characters are taken, so a rejected proposal hides no number after it.
+GROUPED = rf"(?<![A-Za-z0-9])(?=((?:{_BODIES})(?![A-Za-z0-9])))[A-Z]{{2}}[0-9]{{2}}"
 NATIONAL = r"(?<![0-9.+-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 LOCAL = r"(?<![0-9+().-])(?<![0-9+().-]\x20)\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9])"
 
@@ -52,8 +62,9 @@ def luhn(value: Column) -> Column:
 
 
 def mod97(value: Column) -> Column:
-    """Whether an account number's digits, letters as 10 to 35 and the first four last, leave 1 by 97."""
-    moved = F.filter(F.split(F.concat(F.substr(value, F.lit(5)), F.substring(value, 1, 4)), ""), lambda c: c != "")
+    """Whether an account number's digits, letters as 10 to 35 and the first four last, leave 1 by 97; gaps are skipped."""
+    bare = F.regexp_replace(value, r"[\x20-]", "")
+    moved = F.filter(F.split(F.concat(F.substr(bare, F.lit(5)), F.substring(bare, 1, 4)), ""), lambda c: c != "")
 
     def step(a: Column, c: Column) -> Column:
         return F.when(c.rlike("[0-9]"), (a * 10 + F.ascii(c) - 48) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
@@ -79,8 +90,12 @@ def _proposed(text: Column) -> tuple[Column, Column]:
         ),
         find(text, "phone", PHONE, text.rlike(r"\+[0-9]"), lambda m: _digits(m).between(8, 15)),
     )
-    added = F.concat(
+    iban = F.concat(
         find(text, "iban", IBAN, text.rlike(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11}"), mod97),
+        find(text, "iban", GROUPED, text.rlike(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{0,28}[\x20-][A-Z0-9]"), mod97, 1),
+    )
+    added = F.concat(
+        F.array_distinct(iban),
         find(text, "national", NATIONAL, digit & text.rlike(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")),
         find(text, "local", LOCAL, digit & text.rlike(r"[0-9]{3}[.-][0-9]{4}")),
     )

@@ -42,16 +42,18 @@ def prefix_sums(values: Column) -> Column:
     return let(values, lambda v: F.when(F.size(v) == 0, F.array().cast("array<int>")).otherwise(blocked(v)))
 
 
-def find(text: Column, kind: str, pattern: str, where: Column, keep: Callable[[Column], Column] | None = None) -> Column:
+def find(text: Column, kind: str, pattern: str, where: Column, keep: Callable[[Column], Column] | None = None, group: int = 0) -> Column:
     """The leftmost non-overlapping matches of pattern in a non-null text, those whose text passes keep.
 
     Matches and the text between them come from two passes of the same pattern, and
     their lengths add up to the offsets. where guards both: it must be true of every
-    text that has a match worth keeping, and should be cheap.
+    text that has a match worth keeping, and should be cheap. With a group, the span is
+    that of the group, which begins where the match does and may reach beyond it.
     """
-    found = F.struct(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g")
-    )
+    parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g")]
+    if group:
+        parts.append(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("v"))
+    found = F.struct(*parts)
 
     def placed(x: Column) -> Column:
         gap, size = F.transform(x["g"], lambda g: F.length(g)), F.transform(x["m"], lambda m: F.length(m))
@@ -66,7 +68,7 @@ def find(text: Column, kind: str, pattern: str, where: Column, keep: Callable[[C
                         F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(m)).alias("end"), m.alias("value")
                     )
 
-                every = F.transform(x["m"], span)
+                every = F.transform(x["v" if group else "m"], span)
                 return F.filter(every, lambda s: keep(s["value"])) if keep else every
 
             return let(prefix_sums(both), build)

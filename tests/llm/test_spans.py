@@ -142,3 +142,14 @@ def test_prefix_sums(spark):
         v = [rng.randrange(9) for _ in range(n)]
         df = spark.createDataFrame([(v,)], "v array<int>")
         assert df.select(spans.prefix_sums(F.col("v"))).first()[0] == [sum(v[:i]) for i in range(n)]
+
+
+def test_account_numbers_in_groups(spark):
+    rows = [
+        (1, "IBAN DE89 3704 0044 0532 0130 00 ok"), (2, "DE89-3704-0044-0532-0130-00"), (3, "DE89 3704 0044 0532 0130 01"),
+        (4, "BE68 5390 0754 7034 BANK GB82 WEST 1234 5698 7654 32 BIC"), (5, "NO12 34 DE89 3704 0044 0532 0130 00"),
+        (6, "DE89  3704 0044 0532 0130 00"), (7, "DE89370400440532013000 GB82WEST12345698765432"),
+    ]
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find_pii(docs(spark, rows))).collect()}
+    iban = {i: ",".join(x for x in s.split(",") if x.startswith("iban")) for i, s in got.items()}
+    assert iban == {1: "iban:5:32", 2: "iban:0:27", 3: "", 4: "iban:0:19,iban:25:52", 5: "iban:8:35", 6: "", 7: "iban:0:22,iban:23:45"}
