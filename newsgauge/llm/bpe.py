@@ -4,7 +4,8 @@ Each task keeps a DuckDB connection with two tables made from the tokenizer's ra
 the vocabulary and the merge table (left id, right id, merged id). A batch of distinct
 words becomes token-position rows; a recursive query joins neighbouring tokens to the
 merge table and contracts each word's leftmost pair of minimum rank until no pair is
-left. Decoding joins ids to the vocabulary and aggregates the bytes in order of position.
+left. Decoding joins ids to the vocabulary and aggregates the bytes in order of position;
+encode() decodes every token that way once and a text from its ids by these bytes.
 
 Only words that the task has not met are sent to DuckDB, at most ``CACHE`` are kept, and
 a text's ids are the concatenation of its words' ids. The rank file is read on the
@@ -104,7 +105,8 @@ class Codec:
         self._load("vocab", pa.table(vocab))
         self.spaced: dict[bytes, bytes] = {}
         self.plain: dict[bytes, bytes] = {}
-        self.decoded: dict[bytes, bytes] = {}  # of ids whose decoding is not the word itself
+        every = np.array(sorted(ranks.values()), np.int64)
+        self.bytes_of = dict(zip(every.tolist(), self.decode_rows(every, np.ones(len(every), np.int64)), strict=True))
         self.held = 0  # bytes of words and ids
 
     def _load(self, name: str, table: pa.Table) -> None:
@@ -162,30 +164,20 @@ class Codec:
         return out
 
     def learn(self, words: list[bytes], known: dict[bytes, bytes], lead: bytes) -> None:
-        """Encode and decode distinct words that begin with lead, as little-endian unsigned 32-bit ids."""
-        findall, ids, back = self.pieces.findall, self.single, {}
+        """Encode distinct words that begin with lead, as little-endian unsigned 32-bit ids."""
+        findall, ids = self.pieces.findall, self.single
         cut = [[p.encode() for p in findall((lead + w).decode("utf-8", "replace"))] for w in words]
         if new := list({p for own in cut for p in own if p not in ids}):
-            packed = self.packed_pieces(new)
-            ids = ids | dict(zip(new, packed, strict=True))
-            for at in range(0, len(new), WORDS_AT_ONCE):
-                part = slice(at, at + WORDS_AT_ONCE)
-                sizes = np.fromiter(map(len, packed[part]), np.int64) // 4
-                got = self.decode_rows(np.frombuffer(b"".join(packed[part]), "<u4"), sizes)
-                back |= {p: text for p, text in zip(new[part], got, strict=True) if p != text}
+            ids = ids | dict(zip(new, self.packed_pieces(new), strict=True))
         for w, own in zip(words, cut, strict=True):
             known[w] = b"".join([ids[p] for p in own])
             self.held += len(w) + len(known[w])
-            text = b"".join([back.get(p, p) for p in own] if back else own)
-            if text != lead + w:
-                self.decoded[lead + w] = text
 
     def texts(self, batch: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """(ids, decoded bytes) of each text; ids are little-endian unsigned 32-bit integers."""
         if len(self.spaced) + len(self.plain) > CACHE or self.held > CACHE_BYTES:
             self.spaced.clear()
             self.plain.clear()
-            self.decoded.clear()
             self.held = 0
         rows, spaced, plain = [], set(), set()
         for text in batch:
@@ -203,12 +195,7 @@ class Codec:
                 self.learn(new, known, lead)
         for head, rest in rows:
             ids = b"".join(map(self.plain.__getitem__, head)) + b"".join(map(self.spaced.__getitem__, rest))
-            if self.decoded:
-                back = b"".join(self.decoded.get(w, w) for w in head)
-                back += b"".join(self.decoded.get(b" " + w, b" " + w) for w in rest)
-            else:
-                back = b" ".join([b"".join(head), *rest])
-            yield ids, back
+            yield ids, b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 _WORKER: dict[str, Codec] = {}

@@ -77,3 +77,11 @@ def test_query(spark, encoding):
     for r in registry.QUERIES["op3_byte_bpe"](spark, sf).collect():
         ids = encoding.encode_ordinary(docs[r["doc_id"]])
         assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+
+
+def test_decoded_column_comes_from_the_ids():
+    """A codec whose encoding of a word is wrong cannot give that word's digest."""
+    codec = bpe.Codec(bpe.read_ranks(PATH), P.PATTERN)
+    assert [back for _, back in codec.texts([b"the house and"])] == [b"the house and"]
+    codec.spaced[b"house"] = codec.spaced[b"and"]
+    assert [back for _, back in codec.texts([b"the house and"])] == [b"the and and"]
