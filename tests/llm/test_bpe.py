@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -20,7 +21,7 @@ def encoding():
 
 @pytest.fixture(scope="module")
 def codec():
-    return bpe.Codec(bpe.read_ranks(PATH), P.PATTERN)
+    return bpe.Codec(bpe.Tables(bpe.read_ranks(PATH)), P.PATTERN)
 
 
 def texts():
@@ -48,9 +49,28 @@ def test_long_words_contract_round_by_round(codec, encoding):
     assert got == [encoding._core_bpe.encode_single_piece(p.encode()) for p in pieces]
 
 
+def test_long_pieces_contract_in_many_places(codec, encoding):
+    """Runs, few letters (many overlapping pairs), merges of lower rank than their parts."""
+    rng = random.Random(5)
+    alphabets = ["abc", "aab", "=- ", "etaoin", "abcdefghijklmnopqrstuvwxyz", "01", "\u00e9\u00e9a"]
+    pieces = ["".join(rng.choice(a) for _ in range(rng.randrange(90, 500))).encode() for a in alphabets for _ in range(12)]
+    assert codec.encode_pieces(pieces) == [encoding._core_bpe.encode_single_piece(p) for p in pieces]
+
+
+def test_very_long_pieces_in_seconds(codec, encoding):
+    rng = random.Random(6)
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))
+    began = time.monotonic()
+    for text in (letters, "a" * 200_000):
+        ids, back = next(codec.texts([text.encode()]))
+        assert back.decode() == text
+        assert np.frombuffer(ids, "<u4").tolist() == encoding.encode_ordinary(text)
+    assert time.monotonic() - began < 120
+
+
 def test_cache_starts_afresh(encoding, monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE", 3)
-    small = bpe.Codec(bpe.read_ranks(PATH), P.PATTERN)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 3 * bpe.ENTRY_BYTES)
+    small = bpe.Codec(bpe.Tables(bpe.read_ranks(PATH)), P.PATTERN)
     for text in ["alpha beta gammaz deltaz", "epsz alpha", "betaz etaz thetaz"]:
         assert np.frombuffer(next(small.texts([text.encode()]))[0], "<u4").tolist() == encoding.encode_ordinary(text)
 
@@ -81,7 +101,7 @@ def test_query(spark, encoding):
 
 def test_decoded_column_comes_from_the_ids():
     """A codec whose encoding of a word is wrong cannot give that word's digest."""
-    codec = bpe.Codec(bpe.read_ranks(PATH), P.PATTERN)
+    codec = bpe.Codec(bpe.Tables(bpe.read_ranks(PATH)), P.PATTERN)
     assert [back for _, back in codec.texts([b"the house and"])] == [b"the house and"]
     codec.spaced[b"house"] = codec.spaced[b"and"]
     assert [back for _, back in codec.texts([b"the house and"])] == [b"the and and"]
