@@ -3,9 +3,12 @@
 The rule part measures each whole text: words, symbols, repeated lines, words inside
 repeated 8-word windows. The verdict of texts that pass the rules is a likelihood
 ratio: word and word-pair hashes fall into ``buckets`` places each; a multinomial over
-them is counted on all documents (raw) and on trusted ones (target), both smoothed;
-a text's score is the mean over its n-grams of log(target / raw), and every text with
-a score of at least ``threshold`` is kept.
+them is counted on all documents (raw) and on trusted ones (target). Both are mixed with a
+share ``mix`` of a broader one, raw with the uniform one and target with raw, so that
+nothing depends on the size of the corpus. A text's score is the mean over its n-grams of
+log(target / raw). An n-gram that the target never has scores log(mix); a text is kept if
+its score is at least ``strange`` * log(mix), that of a text which is as likely in the
+target as in the corpus but for a share ``strange`` of n-grams that the target never has.
 
 Scale: two narrow passes over the texts and one aggregation to 2 * buckets rows, with
 map-side combine; the table of log ratios is a bounded array that a scalar subquery
@@ -15,6 +18,7 @@ equi-join on the id, a sort-merge join at every size, which AQE splits. No n-gra
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -74,7 +78,7 @@ def _codes(words_: Column) -> Column:
     return F.transform(words_, lambda w: F.xxhash64(w))
 
 
-def log_ratios(texts: DataFrame, trusted: Column, buckets: int, smooth: float) -> DataFrame:
+def log_ratios(texts: DataFrame, trusted: Column, buckets: int, mix: float) -> DataFrame:
     """One row: the array of 2 * buckets log ratios. texts has the column text and what trusted reads."""
     grams = texts.select(
         trusted.alias("t"), F.explode(let(_codes(words(F.coalesce("text", F.lit("")))), lambda c: _grams(c, buckets))).alias("g")
@@ -84,8 +88,9 @@ def log_ratios(texts: DataFrame, trusted: Column, buckets: int, smooth: float) -
     counts = every.join(counts, "g", "left").fillna(0)
     kind = F.col("g") >= buckets
     sums = counts.groupBy(kind.alias("kind")).agg(F.sum("raw").alias("raw_n"), F.sum("target").alias("target_n"))
-    p = lambda n, total: (F.col(n) + smooth) / (F.col(total) + smooth * buckets)
-    ratio = F.when(F.col("target_n") == 0, 0.0).otherwise(F.log(p("target", "target_n") / p("raw", "raw_n")))
+    raw = (1 - mix) * (F.col("raw") / F.col("raw_n")) + mix / buckets
+    target = (1 - mix) * (F.col("target") / F.col("target_n")) + mix * raw
+    ratio = F.when(F.col("target_n") == 0, 0.0).otherwise(F.log(target / raw))
     scored = counts.join(sums, kind == F.col("kind")).select("g", ratio.alias("r"))
     table = F.transform(F.array_sort(F.collect_list(F.struct("g", "r"))), lambda x: x["r"])  # 2 * buckets numbers
     return materialize(scored.agg(table.alias("ratios")), "log-ratios")
@@ -97,8 +102,8 @@ def quality_rules(
     id_col: str = "doc_id",
     text_col: str = "text",
     buckets: int = 8192,
-    smooth: float = 1.0,
-    threshold: float = -0.12,
+    mix: float = 0.05,
+    strange: float = 0.02,
 ) -> DataFrame:
     """Rule columns and the verdict, one row per input row.
 
@@ -113,7 +118,7 @@ def quality_rules(
     trusted = trusted_ids.select(F.col(name).alias("_trusted")).where("_trusted IS NOT NULL").distinct()
     thin = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     flagged = thin.join(trusted.hint("merge"), F.col("doc_id") == F.col("_trusted"), "left")
-    ratios = log_ratios(flagged, F.col("_trusted").isNotNull(), buckets, smooth)
+    ratios = log_ratios(flagged, F.col("_trusted").isNotNull(), buckets, mix)
 
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -145,6 +150,6 @@ def quality_rules(
     failed = (n < 20) | (100 * repeat > 30 * n)
     return rows.select(
         "doc_id", n.alias("n_words"), F.col("s.word_chars").alias("word_chars"), "n_symbols", "n_dup_lines",
-        repeat.alias("n_repeat_words"), failed.alias("base_failed"), (~failed & (llr >= threshold)).alias("kept"),
+        repeat.alias("n_repeat_words"), failed.alias("base_failed"), (~failed & (llr >= F.lit(strange * math.log(mix)))).alias("kept"),
         llr.alias("llr"),
     )

@@ -1,8 +1,10 @@
+import math
 import random
 import re
 from collections import Counter
 
 import pytest
+import xxhash
 
 from newsgauge.llm import quality_rules, registry
 
@@ -86,23 +88,67 @@ def test_ratio_is_a_mean_over_the_grams(spark, buckets):
 
     some = [(i, " ".join(f"t{(i + j * j) % 9}" for j in range(25))) for i in range(8)]
     df, trusted = docs(spark, some), spark.createDataFrame([(1,), (2,)], "doc_id long")
-    out = quality_rules.quality_rules(df, trusted, buckets=buckets, smooth=0.5)
+    out = quality_rules.quality_rules(df, trusted, buckets=buckets, mix=0.1)
     grams = df.select("doc_id", F.explode(quality_rules._grams(quality_rules._codes(words(F.col("text"))), buckets)).alias("g")).collect()
-    import math
-
     raw, target, own = Counter(), Counter(), {}
     for r in grams:
         raw[r["g"]] += 1
         target[r["g"]] += r["doc_id"] in (1, 2)
         own.setdefault(r["doc_id"], []).append(r["g"])
-    def p(c, g):
-        total = sum(n for k, n in c.items() if (k >= buckets) == (g >= buckets))
-        return (c[g] + 0.5) / (total + 0.5 * buckets)
+    def share(c, g):
+        return c[g] / sum(n for k, n in c.items() if (k >= buckets) == (g >= buckets))
+
+    def p_raw(g):
+        return 0.9 * share(raw, g) + 0.1 / buckets
+
     for r in out.collect():
-        want = sum(math.log(p(target, g) / p(raw, g)) for g in own[r["doc_id"]]) / len(own[r["doc_id"]])
+        want = sum(math.log((0.9 * share(target, g) + 0.1 * p_raw(g)) / p_raw(g)) for g in own[r["doc_id"]]) / len(own[r["doc_id"]])
         assert abs(r["llr"] - want) < 1e-9
 
 
+def brute_ratios(rows, trusted, buckets=8192, mix=0.05):
+    """doc_id -> mean log ratio, from plain counts of XXH64 places of words and adjacent pairs."""
+    places, raw, target = [], Counter(), Counter()
+    for i, text in rows:
+        codes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in WORD.findall(text or "")]
+        codes = [c - (1 << 64) if c >> 63 else c for c in codes]
+        own = [c % buckets for c in codes] + [buckets + ((a >> 1) ^ b) % buckets for a, b in zip(codes, codes[1:])]
+        places.append((i, own))
+        raw.update(own)
+        if i in trusted:
+            target.update(own)
+    totals = {k: [sum(n for g, n in c.items() if (g >= buckets) == k) for c in (raw, target)] for k in (False, True)}
+
+    def ratio(g):
+        raw_n, target_n = totals[g >= buckets]
+        p = (1 - mix) * raw[g] / raw_n + mix / buckets
+        return math.log(((1 - mix) * target[g] / target_n + mix * p) / p) if target_n else 0.0
+
+    return {i: sum(map(ratio, own)) / len(own) if own else 0.0 for i, own in places}
+
+
+def test_query_verdicts_equal_brute_force(spark):
+    every = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    trusted = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").collect()}
+    want, failed = brute_ratios(every, trusted), {i: brute(t)[-1] for i, t in every}
+    for r in registry.QUERIES["op6_quality_rules"](spark, SF).collect():
+        assert abs(r["llr"] - want[r["doc_id"]]) < 1e-9
+        assert r["kept"] == (not failed[r["doc_id"]] and want[r["doc_id"]] >= 0.02 * math.log(0.05))
+
+
+def test_verdicts_do_not_depend_on_size(spark):
+    """A corpus and its trusted documents many times over: every verdict and score as before."""
+    from pyspark.sql import functions as F
+
+    every, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    trusted = labels.where("quality = 1").select("doc_id")
+    more = lambda df: df.withColumn("n", F.explode(F.array(*map(F.lit, range(7))))).withColumn("doc_id", F.col("doc_id") * 100 + F.col("n"))
+    once = {r["doc_id"]: (r["kept"], r["llr"]) for r in quality_rules.quality_rules(every, trusted).collect()}
+    many = quality_rules.quality_rules(more(every), more(trusted).select("doc_id")).collect()
+    assert len(many) == 7 * len(once)
+    assert all((r["kept"], r["llr"]) == once[r["doc_id"] // 100] for r in many)
+
+
 def test_every_trusted_document_is_counted(spark):
     """All documents are trusted, beyond any number that a bound would keep: target and raw are one distribution."""
     some = [(i, " ".join(f"w{i}x{j}" for j in range(25))) for i in range(300)]
