@@ -3,9 +3,8 @@
 The rule part measures each whole text: words, symbols, repeated lines, words inside
 repeated 8-word windows. The verdict of texts that pass the rules is a likelihood
 ratio: word and word-pair hashes fall into ``buckets`` places each; a multinomial over
-them is counted on all documents (raw) and on trusted ones (target). Both are mixed with a
-share ``mix`` of a broader one, raw with the uniform one and target with raw, so that
-nothing depends on the size of the corpus. A text's score is the mean over its n-grams of
+them is counted on all documents (raw) and on trusted ones (target), which is mixed with a
+share ``mix`` of raw, so that nothing depends on the size of the corpus. A text's score is the mean over its n-grams of
 log(target / raw). An n-gram that the target never has scores log(mix); a text is kept if
 its score is at least ``strange`` * log(mix), that of a text which is as likely in the
 target as in the corpus but for a share ``strange`` of n-grams that the target never has.
@@ -88,9 +87,9 @@ def log_ratios(texts: DataFrame, trusted: Column, buckets: int, mix: float) -> D
     counts = every.join(counts, "g", "left").fillna(0)
     kind = F.col("g") >= buckets
     sums = counts.groupBy(kind.alias("kind")).agg(F.sum("raw").alias("raw_n"), F.sum("target").alias("target_n"))
-    raw = (1 - mix) * (F.col("raw") / F.col("raw_n")) + mix / buckets
-    target = (1 - mix) * (F.col("target") / F.col("target_n")) + mix * raw
-    ratio = F.when(F.col("target_n") == 0, 0.0).otherwise(F.log(target / raw))
+    times = (F.col("target") / F.col("target_n")) / (F.col("raw") / F.col("raw_n"))
+    none = (F.col("target_n") == 0) | (F.col("raw") == 0)
+    ratio = F.when(none, 0.0).otherwise(F.log((1 - mix) * times + mix))
     scored = counts.join(sums, kind == F.col("kind")).select("g", ratio.alias("r"))
     table = F.transform(F.array_sort(F.collect_list(F.struct("g", "r"))), lambda x: x["r"])  # 2 * buckets numbers
     return materialize(scored.agg(table.alias("ratios")), "log-ratios")

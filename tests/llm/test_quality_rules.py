@@ -98,11 +98,8 @@ def test_ratio_is_a_mean_over_the_grams(spark, buckets):
     def share(c, g):
         return c[g] / sum(n for k, n in c.items() if (k >= buckets) == (g >= buckets))
 
-    def p_raw(g):
-        return 0.9 * share(raw, g) + 0.1 / buckets
-
     for r in out.collect():
-        want = sum(math.log((0.9 * share(target, g) + 0.1 * p_raw(g)) / p_raw(g)) for g in own[r["doc_id"]]) / len(own[r["doc_id"]])
+        want = sum(math.log(0.9 * share(target, g) / share(raw, g) + 0.1) for g in own[r["doc_id"]]) / len(own[r["doc_id"]])
         assert abs(r["llr"] - want) < 1e-9
 
 
@@ -121,8 +118,7 @@ def brute_ratios(rows, trusted, buckets=8192, mix=0.05):
 
     def ratio(g):
         raw_n, target_n = totals[g >= buckets]
-        p = (1 - mix) * raw[g] / raw_n + mix / buckets
-        return math.log(((1 - mix) * target[g] / target_n + mix * p) / p) if target_n else 0.0
+        return math.log((1 - mix) * (target[g] / target_n) / (raw[g] / raw_n) + mix) if target_n else 0.0
 
     return {i: sum(map(ratio, own)) / len(own) if own else 0.0 for i, own in places}
 
