@@ -34,16 +34,24 @@ SHARDS = 6
 class _Hashes(dict):
     """word -> (word hash, shape hash) packed in one integer; emptied when full."""
 
-    LIMIT = 300_000
-    CLASSES = ((re.compile(r"[^\W\d_]+"), None), (re.compile(r"\d+"), "0"))
+    LIMIT, CHARS = 120_000, 4_000_000
+
+    def __init__(self):
+        self.held = 0
 
     def __missing__(self, word: str) -> int:
-        shape = re.sub(r"[^\W\d_]+", lambda m: "A" if m[0].isupper() and len(m[0]) > 1 else "a", word[:64])
+        shape = re.sub(r"[^\W\d_]+", lambda m: "A" if m[0].isupper() and len(m[0]) > 1 else "a", word)
         shape = re.sub(r"(.)\1+", r"\1", re.sub(r"\d+", "0", shape))
         code = zlib.crc32(word.encode("utf-8", "surrogatepass")) << 32 | zlib.crc32(shape.encode("utf-8", "surrogatepass"), 7)
         self[word] = code
+        self.held += len(word)
         return code
 
+    def make_room(self) -> None:
+        if len(self) > self.LIMIT or self.held > self.CHARS:
+            self.clear()
+            self.held = 0
+
 
 def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
     x = (x + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
@@ -52,8 +60,7 @@ def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
 
 def features(texts: list[str | None], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
     """Feature places of all texts, one text after the other, and each text's number of them."""
-    if len(hashes) > _Hashes.LIMIT:
-        hashes.clear()
+    hashes.make_room()
     found, sizes = [], []
     for text in texts:
         own = text.split() if text else []
@@ -72,24 +79,29 @@ def features(texts: list[str | None], hashes: _Hashes) -> tuple[np.ndarray, np.n
     return places.reshape(-1), 3 * sizes
 
 
-def ftrl(texts: list[str | None], labels: list[int], alpha: float, beta: float, l1: float, l2: float, epochs: int) -> np.ndarray:
-    """Weights of one shard, the bias last: FTRL-proximal, one text at a time in the given order."""
+def packed(text: str | None, hashes: _Hashes) -> tuple[bytes, bytes, float]:
+    """A text's distinct feature places, how often each occurs, and the value of one occurrence."""
+    places, count = features([text], hashes)
+    at, times = np.unique(places, return_counts=True)
+    return at.astype("<i4").tobytes(), times.astype("<i4").tobytes(), SCALE / max(1, int(count[0]))
+
+
+def ftrl(
+    texts: list[tuple[bytes, bytes, float]], labels: list[int], alpha: float, beta: float, l1: float, l2: float, epochs: int
+) -> np.ndarray:
+    """Weights of one shard, the bias last: FTRL-proximal, one packed text at a time in the given order."""
     size = (1 << BITS) + 1
-    z, n, hashes = np.zeros(size), np.zeros(size), _Hashes()
+    z, n = np.zeros(size), np.zeros(size)
 
     def weights(at: np.ndarray) -> np.ndarray:
         zs = z[at]
         w = -(zs - np.sign(zs) * l1) / ((beta + np.sqrt(n[at])) / alpha + l2)
         return np.where(np.abs(zs) <= l1, 0.0, w)
 
-    rows = []
-    for text, label in zip(texts, labels, strict=True):
-        places, count = features([text], hashes)
-        at, times = np.unique(places, return_counts=True)
-        rows.append((np.append(at, size - 1).astype(np.int32), times.astype(np.int32), SCALE / max(1, count[0]), label))
     for _ in range(epochs):
-        for at, times, share, label in rows:
-            x, w = np.append(times * share, 1.0), weights(at)
+        for (at, times, value), label in zip(texts, labels, strict=True):
+            at = np.append(np.frombuffer(at, "<i4"), size - 1)
+            x, w = np.append(np.frombuffer(times, "<i4") * value, 1.0), weights(at)
             p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
             g = (p - label) * x
             z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha * w
@@ -111,22 +123,31 @@ def train(
     epochs: int = 3,
 ) -> np.ndarray:
     """Averaged FTRL weights from the labelled rows; zeros if there is none."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    rank = F.xxhash64(F.col(id_col).cast("string"))
-    ids = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("label"))
-    ids = ids.orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(max_rows)
-    rows = docs.join(F.broadcast(ids), F.col(id_col) == F.col("_id"))  # at most max_rows ids
-    rows = rows.select(
-        rank.alias("rank"), F.col(text_col).alias("text"), F.col("label").cast("int").alias("label"),
-        F.pmod(F.hash("_id"), F.lit(SHARDS)).alias("shard"),
-    )
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropna()
+    ids = known.groupBy("id").agg(F.max("label").alias("label"))
+    rank = F.xxhash64(F.col("id").cast("string"))
+    ids = ids.orderBy(rank, "id").limit(max_rows)
+    thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = thin.join(F.broadcast(ids), "id")  # at most max_rows ids
+    rows = rows.select(F.pmod(F.hash("id"), F.lit(SHARDS)).alias("shard"), rank.alias("rank"), "label", "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for whole in batches:
+            for batch in slices(whole, 3):
+                at, times, value = zip(*[packed(t, hashes) for t in batch.column(3).to_pylist()], strict=True)
+                columns = [*batch.columns[:3], pa.array(at, pa.binary()), pa.array(times, pa.binary()), pa.array(value, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "rank", "label", "at", "times", "value"])
+
+    # a text's features are at most 2**BITS numbers, however long it is
+    cuts = rows.mapInArrow(cut, "shard int, rank bigint, label int, at binary, times binary, value double")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rank", "text"])
-        w = ftrl(pdf["text"].tolist(), pdf["label"].tolist(), alpha, beta, l1, l2, epochs)
+        pdf = pdf.sort_values(["rank", "value", "at"])
+        w = ftrl(list(zip(pdf["at"], pdf["times"], pdf["value"], strict=True)), pdf["label"].tolist(), alpha, beta, l1, l2, epochs)
         return pd.DataFrame({"w": [w.astype("<f4").tobytes()], "n": [len(pdf)]})
 
-    shards = rows.groupBy("shard").applyInPandas(fit, "w binary, n bigint").collect()  # SHARDS rows
+    shards = cuts.groupBy("shard").applyInPandas(fit, "w binary, n bigint").collect()  # SHARDS rows
     total = np.zeros((1 << BITS) + 1)
     for s in shards:
         total += np.frombuffer(s["w"], "<f4") * s["n"]

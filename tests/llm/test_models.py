@@ -1,5 +1,6 @@
 """Language identification and the quality classifier: held-out accuracy and edge cases."""
 
+import re
 import zlib
 
 import pytest
@@ -81,6 +82,95 @@ def test_quality_edges(spark):
     assert sorted(r["doc_id"] for r in held.where("doc_id < 60").collect()) == list(range(1, 60, 2))
 
 
+def test_quality_columns_with_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "clean words here" if i % 2 else "bad$$$ junk###") for i in range(60)]
+    names = ["label", "_id", "id", "rank", "shard", "at", "times", "value", "score", "row", "key"]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit("own").alias(n) for n in names])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], LABELS).select("*", *[F.lit(7).alias(n) for n in names])
+    held = quality_classifier.drop_low_quality(df, labels)
+    assert held.columns == df.columns and {r["label"] for r in held.collect()} == {"own"}
+    assert sorted(r["doc_id"] for r in held.collect()) == list(range(1, 60, 2))
+    assert quality_classifier.classify(df, labels).where("predicted = 1").count() == 30
+
+
+def brute_ftrl_score(train, texts, alpha=0.3, beta=0.1, l1=0.01, l2=0.1, epochs=3):
+    """Plain dictionaries, one shard after the other: the same features, updates and average, number by number."""
+    import math
+
+    from newsgauge.llm.quality_classifier import BITS, SCALE
+
+    def shape(word):
+        out = []
+        for c in re.findall(r"[^\W\d_]+|\d+|.", word, re.S):
+            kind = "0" if re.fullmatch(r"\d+", c) else ("A" if c.isupper() and len(c) > 1 else "a") if c[0].isalpha() else c
+            if not out or out[-1] != kind:
+                out.append(kind)
+        return "".join(out)
+
+    def mixed(x, salt):
+        return ((x + salt) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 64 - BITS
+
+    def places(text):
+        found, before, shape_before = [], 0, 0
+        for k, word in enumerate((text or "").split()):
+            w, s = zlib.crc32(word.encode()), zlib.crc32(shape(word).encode(), 7)
+            pair = mixed(before * 0x100000001B3 & (1 << 64) - 1 ^ w, 2) if k == 0 or before != w else 1
+            found += [mixed(w, 1), pair, mixed(shape_before * 0x100000001B3 & (1 << 64) - 1 ^ s, 3)]
+            before, shape_before = w, s
+        return found
+
+    def vector(text):
+        found = places(text)
+        x = {}
+        for p in found:
+            x[p] = x.get(p, 0.0) + SCALE / len(found)
+        return x | {1 << BITS: 1.0}
+
+    total, rows = {}, 0
+    for shard in train:
+        z, n = {}, {}
+
+        def weight(i):
+            zi = z.get(i, 0.0)
+            return 0.0 if abs(zi) <= l1 else -(zi - math.copysign(l1, zi)) / ((beta + math.sqrt(n.get(i, 0.0))) / alpha + l2)
+
+        for _ in range(epochs):
+            for text, label in shard:
+                x = vector(text)
+                w = {i: weight(i) for i in x}
+                p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+                for i, v in x.items():
+                    g = (p - label) * v
+                    z[i] = z.get(i, 0.0) + g - (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha * w[i]
+                    n[i] = n.get(i, 0.0) + g * g
+        for i in z:
+            total[i] = total.get(i, 0.0) + weight(i) * len(shard)
+        rows += len(shard)
+    return [1 / (1 + math.exp(-sum(total.get(i, 0.0) / rows * v for i, v in vector(t).items()))) for t in texts]
+
+
+def test_quality_query_equals_brute_force(spark):
+    """Features, training, average and scores of the registered query, recomputed in plain Python on whole tables."""
+    from pyspark.sql import functions as F
+
+    from newsgauge.llm.quality_classifier import SHARDS
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("q"))
+    order = labels.orderBy(F.xxhash64(F.col("doc_id").cast("string"))).select("doc_id", "q", F.pmod(F.hash("doc_id"), F.lit(SHARDS)).alias("s"))
+    shards = {}
+    for r in order.collect():
+        if zlib.crc32(str(r["doc_id"]).encode()) % 5 and r["doc_id"] in texts:
+            shards.setdefault(r["s"], []).append((texts[r["doc_id"]], r["q"]))
+    ids = sorted(texts)
+    want = dict(zip(ids, brute_ftrl_score(shards.values(), [texts[i] for i in ids]), strict=True))
+    for r in registry.QUERIES["op4_quality_classifier"](spark, sf).collect():
+        assert abs(r["score"] - want[r["doc_id"]]) < 1e-4
+
+
 @pytest.mark.parametrize("text", ["one two", "a a a", ""])
 def test_score_is_a_sparse_dot_product(text):
     import numpy as np
