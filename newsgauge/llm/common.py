@@ -50,6 +50,17 @@ def row_key(*columns: Column) -> Column:
     return F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("~")) for c in columns])
 
 
+def first_of_each(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """One row of df for each of keys' distinct values (column key), all columns of df kept.
+
+    Rows travel as one struct, so that no column of df can clash with those made here.
+    Repeats are aggregated where they lie before they meet, so none fills a task.
+    """
+    rows = df.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    once = rows.groupBy("key").agg(F.first("row").alias("row"))
+    return once.join(keys.select("key").distinct(), "key", "left_semi").select("row.*")
+
+
 def words(text: Column) -> Column:
     """Array of the words of a non-null text."""
     return F.filter(F.split(text, WORD_GAP), lambda w: w != "")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key
+from .common import first_of_each, materialize, row_key
 
 #: Name buckets: each is sorted on its own, many to a task.
 NAME_BUCKETS = 65_536
@@ -116,10 +116,11 @@ def exact_dedup(
 
 
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of df that exact_dedup keeps, with all their columns; the texts are shuffled once more."""
+    """The rows of df that exact_dedup keeps, with all their columns; the texts are shuffled once more.
+
+    Of rows equal in id and text one is kept, whatever their other columns hold.
+    """
     kept = exact_dedup(df, id_col, text_col, **options).where("kept")
-    kept = kept.select(row_key(F.col("doc_id"), F.col("text_sha256")).alias("_row_key"))
+    kept = kept.select(row_key(F.col("doc_id"), F.col("text_sha256")).alias("key"))
     sha = F.sha2(F.coalesce(df[text_col], F.lit("")), 256)
-    held = df.withColumn("_row_key", row_key(df[id_col], sha)).join(kept, "_row_key", "left_semi")
-    first = F.row_number().over(Window.partitionBy("_row_key").orderBy("_row_key"))
-    return held.withColumn("_nth", first).where("_nth = 1").drop("_nth", "_row_key")
+    return first_of_each(df, row_key(df[id_col], sha), kept)

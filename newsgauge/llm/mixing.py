@@ -157,7 +157,7 @@ def mix_sources(
 def apply_mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
     """The rows of df as often as the mix takes them, with their columns. Ids name documents."""
     mixed = mix_sources(df, id_col=id_col, source_col=source_col, **options)
-    copies = mixed.groupBy(row_key(F.col("doc_id")).alias("_row_key")).agg(F.max("copies").alias("_copies"))
-    held = df.withColumn("_row_key", row_key(df[id_col])).join(copies.where("_copies > 0"), "_row_key")
-    repeats = F.explode(F.sequence(F.lit(1), F.col("_copies")))
-    return held.withColumn("_repeat", repeats).select(*df.columns)
+    copies = mixed.groupBy(row_key(F.col("doc_id")).alias("key")).agg(F.max("copies").alias("copies"))
+    rows = df.select(row_key(df[id_col]).alias("key"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    held = rows.join(copies.where("copies > 0"), "key")
+    return held.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -1,9 +1,9 @@
 """SimHash near-duplicates: fingerprints, pigeonhole blocks, Hamming check, components.
 
-Two 64-bit fingerprints within d bits differ in at most d of m blocks, so they agree
-on at least m - d whole blocks. Every choice of m - d blocks is a join key; a pair is
-verified under the first choice on which it agrees, so it comes out once. With m = 7
-and d = 4 a key holds 27 or 28 bits and each fingerprint has 35 keys; a larger
+Components of fingerprints. Two 64-bit fingerprints within d bits differ in at most d of m
+blocks, so they agree on at least m - d whole blocks. Every choice of m - d blocks is a join
+key; a pair is verified under the first choice on which it agrees, so it comes out once. With
+m = 7 and d = 4 a key holds 27 or 28 bits and each fingerprint has 35 keys; a larger
 ``blocks`` gives longer keys and more of them, for corpora of billions of texts.
 
 Scale: rows with equal fingerprints are collapsed before the join and expanded after
@@ -11,10 +11,23 @@ it. A key that very many different fingerprints share (``hot``) is not joined pa
 pair: two fingerprints are within 4 bits exactly if some 64-bit value is within 2 bits
 of both, so each fingerprint of such a key is linked through the values around it,
 which is linear in their number and finds the same components.
+
+Near-duplicate texts. Texts of similarity 0.8 (shared share of their distinct five-word
+shingles) differ in some 15 % of the bits of their fingerprints, ten of 64, too many for
+whole blocks to agree. drop_near_duplicates takes fingerprints of 256 bits and blocks of
+bits drawn from one of their four words, as long as the logarithm of the number of texts
+and as many as give a pair at the threshold the asked chance to share one (0.98). Pairs
+that share a block are held to a Hamming distance three deviations above the expected one,
+and then to the exact similarity. In each block every text meets the first one only; what
+is linked so far is one component, and the texts of a block meet each other only where
+they lie in different components. So a group of n near copies gives rows in proportion to
+n, and no link between two components is left out.
 """
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -22,37 +35,41 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key
+from .common import first_of_each, materialize, row_key, slices
 from .components import components
 
 SEED = 42
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """Signed 64-bit SimHash of a text's word shingles; 0 if it has no word."""
+def shingle_hashes(text: str | None, shingle: int):
+    """XXH64 of a text's word shingles in order; a text of fewer words is one shingle, one without words has none."""
     import numpy as np
     import xxhash
 
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return 0
     joined, digest = b" ".join(found), xxhash.xxh64_intdigest
     if len(found) <= shingle:
-        hashes = np.array([digest(joined, SEED)], np.uint64)
-    else:
-        ends = np.fromiter(map(len, found), np.int64, len(found)).cumsum() + np.arange(len(found))
-        starts = [0, *(ends[: len(found) - shingle] + 1).tolist()]
-        hashes = np.fromiter(
-            (digest(joined[i:j], SEED) for i, j in zip(starts, ends[shingle - 1 :].tolist(), strict=True)),
-            np.uint64,
-            len(starts),
-        )
+        return np.array([digest(joined, SEED)] if found else [], np.uint64)
+    ends = np.fromiter(map(len, found), np.int64, len(found)).cumsum() + np.arange(len(found))
+    starts = [0, *(ends[: len(found) - shingle] + 1).tolist()]
+    pairs = zip(starts, ends[shingle - 1 :].tolist(), strict=True)
+    return np.fromiter((digest(joined[i:j], SEED) for i, j in pairs), np.uint64, len(starts))
+
+
+def majority(hashes) -> int:
+    """Signed 64-bit integer of the bits that more than half of the hashes have; 0 for none."""
+    import numpy as np
+
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65_536):
         part = hashes[at : at + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    bits = np.packbits((2 * counts > len(hashes)).astype(np.uint8))
-    return int(bits.view(">i8")[0])
+    return int(np.packbits((2 * counts > len(hashes)).astype(np.uint8)).view(">i8")[0])
+
+
+def fingerprint(text: str | None, shingle: int) -> int:
+    """Signed 64-bit SimHash of a text's word shingles; 0 if it has no word."""
+    return majority(shingle_hashes(text, shingle))
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -95,8 +112,9 @@ def links(fps: DataFrame, distance: int = 4, blocks: int = 7, hot: int = 4096) -
     where = {c: i for i, c in enumerate(chosen)}
     keyed = fps.select("fp", F.posexplode(_longs(masks)).alias("c", "mask"))
     keyed = keyed.select("c", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
-    sharing = keyed.withColumn("n", F.count("*").over(Window.partitionBy("c", "key"))).where("n > 1")
-    sharing = materialize(sharing, "sharing")
+    # counted by a partial aggregation and written, so that the join with a hot key can be split
+    counts = materialize(keyed.groupBy("c", "key").agg(F.count("*").alias("n")).where("n > 1"), "key-counts")
+    sharing = materialize(keyed.join(counts, ["c", "key"]), "sharing")
 
     cold = sharing.where(F.col("n") <= hot).select("c", "key", "fp")
     a, b = cold.alias("a"), cold.alias("b")
@@ -150,21 +168,134 @@ def simhash_components(
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
         "fp", "least_id", F.coalesce("root", "fp").alias("root")
     )
-    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    # written first: a join right on an aggregation could not split a large component
+    named = materialize(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "named")
     of = rooted.join(named, "root").select("fp", "component_id")
     return fps.join(of, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
+#: 64-bit words of the fingerprint that near-duplicate texts are found by.
+WORDS = 4
+
+
+def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """node, doc_id, fp (WORDS long integers), grams (distinct shingles as sorted integers), no shuffle.
+
+    node is a hash of the id and the text, which names the row again later.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    thin = df.select(node_of(id_col, text_col).alias("node"), F.col(id_col).alias("doc_id"), text.alias("text"))
+    id_type = thin.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        salts = [np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1) for k in range(WORDS)]
+
+        def one(text: str) -> tuple[list[int], np.ndarray]:
+            h = np.unique(shingle_hashes(text, shingle))
+            fps = []
+            for salt in salts:  # a word of its own from each mixing of the same hashes
+                x = (h ^ salt) * np.uint64(0xBF58476D1CE4E5B9)
+                fps.append(majority((x ^ x >> np.uint64(32)) * np.uint64(0x94D049BB133111EB)))
+            return fps, np.unique(h.astype(np.uint32)).view(np.int32)
+
+        for whole in batches:
+            for batch in slices(whole, 2):
+                fps, grams = zip(*[one(t) for t in batch.column(2).to_pylist()], strict=True)
+                columns = [pa.array(fps, pa.list_(pa.int64())), pa.array(grams, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["node", "doc_id", "fp", "grams"])
+
+    return thin.mapInArrow(run, f"node bigint, doc_id {id_type}, fp array<bigint>, grams array<int>")
+
+
+def node_of(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(row_key(F.col(id_col)), F.coalesce(F.col(text_col), F.lit("")))
+
+
+def agreement(similarity: float) -> float:
+    """Expected share of equal fingerprint bits of two texts that share this part of their shingles."""
+    return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def drawn_blocks(texts: int, similarity: float, recall: float) -> list[tuple[int, int]]:
+    """(word, mask) of each block: log2(texts) bits, as many blocks as reach the recall at this similarity."""
+    bits = min(60, max(12, math.ceil(math.log2(max(2, texts)))))
+    number = math.ceil(math.log(1 - recall) / math.log(1 - agreement(similarity) ** bits))
+    rng = random.Random(0)
+    return [(k % WORDS, sum(1 << b for b in rng.sample(range(64), bits))) for k in range(number)]
+
+
+def _distance(a: Column, b: Column) -> Column:
+    return sum((F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(WORDS)), F.lit(0))
+
+
+def near_components(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.98
+) -> DataFrame:
+    """node, doc_id, root, one row per distinct id and text: root names the component of near-duplicates.
+
+    Two texts are near-duplicates if they share at least ``similarity`` of their distinct shingles (of
+    ``shingle`` words, letters A-Z in lower case); texts without words are equal. A pair right at the
+    threshold is found with probability ``recall``, one well above it nearly always; none below it is linked.
+    """
+    rows = materialize(sketches(df, id_col, text_col, shingle).dropDuplicates(["node"]), "sketches")
+    texts = rows.count()
+    blocks, within = drawn_blocks(texts, similarity, recall), 64 * WORDS * (1 - agreement(similarity))
+    within = math.floor(within + 3 * math.sqrt(within * agreement(similarity)))
+    each = F.array(*[F.get("fp", F.lit(w)).bitwiseAND(F.lit(_signed(m)).cast("bigint")) for w, m in blocks])
+
+    def keyed(nodes: DataFrame, *more: str) -> DataFrame:
+        out = nodes.select("node", "fp", *more, F.posexplode(each).alias("c", "part"))
+        return out.select(F.xxhash64("c", "part").alias("key"), "node", "fp", *more)
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """The pairs (u, v) whose exact similarity is enough."""
+        grams = rows.select("node", "grams")
+        a, b = grams.toDF("u", "gu"), grams.toDF("v", "gv")
+        both = pairs.join(a, "u").join(b, "v")
+        shared = F.size(F.array_intersect("gu", "gv"))
+        every = F.size("gu") + F.size("gv") - shared
+        return materialize(both.where(shared >= F.lit(similarity) * every).select("u", "v"), "alike")
+
+    def roots(edges: DataFrame) -> DataFrame:
+        found = components(edges)
+        return materialize(
+            rows.select("node", "fp").join(found, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root")), "roots"
+        )
+
+    def apart(pairs: DataFrame, rooted: DataFrame) -> DataFrame:
+        a, b = rooted.select(F.col("node").alias("u"), F.col("root").alias("ru")), rooted.select(F.col("node").alias("v"), F.col("root").alias("rv"))
+        return pairs.join(a, "u").join(b, "v").where("ru <> rv").select("u", "v")
+
+    # each text and the first one of its block; of these pairs one for each text is held to the similarity first
+    first = keyed(rows).groupBy("key").agg(F.min(F.struct("node", "fp")).alias("first"), F.count("*").alias("n"))
+    first = materialize(first.where("n > 1").select("key", "first"), "firsts")
+    near = keyed(rows).join(first, "key").where(F.col("node") != F.col("first.node")).where(_distance(F.col("fp"), F.col("first.fp")) <= within)
+    near = materialize(near.select(F.col("node").alias("u"), F.col("first.node").alias("v")).distinct(), "near-first")
+    links = alike(near.groupBy("u").agg(F.min("v").alias("v")))
+    links = materialize(links.unionByName(alike(apart(near, roots(links)))), "links")
+
+    # texts of one block that lie in different components
+    rooted = roots(links)
+    mixed = keyed(rooted, "root").groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    held = materialize(keyed(rooted, "root").join(materialize(mixed, "mixed"), "key"), "blocks")
+    a, b = held.alias("a"), held.alias("b")
+    meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & (_distance(F.col("a.fp"), F.col("b.fp")) <= within)
+    more = materialize(a.join(b, meet).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct(), "near-rest")
+    rooted = roots(links.unionByName(alike(more)))
+    return rows.select("node", "doc_id").join(rooted.select("node", "root"), "node")
+
+
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each component, that of the smallest id, with all columns of df.
+    """One row of each group of near-duplicate texts, that of the smallest id, with all columns of df.
 
-    Ids name documents: rows of one id and one text are one document.
+    See near_components. Ids name documents: rows of one id and one text are one document,
+    a null id is above every other. An empty input gives no rows.
     """
-    found = simhash_components(df, id_col, text_col, **options)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(row_key(F.col("doc_id")).alias("_row_key")).distinct()
-    held = df.withColumn("_row_key", row_key(df[id_col])).join(kept, "_row_key", "left_semi")
-    first = F.row_number().over(Window.partitionBy("_row_key", F.xxhash64(text_col)).orderBy("_row_key"))
-    return held.withColumn("_nth", first).where("_nth = 1").drop("_nth", "_row_key")
+    found = near_components(df, id_col, text_col, **options)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("node").alias("node"))
+    kept = found.groupBy("root").agg(F.min(place).alias("least")).select(F.col("least.node").alias("key"))
+    return first_of_each(df, node_of(id_col, text_col), kept)

@@ -45,6 +45,21 @@ def test_exact_rows_keep_their_columns(spark):
     assert sorted(r["doc_id"] for r in held.collect()) == [3, 4, 6, 7, 8, 10, 11]
 
 
+NAMES = ["_row_key", "_nth", "_copies", "_repeat", "key", "row", "copies", "rid", "fp", "root", "rank"]
+
+
+def test_stages_keep_columns_with_clashing_names(spark):
+    from newsgauge.llm import mixing
+
+    rows = [(i, f"words of text {i // 2} " * 20, "s") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").select("*", *[F.lit(n).alias(n) for n in NAMES])
+    for stage in (exact_dedup.drop_exact_duplicates, simhash.drop_near_duplicates, mixing.apply_mix):
+        held = stage(df)
+        assert held.columns == df.columns
+        found = held.collect()
+        assert found and all(r[n] == n for r in found for n in NAMES)
+
+
 def test_exact_empty(spark):
     assert exact_dedup.exact_dedup(docs(spark, [])).count() == 0
 

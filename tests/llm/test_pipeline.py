@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import random
+import re
 
 import numpy as np
 import public_tokenizers as P
@@ -9,9 +11,9 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
-from newsgauge.llm import mixing, quality_classifier
+from newsgauge.llm import mixing, quality_classifier, simhash
 from newsgauge.llm.common import materialize
-from test_dedup import brute_components, brute_exact
+from test_dedup import brute_exact
 from test_mixing import brute_targets, words
 
 SF = "/root/testdata/sf0.001"
@@ -50,9 +52,73 @@ def test_exact_stage(stages):
     assert sorted(i for i, _ in pairs(stages[1][1])) == sorted(i for i, keep, _ in brute_exact(rows) if i == keep)
 
 
+def brute_near(rows, shingle=5, similarity=0.8):
+    """id -> smallest id of its component, over all pairs of texts."""
+    def grams(text):
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").replace("\t", " ").replace("\n", " ").split(" ")
+        w = [x for x in w if x]
+        return {tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set()
+
+    every = [(i, grams(t)) for i, t in sorted(rows)]
+    root = {i: i for i, _ in every}
+
+    def of(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, (i, a) in enumerate(every):
+        for j, b in every[:k]:
+            if len(a & b) >= similarity * len(a | b):
+                x, y = sorted((of(i), of(j)))
+                root[y] = x
+    return {i: of(i) for i in root}
+
+
 def test_near_stage(stages):
     rows = pairs(stages[2][0])
-    assert sorted(i for i, _ in pairs(stages[2][1])) == sorted(i for i, _, c in brute_components(rows) if i == c)
+    root = brute_near(rows)
+    assert sorted(i for i, _ in pairs(stages[2][1])) == sorted(i for i in root if root[i] == i)
+
+
+def test_near_copies_of_many_grades(spark):
+    """Copies with 0 to 12 of 200 words changed: what is under the threshold stays, what is over it is found."""
+    rng = random.Random(3)
+    rows = []
+    for base in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        rows.append((base * 100, " ".join(words)))
+        for k in range(1, 13):
+            changed = words[:]
+            for at in rng.sample(range(200), k):
+                changed[at] = f"x{rng.randrange(10**6)}"
+            rows.append((base * 100 + k, " ".join(changed)))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["root"] for r in simhash.near_components(df).collect()}
+    root = brute_near(rows)
+    assert all(root[i] == root[j] for i in root for j in root if got[i] == got[j])
+    pairs_ = [(i, j) for i in root for j in root if i < j and root[i] == root[j]]
+    assert sum(got[i] == got[j] for i, j in pairs_) / len(pairs_) >= 0.97
+
+
+def test_a_large_group_of_near_copies(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(f"y{rng.randrange(10**6)}" if k == i % 120 else w for k, w in enumerate(words))) for i in range(600)]
+    rows += [(1000 + i, " ".join(f"z{rng.randrange(10**6)}" for _ in range(60))) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    held = sorted(r["doc_id"] for r in simhash.drop_near_duplicates(df).collect())
+    assert held == [0, *range(1000, 1050)]
+
+
+def test_near_stage_odd_rows(spark):
+    rows = [(1, None), (2, ""), (3, " \n"), (4, "a"), (5, "A"), (5, "A"), (None, "a b"), (None, "a b"), (6, "A B"), (7, "c " * 50_000), (8, "d e f g h")]
+    df = spark.createDataFrame([(i, t, 1, "k") for i, t in rows], "doc_id long, text string, node int, key string")
+    held = simhash.drop_near_duplicates(df)
+    assert held.columns == df.columns
+    assert sorted((r["doc_id"] for r in held.collect())) == [1, 4, 6, 7, 8]
+    assert simhash.drop_near_duplicates(df.limit(0)).count() == 0
 
 
 def test_mix_stage(stages):
