@@ -17,11 +17,12 @@ shingles) differ in some 15 % of the bits of their fingerprints, ten of 64, too
 whole blocks to agree. drop_near_duplicates takes fingerprints of 256 bits and blocks of
 bits drawn from one of their four words, as long as the logarithm of the number of texts
 and as many as give a pair at the threshold the asked chance to share one (0.98). Pairs
-that share a block are held to a Hamming distance three deviations above the expected one,
-and then to the exact similarity. In each block every text meets the first one only; what
-is linked so far is one component, and the texts of a block meet each other only where
-they lie in different components. So a group of n near copies gives rows in proportion to
-n, and no link between two components is left out.
+that share a block are held to a Hamming distance above the expected one, and then to the exact
+similarity. In each block every text meets the first one only, and the closest of these is
+held to the similarity; what is linked so far is one component. Then the texts of a block are
+compared with each other where they lie in different components: those that are close to
+another one are kept (one row each), and of these the pairs that are similar. So a group of n
+near copies gives rows in proportion to n, and no link between two components is left out.
 """
 
 from __future__ import annotations
@@ -244,48 +245,44 @@ def near_components(
     rows = materialize(sketches(df, id_col, text_col, shingle).dropDuplicates(["node"]), "sketches")
     texts = rows.count()
     blocks, within = drawn_blocks(texts, similarity, recall), 64 * WORDS * (1 - agreement(similarity))
-    within = math.floor(within + 3 * math.sqrt(within * agreement(similarity)))
+    within = math.floor(within + 2.5 * math.sqrt(within * agreement(similarity)))
     each = F.array(*[F.get("fp", F.lit(w)).bitwiseAND(F.lit(_signed(m)).cast("bigint")) for w, m in blocks])
 
     def keyed(nodes: DataFrame, *more: str) -> DataFrame:
         out = nodes.select("node", "fp", *more, F.posexplode(each).alias("c", "part"))
         return out.select(F.xxhash64("c", "part").alias("key"), "node", "fp", *more)
 
-    def alike(pairs: DataFrame) -> DataFrame:
-        """The pairs (u, v) whose exact similarity is enough."""
-        grams = rows.select("node", "grams")
-        a, b = grams.toDF("u", "gu"), grams.toDF("v", "gv")
-        both = pairs.join(a, "u").join(b, "v")
-        shared = F.size(F.array_intersect("gu", "gv"))
-        every = F.size("gu") + F.size("gv") - shared
-        return materialize(both.where(shared >= F.lit(similarity) * every).select("u", "v"), "alike")
+    grams = rows.select("node", "grams")
+
+    def similar(a: Column, b: Column) -> Column:
+        shared = F.size(F.array_intersect(a, b))
+        return shared >= F.lit(similarity) * (F.size(a) + F.size(b) - shared)
 
     def roots(edges: DataFrame) -> DataFrame:
-        found = components(edges)
-        return materialize(
-            rows.select("node", "fp").join(found, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root")), "roots"
-        )
-
-    def apart(pairs: DataFrame, rooted: DataFrame) -> DataFrame:
-        a, b = rooted.select(F.col("node").alias("u"), F.col("root").alias("ru")), rooted.select(F.col("node").alias("v"), F.col("root").alias("rv"))
-        return pairs.join(a, "u").join(b, "v").where("ru <> rv").select("u", "v")
-
-    # each text and the first one of its block; of these pairs one for each text is held to the similarity first
-    first = keyed(rows).groupBy("key").agg(F.min(F.struct("node", "fp")).alias("first"), F.count("*").alias("n"))
-    first = materialize(first.where("n > 1").select("key", "first"), "firsts")
-    near = keyed(rows).join(first, "key").where(F.col("node") != F.col("first.node")).where(_distance(F.col("fp"), F.col("first.fp")) <= within)
-    near = materialize(near.select(F.col("node").alias("u"), F.col("first.node").alias("v")).distinct(), "near-first")
-    links = alike(near.groupBy("u").agg(F.min("v").alias("v")))
-    links = materialize(links.unionByName(alike(apart(near, roots(links)))), "links")
+        found = rows.select("node", "fp").join(components(edges), "node", "left")
+        return materialize(found.select("node", "fp", F.coalesce("root", "node").alias("root")), "roots")
+
+    # each text and the closest of the first ones of its blocks
+    first = keyed(rows).groupBy("key").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1").select("key", "v")
+    first = first.join(rows.select(F.col("node").alias("v"), F.col("fp").alias("fv")), "v")
+    far = _distance(F.col("fp"), F.col("fv"))
+    near = keyed(rows).join(materialize(first, "firsts"), "key").where((F.col("node") != F.col("v")) & (far <= within))
+    near = near.groupBy(F.col("node").alias("u")).agg(F.min(F.struct(far.alias("far"), F.col("v"))).alias("best"))
+    near = materialize(near.select("u", F.col("best.v").alias("v")), "near-first")
+    both = near.join(grams.toDF("u", "gu"), "u").join(grams.toDF("v", "gv"), "v")
+    links = materialize(both.where(similar(F.col("gu"), F.col("gv"))).select("u", "v"), "links")
 
     # texts of one block that lie in different components
     rooted = roots(links)
     mixed = keyed(rooted, "root").groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
     held = materialize(keyed(rooted, "root").join(materialize(mixed, "mixed"), "key"), "blocks")
     a, b = held.alias("a"), held.alias("b")
+    close = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & (_distance(F.col("a.fp"), F.col("b.fp")) <= within)
+    held = materialize(a.join(b, close, "left_semi").join(grams, "node"), "close")
+    a, b = held.alias("a"), held.alias("b")
     meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & (_distance(F.col("a.fp"), F.col("b.fp")) <= within)
-    more = materialize(a.join(b, meet).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct(), "near-rest")
-    rooted = roots(links.unionByName(alike(more)))
+    more = a.join(b, meet & similar(F.col("a.grams"), F.col("b.grams"))).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    rooted = roots(links.unionByName(more.distinct()))
     return rows.select("node", "doc_id").join(rooted.select("node", "root"), "node")
 
 
