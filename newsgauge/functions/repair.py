@@ -55,10 +55,10 @@ def to_sentiment(x: Column | str) -> Column:
 def repair(relevant: Column, sentiment: Column, confidence: Column, rationale: Column, evidence: Column) -> Column:
     """A raw answer as struct(relevant, sentiment, confidence, rationale, evidence, repair_error).
 
-    An answer of no relevance has no sentiment. Unknown sentiments, and relevance
+    Relevance is read as text: a number other than 1 is no assent. An answer of no relevance has no sentiment. Unknown sentiments, and relevance
     without one, are errors; the error is a value, never an exception.
     """
-    yes, mood = to_boolean(relevant), to_sentiment(sentiment)
+    yes, mood = to_boolean_text(relevant), to_sentiment(sentiment)
     error = F.when(~mood["known"], F.concat(F.lit("unrecognised sentiment: "), sentiment)).when(
         yes & mood["label"].isNull(), "relevant article returned no sentiment"
     )

@@ -11,8 +11,8 @@ from newsgauge.functions.repair import safe_div
 
 #: Words that mark a loss (English), for strata of a gold set.
 LOSS_WORDS = (
-    "layoffs?|laid off|lawsuit|sued|fraud|breach|hacked|recall|bankrupt(?:cy)?|shut(?:s|ting)? down|closes?|"
-    "losses|decline|plunge|downgrade|fine[ds]?|scandal|probe|investigation|resigns?|delay(?:ed|s)?|fails?|failure|cuts?"
+    "layoff|lay off|lawsuit|sued|sues|probe|investigation|breach|recall|shut|shuts|shutdown|down round|resign|steps down|"
+    "cuts|cut|decline|falls|drops|loss|losses|delay|delays|misses|warning|fraud|bankrupt"
 )
 
 

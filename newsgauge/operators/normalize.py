@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from newsgauge.functions.text import article_id, content_key, text_or_empty
 from newsgauge.functions.urls import canonical_url, is_opaque, publisher_domain
 
+from .linking import groups, stored
+
 
 def normalize_items(raw: DataFrame) -> DataFrame:
     """Raw items with skip_reason, and where it is null the stored form: id, canonical_url, publisher, content_key.
@@ -38,18 +40,14 @@ def best_of_url(items: DataFrame, by: list[str], order: str = "position") -> Dat
     return best.select("_best.*", "reports")
 
 
-def _story(items: DataFrame, rounds: int = 20) -> DataFrame:
+def _story(items: DataFrame) -> DataFrame:
     """items with a story number: items that share a URL or a content key, directly or through others."""
-    url, content = Window.partitionBy("scope", "id"), Window.partitionBy("scope", "content_key")
-    numbered = items.withColumn("story", F.col("position"))
-    for _ in range(rounds):
-        step = numbered.withColumn("_was", F.col("story"))
-        step = step.withColumn("story", F.min("story").over(url)).withColumn("story", F.min("story").over(content))
-        step = step.checkpoint() if step.sparkSession.conf.get("spark.checkpoint.dir", None) else step.persist()
-        if not step.where("story <> _was").limit(1).count():
-            return step.drop("_was")
-        numbered = step.drop("_was")
-    raise RuntimeError("stories did not settle")
+    items = stored(items, "items")
+    first = lambda key: F.min("position").over(Window.partitionBy("scope", key))
+    meet = items.select(F.col("position").alias("u"), first("id").alias("a"), first("content_key").alias("b"))
+    found = groups(meet.select("u", F.explode(F.array("a", "b")).alias("v")))
+    story = F.coalesce("root", "position").alias("story")
+    return items.join(found, F.col("position") == F.col("node"), "left").select(*items.columns, story)
 
 
 def _fold(pdf: pd.DataFrame, tolerance: pd.Timedelta) -> pd.DataFrame:

@@ -62,16 +62,18 @@ class Table:
     def __init__(self, spark: SparkSession, root: str, schema: str):
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
 
-    def _pointer(self):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/CURRENT")
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
     def current(self) -> str | None:
-        path, fs = self._pointer()
-        if not fs.exists(path):
-            return None
-        return self.spark.read.text(f"{self.root}/CURRENT").first()[0]
+        """The version that the pointer names; none only for a table that was never written."""
+        path = self._path("CURRENT")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if fs.exists(path):
+            return self.spark.read.text(f"{self.root}/CURRENT").first()[0]
+        if fs.exists(self._path("NAMED")):
+            raise RuntimeError(f"{self.root} has versions but no pointer to one")
+        return None
 
     def read(self) -> DataFrame:
         version = self.current()
@@ -80,15 +82,22 @@ class Table:
         return self.spark.read.schema(self.schema).parquet(f"{self.root}/{version}")
 
     def replace(self, rows: DataFrame) -> DataFrame:
-        """Write rows as the next version, then move the pointer to it."""
+        """Write rows as the next version, then move the pointer to it in one step.
+
+        Readers see the last version until the rename and this one from then on.
+        """
         version = f"v-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.root}/{version}")
-        path, fs = self._pointer()
-        jvm = self.spark._jvm
-        fresh = jvm.org.apache.hadoop.fs.Path(f"{self.root}/NEXT-{version}")
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        fresh, path = self._path(f"NEXT-{version}"), self._path("CURRENT")
+        conf = self.spark._jsc.hadoopConfiguration()
+        fs = path.getFileSystem(conf)
         out = fs.create(fresh, True)
         out.writeBytes(version)
         out.close()
-        fs.delete(path, False)
-        fs.rename(fresh, path)
+        kinds = getattr(hadoop, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(kinds, 1)
+        how[0] = kinds.OVERWRITE
+        hadoop.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(fresh), fs.makeQualified(path), how)
+        fs.create(self._path("NAMED"), True).close()
         return self.read()

@@ -21,7 +21,7 @@ from newsgauge.functions.urls import host
 RAW = ("url", "title", "snippet", "source_name", "published_at", "language", "provider")
 #: Languages as the article list names them.
 LANGUAGES = {
-    "english": "en", "hebrew": "he", "german": "de", "french": "fr", "spanish": "es", "italian": "it", "portuguese": "pt",
+    "english": "en", "hebrew": "he", "spanish": "es", "french": "fr", "german": "de", "portuguese": "pt", "italian": "it",
     "dutch": "nl", "russian": "ru", "chinese": "zh", "japanese": "ja", "korean": "ko", "arabic": "ar",
 }
 

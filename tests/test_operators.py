@@ -291,3 +291,30 @@ def test_control():
     assert control.Config.read({"WINDOW_DAYS": "30", "SOURCES": "rss, corpus"}).sources == ("rss", "corpus")
     with pytest.raises(control.BadConfig, match="WINDOW_DAYS.*LOOKBACK_HOURS"):
         control.Config.read({"WINDOW_DAYS": "x", "LOOKBACK_HOURS": "-1"})
+
+
+def test_a_long_chain_of_reports_is_one_story(spark):
+    """Neighbours share a URL or a title in turn; no number of links is too many."""
+    rows = [(i, "c", f"u{i // 2}", f"t{(i + 1) // 2}", False, None) for i in range(80)]
+    items = spark.createDataFrame(rows, "position int, scope string, id string, content_key string, opaque boolean, published_at timestamp")
+    assert {r["story"] for r in normalize._story(items).collect()} == {0}
+    found = normalize.dedupe_items(items.drop("scope").withColumn("company_id", F.lit(1)), "company_id")
+    assert found.count() == 80 and found.where("duplicate_reason IS NULL").count() == 40  # what is dropped leads nobody on
+
+
+def test_a_lost_pointer_is_an_error(spark, tmp_path):
+    t = persist.Table(spark, str(tmp_path / "t"), "id long")
+    t.replace(spark.range(3))
+    t.replace(spark.range(5))
+    assert t.read().count() == 5
+    (tmp_path / "t" / "CURRENT").unlink()
+    with pytest.raises(RuntimeError):
+        t.read()
+
+
+def test_loss_words_and_assent(spark):
+    from newsgauge.functions import repair
+
+    text = spark.createDataFrame([("Acme lays off", "2"), ("a down round", "Yes"), ("Acme sues", "-3"), ("gains", "1")], "t string, a string")
+    got = text.select(evaluate.stratum(F.col("t"), F.lit(False), F.lit("low")).alias("s"), repair.to_boolean_text("a").alias("b")).collect()
+    assert [(r["s"], r["b"]) for r in got] == [("kept-distinctive", False), ("negative-signal", True), ("negative-signal", False), ("kept-distinctive", True)]
