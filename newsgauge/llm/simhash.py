@@ -250,9 +250,16 @@ def near_components(
 
     def keyed(nodes: DataFrame, *more: str) -> DataFrame:
         out = nodes.select("node", "fp", *more, F.posexplode(each).alias("c", "part"))
-        return out.select(F.xxhash64("c", "part").alias("key"), "node", "fp", *more)
+        return out.select(F.xxhash64("c", "part").alias("key"), "c", "node", "fp", *more)
 
     grams = rows.select("node", "grams")
+    known = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(_signed(m)).cast("bigint").alias("mask")) for w, m in blocks])
+
+    def met_before(a: Column, b: Column, c: Column) -> Column:
+        """Whether two fingerprints agree on a block before the one numbered c."""
+        return F.exists(
+            F.slice(known, F.lit(1), c), lambda k: F.get(a, k["w"]).bitwiseXOR(F.get(b, k["w"])).bitwiseAND(k["mask"]) == 0
+        )
 
     def similar(a: Column, b: Column) -> Column:
         shared = F.size(F.array_intersect(a, b))
@@ -281,8 +288,9 @@ def near_components(
     held = materialize(a.join(b, close, "left_semi").join(grams, "node"), "close")
     a, b = held.alias("a"), held.alias("b")
     meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & (_distance(F.col("a.fp"), F.col("b.fp")) <= within)
+    meet = meet & ~met_before(F.col("a.fp"), F.col("b.fp"), F.col("a.c"))  # a pair comes out once
     more = a.join(b, meet & similar(F.col("a.grams"), F.col("b.grams"))).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-    rooted = roots(links.unionByName(more.distinct()))
+    rooted = roots(links.unionByName(more))
     return rows.select("node", "doc_id").join(rooted.select("node", "root"), "node")
 
 
