@@ -243,17 +243,23 @@ def near_components(
     threshold is found with probability ``recall``, one well above it nearly always; none below it is linked.
     """
     rows = materialize(sketches(df, id_col, text_col, shingle).dropDuplicates(["node"]), "sketches")
-    texts = rows.count()
-    blocks, within = drawn_blocks(texts, similarity, recall), 64 * WORDS * (1 - agreement(similarity))
-    within = math.floor(within + 2.5 * math.sqrt(within * agreement(similarity)))
+    blocks = drawn_blocks(rows.count(), similarity, recall)
+
+    def reach(bits: int, deviations: float) -> int:
+        """The distance of this many bits that a pair at the threshold exceeds by so many deviations only."""
+        expected = bits * (1 - agreement(similarity))
+        return math.floor(expected + deviations * math.sqrt(expected * agreement(similarity)))
+
+    within, within_word = reach(64 * WORDS, 2.5), reach(64, 3.5)
     each = F.array(*[F.get("fp", F.lit(w)).bitwiseAND(F.lit(_signed(m)).cast("bigint")) for w, m in blocks])
+    known = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(_signed(m)).cast("bigint").alias("mask")) for w, m in blocks])
+    grams = rows.select("node", "grams")
 
     def keyed(nodes: DataFrame, *more: str) -> DataFrame:
+        """A row for each text and block, with one more word of the fingerprint to check a meeting by."""
         out = nodes.select("node", "fp", *more, F.posexplode(each).alias("c", "part"))
-        return out.select(F.xxhash64("c", "part").alias("key"), "c", "node", "fp", *more)
-
-    grams = rows.select("node", "grams")
-    known = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(_signed(m)).cast("bigint").alias("mask")) for w, m in blocks])
+        other = F.get("fp", (F.col("c") + 1) % WORDS).alias("other")
+        return out.select(F.xxhash64("c", "part").alias("key"), "c", "node", other, *more)
 
     def met_before(a: Column, b: Column, c: Column) -> Column:
         """Whether two fingerprints agree on a block before the one numbered c."""
@@ -261,31 +267,42 @@ def near_components(
             F.slice(known, F.lit(1), c), lambda k: F.get(a, k["w"]).bitwiseXOR(F.get(b, k["w"])).bitwiseAND(k["mask"]) == 0
         )
 
+    def close(a: str, b: str) -> Column:
+        return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= within_word
+
     def similar(a: Column, b: Column) -> Column:
         shared = F.size(F.array_intersect(a, b))
         return shared >= F.lit(similarity) * (F.size(a) + F.size(b) - shared)
 
+    def alike(pairs: DataFrame) -> DataFrame:
+        both = pairs.select("u", "v").join(grams.toDF("u", "gu"), "u").join(grams.toDF("v", "gv"), "v")
+        return materialize(both.where(similar(F.col("gu"), F.col("gv"))).select("u", "v"), "links")
+
     def roots(edges: DataFrame) -> DataFrame:
         found = rows.select("node", "fp").join(components(edges), "node", "left")
         return materialize(found.select("node", "fp", F.coalesce("root", "node").alias("root")), "roots")
 
-    # each text and the closest of the first ones of its blocks
-    first = keyed(rows).groupBy("key").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1").select("key", "v")
-    first = first.join(rows.select(F.col("node").alias("v"), F.col("fp").alias("fv")), "v")
-    far = _distance(F.col("fp"), F.col("fv"))
-    near = keyed(rows).join(materialize(first, "firsts"), "key").where((F.col("node") != F.col("v")) & (far <= within))
-    near = near.groupBy(F.col("node").alias("u")).agg(F.min(F.struct(far.alias("far"), F.col("v"))).alias("best"))
-    near = materialize(near.select("u", F.col("best.v").alias("v")), "near-first")
-    both = near.join(grams.toDF("u", "gu"), "u").join(grams.toDF("v", "gv"), "v")
-    links = materialize(both.where(similar(F.col("gu"), F.col("gv"))).select("u", "v"), "links")
-
-    # texts of one block that lie in different components
+    # each text and the first ones of its blocks; the closest of these is held to the similarity
+    first = keyed(rows).groupBy("key").agg(
+        F.min("node").alias("v"), F.min_by("other", "node").alias("first_other"), F.count("*").alias("n")
+    )
+    first = materialize(first.where("n > 1"), "firsts")
+    near = keyed(rows).join(first, "key").where((F.col("node") != F.col("v")) & close("other", "first_other"))
+    near = near.groupBy(F.col("node").alias("u"), "v").agg(F.min("n").alias("n"))
+    near = near.join(rows.select(F.col("node").alias("u"), F.col("fp").alias("fu")), "u")
+    near = near.join(rows.select(F.col("node").alias("v"), F.col("fp").alias("fv")), "v").withColumn("far", _distance(F.col("fu"), F.col("fv")))
+    near = materialize(near.where(F.col("far") <= within).select("u", "v", "n", "far"), "near")
+    links = alike(near.groupBy("u").agg(F.min(F.struct("far", "v"))["v"].alias("v")))
+
+    # texts of one block that lie in different components: where they are two, that pair, otherwise each close to another
     rooted = roots(links)
-    mixed = keyed(rooted, "root").groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    held = materialize(keyed(rooted, "root").join(materialize(mixed, "mixed"), "key"), "blocks")
+    ru, rv = rooted.select(F.col("node").alias("u"), F.col("root").alias("ru")), rooted.select(F.col("node").alias("v"), F.col("root").alias("rv"))
+    links = links.unionByName(alike(near.where("n = 2").join(ru, "u").join(rv, "v").where("ru <> rv")))
+    held = materialize(keyed(rooted, "root").join(first.where("n > 2").select("key"), "key"), "blocks")
     a, b = held.alias("a"), held.alias("b")
-    close = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & (_distance(F.col("a.fp"), F.col("b.fp")) <= within)
-    held = materialize(a.join(b, close, "left_semi").join(grams, "node"), "close")
+    meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & close("a.other", "b.other")
+    held = a.join(b, meet, "left_semi").select("key", "c", "node", "root").join(rows.select("node", "fp", "grams"), "node")
+    held = materialize(held, "close")
     a, b = held.alias("a"), held.alias("b")
     meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & (_distance(F.col("a.fp"), F.col("b.fp")) <= within)
     meet = meet & ~met_before(F.col("a.fp"), F.col("b.fp"), F.col("a.c"))  # a pair comes out once
