@@ -19,7 +19,9 @@ bits drawn from one of their four words, as long as the logarithm of the number
 and as many as give a pair at the threshold the asked chance to share one (0.98). Pairs
 that share a block are held to a Hamming distance above the expected one, and then to the exact
 similarity. In each block every text meets the first one only, and the closest of these is
-held to the similarity; what is linked so far is one component. Then the texts of a block are
+held to the similarity; what is linked so far is one component. Of the other meetings with a
+first text, the closest between each two components is held to it too, and components are made
+again. Then the texts of a block are
 compared with each other where they lie in different components: those that are close to
 another one are kept (one row each), and of these the pairs that are similar. So a group of n
 near copies gives rows in proportion to n, and no link between two components is left out.
@@ -294,12 +296,20 @@ def near_components(
     near = materialize(near.where(F.col("far") <= within).select("u", "v", "n", "far"), "near")
     links = alike(near.groupBy("u").agg(F.min(F.struct("far", "v"))["v"].alias("v")))
 
-    # texts of one block that lie in different components: where they are two, that pair, otherwise each close to another
+    # meetings with first ones across components: all where the block holds two texts, otherwise the closest of each pair of components
+    def crossing(pairs: DataFrame, rooted: DataFrame) -> DataFrame:
+        ru, rv = rooted.select(F.col("node").alias("u"), F.col("root").alias("ru")), rooted.select(F.col("node").alias("v"), F.col("root").alias("rv"))
+        return pairs.join(ru, "u").join(rv, "v").where("ru <> rv")
+
+    across = materialize(crossing(near, roots(links)), "across")
+    closest = across.where("n > 2").groupBy(F.least("ru", "rv"), F.greatest("ru", "rv")).agg(F.min(F.struct("far", "u", "v")).alias("p"))
+    links = links.unionByName(alike(across.where("n = 2").select("u", "v").unionByName(closest.select("p.u", "p.v"))))
     rooted = roots(links)
-    ru, rv = rooted.select(F.col("node").alias("u"), F.col("root").alias("ru")), rooted.select(F.col("node").alias("v"), F.col("root").alias("rv"))
-    links = links.unionByName(alike(near.where("n = 2").join(ru, "u").join(rv, "v").where("ru <> rv")))
+
+    # texts of one block that still lie in different components, each close to another one
     held = materialize(keyed(rooted, "root").join(first.where("n > 2").select("key"), "key"), "blocks")
-    a, b = held.alias("a"), held.alias("b")
+    mixed = held.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
+    a, b = held.join(mixed.select("key"), "key", "left_semi").alias("a"), held.alias("b")
     meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & close("a.other", "b.other")
     held = a.join(b, meet, "left_semi").select("key", "c", "node", "root").join(rows.select("node", "fp", "grams"), "node")
     held = materialize(held, "close")
