@@ -111,6 +111,11 @@ def cache_key(model: Column, version: Column, text: Column) -> Column:
     return F.sha2(F.concat_ws("|", model, version, F.trim(text)), 256)
 
 
+def prompt_version_tag(name: Column | str, prompt: Column | str) -> Column:
+    """The name, @ and twelve hex digits of the prompt's SHA-256."""
+    return F.concat(col(name), F.lit("@"), F.substring(F.sha2(col(prompt), 256), 1, 12))
+
+
 def pad_end(x: Column, width: int) -> Column:
     """Pad to a width without cutting what is longer."""
     return F.concat(x, F.repeat(F.lit(" "), F.greatest(F.lit(0), F.lit(width) - F.length(x))))

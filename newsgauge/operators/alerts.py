@@ -44,6 +44,19 @@ def json_sink(path: str) -> Sink:
     return send
 
 
+def console_sink(out: Callable[[str], None]) -> Sink:
+    """The candidates' lines, newest first, to out one by one; the driver holds one partition of them at a time."""
+
+    def send(alerts: DataFrame) -> int:
+        n = 0
+        for row in alerts.orderBy(F.col("published_at").desc_nulls_last()).select("line").toLocalIterator():
+            out(row["line"])
+            n += 1
+        return n
+
+    return send
+
+
 def dispatch(alerts: DataFrame, sent: DataFrame, sinks: dict[str, Sink], run_id: str, now: Column, dry_run: bool = False):
     """(rows to append to the sent table, summary by channel).
 

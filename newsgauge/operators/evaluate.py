@@ -72,14 +72,14 @@ def run_pairs(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
 def nearest_rank(values: str, by: list[str], rows: DataFrame, quantiles: dict[str, float]) -> DataFrame:
     """For each group the value at place floor(q * n), counted from 0 and at most n - 1, in ascending order.
 
-    Ranked by a window and not collected: a group may be of any size.
+    Values are counted first: what a window orders is one row for each different value of a group.
     """
+    counted = rows.where(F.col(values).isNotNull()).groupBy(*by, values).agg(F.count("*").alias("_n"))
     w = Window.partitionBy(*by)
-    ranked = rows.where(F.col(values).isNotNull()).withColumn("_n", F.count("*").over(w))
-    ranked = ranked.withColumn("_rn", F.row_number().over(w.orderBy(values)) - 1)
-    at = lambda q: F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(q)))
-    picked = [F.max(F.when(F.col("_rn") == at(q), F.col(values))).alias(name) for name, q in quantiles.items()]
-    return ranked.groupBy(*by).agg(*picked)
+    placed = counted.withColumn("_upto", F.sum("_n").over(w.orderBy(values))).withColumn("_all", F.sum("_n").over(w))
+    at = lambda q: F.least(F.col("_all") - 1, F.floor(F.col("_all") * F.lit(q)))
+    picked = [F.min(F.when(F.col("_upto") > at(q), F.col(values))).alias(name) for name, q in quantiles.items()]
+    return placed.groupBy(*by).agg(*picked)
 
 
 def to_fixed(x: Column, digits: int) -> Column:
@@ -102,6 +102,39 @@ def bench_rows(samples: DataFrame, by: list[str], items: int = 2000) -> DataFram
     return out.withColumn("projected_minutes", to_fixed(safe_div(F.lit(float(items)), F.col("_per_minute")), 1)).drop("_per_minute")
 
 
+def run_score(answers: DataFrame, wall_ms: float, items: int = 2500) -> DataFrame:
+    """One row for a run over a gold set, relevance and sentiment scored apart.
+
+    answers: see run_pairs, and latency_ms. Items without an answer count as failures and are
+    in neither score. Latencies are nearest ranks; rate and projection are over all items.
+    """
+    relevance, mood = run_pairs(answers)
+    base = answers.agg(F.count("*").alias("items"), F.count_if(F.col("relevant").isNull()).alias("failures"))
+    rate = F.col("items") * 60000.0 / F.lit(float(wall_ms)) if wall_ms > 0 else F.lit(0.0)
+    out = base.withColumn("json_validity_rate", safe_div(F.col("items") - F.col("failures"), F.col("items")))
+    out = out.withColumn("items_per_minute", to_fixed(rate, 1)).withColumn("projected_minutes", to_fixed(safe_div(F.lit(float(items)), rate), 1))
+    ranks = nearest_rank("latency_ms", [], answers, {"p50": 0.5, "p95": 0.95})
+    for name in ("p50", "p95"):
+        whole = F.floor(F.coalesce(ranks.select(name).scalar(), F.lit(0)) + 0.5).cast("bigint")
+        out = out.withColumn(f"{name}_latency_ms", whole)
+    for name, pairs, labels in (("relevance", relevance, RELEVANCE_LABELS), ("sentiment", mood, SENTIMENT_LABELS)):
+        scored = scores(pairs, labels)
+        for c in ("n", "accuracy", "macro_f1"):
+            out = out.withColumn(f"{name}_{c}", scored.select(c).scalar())
+    return out
+
+
+def with_context(gold: DataFrame, registry: DataFrame) -> DataFrame:
+    """Gold items (company) with what the registry (name, ...) knows of their company; null where it has none."""
+    return gold.join(registry.withColumnRenamed("name", "company"), "company", "left")
+
+
+def with_tier(mentions: DataFrame, companies: DataFrame) -> DataFrame:
+    """mentions with tier: the company's, low where the company or its tier is missing."""
+    tiers = companies.select("company_id", F.col("ambiguity").alias("tier"))
+    return mentions.join(tiers, "company_id", "left").withColumn("tier", F.coalesce("tier", F.lit("low")))
+
+
 def ship_choice(results: DataFrame, within: float = 0.02) -> DataFrame:
     """best and ship among results (model, ladder, relevance_f1, sentiment_f1): the first in the ladder near the best."""
     combined = results.withColumn("combined", (F.col("relevance_f1") + F.col("sentiment_f1")) / 2)

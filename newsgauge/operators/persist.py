@@ -101,3 +101,10 @@ class Table:
         hadoop.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(fresh), fs.makeQualified(path), how)
         fs.create(self._path("NAMED"), True).close()
         return self.read()
+
+
+def set_state(table: Table, values: dict[str, str | None]) -> DataFrame:
+    """A table of key and value after these were set; None removes a key."""
+    keys = table.spark.createDataFrame(list(values.items()), "key string, value string")
+    kept = table.read().join(keys, "key", "left_anti").select("key", "value")
+    return table.replace(kept.unionByName(keys.where("value IS NOT NULL")))

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsgauge.functions import dates, query_language, repair, text, urls
-from newsgauge.operators import alerts, classify, evaluate, normalize, persist, planner, prefilter, registry_build, status
+from newsgauge.operators import (
+    alerts, classify, collect, evaluate, exports, normalize, persist, planner, prefilter, registry_build, run, status,
+)
 from newsgauge.sources import feeds
 from newsgauge.streaming import daily
 
@@ -719,3 +721,124 @@ def _event_mentions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = first.select(key.alias("id"), F.col("user_id").alias("company_id"), key.alias("article_id"), "published_at", "event_type")
     found = first.select("id", "company_id", "article_id", (F.col("event_type") == "purchase").alias("relevant"), F.lit("neutral").alias("sentiment"))
     return found, first.select("article_id", "published_at", F.col("event_type").alias("title"), F.concat(F.lit("https://example.com/"), "article_id").alias("url"))
+
+
+# --- whole runs, exports, scores --------------------------------------------------------------
+
+
+def _order_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as raw items of five companies; titles repeat, and every eleventh is blank."""
+    n, title = F.col("o_orderkey"), F.concat_ws(" ", F.lit("Order"), "o_orderpriority", (F.col("o_custkey") % 101).cast("string"))
+    return table(spark, sf, "orders").select(
+        n.alias("position"), (F.col("o_custkey") % 5).alias("company_id"),
+        F.concat(F.lit("https://example.com/"), n.cast("string")).alias("url"), F.when(n % 11 == 0, " ").otherwise(title).alias("title"),
+        F.lit(None).cast("string").alias("snippet"), F.lit(None).cast("string").alias("source_name"), now().alias("published_at"),
+    )
+
+
+def _order_companies(spark: SparkSession) -> DataFrame:
+    """Six companies: the third is named in no title, the last has no item."""
+    none = F.array().cast("array<string>")
+    named = F.when(F.col("id") == 2, "Parcel").otherwise("Order")
+    return spark.range(6).select(
+        F.col("id").alias("company_id"), named.alias("name"), F.lit(None).cast("string").alias("sector"), none.alias("aliases"),
+        F.array(F.lit("urgent")).alias("negative_keywords"), F.lit('"Order"').alias("query"), F.lit("human-approved").alias("query_source"),
+        F.when(F.col("id") < 2, "high").alias("ambiguity"),
+    )
+
+
+def _calls(spark: SparkSession, sf: str) -> DataFrame:
+    said = F.element_at(F.array(*[F.lit(s) for s in collect.CALL_STATES]), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    return table(spark, sf, "supplier").select((F.col("s_suppkey") % 5).alias("company_id"), F.col("s_name").alias("provider"), said.alias("status"))
+
+
+SQL_RUN = """
+    i AS (SELECT o_custkey % 5 AS company_id, o_orderkey AS pos, o_orderpriority AS p, o_custkey % 101 AS k, o_orderkey % 11 <> 0 AS good FROM orders),
+    unique_ AS (SELECT company_id, p, k, min(pos) AS pos, CASE WHEN company_id = 2 THEN 'no-name-match' WHEN p = '1-URGENT' THEN 'negative-keyword' END AS reason
+      FROM i WHERE good GROUP BY company_id, p, k)"""
+
+
+@query(f"""WITH {SQL_RUN}, a AS (SELECT company_id, count(*) AS fetched, count(*) FILTER (WHERE good) AS normalized FROM i GROUP BY 1),
+    b AS (SELECT company_id, count(*) AS deduped, count(*) FILTER (WHERE reason IS NULL) AS kept FROM unique_ GROUP BY 1),
+    c AS (SELECT s_suppkey % 5 AS company_id, count(*) FILTER (WHERE s_suppkey % 3 = 0) AS ok, count(*) FILTER (WHERE s_suppkey % 3 = 1) AS failed,
+      count(*) FILTER (WHERE s_suppkey % 3 = 2) AS skipped FROM supplier GROUP BY 1)
+    SELECT x.company_id, coalesce(fetched, 0) AS fetched, coalesce(normalized, 0) AS normalized, coalesce(deduped, 0) AS deduped, coalesce(kept, 0) AS kept,
+      greatest(coalesce(kept, 0) - 25, 0) AS capped, coalesce(ok, 0) AS providers_ok, coalesce(failed, 0) AS providers_failed, coalesce(skipped, 0) AS providers_skipped
+    FROM (SELECT unnest(range(6)) AS company_id) x LEFT JOIN a USING (company_id) LEFT JOIN b USING (company_id) LEFT JOIN c USING (company_id)""")
+def collection_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return collect.collect(_order_items(spark, sf), _order_companies(spark), _calls(spark, sf))[2]
+
+
+@query(f"""WITH {SQL_RUN}, r AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY pos) AS rn FROM unique_ WHERE reason IS NULL)
+    SELECT company_id, 'https://example.com/' || pos AS url, true AS relevant, NULL AS rejection_reason, 'neutral' AS sentiment, 0.6::DOUBLE AS confidence FROM r WHERE rn <= 25
+    UNION ALL SELECT company_id, 'https://example.com/' || pos, false, reason, NULL, NULL FROM unique_ WHERE reason IS NOT NULL""")
+def run_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """The mentions after a whole run and after it was run again, which changes nothing."""
+    store, args = run.Store(spark, daily.work_folder(spark, "run")), (_order_companies(spark), _calls(spark, sf))
+    for again in ("first", "second"):
+        run.run_pipeline(_order_items(spark, sf), *args, store, classify.keyword_model, "offline", "v1@0", again, now())
+    found = store.mentions.read().join(store.articles.read(), "article_id")
+    return found.select("company_id", "url", "relevant", "rejection_reason", "sentiment", "confidence")
+
+
+@query(f"""WITH {SQL_COMPANIES},{SQL_MENTIONS} SELECT company_id, c.name AS company, article_id, 'Order ' || article_id AS title,
+      'https://example.com/' || article_id AS url, strftime(published_at, '%Y-%m-%d %H:%M:%S') AS published_at, sentiment
+    FROM mentions m JOIN companies c USING (company_id) WHERE relevant AND classified_at IS NOT NULL""")
+def export_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    out = exports.mention_export(mentions(spark, sf), articles(spark, sf), companies(spark, sf))
+    return out.withColumn("published_at", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(f"""WITH {SQL_ROLLUP}, e AS (SELECT m.* FROM mentions m JOIN companies USING (company_id) WHERE relevant AND classified_at IS NOT NULL),
+    top AS (SELECT name, mentions_in_window, status FROM rollup_ ORDER BY mentions_in_window DESC, name LIMIT 20)
+    SELECT 'companies' AS part, NULL AS name, count(*) AS n FROM rollup_ UNION ALL SELECT 'mentions', NULL, count(*) FROM e
+    UNION ALL SELECT 'status', status, count(*) FROM rollup_ GROUP BY status UNION ALL SELECT 'month', strftime(published_at, '%Y-%m'), count(*) FROM e GROUP BY 2
+    UNION ALL SELECT 'top', name, mentions_in_window FROM top""")
+def export_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """The summary as it reads back from the written JSON."""
+    made = exports.export_all(_rollup(spark, sf), mentions(spark, sf), articles(spark, sf), companies(spark, sf), daily.work_folder(spark, "exports"), now())
+    schema = "totals struct<companies: long, mentions: long>, companies_by_status map<string, long>, mentions_by_month map<string, long>, top_companies array<struct<name: string, mentions: long>>"
+    one = spark.read.schema(schema).json(made["quarterly_summary"])
+    parts = [one.select(F.lit(p).alias("part"), F.lit(None).cast("string").alias("name"), F.col(f"totals.{p}").alias("n")) for p in ("companies", "mentions")]
+    parts += [one.select(F.lit(p).alias("part"), F.explode(c).alias("name", "n")) for p, c in (("status", "companies_by_status"), ("month", "mentions_by_month"))]
+    parts.append(one.select(F.inline("top_companies")).select(F.lit("top").alias("part"), "name", F.col("mentions").alias("n")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query(f"WITH {SQL_COMPANIES},{SQL_MENTIONS} SELECT id, coalesce(ambiguity, 'low') AS tier FROM mentions LEFT JOIN companies USING (company_id)")
+def mention_tiers(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.with_tier(mentions(spark, sf), companies(spark, sf)).select("id", "tier")
+
+
+def _f1(pairs: str, labels: str) -> str:
+    """SQL of the macro F1 of a table of pairs over a list of labels."""
+    return f"""(SELECT round(avg(coalesce(2.0 * tp / nullif(a + p, 0), 0)), 9) FROM (SELECT l, count(*) FILTER (WHERE actual = l) AS a,
+      count(*) FILTER (WHERE predicted = l) AS p, count(*) FILTER (WHERE actual = l AND predicted = l) AS tp
+      FROM (SELECT unnest([{labels}]) AS l) LEFT JOIN {pairs} ON true GROUP BY l))"""
+
+
+@query(f"""WITH g AS MATERIALIZED (SELECT quality = 1 AS gold, CASE doc_id % 3 WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' ELSE 'neutral' END AS mood,
+      CASE WHEN doc_id % 10 <> 0 THEN length(text) > 1000 END AS said, CASE doc_id % 4 WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' WHEN 2 THEN 'neutral' END AS heard,
+      length(text) AS ms FROM labels JOIN documents USING (doc_id)),
+    rel AS (SELECT CASE WHEN gold THEN 'relevant' ELSE 'irrelevant' END AS actual, CASE WHEN said THEN 'relevant' ELSE 'irrelevant' END AS predicted FROM g WHERE said IS NOT NULL),
+    sen AS (SELECT mood AS actual, coalesce(heard, 'not_applicable') AS predicted FROM g WHERE said IS NOT NULL AND gold),
+    o AS (SELECT ms, row_number() OVER (ORDER BY ms) - 1 AS rn, count(*) OVER () AS n FROM g WHERE ms IS NOT NULL)
+    SELECT count(*) AS items, count(*) FILTER (WHERE said IS NULL) AS failures, round(count(said) / count(*), 9) AS json_validity_rate,
+      floor(count(*) / 10.0::DOUBLE * 10 + 0.5) / 10 AS items_per_minute, floor(2500 / (count(*) / 10.0::DOUBLE) * 10 + 0.5) / 10 AS projected_minutes,
+      (SELECT max(ms) FROM o WHERE rn = least(n - 1, floor(n * 0.5))) AS p50_latency_ms, (SELECT max(ms) FROM o WHERE rn = least(n - 1, floor(n * 0.95))) AS p95_latency_ms,
+      (SELECT count(*) FROM rel) AS relevance_n, (SELECT round(avg((actual = predicted)::INT), 9) FROM rel) AS relevance_accuracy,
+      {_f1("rel", "'relevant', 'irrelevant'")} AS relevance_macro_f1,
+      (SELECT count(*) FROM sen) AS sentiment_n, (SELECT round(avg((actual = predicted)::INT), 9) FROM sen) AS sentiment_accuracy,
+      {_f1("sen", "'positive', 'negative', 'neutral', 'not_applicable'")} AS sentiment_macro_f1 FROM g""")
+def run_score(spark: SparkSession, sf: str) -> DataFrame:
+    n, pick = F.col("doc_id"), lambda k, words: F.get(F.array(*[F.lit(w) for w in words]), (F.col("doc_id") % k).cast("int"))
+    answers = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id").select(
+        (F.col("quality") == 1).alias("gold_relevant"), pick(3, ("positive", "negative", "neutral")).alias("gold_sentiment"),
+        F.when(n % 10 != 0, F.length("text") > 1000).alias("relevant"), pick(4, ("positive", "negative", "neutral", None)).alias("sentiment"),
+        F.length("text").alias("latency_ms"),
+    )
+    out = evaluate.run_score(answers, 600000.0)
+    return out.select(*[F.round(c, 9).alias(c) if c.endswith(("_f1", "accuracy", "validity_rate")) else c for c in out.columns])
