@@ -54,7 +54,7 @@ _CONTRACT = """
         FROM (SELECT w, unnest(toks[:-2]) AS l, unnest(toks[2:]) AS r, generate_subscripts(toks[2:], 1) AS i FROM t) p
         JOIN merges g ON g.l = p.l AND g.r = p.r
         GROUP BY p.w) b ON b.w = t.w, LATERAL (SELECT (best & 4294967295)::INT AS i, (best >> 32)::INT AS m))
-    SELECT w, toks FROM t QUALIFY row_number() OVER (PARTITION BY w ORDER BY step DESC) = 1
+    SELECT t.w, t.toks FROM t JOIN (SELECT w, max(step) AS step FROM t GROUP BY w) e ON e.w = t.w AND e.step = t.step
 """
 
 #: Neighbouring tokens (l, r): the rank of their merge; the least rank of a merge of r with something that ends
@@ -267,12 +267,21 @@ class Codec:
     def learn(self, words: list[bytes], known: dict[bytes, bytes], lead: bytes) -> None:
         """Encode distinct words that begin with lead, as little-endian unsigned 32-bit ids."""
         findall, ids = self.pieces.findall, self.single
-        cut = [[p.encode() for p in findall((lead + w).decode("utf-8", "replace"))] for w in words]
-        new = list({p for own in cut for p in own if p not in ids})
+        pieces, ends = [], []  # flat: a list for each word would be work for the collector
+        for w in words:
+            pieces += findall((lead + w).decode("utf-8", "replace"))
+            ends.append(len(pieces))
+        pieces = [p.encode() for p in pieces]
+        new = list({p for p in pieces if p not in ids})
         fresh = dict(zip(new, self.packed_pieces(new), strict=True))
-        for w, own in zip(words, cut, strict=True):
-            known[w] = b"".join([ids.get(p) or fresh[p] for p in own])
-            self.held += ENTRY_BYTES + len(w) + len(known[w])
+        packed = [ids.get(p) or fresh[p] for p in pieces]
+        begin = size = 0
+        for w, end in zip(words, ends, strict=True):
+            own = packed[begin] if end == begin + 1 else b"".join(packed[begin:end])
+            known[w] = own
+            size += len(w) + len(own)
+            begin = end
+        self.held += size + ENTRY_BYTES * len(words)
 
     def _forget(self, plain: set[bytes], spaced: set[bytes]) -> None:
         """Keep the words of the texts at hand only."""
