@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, exact_dedup, html_text, langid, mixing, pii, quality_classifier, quality_rules, secret_scan, simhash
+from . import (
+    bpe, divergence, exact_dedup, html_text, langid, merkle, mixing, pii, quality_classifier, quality_rules, secret_scan, simhash,
+    toxicity,
+)
 from .common import table
 
 
@@ -55,11 +58,23 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_mix_sources, op3_byte_bpe, op4_quality_classifier, op5_exact_dedup, op6_quality_rules,
-        op7_html_text, op8_secret_scan, op9_simhash, op10_pii,
+        op7_html_text, op8_secret_scan, op9_simhash, op10_pii, op11_toxicity, op12_merkle_manifest, op13_source_divergence,
     )
 }
 
@@ -100,4 +115,90 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, size, source_size, target, sum(CASE WHEN taken THEN size ELSE 0 END)::BIGINT AS taken
         FROM r GROUP BY doc_id, k, size, source_size, target, cum
     """,
+    "op12_merkle_manifest": r"""
+        WITH RECURSIVE d AS (
+          SELECT row_number() OVER (ORDER BY source NULLS FIRST, doc_id NULLS FIRST) AS id, *,
+            list_reduce(
+              list_concat([4294967295::BIGINT], list_transform(range(1, length(coalesce(doc_id::VARCHAR, '')) + 1),
+                lambda i: ascii(substr(doc_id::VARCHAR, i::INT, 1))::BIGINT)),
+              lambda crc, b: list_reduce(list_concat([xor(crc, b)], range(8)),
+                lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS crc
+          FROM documents),
+        f AS (
+          SELECT id, doc_id, source,
+            concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+                   coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head,
+            text, CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS changed
+          FROM d),
+        leaf AS (
+          SELECT id, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                 sha256(head || coalesce(strlen(changed) || ':' || changed, '-')) AS other
+          FROM f),
+        placed AS (
+          SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, id) - 1 AS ix, count(*) OVER (PARTITION BY source) AS n,
+                 dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree
+          FROM leaf),
+        low(tree, level, ix, digest, n) AS (
+          SELECT tree, 0, ix, leaf, n FROM placed
+          UNION ALL
+          SELECT tree, level + 1, ix // 3, sha256(string_agg(digest, '' ORDER BY ix)), (n + 2) // 3 FROM low WHERE n > 1
+          GROUP BY tree, level, ix // 3, n),
+        subroots AS (SELECT tree, max(level) AS height, arg_max(digest, level) AS subroot FROM low GROUP BY tree),
+        high(level, ix, digest, n) AS (
+          SELECT 0, tree, subroot, (SELECT count(*) FROM subroots) FROM subroots
+          UNION ALL
+          SELECT level + 1, ix // 3, sha256(string_agg(digest, '' ORDER BY ix)), (n + 2) // 3 FROM high WHERE n > 1
+          GROUP BY level, ix // 3, n),
+        top AS (SELECT max(level) AS height, arg_max(digest, level) AS root FROM high),
+        steps AS (
+          SELECT p.id, s.level AS step,
+                 coalesce(string_agg(s.digest, '' ORDER BY s.ix) FILTER (s.ix < p.ix // pow(3, s.level)::BIGINT), '') AS before,
+                 coalesce(string_agg(s.digest, '' ORDER BY s.ix) FILTER (s.ix > p.ix // pow(3, s.level)::BIGINT), '') AS after
+          FROM placed p JOIN low s ON s.tree = p.tree AND s.n > 1 AND s.ix // 3 = p.ix // pow(3, s.level + 1)::BIGINT
+          GROUP BY p.id, s.level
+          UNION ALL
+          SELECT p.id, r.height + h.level,
+                 coalesce(string_agg(h.digest, '' ORDER BY h.ix) FILTER (h.ix < p.tree // pow(3, h.level)::BIGINT), ''),
+                 coalesce(string_agg(h.digest, '' ORDER BY h.ix) FILTER (h.ix > p.tree // pow(3, h.level)::BIGINT), '')
+          FROM placed p JOIN subroots r ON r.tree = p.tree JOIN high h ON h.n > 1 AND h.ix // 3 = p.tree // pow(3, h.level + 1)::BIGINT
+          GROUP BY p.id, r.height + h.level),
+        proofs AS (SELECT id, sha256(string_agg(before || after, '' ORDER BY step)) AS proof, max(step) AS last FROM steps GROUP BY id),
+        walk(id, step, digest) AS (
+          SELECT id, 0, other FROM placed
+          UNION ALL
+          SELECT w.id, w.step + 1, sha256(s.before || w.digest || s.after) FROM walk w JOIN steps s ON s.id = w.id AND s.step = w.step),
+        ends AS (SELECT id, arg_max(digest, step) AS folded FROM walk GROUP BY id)
+        SELECT p.doc_id, p.leaf, r.subroot, t.root, coalesce(q.proof, sha256('')) AS proof_sha256, e.folded AS folded_root, e.folded = t.root AS verified
+        FROM placed p JOIN subroots r ON r.tree = p.tree CROSS JOIN top t LEFT JOIN proofs q ON q.id = p.id JOIN ends e ON e.id = p.id
+    """,
+    "op13_source_divergence": r"""
+        WITH d AS (
+          SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                 translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+          FROM documents),
+        w AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        kept AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+        c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+        v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        gt AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+        lt AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM c GROUP BY ALL),
+        lv AS (SELECT lang, sum(n)::HUGEINT AS total FROM c GROUP BY lang),
+        p AS (
+          SELECT gt.lang, gt.source, k.term, coalesce(c.n, 0) AS n,
+                 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (gt.total + 2 * v.v) AS p
+          FROM gt JOIN v USING (lang) JOIN kept k USING (lang) LEFT JOIN c ON c.lang = gt.lang AND c.source = gt.source AND c.term = k.term),
+        q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (lt.n + 2)) // (lv.total + 2 * v.v) AS q FROM lt JOIN lv USING (lang) JOIN v USING (lang)),
+        pairs AS (
+          SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+          FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        found AS (
+          SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+          UNION ALL
+          SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found)
+        SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+    """,
 }
