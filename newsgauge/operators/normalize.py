@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,78 +42,157 @@ def best_of_url(items: DataFrame, by: list[str], order: str = "position") -> Dat
     return best.select("_best.*", "reports")
 
 
-def _story(items: DataFrame) -> DataFrame:
-    """items with a story number: items that share a URL or a content key, directly or through others."""
-    items = stored(items, "items")
-    first = lambda key: F.min("position").over(Window.partitionBy("scope", key))
-    meet = items.select(F.col("position").alias("u"), first("id").alias("a"), first("content_key").alias("b"))
-    found = groups(meet.select("u", F.explode(F.array("a", "b")).alias("v")))
-    story = F.coalesce("root", "position").alias("story")
-    return items.join(found, F.col("position") == F.col("node"), "left").select(*items.columns, story)
-
+class _Fold:
+    """Items in order of arrival: each joins the first slot it matches or opens one.
 
-def _fold(pdf: pd.DataFrame, tolerance: pd.Timedelta) -> pd.DataFrame:
-    """Items of one story in order of arrival: each joins the first slot it matches or opens one.
-
-    A slot's holder may change; the keys of earlier holders still lead to it.
+    A slot's holder may change; the keys of earlier holders still lead to it. Slots of a
+    content key are found by the week (or whatever the tolerance is) of their holder, so a row
+    looks at three weeks however many slots there are.
     """
-    pdf = pdf.sort_values("position").reset_index(drop=True)
-    holders: list[int] = []
-    urls: dict[str, int] = {}
-    contents: dict[str, list[int]] = {}
-    reasons: list[str | None] = [None] * len(pdf)
-    ids, keys, opaque, dates = (pdf[c].tolist() for c in ("id", "content_key", "opaque", "published_at"))
-
-    def near(slot: int, row: int) -> bool:
-        a, b = dates[holders[slot]], dates[row]
-        return pd.isna(a) or pd.isna(b) or abs(a - b) <= tolerance
-
-    def first(a: int, b: int) -> bool:
+
+    def __init__(self, tolerance: int):
+        self.tolerance = tolerance
+        self.holders: list[tuple] = []
+        self.urls: dict[tuple, int] = {}
+        self.named: list[list[tuple]] = []  # of each slot: (content key, number among the slots of that key)
+        self.slots: dict[tuple, list[int]] = {}
+        self.weeks: dict[tuple, dict[int | None, set[int]]] = {}
+
+    def _week(self, date: int | None) -> int | None:
+        return None if date is None else date // self.tolerance
+
+    def _same_content(self, key: tuple, date: int | None) -> int | None:
+        slots = self.slots.get(key)
+        if not slots or date is None:
+            return slots[0] if slots else None
+        weeks, week = self.weeks[key], self._week(date)
+        near = [
+            n
+            for w in (None, week - 1, week, week + 1)
+            for n in weeks.get(w, ())
+            if w is None or abs(self.holders[slots[n]][3] - date) <= self.tolerance
+        ]
+        return slots[min(near)] if near else None
+
+    def _stays(self, a: tuple, b: tuple) -> bool:
         """Whether the holder a stays before b."""
-        if opaque[a] != opaque[b]:
-            return not opaque[a]
-        return pd.isna(dates[a]) or pd.isna(dates[b]) or dates[a] <= dates[b]
+        if a[2] != b[2]:
+            return not a[2]
+        return a[3] is None or b[3] is None or a[3] <= b[3]
 
-    for row in range(len(pdf)):
-        slot, why = urls.get(ids[row]), "same-url"
+    def add(self, row: tuple) -> tuple | None:
+        """row: url key, content key, opaque, date, name. Returns (name, reason) of the row that this one makes a duplicate."""
+        slot, reason, lost = self.urls.get(row[0]), "same-url", None
         if slot is None:
-            slot = next((s for s in contents.get(keys[row], ()) if near(s, row)), None)
-            why = "same-content"
+            slot, reason = self._same_content(row[1], row[3]), "same-content"
         if slot is None:
-            holders.append(row)
-            slot = len(holders) - 1
+            slot = len(self.holders)
+            self.holders.append(row)
+            self.named.append([])
         else:
-            stays = first(holders[slot], row)
-            reasons[row if stays else holders[slot]] = why
-            holders[slot] = holders[slot] if stays else row
-        urls[ids[holders[slot]]] = slot
-        known = contents.setdefault(keys[holders[slot]], [])
-        if slot not in known:
-            known.append(slot)
-    return pdf.assign(duplicate_reason=reasons)
+            held = self.holders[slot]
+            if self._stays(held, row):
+                return row[4], reason
+            for key, n in self.named[slot]:
+                self.weeks[key][self._week(held[3])].discard(n)
+                self.weeks[key].setdefault(self._week(row[3]), set()).add(n)
+            self.holders[slot], lost = row, (held[4], reason)
+        self.urls[row[0]] = slot
+        if all(key != row[1] for key, _ in self.named[slot]):
+            n = len(self.slots.setdefault(row[1], []))
+            self.slots[row[1]].append(slot)
+            self.named[slot].append((row[1], n))
+            self.weeks.setdefault(row[1], {}).setdefault(self._week(row[3]), set()).add(n)
+        return lost
+
+
+def _sessions(rows: DataFrame, tolerance: int) -> DataFrame:
+    """content, week, node, low, high, open: runs of weeks of a content key without a gap above the tolerance.
+
+    Counted by (content key, week) first, so that a key of very many items is a few rows. A key
+    with an item without a date is one run, since such an item is near to any.
+    """
+    cells = rows.groupBy("content", "week").agg(F.min("date").alias("low"), F.max("date").alias("high"))
+    order = Window.partitionBy("content").orderBy("week")
+    undated = F.max(F.col("low").isNull()).over(Window.partitionBy("content"))
+    gap = (F.col("low") - F.lag("high").over(order) > tolerance).cast("int")
+    cut = cells.withColumn("open", undated).withColumn("gap", F.when(undated, 0).otherwise(F.coalesce(gap, F.lit(0))))
+    node = F.xxhash64("content", F.sum("gap").over(order))
+    return cut.select("content", "week", node.alias("node"), "low", "high", "open")
+
+
+def _stories(rows: DataFrame, tolerance: int) -> DataFrame:
+    """rows with ``story``: whatever can bear on one another in the fold has one story.
+
+    Content keys are cut at gaps in time and joined again by the URLs that cross. A holder may
+    take a slot of one key to the dates of another, so runs of a key that lie within the
+    tolerance of what its run was joined with come in too, until none is left outside. Names are hashes:
+    two that fall together make one story of two, which the fold keeps apart.
+    """
+    sessions = stored(_sessions(rows, tolerance), "sessions")
+    week = rows["week"].eqNullSafe(sessions["week"])
+    placed = rows.join(sessions.select("content", "week", "node"), (rows["content"] == sessions["content"]) & week).select(rows["*"], "node")
+    placed = stored(placed, "placed")
+    links = placed.groupBy("url").agg(F.min("node").alias("v"), F.max("node").alias("most")).where("v <> most")
+    links = placed.join(links.select("url", "v"), "url").select(F.col("node").alias("u"), "v").where("u <> v").distinct()
+    links = stored(links, "links")
+    if links.isEmpty():
+        return placed.withColumnRenamed("node", "story")
+    runs = sessions.groupBy("content", "node").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("open").alias("open"))
+    while True:
+        roots = groups(links)
+        of = runs.join(roots, "node", "left").withColumn("story", F.coalesce("root", "node"))
+        reach = of.where("root IS NOT NULL").groupBy("story").agg(
+            F.min("low").alias("from"), F.max("high").alias("to"), F.max("open").alias("any"), F.min("content").alias("a"), F.max("content").alias("b")
+        ).where("a <> b").drop("a", "b")  # runs of one key lie apart, whichever of them are joined
+        keys = of.where("root IS NOT NULL").select("story", "content").distinct().join(reach, "story")
+        outside = of.select("content", "node", "low", "high", F.col("story").alias("own"))
+        near = F.col("any") | ((F.col("low") - tolerance <= F.col("to")) & (F.col("high") + tolerance >= F.col("from")))
+        more = keys.join(outside, "content").where((F.col("own") != F.col("story")) & near)
+        more = stored(more.select(F.col("node").alias("u"), F.col("story").alias("v")).distinct(), "links")
+        if more.isEmpty():
+            return placed.join(roots, "node", "left").select(*rows.columns, F.coalesce("root", "node").alias("story"))
+        links = links.unionByName(more)
 
 
 def dedupe_items(items: DataFrame, scope: str, tolerance_days: int = 7) -> DataFrame:
-    """Stored items with duplicate_reason: null for those that remain, else same-url or same-content.
+    """items with duplicate_reason: null for those that remain, else same-url or same-content.
 
     Items of one scope (a company) are the same article if their canonical URLs are, or
     if title and publisher are and their dates are within the tolerance; a missing date
     is within any. Which items remain depends on the order of arrival (``position``,
-    unique). Items that share neither URL nor title with another never leave the JVM;
-    the others are folded story by story, so a company with very many items is not one
-    task.
+    unique in a scope). A title is cut into stories where no report comes for longer than the
+    tolerance and no shared URL crosses; stories are folded apart, each as a stream of five narrow columns
+    of which only open slots are held. ``items`` is read twice and must give the same rows.
     """
-    keyed = items.withColumn("scope", F.col(scope)).withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
-    alone = F.count("*").over(Window.partitionBy("scope", "id")) + F.count("*").over(Window.partitionBy("scope", "content_key"))
-    counted = keyed.withColumn("_n", alone)
-    single = counted.where("_n = 2").drop("_n").withColumn("duplicate_reason", F.lit(None).cast("string"))
-    shared = _story(counted.where("_n > 2").drop("_n"))
-    tolerance = pd.Timedelta(days=tolerance_days)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shared.schema.fields)
-    folded = shared.groupBy("scope", "story").applyInPandas(
-        lambda pdf: _fold(pdf, tolerance), f"{schema}, duplicate_reason string"
-    )
-    return single.unionByName(folded.drop("story")).drop("scope")
+    tolerance = max(1, tolerance_days * 86_400_000_000)
+    date = F.unix_micros(F.col("published_at").cast("timestamp"))
+    of = F.col(scope)
+    rows = items.select(
+        of.alias("scope"), "position", "id", "content_key", "opaque", date.alias("date"),
+        F.xxhash64(of.cast("string"), F.lit(1), "content_key").alias("content"), F.xxhash64(of.cast("string"), F.lit(2), "id").alias("url"),
+        F.floor(date / tolerance).alias("week"),
+    )
+    placed = _stories(stored(rows, "items"), tolerance)
+    told = placed.select("story", "scope", "position", "id", "content_key", "opaque", "date")
+    told = told.repartition("story").sortWithinPartitions("story", "position")
+    schema = placed.select("scope", "position").withColumn("reason", F.lit("")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        story, fold = None, None
+        for batch in batches:
+            lost = []
+            for at, of, position, ident, key, opaque, date in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if fold is None or at != story:
+                    story, fold = at, _Fold(tolerance)
+                if found := fold.add(((of, ident), (of, key), opaque, date, (of, position))):
+                    lost.append((*found[0], found[1]))
+            columns = zip(*lost, strict=True) if lost else ((), (), ())
+            types = [batch.schema.field(n).type for n in ("scope", "position")] + [pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["scope", "position", "reason"])
+
+    lost = told.mapInArrow(run, schema).select(F.col("scope").alias("_of"), F.col("position").alias("_at"), F.col("reason").alias("duplicate_reason"))
+    return items.join(lost, of.eqNullSafe(F.col("_of")) & (F.col("position") == F.col("_at")), "left").select(*items.columns, "duplicate_reason")
 
 
 def outcome(reason: Column, duplicate: Column) -> Column:

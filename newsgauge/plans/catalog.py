@@ -213,14 +213,34 @@ def url_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     return normalize.best_of_url(stored, ["canonical_url"]).select("canonical_url", "position", "reports")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SQL_ITEMS}, n AS (SELECT company_id AS c, {{'pos': position, 'id': canonical_url, 'k': title || '|' ||
+        CASE WHEN position % 4 = 1 THEN 'paper.example' ELSE host END, 'o': host = 'news.google.com', 'd': epoch_us(published_at)}} AS r,
+        row_number() OVER (PARTITION BY company_id ORDER BY position) AS rn
+      FROM items WHERE trim(title) <> '' AND published_at IS NOT NULL),
+    f AS (SELECT c, rn, [r] AS slots, [{{'id': r.id, 's': 1::BIGINT}}] AS urls, [{{'k': r.k, 's': 1::BIGINT}}] AS named, NULL::BIGINT AS lost, '' AS why
+        FROM n WHERE rn = 1
+      UNION ALL
+      SELECT c, rn, CASE WHEN slot IS NULL THEN list_append(slots, r) WHEN stays THEN slots ELSE slots[:slot - 1] || [r] || slots[slot + 1:] END,
+        CASE WHEN stays OR len(list_filter(urls, lambda u: u.id = r.id)) > 0 THEN urls ELSE list_append(urls, {{'id': r.id, 's': ix}}) END,
+        CASE WHEN stays OR len(list_filter(named, lambda x: x.k = r.k AND x.s = ix)) > 0 THEN named ELSE list_append(named, {{'k': r.k, 's': ix}}) END,
+        CASE WHEN slot IS NULL THEN NULL WHEN stays THEN r.pos ELSE slots[slot].pos END, why
+      FROM (SELECT *, coalesce(slot, len(slots) + 1) AS ix, slot IS NOT NULL AND CASE WHEN slots[slot].o <> r.o THEN NOT slots[slot].o
+                ELSE slots[slot].d <= r.d END AS stays
+        FROM (SELECT *, coalesce(by_url, by_key) AS slot, CASE WHEN by_url IS NULL THEN 'same-content' ELSE 'same-url' END AS why
+          FROM (SELECT f.c, n.rn, f.slots, f.urls, f.named, n.r, list_filter(f.urls, lambda u: u.id = n.r.id)[1].s AS by_url,
+              list_filter(f.named, lambda x: x.k = n.r.k AND abs(f.slots[x.s].d - n.r.d) <= 604800000000)[1].s AS by_key
+            FROM f JOIN n ON n.c = f.c AND n.rn = f.rn + 1)))),
+    skipped AS (SELECT position, CASE WHEN trim(title) = '' THEN 'no-title' WHEN published_at IS NULL THEN 'no-date' END AS skip_reason FROM items)
+    SELECT position, skip_reason, f.why AS duplicate_reason,
+      CASE WHEN skip_reason IS NOT NULL THEN 'skipped' WHEN f.why IS NOT NULL THEN 'duplicate' ELSE 'stored' END AS outcome
+    FROM skipped LEFT JOIN f ON f.lost = position""")
 def item_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     """Every item of the pages with what became of it; held against a plain loop in the tests."""
     made = normalize.normalize_items(_page_items(spark, sf))
     kept = normalize.dedupe_items(made.where("skip_reason IS NULL"), "company_id")
     every = made.where("skip_reason IS NOT NULL").withColumn("duplicate_reason", F.lit(None).cast("string"))
-    every = every.unionByName(kept.withColumn("published_at", F.col("published_at").cast("timestamp")))
-    return every.select("position", "skip_reason", "duplicate_reason", normalize.outcome(F.col("skip_reason"), F.col("duplicate_reason")).alias("outcome"))
+    made_of = normalize.outcome(F.col("skip_reason"), F.col("duplicate_reason")).alias("outcome")
+    return every.unionByName(kept).select("position", "skip_reason", "duplicate_reason", made_of)
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id, event_type, ts, event_id,

@@ -58,14 +58,15 @@ def plain_dedupe(rows):
         at, why = by_id.get(ident), "same-url"
         if at is None:
             why = "same-content"
-            at = next((s for s in by_key.get(key, []) if abs((held[s][4] - date).days) < 7 or abs(held[s][4] - date) <= dt.timedelta(days=7)), None)
+            near = lambda s: held[s][4] is None or date is None or abs(held[s][4] - date) <= dt.timedelta(days=7)  # noqa: B023, E731
+            at = next((s for s in by_key.get(key, []) if near(s)), None)
         new = (pos, ident, key, opaque, date)
         if at is None:
             held.append(new)
             at = len(held) - 1
         else:
             old = held[at]
-            stays = (not old[3]) if old[3] != opaque else old[4] <= date
+            stays = (not old[3]) if old[3] != opaque else old[4] is None or date is None or old[4] <= date
             out[(new if stays else old)[0]] = why
             held[at] = old if stays else new
         by_id[held[at][1]] = at
@@ -297,11 +298,48 @@ def test_a_long_chain_of_reports_is_one_story(spark):
     """Neighbours share a URL or a title in turn; no number of links is too many."""
     rows = [(i, "c", f"u{i // 2}", f"t{(i + 1) // 2}", False, None) for i in range(80)]
     items = spark.createDataFrame(rows, "position int, scope string, id string, content_key string, opaque boolean, published_at timestamp")
-    assert {r["story"] for r in normalize._story(items).collect()} == {0}
+    names = {c: F.xxhash64(c) for c in ("id", "content_key")}
+    rows = items.select("position", names["id"].alias("url"), names["content_key"].alias("content"), F.lit(None).cast("bigint").alias("date"), F.lit(None).cast("bigint").alias("week"))
+    assert normalize._stories(rows, 7).select("story").distinct().count() == 1
     found = normalize.dedupe_items(items.drop("scope").withColumn("company_id", F.lit(1)), "company_id")
     assert found.count() == 80 and found.where("duplicate_reason IS NULL").count() == 40  # what is dropped leads nobody on
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_split_stories_equal_a_plain_loop(spark, seed):
+    """Titles over two years, URLs that cross titles and years, missing dates: many stories, the same rows as one loop."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(300):
+        date = None if seed == 3 and rng.random() < 0.02 else dt.datetime(2024, 1, 1) + dt.timedelta(hours=rng.randrange(24 * 700))
+        url = f"u{rng.randrange(40)}" if rng.random() < (0.05, 0.2, 0.5, 0.1)[seed] else f"own{i}"
+        rows.append((i, url, f"t{rng.randrange(5)}", rng.random() < 0.2, date))
+    df = spark.createDataFrame([(*r, "c") for r in rows], "position int, id string, content_key string, opaque boolean, published_at timestamp, company_id string")
+    got = {r["position"]: r["duplicate_reason"] for r in normalize.dedupe_items(df, "company_id").collect()}
+    assert got == plain_dedupe(rows)
+
+
+def test_a_hot_title_is_many_stories(spark):
+    """Half of all items have one title: gaps cut it, a URL reported again after a year joins two pieces and no more."""
+    day, at = 86_400_000_000, F.col("id")
+    date = at % 50 * 20 * day
+    rows = spark.range(2_000).select(
+        at.alias("position"), F.when(at < 1_000, 1).otherwise(at).cast("bigint").alias("content"), date.alias("date"), F.floor(date / (7 * day)).alias("week"),
+        F.when(at.isin(3, 24), -1).otherwise(at).alias("url"),
+    )
+    found = normalize._stories(rows, 7 * day).where("position < 1000").groupBy("story").count().collect()
+    assert len(found) == 49 and sorted(r["count"] for r in found)[-2:] == [20, 40]
+
+
+def test_many_slots_of_one_title_are_found_by_week():
+    fold = normalize._Fold(7)
+    for i in range(20_000):
+        fold.add((("c", i), ("c", "t"), False, i * 10, i))
+    assert len(fold.holders) == 20_000
+    assert fold.add((("c", -1), ("c", "t"), False, 150_003, "x")) == ("x", "same-content")
+    assert fold.add((("c", -2), ("c", "t"), False, None, "y")) == ("y", "same-content")
+
+
 def test_a_lost_pointer_is_an_error(spark, tmp_path):
     t = persist.Table(spark, str(tmp_path / "t"), "id long")
     t.replace(spark.range(3))
