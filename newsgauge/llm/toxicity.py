@@ -10,21 +10,20 @@ Adagrad.
 Distinct words, since copies of one word say no more than the word does. Once trained, a text's
 margin is a sum over its words, so scoring looks up one number a word and reads whole texts.
 
-Training takes at most ``max_rows`` labelled texts (smallest hashes of their ids), dealt by hash
-to shards of some 4,000 texts and 150 MB of bags at most. In each of ``rounds`` rounds all shards
-go on from the same model and their results are averaged, so neither the tasks nor what comes
-to the driver grow with the corpus.
+Training takes at most ``max_rows`` labelled texts (smallest hashes of their ids) and ``max_bytes``
+of packed bags. They are one task: shards that learn apart and are averaged lose a tenth of the
+toxic texts. Neither that task nor the model that comes back grows with the corpus.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, slices
@@ -33,8 +32,6 @@ from .langid import held_out
 BITS = 17
 DIM = 16
 GRAMS = (3, 4, 5)
-#: Texts and bytes of bags that one shard may hold.
-SHARD_ROWS, SHARD_BYTES = 4_000, 150_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PRIME = np.uint64(0x100000001B3)
 
@@ -66,20 +63,29 @@ def distinct_words(text: str | None) -> list[str]:
 
 
 def bag(text: str | None, words_at_once: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
-    """A text's distinct embedding rows and what each weighs: its times over the root of the bag's size."""
-    words, rows, times = distinct_words(text), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    total = 0
-    for part in _parts(words, words_at_once):
-        found, sizes = subwords(part)
-        total += int(sizes.sum())
-        counted = np.bincount(found, minlength=1 << BITS) if len(found) > 1 << BITS - 3 else None
-        at, n = (np.flatnonzero(counted), counted[counted > 0]) if counted is not None else np.unique(found, return_counts=True)
-        merged = np.union1d(rows, at)
-        sums = np.zeros(len(merged), np.int64)
-        sums[np.searchsorted(merged, rows)] += times
-        sums[np.searchsorted(merged, at)] += n
-        rows, times = merged, sums
-    return rows, (times / np.sqrt(max(1, total))).astype(np.float32)
+    """A text's distinct embedding rows, ascending, and how often each occurs."""
+    times = np.zeros(1 << BITS, np.int64)
+    for part in _parts(distinct_words(text), words_at_once):
+        times += np.bincount(subwords(part)[0], minlength=1 << BITS)
+    rows = np.flatnonzero(times)
+    return rows, times[rows]
+
+
+def weights(times: np.ndarray) -> np.ndarray:
+    """What each row of a bag weighs: its times over the root of the bag's size."""
+    return (times / np.sqrt(max(1, times.sum()))).astype(np.float32)
+
+
+def packed(rows: np.ndarray, times: np.ndarray) -> bytes:
+    """A bag in one to two bytes a row: steps between rows and times, byte by byte of significance, compressed."""
+    both = np.stack([np.diff(rows, prepend=0), times], axis=1).astype("<u4")
+    return zlib.compress(both.view(np.uint8).reshape(len(rows), 8).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
+    both = np.ascontiguousarray(planes.T).view("<u4")
+    return np.cumsum(both[:, 0], dtype=np.int64), both[:, 1].astype(np.int64)
 
 
 def _parts(words: list[str], most: int, chars: int = 1_000_000) -> Iterator[list[str]]:
@@ -109,15 +115,10 @@ class Model:
         start = (np.random.default_rng(seed).random((1 << BITS, DIM), np.float32) - 0.5) / DIM
         return cls(start, np.full(1 << BITS, 1e-8, np.float32), np.zeros((2, DIM + 1)), np.full((2, DIM + 1), 1e-8))
 
-    def parts(self) -> list[np.ndarray]:
-        return [self.embeddings, self.embeddings_seen, self.softmax, self.softmax_seen]
-
-    def copy(self) -> Model:
-        return Model(*[x.copy() for x in self.parts()])
-
-    def learn(self, bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], rate: float) -> None:
+    def learn(self, bags: Iterable[tuple[np.ndarray, np.ndarray]], labels: list[int], rate: float) -> None:
         """One pass over the texts in the given order; embeddings and softmax move together."""
-        for (at, weight), label in zip(bags, labels, strict=True):
+        for (at, times), label in zip(bags, labels, strict=True):
+            weight = weights(times)
             own = self.embeddings[at]
             x = np.append(weight @ own, 1.0)
             z = self.softmax @ x
@@ -143,66 +144,53 @@ def train(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
-    max_rows: int = 20_000,
+    max_rows: int = 16_000,
+    max_bytes: int = 200_000_000,
     rate: float = 0.3,
-    rounds: int = 6,
+    passes: int = 3,
 ) -> Model:
-    """The model after ``rounds`` rounds; a fresh one if no labelled text is found.
+    """The model after ``passes`` passes over the labelled texts; a fresh one if there is none.
 
     A text that rows of one id repeat is learned once, labels of one id tie to the largest.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropna()
     ids = known.groupBy("id").agg(F.max("label").alias("label"))
     rank = F.xxhash64(F.col("id").cast("string"))
-    ids = ids.orderBy(rank, "id").limit(max_rows)
+    ids = materialize(ids.orderBy(rank, "id").limit(max_rows), "labelled")
     thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = thin.join(F.broadcast(ids), "id")  # at most max_rows ids
-    rows = rows.select(rank.alias("rank"), (F.col("label") > 0).cast("int").alias("label"), "text")
+    rows = rows.select(rank.alias("rank"), F.xxhash64("text").alias("name"), (F.col("label") > 0).cast("int").alias("label"), "text")
+    # rows of one id may be any number: distinct texts are chosen by name before one is cut
+    chosen = materialize(rows.select("rank", "name").distinct().orderBy("rank", "name").limit(max_rows), "chosen")
+    rows = rows.join(F.broadcast(chosen), ["rank", "name"]).dropDuplicates(["rank", "name"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 2, rows=50, size=500_000):
-                at, weight = zip(*[bag(t) for t in batch.column(2).to_pylist()], strict=True)
-                packed = [pa.array([x.astype(kind).tobytes() for x in xs], pa.binary()) for xs, kind in ((at, "<i4"), (weight, "<f4"))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *packed], ["rank", "label", "at", "weight"])
-
-    # a text's bag is at most 2**BITS numbers, however long it is; repeats go before the cut at max_rows
-    bags = materialize(rows.mapInArrow(cut, "rank bigint, label int, at binary, weight binary"), "bags")
-    once = bags.select("rank", F.xxhash64("at", "weight").alias("name")).distinct()
-    once = materialize(once.orderBy("rank", "name").limit(max_rows), "training")
-    named = bags.withColumn("name", F.xxhash64("at", "weight")).dropDuplicates(["rank", "name"])
-    held = materialize(named.join(F.broadcast(once), ["rank", "name"]), "training")
-    rows, size = held.agg(F.count("*"), F.coalesce(F.sum(F.length("at") + F.length("weight")), F.lit(0))).first()
-    shards = max(1, -(-rows // SHARD_ROWS), -(-size // SHARD_BYTES))
-    held = held.withColumn("shard", F.pmod(F.hash("rank", "name"), F.lit(shards)))
-
-    model = Model.fresh()
-    for k in range(rounds if rows else 0):
-        sent = docs.sparkSession.sparkContext.broadcast(model)
-        found = held.groupBy("shard").applyInPandas(_round(sent, rate * (1 - k / rounds), k), TRAINED)
-        sums = [np.zeros(x.size) for x in model.parts()]
-        for r in materialize(found, "round").toLocalIterator():  # a partition of shards at a time
-            for i, total in enumerate(sums):
-                total += np.frombuffer(r[f"p{i}"], "<f4") * (r["n"] / rows)
-        sent.unpersist()
-        model = Model(*[t.reshape(x.shape).astype(x.dtype) for t, x in zip(sums, model.parts(), strict=True)])
-    return model
-
-
-TRAINED = "p0 binary, p1 binary, p2 binary, p3 binary, n bigint"
-
-
-def _round(sent, rate: float, number: int):
-    """One shard's pass over its texts, in an order of the round's own, from the model that was sent."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rank", "name"]).sample(frac=1, random_state=number)
-        bags = [(np.frombuffer(a, "<i4"), np.frombuffer(w, "<f4")) for a, w in zip(pdf["at"], pdf["weight"], strict=True)]
-        own = sent.value.copy()
-        own.learn(bags, pdf["label"].tolist(), rate)
-        return pd.DataFrame({f"p{i}": [x.astype("<f4").tobytes()] for i, x in enumerate(own.parts())} | {"n": [len(pdf)]})
-
-    return fit
+            for batch in slices(whole, 3, rows=50, size=500_000):
+                bags = pa.array([packed(*bag(t)) for t in batch.column(3).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], bags], ["rank", "name", "label", "bag"])
+
+    # a text's bag is at most 2**BITS rows, however long it is
+    bags = materialize(rows.mapInArrow(cut, "rank bigint, name bigint, label int, bag binary"), "bags")
+    order = Window.orderBy("rank", "name").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = bags.select("rank", "name", F.sum(F.length("bag")).over(order).alias("bytes"))  # a few numbers for each of max_rows rows
+    fit = bags.join(F.broadcast(sizes.where(F.col("bytes") <= max_bytes).select("rank", "name")), ["rank", "name"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [row for batch in batches for row in zip(*[batch.column(c).to_pylist() for c in ("rank", "name", "label", "bag")], strict=True)]
+        found.sort(key=lambda row: row[:2])
+        model = Model.fresh()
+        for k in range(passes if found else 0):
+            order = np.random.default_rng(k).permutation(len(found))
+            model.learn((unpacked(found[i][3]) for i in order), [found[i][2] for i in order], rate * (1 - k / passes))
+        parts = [pa.array([x.astype(x.dtype.newbyteorder("<")).tobytes()], pa.binary()) for x in vars(model).values()]
+        yield pa.RecordBatch.from_arrays(parts, [f"p{i}" for i in range(len(parts))])
+
+    learned = fit.repartition(1).mapInArrow(learn, "p0 binary, p1 binary, p2 binary, p3 binary").first()
+    start = Model.fresh()
+    if learned is None:
+        return start
+    return Model(*[np.frombuffer(x, y.dtype).reshape(y.shape).copy() for x, y in zip(learned, vars(start).values(), strict=True)])
 
 
 class _Margins(dict):
