@@ -1,19 +1,21 @@
-"""Boolean phrase queries compiled to one Column.
+"""Boolean phrase queries: compiled to one Column, or carried by rows as a short program.
 
-A query is a tree of phrases, all-of and any-of. It is read once for each distinct
-query and becomes an expression that stays inside code generation; rows never carry
-the tree. OR binds least; phrases side by side are all required; a missing bracket or
+A query is a tree of phrases, all-of and any-of. A fixed query becomes an expression that
+stays inside code generation; rows that have queries of their own carry them as steps for a
+stack, as long as the query, which one fold runs. OR binds least; phrases side by side are all required; a missing bracket or
 a stray operator broadens the query and never fails it; nothing at all matches all.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from .text import contains_phrase
 
@@ -100,19 +102,49 @@ def shape(query: str | None) -> dict[str, bool]:
     return {"disambiguates": tree is not None and tree.kind != "phrase", "conjunctive": tree is not None and tree.has_all}
 
 
-def clauses(query: str | None) -> list[list[str]]:
-    """The query as alternatives of phrases that must all occur, for rows that carry queries as arrays.
+def postfix(query: str | Query | None) -> list[tuple[str, str | None]]:
+    """The query as steps for a stack: ("phrase", text) puts a truth value, ("all", None) and ("any", None) join two.
 
-    None matches everything and is one empty alternative.
+    As many steps as the query has phrases and operators. No step at all matches everything.
     """
-    tree = parse(query)
+    tree = parse(query) if isinstance(query, str) else query
+    if tree is None:
+        return []
+    if tree.kind == "phrase":
+        return [("phrase", tree.parts[0])]
+    steps: list[tuple[str, str | None]] = []
+    for n, part in enumerate(tree.parts):
+        steps += postfix(part)
+        if n:
+            steps.append((tree.kind, None))
+    return steps
+
+
+PROGRAM = "array<struct<op string, phrase string>>"
+
+
+def run_program(program: Column, holds: Callable[[Column], Column]) -> Column:
+    """Whether a row's program (PROGRAM) comes out true; holds says whether one phrase does. Never null."""
+    none = F.array().cast("array<boolean>")
+
+    def step(stack: Column, at: Column) -> Column:
+        put = F.array_append(stack, F.coalesce(holds(at["phrase"]), F.lit(False)))
+        a, b = F.element_at(stack, -1), F.try_element_at(stack, F.lit(-2))
+        both = F.when(at["op"] == "all", a & b).otherwise(a | b)
+        return F.when(at["op"] == "phrase", put).otherwise(F.array_append(F.slice(stack, 1, F.size(stack) - 2), both))
+
+    end = F.aggregate(F.coalesce(program, F.array().cast(PROGRAM)), none, step)
+    return F.coalesce(F.get(end, F.lit(0)), F.lit(True))
+
+
+class ParseQuery:
+    """SQL: ``SELECT * FROM parse_query('"a" AND ("b" OR c)')`` gives the steps, op and phrase by number."""
+
+    def eval(self, query: str):
+        for n, (op, phrase) in enumerate(postfix(query)):
+            yield n, op, phrase
 
-    def expand(q: Query) -> list[list[str]]:
-        if q.kind == "phrase":
-            return [list(q.parts)]
-        options = [expand(p) for p in q.parts]
-        if q.kind == "any":
-            return [c for o in options for c in o]
-        return reduce(lambda a, b: [x + y for x in a for y in b], options)
 
-    return [[]] if tree is None else expand(tree)
+def register(spark: SparkSession) -> None:
+    """Make parse_query a table function of the session's SQL."""
+    spark.udtf.register("parse_query", udtf(ParseQuery, returnType="step int, op string, phrase string"))

@@ -53,15 +53,17 @@ def to_sentiment(x: Column | str) -> Column:
 
 
 def repair(relevant: Column, sentiment: Column, confidence: Column, rationale: Column, evidence: Column) -> Column:
-    """A raw answer as struct(relevant, sentiment, confidence, rationale, evidence, repair_error).
+    """A raw answer of text fields as struct(relevant, sentiment, confidence, rationale, evidence, repair_error).
 
-    Relevance is read as text: a number other than 1 is no assent. An answer of no relevance has no sentiment. Unknown sentiments, and relevance
+    Relevance is read as text: a number other than 1 is no assent (see repair_answer for typed answers). An answer of no relevance has no sentiment. Unknown sentiments, and relevance
     without one, are errors; the error is a value, never an exception.
     """
-    yes, mood = to_boolean_text(relevant), to_sentiment(sentiment)
-    error = F.when(~mood["known"], F.concat(F.lit("unrecognised sentiment: "), sentiment)).when(
-        yes & mood["label"].isNull(), "relevant article returned no sentiment"
-    )
+    unknown = F.concat(F.lit("unrecognised sentiment: "), sentiment)
+    return _answer(to_boolean_text(relevant), to_sentiment(sentiment), confidence, rationale, evidence, unknown)
+
+
+def _answer(yes: Column, mood: Column, confidence: Column, rationale: Column, evidence: Column, unknown: Column) -> Column:
+    error = F.when(~mood["known"], unknown).when(yes & mood["label"].isNull(), "relevant article returned no sentiment")
     return F.struct(
         yes.alias("relevant"),
         F.when(yes, mood["label"]).alias("sentiment"),
@@ -72,6 +74,49 @@ def repair(relevant: Column, sentiment: Column, confidence: Column, rationale: C
     )
 
 
+#: Kinds of number that a parsed answer may hold.
+_NUMBER = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*|TINYINT|SMALLINT|INT)$"
+#: The fields of an answer and the kinds that each may have; a field that may lack may be absent.
+ANSWER_KINDS = {
+    "relevant": rf"^BOOLEAN$|^STRING$|{_NUMBER}", "sentiment": "^STRING$|^VOID$", "confidence": rf"^STRING$|{_NUMBER}",
+    "rationale": "^STRING$", "evidence": "^STRING$",
+}
+
+
+def answer_field(answer: Column, name: str) -> tuple[Column, Column]:
+    """A field of a parsed answer and its kind (BOOLEAN, STRING, BIGINT, ...; VOID for null, null for none)."""
+    value = F.try_variant_get(answer, f"$.{name}", "variant")
+    return value, F.schema_of_variant(value)
+
+
+def parse_answer(text: Column | str) -> Column:
+    """A model's answer as VARIANT, types kept: the text, else the first object inside it; null if the fields do not fit."""
+    raw = col(text)
+
+    def fits(v: Column) -> Column:
+        ok = F.schema_of_variant(v).startswith("OBJECT")
+        for name, kinds in ANSWER_KINDS.items():
+            kind = answer_field(v, name)[1]
+            ok = ok & (kind.rlike(kinds) if name == "relevant" else F.coalesce(kind.rlike(kinds), F.lit(True)))
+        return F.coalesce(ok, F.lit(False))
+
+    whole = F.try_parse_json(raw)
+    inner = F.try_parse_json(extract_json_object(F.when(~fits(whole), raw)))
+    return F.when(fits(whole), whole).when(fits(inner), inner)
+
+
+def repair_answer(answer: Column) -> Column:
+    """As repair, for a parsed answer: true, numbers other than 0 and words of assent are relevant; 0.9 and "90%" are one confidence."""
+    text = lambda name: F.try_variant_get(answer, f"$.{name}", "string")
+    value, kind = answer_field(answer, "relevant")
+    number = F.try_variant_get(value, "$", "double")
+    yes = F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean")).when(kind.rlike(_NUMBER), number != 0)
+    yes = F.coalesce(yes, to_boolean_text(F.when(kind == "STRING", text("relevant"))))
+    mood = to_sentiment(text("sentiment"))
+    unknown = F.concat(F.lit("unrecognised sentiment: "), F.to_json(answer_field(answer, "sentiment")[0]))
+    return _answer(yes, mood, text("confidence"), text("rationale"), text("evidence"), unknown)
+
+
 def _first_object(text: str | None) -> str | None:
     """The first balanced braces of a text, braces inside quotes not counted."""
     if not text or (start := text.find("{")) < 0:

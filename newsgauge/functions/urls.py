@@ -16,32 +16,104 @@ TRACKING = (
 OPAQUE_HOSTS = ("news.google.com",)
 BLOCKED_DOMAINS = ("newswav.com", "biggo.com", "finance.biggo.com")
 
-_URL = r"^([A-Za-z][A-Za-z0-9+.-]*):/*([^/?#]*)([^?#]*)(?:\?([^#]*))?"
+#: Schemes whose URLs have a host, with their default ports.
+DEFAULT_PORTS = {"http": "80", "https": "443", "ws": "80", "wss": "443", "ftp": "21"}
+_SPECIAL = r"(?i)^(?:https?|wss?|ftp):"
+#: scheme, user, host, port, path, query of such a URL; slashes after the scheme may lean either way or lack.
+_URL = r"(?i)^(https?|wss?|ftp):[/\\]*(?:([^/?#\\]*)@)?(\[[^\]/?#\\]*\]|[^/?#\\:]*)(?::([^/?#\\]*))?([^?#]*)(?:\?([^#]*))?"
+#: The same of any other URL that has an authority.
+_OTHER = r"^([A-Za-z][A-Za-z0-9+.-]*):/*([^/?#]*)([^?#]*)(?:\?([^#]*))?"
+#: Characters of a path that stay; all others are written as bytes.
+_ESCAPED = r"[^\x21\x24-\x3B\x3D\x40-\x5F\x61-\x7A\x7C\x7E\x25]"
+#: Characters that no host has.
+_NO_HOST = r"[\x00-\x20\x7F\"#%/<>?@\[\\\]^`{|}]"
 
 
 def _bare(host: Column) -> Column:
     return F.regexp_replace(F.lower(host), r"^www\.", "")
 
 
+def percent_encode_path(path: Column) -> Column:
+    """Characters outside the path set as the bytes of their UTF-8; escapes that are there stay as they are."""
+    each = F.regexp_extract_all(path, F.lit("(?s)."), F.lit(0))
+    code = lambda c: F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")
+    made = F.array_join(F.transform(each, lambda c: F.when(c.rlike(_ESCAPED), code(c)).otherwise(c)), "")
+    return F.when(path.rlike(_ESCAPED), made).otherwise(path)
+
+
+def remove_dot_segments(path: Column) -> Column:
+    """The path without ``.`` and ``..`` (also written %2e); one at the end leaves a slash."""
+    plain = lambda s: F.regexp_replace(F.lower(s), "%2e", ".")
+    parts = F.split(path, "/")
+    last = F.size(parts) - 1
+    numbered = F.transform(parts, lambda s, i: F.struct(s.alias("s"), plain(s).alias("p"), (i == last).alias("last")))
+
+    def step(kept: Column, at: Column) -> Column:
+        end = F.when(at["last"], F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        up = F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))  # the first is what stands before the leading slash
+        return F.when(at["p"] == ".", F.concat(kept, end)).when(at["p"] == "..", F.concat(up, end)).otherwise(F.array_append(kept, at["s"]))
+
+    made = F.array_join(F.aggregate(numbered, F.array().cast("array<string>"), step), "/")
+    return F.when(path.rlike(r"(?i)/(?:\.|%2e){1,2}(?:/|$)"), made).otherwise(path)
+
+
+def _form_decoded(x: Column) -> Column:
+    """Form decoding: plus is a space, escapes are UTF-8 bytes, a percent sign of no escape stays."""
+    return F.url_decode(F.regexp_replace(x, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
+def canonical_query(query: Column) -> Column:
+    """The parameters that do not track, in order of name (equal names keep theirs), form-encoded anew."""
+    given = F.filter(F.split(query, "&"), lambda p: p != "")
+    parts = lambda p: (F.substring_index(p, "=", 1), F.substr(p, F.length(F.substring_index(p, "=", 1)) + F.lit(2)))
+    pairs = F.transform(given, lambda p, i: F.struct(_form_decoded(parts(p)[0]).alias("n"), i.alias("i"), _form_decoded(parts(p)[1]).alias("v")))
+    kept = F.filter(pairs, lambda p: ~F.lower(p["n"]).isin(*TRACKING))
+    keyed = F.transform(kept, lambda p: F.struct(F.encode(p["n"], "UTF-16BE").alias("k"), p["i"].alias("i"), p["n"].alias("n"), p["v"].alias("v")))
+    return F.array_join(F.transform(F.array_sort(keyed), lambda p: F.concat(F.url_encode(p["n"]), F.lit("="), F.url_encode(p["v"]))), "&")
+
+
+def ascii_host(host: Column) -> Column:
+    """Lower-case host in ASCII: escapes decoded, labels of other letters in Punycode; null where that cannot be."""
+    plain = F.when(host.contains("%"), F.try_url_decode(F.replace(host, F.lit("+"), F.lit("%2B")))).otherwise(host)
+    dotted = F.regexp_replace(plain, "[。．｡]", ".")
+    other = dotted.rlike(r"[^\x00-\x7F]")
+    coded = F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), F.when(other, dotted).otherwise(F.lit("a")))
+    made = F.lower(F.when(other, coded).otherwise(dotted))
+    return F.when((made != "") & (made.startswith("[") | ~made.rlike(_NO_HOST)), made)
+
+
 def canonical_url(raw: Column | str) -> Column:
     """One form for all links to a page; null where the URL cannot be read.
 
-    https for http, lower-case host without www., no fragment, no tracking parameters,
-    the others in order of name (repeated names keep their order), no trailing slash,
-    no default port. Parameters are compared and kept as they are written.
+    As browsers read it: https for http, host in ASCII and lower case without www., no default
+    port, dot segments resolved, other characters of the path escaped, no fragment, no
+    tracking parameters, the others form-encoded in order of name, no trailing slash. Links of
+    other schemes keep their parts as they are written.
     """
-    url = F.trim(col(raw))
+    url = F.regexp_replace(F.regexp_replace(col(raw), r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
     part = lambda n: F.regexp_extract(url, _URL, n)
-    scheme = F.when(F.lower(part(1)) == "http", "https").otherwise(F.lower(part(1)))
-    host = F.regexp_replace(_bare(part(2)), r":(?:80|443)$", "")
-    path = F.when(F.length(part(3)) > 1, F.regexp_replace(part(3), "/+$", "")).otherwise(part(3))
+    given = F.lower(part(1))
+    scheme = F.when(given == "http", "https").otherwise(given)
+    name = F.regexp_replace(ascii_host(part(3)), r"^www\.(?=.)", "")
+    digits = F.regexp_replace(part(4), "^0+(?=.)", "")
+    usual = F.create_map(*[F.lit(x) for pair in DEFAULT_PORTS.items() for x in pair])
+    default = (digits == "") | (digits == F.try_element_at(usual, given)) | (digits == F.try_element_at(usual, scheme))
+    port = F.when(default, "").otherwise(F.concat(F.lit(":"), digits))
+    sound = digits.rlike(r"^\d{0,5}$") & (F.coalesce(F.nullif(digits, F.lit("")).try_cast("int"), F.lit(0)) < 65_536)
+    path = remove_dot_segments(percent_encode_path(F.translate(part(5), "\\", "/")))
+    path = F.regexp_replace(path, "(?<=.)/+$", "")
     path = F.when(path == "", "/").otherwise(path)
-    given = F.filter(F.split(part(4), "&"), lambda p: p != "")
-    name = lambda p: F.substring_index(p, "=", 1)
-    kept = F.filter(given, lambda p: ~F.lower(name(p)).isin(*TRACKING))
-    keyed = F.transform(kept, lambda p, i: F.struct(name(p).alias("n"), i.alias("i"), p.alias("p")))
-    query = F.array_join(F.transform(F.array_sort(keyed), lambda s: s["p"]), "&")
-    made = F.concat(scheme, F.lit("://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    user = F.when(part(2) != "", F.concat(part(2), F.lit("@"))).otherwise("")
+    query = canonical_query(part(6))
+    made = F.concat(scheme, F.lit("://"), user, name, port, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    return F.when(url.rlike(_SPECIAL), F.when(sound, made)).otherwise(_other_url(url))
+
+
+def _other_url(url: Column) -> Column:
+    part = lambda n: F.regexp_extract(url, _OTHER, n)
+    path = F.regexp_replace(part(3), "(?<=.)/+$", "")
+    query = F.when(part(4) != "", F.concat(F.lit("?"), part(4))).otherwise("")
+    made = F.concat(F.lower(part(1)), F.lit("://"), _bare(part(2)), F.when(path == "", "/").otherwise(path), query)
     return F.when(F.try_parse_url(url, F.lit("HOST")).isNotNull(), made)
 
 

@@ -8,12 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsgauge.functions.repair import parse_json, repair
+from newsgauge.functions.repair import parse_answer, repair_answer
 from newsgauge.functions.text import cache_key, classify_prompt
 
 from .linking import stored
 
-ANSWER = "relevant string, sentiment string, confidence string, rationale string, evidence string"
 #: prompts -> raw answers, None for a failed call; must not raise for a single prompt.
 Model = Callable[[list[str]], list[str | None]]
 
@@ -55,12 +54,10 @@ def classify(pending: DataFrame, cache: DataFrame, model: Model, name: str, prom
     The model is asked once; answers and new cache rows both read what it said.
     """
     asked = requests(pending, name, prompt_version)
-    parsed = lambda raw: parse_json(raw, ANSWER, "relevant")
-    hits = cache.where(parsed("raw").isNotNull()).select("key", "raw")
+    hits = cache.where(parse_answer("raw").isNotNull()).select("key", "raw")
     fresh = stored(ask(asked.join(hits, "key", "left_anti").select("key", "prompt"), model), "answers")  # each call is made once
-    answered = asked.join(hits.unionByName(fresh), "key", "left").withColumn("_a", parsed("raw"))
-    answer = repair(*[F.col(f"_a.{f}") for f in ("relevant", "sentiment", "confidence", "rationale", "evidence")])
-    out = answered.withColumn("answer", F.when(F.col("_a").isNotNull(), answer)).drop("_a")
+    answered = asked.join(hits.unionByName(fresh), "key", "left").withColumn("_a", parse_answer("raw"))
+    out = answered.withColumn("answer", F.when(F.col("_a").isNotNull(), repair_answer(F.col("_a")))).drop("_a")
     return out, fresh.where("raw IS NOT NULL")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -169,6 +170,28 @@ def canonical_urls(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", made.alias("canonical_url"), text.article_id(made).alias("id"))
 
 
+#: What is made of a page's number: a link in one of five spellings, and the form that all readers of it must give.
+_SPELLINGS = (
+    ("HTTP://WWW.Müller.Example:80/a/./b/../seite {n}/é?q=x+y&utm_source=z&b=%7E&a&B={n}#top", "https://xn--mller-kva.example/a/seite%20{n}/%C3%A9?B={n}&a=&b=%7E&q=x+y"),
+    ("http://news.example:443/%2e%2E/{n}//?b=1&a=2&b=0", "https://news.example/{n}?a=2&b=1&b=0"),
+    ("https:\\\\News.Example\\{n}\\?GCLID=1&q=100%", "https://news.example/{n}?q=100%25"),
+    ("https://u@n%65ws.example:8443/{n}/..?x=%41%2B%2b", "https://u@news.example:8443/?x=A%2B%2B"),
+    ("https://new s.example/{n}", None),
+)
+
+
+def _spelled(which: int) -> str:
+    """SQL of the n-th column of the spellings for a page."""
+    text = lambda x: "NULL" if x is None else "'" + x.replace("\\", "\\\\" if which == 0 else "\\").replace("{n}", "' || page_id || '") + "'"
+    return "CASE page_id % 5 " + " ".join(f"WHEN {i} THEN {text(pair[which])}" for i, pair in enumerate(_SPELLINGS)) + " END"
+
+
+@query(f"SELECT page_id, {_spelled(1)} AS canonical_url FROM pages")
+def canonical_spellings(spark: SparkSession, sf: str) -> DataFrame:
+    made = table(spark, sf, "pages").select("page_id", F.expr(_spelled(0)).alias("url"))
+    return made.select("page_id", urls.canonical_url("url").alias("canonical_url"))
+
+
 @query("""SELECT o_orderkey, sha256(sha256('company:' || lower(trim(c_name))) || ':' || sha256(o_orderkey::VARCHAR)) AS mention_id
     FROM orders JOIN customer ON c_custkey = o_custkey""")
 def mention_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -414,15 +437,31 @@ def coverage_audit(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.coverage_audit(rows.select("source", marked("received").alias("fetched"), marked("kept")))
 
 
-@query("""SELECT * FROM (VALUES ('de', '"und"', 'exact-phrase', false), ('en', '"the" AND ("this" OR "Erinst")', 'override', true),
-    ('es', '"del" AND "para"', 'qualified', true), ('fr', '"de" OR "les"', 'qualified', true)) AS t(company_id, query, strategy, qualified)""")
+SQL_PLANS = """
+    c AS (SELECT c_custkey AS k, '"' || c_name || '"' AS n, '"' || c_mktsegment || '"' AS seg FROM customer),
+    plans AS (SELECT k AS company_id, CASE k % 6 WHEN 0 THEN n || ' AND ' || seg WHEN 1 THEN n || ' OR ("x" AND "y")' WHEN 5 THEN seg ELSE n END AS query,
+      CASE k % 6 WHEN 0 THEN 'override' WHEN 1 THEN 'qualified' ELSE 'exact-phrase' END AS strategy, k % 6 < 2 AS qualified FROM c)"""
+
+
+def _planned(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as companies: approved, unsourced and unapproved qualifiers, their name, nothing, another phrase."""
+    k = F.col("c_custkey") % 6
+    n, segment = text.quote("c_name"), text.quote("c_mktsegment")
+    both = F.concat(n, F.lit(" AND "), segment)
+    asked = F.when(k.isin(0, 2), both).when(k == 1, F.concat(n, F.lit(' OR ("x" AND "y")'))).when(k == 3, n).when(k == 5, segment)
+    source = F.when(k.isin(0, 5), "human-approved").when(k == 2, "llm-enriched").when(k == 3, "triage-default").when(k == 4, "fallback")
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("company_id"), F.col("c_name").alias("name"), asked.alias("query"), source.alias("query_source"))
+    return planner.plan_queries(rows)
+
+
+@query(f"WITH {SQL_PLANS} SELECT * FROM plans")
 def query_plans(spark: SparkSession, sf: str) -> DataFrame:
-    return planner.plan_queries(_registry(spark)).drop("rationale")
+    return _planned(spark, sf).drop("rationale")
 
 
-@query("""SELECT * FROM (VALUES ('exact-phrase', 1::BIGINT, 0::BIGINT), ('override', 1::BIGINT, 1::BIGINT), ('qualified', 2::BIGINT, 2::BIGINT)) AS t(strategy, companies, qualified)""")
+@query(f"WITH {SQL_PLANS} SELECT strategy, count(*) AS companies, count(*) FILTER (WHERE qualified) AS qualified FROM plans GROUP BY strategy")
 def query_plan_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return planner.plan_summary(planner.plan_queries(_registry(spark)))
+    return planner.plan_summary(_planned(spark, sf))
 
 
 # --- windows, caps, samples -------------------------------------------------------------------
@@ -623,19 +662,45 @@ def confidence_repair(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _MOODS = ["Positive", "good ", "NEG", "mixed", "n/a", "not applicable", "", "Balanced", "great", "Irrelevant"]
-_MOOD_ROWS = ", ".join(
-    f"('{w}', {l}, {k})"
-    for w, l, k in zip(
-        _MOODS, ["'positive'", "'positive'", "'negative'", "'neutral'", "NULL", "NULL", "NULL", "'neutral'", "NULL", "NULL"],
-        ["true"] * 8 + ["false", "true"], strict=True,
-    )
-)
+_MOOD_LABELS = ["positive", "positive", "negative", "neutral", None, None, None, "neutral", None, None]
+_sql_list = lambda xs: "[" + ", ".join("NULL" if x is None else f"'{x}'" for x in xs) + "]"
 
 
-@query(f"SELECT * FROM (VALUES {_MOOD_ROWS}) AS t(answer, label, known)")
+@query(f"SELECT conv_id, turn, {_sql_list(_MOOD_LABELS)}[(conv_id + turn) % 10 + 1] AS label, (conv_id + turn) % 10 <> 8 AS known FROM conversations")
 def sentiment_repair(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(m,) for m in _MOODS], "answer string")
-    return rows.select("answer", repair.to_sentiment("answer")["label"].alias("label"), repair.to_sentiment("answer")["known"].alias("known"))
+    word = F.element_at(F.array(*map(F.lit, _MOODS)), ((F.col("conv_id") + F.col("turn")) % 10 + 1).cast("int"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", repair.to_sentiment(word)["label"].alias("label"), repair.to_sentiment(word)["known"].alias("known"))
+
+
+#: An answer of each type as a model may give it, and what it comes to: relevant, sentiment, confidence, error.
+_ANSWERS = (
+    ('{"relevant": true, "sentiment": "Positive", "confidence": 0.9}', (True, "positive", 0.9, None)),
+    ('{"relevant": 1.0, "sentiment": "neg", "confidence": "85%"}', (True, "negative", 0.85, None)),
+    ('{"relevant": 2, "sentiment": "mixed", "confidence": 40}', (True, "neutral", 0.4, None)),
+    ('{"relevant": "2", "sentiment": "bad"}', (False, None, 0.5, None)),
+    ('{"relevant": "Yes", "sentiment": "great", "confidence": "high"}', (True, None, 0.5, 'unrecognised sentiment: "great"')),
+    ('{"relevant": 0, "sentiment": null, "confidence": -3}', (False, None, 0.0, None)),
+    ('Sure! {"relevant": "relevant", "sentiment": "n/a"} as asked', (True, None, 0.5, "relevant article returned no sentiment")),
+    ('{"relevant": null, "sentiment": "good"}', None),
+    ('{"relevant": true, "sentiment": 3}', None),
+    ("I cannot tell.", None),
+)
+
+
+def _said(at: int, kind: str) -> str:
+    """SQL of one field of what the answer by number comes to."""
+    literal = lambda v: f"NULL::{kind}" if v is None else str(v).lower() if isinstance(v, bool) else repr(v) + f"::{kind}" if not isinstance(v, str) else f"'{v}'"
+    return "CASE (conv_id * 7 + turn) % 10 " + " ".join(f"WHEN {n} THEN {literal(w and w[at])}" for n, (_, w) in enumerate(_ANSWERS)) + " END"
+
+
+@query(f"""SELECT conv_id, turn, (conv_id * 7 + turn) % 10 < 7 AS usable, {_said(0, "BOOLEAN")} AS relevant, {_said(1, "VARCHAR")} AS sentiment,
+    {_said(2, "DOUBLE")} AS confidence, {_said(3, "VARCHAR")} AS repair_error FROM conversations""")
+def typed_answers(spark: SparkSession, sf: str) -> DataFrame:
+    raw = F.element_at(F.array(*[F.lit(a) for a, _ in _ANSWERS]), ((F.col("conv_id") * 7 + F.col("turn")) % 10 + 1).cast("int"))
+    parsed = table(spark, sf, "conversations").select("conv_id", "turn", repair.parse_answer(raw).alias("answer"))
+    made = F.when(F.col("answer").isNotNull(), repair.repair_answer(F.col("answer")))
+    fields = [made[f].alias(f) for f in ("relevant", "sentiment", "confidence", "repair_error")]
+    return parsed.select("conv_id", "turn", F.col("answer").isNotNull().alias("usable"), *fields)
 
 
 @query("""SELECT conv_id, turn, lower(trim(word)) IN ('true', 'yes', 'y', '1', 'relevant') AS relevant FROM
@@ -662,47 +727,84 @@ def extract_json(spark: SparkSession, sf: str) -> DataFrame:
 # --- registry, classification, streaming ------------------------------------------------------
 
 
-@query("""SELECT * FROM (VALUES ('Alpha', 'critical', '"Alpha" AND "solar"', 'human-approved', 'Energy', ['Alpha Romeo'], []::VARCHAR[], NULL),
-    ('Betacorp', 'medium', '"Betacorp" AND ("cloud" OR "edge")', 'llm-enriched', 'Software', ['beta test', 'beta blocker'], ['Beta Corp Labs'], 'betacorp.example'),
-    ('Gamma', 'medium', '"Gamma"', 'triage-default', NULL, []::VARCHAR[], []::VARCHAR[], NULL),
-    ('Delta', 'low', '"Delta"', 'fallback', NULL, []::VARCHAR[], []::VARCHAR[], NULL)) AS t(name, ambiguity, query, query_source, sector, negative_keywords, aliases, domain)""")
-def registry_build_precedence(spark: SparkSession, sf: str) -> DataFrame:
-    seed = spark.createDataFrame([(1, "Alpha"), (2, "Betacorp"), (3, "Gamma"), (4, "Delta")], "index int, name string")
-    triage = spark.createDataFrame(
-        [
-            (1, "alpha", "LOW", "HIGH", "old", "", ""), (2, "Alpha", "CRITICAL", "HIGH", '"Alpha" AND "solar"', '"Alpha Romeo", —', "Energy"),
-            (3, "Betacorp", "MEDIUM", "NORMAL", '"Betacorp"', "beta test", "TBD later"), (4, "Gamma", "MEDIUM", "NORMAL", '"Gamma"', "", "TBD"),
-        ],
-        "position int, name string, tier string, volume string, query string, neg string, sector string",
+SQL_REGISTRY = """
+    c AS (SELECT c_custkey AS k, c_name AS n, c_mktsegment AS seg, c_nationkey AS nation, lower(regexp_replace(c_name, '[^A-Za-z0-9]', '', 'g')) AS sq,
+      c_custkey % 4 <> 3 AS triaged, c_custkey % 5 = 1 AS enriched, CASE WHEN c_custkey % 6 = 0 THEN 'LOW' WHEN c_custkey % 3 = 0 THEN 'CRITICAL'
+        WHEN c_custkey % 3 = 1 THEN 'MEDIUM' ELSE 'LOW' END AS tier FROM customer),
+    registry AS (SELECT n AS name, CASE WHEN triaged THEN lower(tier) WHEN enriched THEN 'medium' ELSE 'low' END AS ambiguity,
+      CASE WHEN triaged AND k % 2 = 0 THEN 'high' ELSE 'normal' END AS volume,
+      CASE WHEN triaged AND tier = 'CRITICAL' THEN '"' || n || '" AND "' || seg || '"' WHEN enriched THEN '"' || n || '" AND ("cloud" OR "edge")'
+        WHEN triaged THEN '"' || n || '" AND "' || seg || '"' ELSE '"' || n || '"' END AS query,
+      CASE WHEN triaged AND tier = 'CRITICAL' THEN 'human-approved' WHEN enriched THEN 'llm-enriched' WHEN triaged THEN 'triage-default' ELSE 'fallback' END AS query_source,
+      coalesce(CASE WHEN enriched AND k % 2 = 1 THEN 'Sector ' || nation END, CASE WHEN triaged AND k % 5 <> 0 THEN seg END) AS sector,
+      list_concat(CASE WHEN triaged THEN ['fake ' || k] ELSE [] END, CASE WHEN enriched THEN ['fan club'] ELSE [] END)::VARCHAR[] AS negative_keywords,
+      CASE WHEN enriched THEN [n || ' Labs'] ELSE []::VARCHAR[] END AS aliases,
+      CASE WHEN enriched AND k % 10 = 1 THEN 'https://www.' || sq || '.example' END AS domain FROM c)"""
+
+
+def _built_registry(spark: SparkSession, sf: str) -> DataFrame:
+    """A registry of the customers: a seed of all, triage of three in four (some twice), enrichment of two in five."""
+    c, k, n = table(spark, sf, "customer"), F.col("c_custkey"), F.col("c_name")
+    seed = c.select(k.alias("index"), n.alias("name"))
+    triage = c.where(k % 4 != 3).select(
+        k.alias("position"), F.lower(n).alias("name"), F.when(k % 3 == 0, "CRITICAL").when(k % 3 == 1, "MEDIUM").otherwise("LOW").alias("tier"),
+        F.when(k % 2 == 0, "HIGH").otherwise("NORMAL").alias("volume"), F.concat(text.quote(n), F.lit(" AND "), text.quote("c_mktsegment")).alias("query"),
+        F.concat(F.lit('"fake '), k.cast("string"), F.lit('", —')).alias("neg"), F.when(k % 5 == 0, "TBD later").otherwise(F.col("c_mktsegment")).alias("sector"),
     )
-    enriched = spark.createDataFrame(
-        [
-            ("Betacorp", True, "Software", ["Beta Corp Labs", "PayOther", "beta corp"], "https://www.betacorp.example", "medium", ["cloud", " edge "], ["beta", "Beta Blocker", "beta blocker"]),
-            ("Delta", False, "Retail", ["Delta Air"], None, "high", ["planes"], []),
-        ],
-        "name string, known boolean, sector string, aliases array<string>, domain string, ambiguity string, context_terms array<string>, negative_keywords array<string>",
+    again = triage.where("position % 6 = 0").withColumn("position", F.col("position") + 1_000_000_000).withColumn("tier", F.lit("LOW"))
+    host = F.when(k % 10 == 1, text.squash(n)).otherwise("other")
+    enriched = c.where((k % 5).isin(1, 2)).select(
+        n.alias("name"), (k % 5 == 1).alias("known"), F.when(k % 2 == 0, "N/A").otherwise(F.concat(F.lit("Sector "), F.col("c_nationkey").cast("string"))).alias("sector"),
+        F.array(F.concat(n, F.lit(" Labs")), F.lit("Other"), F.upper(n)).alias("aliases"), F.concat(F.lit("https://www."), host, F.lit(".example")).alias("domain"),
+        F.lit("medium").alias("ambiguity"), F.array(F.lit("cloud"), F.lit(" edge ")).alias("context_terms"),
+        F.array(F.lit("fan club"), n, F.lit("Fan Club")).alias("negative_keywords"),
     )
-    made = registry_build.build_registry(seed, triage, enriched, "offline", now())
-    made = made.withColumn("domain", F.regexp_replace("domain", r"^https?://(www\.)?", ""))
-    made = made.withColumn("negative_keywords", F.transform("negative_keywords", lambda k: F.when(k == "Beta Blocker", "beta blocker").otherwise(k)))
-    return made.select("name", "ambiguity", "query", "query_source", "sector", "negative_keywords", "aliases", "domain")
+    return registry_build.build_registry(seed, triage.unionByName(again), enriched, "offline", now())
+
+
+@query(f"WITH {SQL_REGISTRY} SELECT * FROM registry")
+def registry_build_precedence(spark: SparkSession, sf: str) -> DataFrame:
+    return _built_registry(spark, sf).select("name", "ambiguity", "volume", "query", "query_source", "sector", "negative_keywords", "aliases", "domain")
+
 
+@query(f"""WITH {SQL_REGISTRY} SELECT count(*) AS total, count(*) FILTER (WHERE query_source = 'human-approved') AS human_approved,
+    count(*) FILTER (WHERE query_source = 'llm-enriched') AS llm_enriched, count(*) FILTER (WHERE query_source = 'triage-default') AS triage_default,
+    count(*) FILTER (WHERE query_source = 'fallback') AS fallback, count(*) FILTER (WHERE ambiguity = 'critical') AS critical,
+    count(*) FILTER (WHERE ambiguity = 'high') AS high, count(*) FILTER (WHERE ambiguity = 'medium') AS medium, count(*) FILTER (WHERE ambiguity = 'low') AS low,
+    count(*) FILTER (WHERE volume = 'high') AS high_volume, count(*) FILTER (WHERE sector <> '') AS with_sector FROM registry""")
+def registry_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return registry_build.registry_summary(_built_registry(spark, sf))
 
-@query("""SELECT * FROM (VALUES (1, 'Alpha'), (2, 'Beta Two'), (3, 'Gamma')) AS t("index", name)""")
+
+@query("""SELECT row_number() OVER (ORDER BY s_suppkey)::INT AS "index", s_name AS name FROM supplier WHERE s_suppkey % 5 IN (1, 3)""")
 def seed_parse(spark: SparkSession, sf: str) -> DataFrame:
-    lines = ["# list", "1. Alpha", "", "2) Beta Two", "ALPHA", "3\tGamma"]
-    return registry_build.parse_seed(spark.createDataFrame(list(enumerate(lines)), "position int, value string"))
+    """Suppliers as lines of a list: comments, two numberings, blank lines, names again in capitals."""
+    k, n, number = F.col("s_suppkey") % 5, F.col("s_name"), F.col("s_suppkey").cast("string")
+    again = F.concat(F.regexp_extract(F.upper(n), r"^\D*", 0), F.lpad((F.col("s_suppkey") - 1).cast("string"), 9, "0"))
+    line = F.when(k == 0, F.concat(F.lit("# "), n)).when(k == 1, F.concat(number, F.lit(". "), n)).when(k == 2, again)
+    line = line.when(k == 3, F.concat(F.lit(" "), number, F.lit("\t"), n, F.lit(" "))).otherwise("")
+    return registry_build.parse_seed(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("position"), line.alias("value")))
+
+
+def _every_kind(prompts: list[str]) -> list[str | None]:
+    """A stand-in model: an answer of each kind by the number in the headline, some calls failed."""
+    numbers = [int(re.search(r"(\d+)\D*$", p)[1]) for p in prompts]
+    return [_ANSWERS[n % 11][0] if n % 11 < 10 else None for n in numbers]
+
+
+_by_number = lambda at, kind: _said(at, kind).replace("(conv_id * 7 + turn) % 10", "m.id % 11")
 
 
-@query(f"""WITH {SQL_MENTIONS} SELECT m.id, 'neutral' AS sentiment, 0.6::DOUBLE AS confidence FROM mentions m WHERE classified_at IS NULL""")
+@query(f"""WITH {SQL_MENTIONS} SELECT m.id, {_by_number(0, "BOOLEAN")} AS relevant, {_by_number(1, "VARCHAR")} AS sentiment, {_by_number(2, "DOUBLE")} AS confidence
+    FROM mentions m WHERE classified_at IS NULL AND m.id % 11 IN (0, 1, 2, 3, 5)""")
 def classify_pending(spark: SparkSession, sf: str) -> DataFrame:
     waiting = mentions(spark, sf).where("classified_at IS NULL").drop("published_at", "sentiment", "relevant")
     named = waiting.join(companies(spark, sf), "company_id").join(articles(spark, sf), "article_id")
     none = F.array().cast("array<string>")
     named = named.select("id", "company_id", "article_id", F.col("name").alias("company"), "sector", none.alias("aliases"), none.alias("negative_keywords"), "title")
     cache = spark.createDataFrame([], "key string, raw string")
-    done, _ = classify.classify(named, cache, classify.keyword_model, "offline", "v1@0")
-    return classify.results(done, "offline", "v1@0", now()).select("id", "sentiment", "confidence")
+    done, _ = classify.classify(named, cache, _every_kind, "offline", "v1@0")
+    return classify.results(done, "offline", "v1@0", now()).select("id", "relevant", "sentiment", "confidence")
 
 
 @query("""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2""")

@@ -1,9 +1,13 @@
 import datetime as dt
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from newsgauge.functions import dates, query_language, repair, text, urls
+from newsgauge.functions.phrases import Matcher, found_phrases, send_phrases
+from newsgauge.functions.text import contains_phrase
 
 
 def values(spark, cases, make):
@@ -124,9 +128,63 @@ def test_query_language(spark):
     one = spark.range(1)
     for q, t, want in QUERIES:
         assert one.select(query_language.compile_query(q, F.lit(t))).first()[0] is want, (q, t)
-        low = t.split()
-        if q != '"x y"':
-            assert any(all(p in low for p in c) for c in query_language.clauses(q)) is want, (q, t)
+    programs = [([{"op": op, "phrase": p} for op, p in query_language.postfix(q)], t) for q, t, _ in QUERIES]
+    rows = spark.createDataFrame([(n, *r) for n, r in enumerate(programs)], f"n int, program {query_language.PROGRAM}, text string")
+    said = query_language.run_program(F.col("program"), lambda p: contains_phrase("text", p))
+    assert [r[0] for r in rows.orderBy("n").select(said).collect()] == [want for _, _, want in QUERIES]
+
+
+def test_long_queries_stay_short_programs(spark):
+    """Sixty pairs of alternatives, all of them required: as many steps as phrases and operators."""
+    q = " AND ".join(f'("a{i}" OR "b{i}")' for i in range(60))
+    steps = query_language.postfix(q)
+    assert len(steps) == 239
+    rows = spark.createDataFrame([([{"op": op, "phrase": p} for op, p in steps],)], f"program {query_language.PROGRAM}")
+    for have, want in ([f"b{i}" for i in range(60)], True), ([f"b{i}" for i in range(59)], False):
+        found = F.array(*map(F.lit, have))
+        assert rows.select(query_language.run_program(F.col("program"), lambda p: F.array_contains(found, p))).first()[0] is want  # noqa: B023
+
+
+LINKS = [
+    ("http://www.Example.com:80/a/../b/./c/?utm_source=x&b=2&a=1#f", "https://example.com/b/c?a=1&b=2"),
+    ("https://e.com/a%20b/é ü?q=x+y&p=%7E&empty", "https://e.com/a%20b/%C3%A9%20%C3%BC?empty=&p=%7E&q=x+y"),
+    ("HTTPS://MÜNCHEN.de/x", "https://xn--mnchen-3ya.de/x"), ("http://ex%41mple.com", "https://example.com/"), ("http://a.com:443/", "https://a.com/"),
+    ("https://a.com:80/", "https://a.com:80/"), ("https://a.com:0443/x/", "https://a.com/x"), ("https:\\\\a.com\\b\\c", "https://a.com/b/c"),
+    ("https:a.com", "https://a.com/"), ("https://a b.com/", None), ("https://a.com:99999/", None), ("http://", None), ("bad url", None),
+    ("https://u:p@www.a.com/", "https://u:p@a.com/"), ("https://a.com/%2e%2E/b/%2e", "https://a.com/b"), ("https://a.com/..", "https://a.com/"),
+    ("https://a.com?z=1&UTM_Source=2&y=%zz", "https://a.com/?y=%25zz&z=1"), ("https://a.com/?b=1&a=2&b=0", "https://a.com/?a=2&b=1&b=0"),
+    ("https://a.com//", "https://a.com/"), ("https://a.com/x?", "https://a.com/x"), (" https://a.com/\tx\n", "https://a.com/x"),
+    ("https://a.com/?q=a%2Bb&r=*-._~", "https://a.com/?q=a%2Bb&r=*-._%7E"), ("https://[::1]:8080/x", "https://[::1]:8080/x"),
+    ("ftp://www.a.com/x/", "ftp://a.com/x"), ("https://www./", "https://www./"), (None, None), ("", None),
+]
+
+
+def test_urls_as_browsers_read_them(spark):
+    got = values(spark, [u for u, _ in LINKS], urls.canonical_url)
+    assert dict(zip([u for u, _ in LINKS], got, strict=True)) == dict(LINKS)
+
+
+def test_parse_query_in_sql(spark):
+    query_language.register(spark)
+    rows = spark.sql("""SELECT * FROM parse_query('"a" AND ("b c" OR d)') ORDER BY step""").collect()
+    assert [tuple(r) for r in rows] == [(0, "phrase", "a"), (1, "phrase", "b c"), (2, "phrase", "d"), (3, "any", None), (4, "all", None)]
+
+
+def test_matcher_equals_the_pattern(spark):
+    """Random words of awkward letters and marks: the automaton finds what contains_phrase finds."""
+    rng = random.Random(3)
+    parts = ["a", "B", "é", "É", "ß", "ſ", "s", "K", "k", "İ", "i", "ı", "Σ", "ς", "σ", "-", "'", " ", ".", "漢", "١", "½", "_", "\\E", "ab", "a b"]
+    make = lambda n: "".join(rng.choice(parts) for _ in range(n))
+    phrases = sorted({p for _ in range(80) if (p := make(rng.randrange(1, 4)).strip())})
+    texts = [make(rng.randrange(12)) for _ in range(300)] + [None, ""]
+    t, p = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "t int, x string"), spark.createDataFrame([(x,) for x in phrases], "p string")
+    want = {(r["t"], r["p"]) for r in t.join(p, contains_phrase("x", F.col("p"))).select("t", "p").collect()}
+    match = Matcher(phrases)
+    assert {(i, x) for i, text in enumerate(texts) for x in match(text)} == want and len(want) > 100
+    sent = send_phrases(p, "p")
+    assert {(r["t"], r["f"]) for r in t.select("t", F.explode(found_phrases(F.col("x"), sent)).alias("f")).collect()} == want
+    assert send_phrases(p, "p", most_chars=10) is None
+    assert Matcher(["a"])("𝒜a") == [] and Matcher(["a"])("😀a") == ["a"] and Matcher([])("a") == []
 
 
 @pytest.mark.parametrize(

@@ -142,10 +142,11 @@ def test_phrase_join_equals_the_pattern_join(spark):
     phrases = [(0, "alpha beta"), (1, "Über"), (2, "x-ray don't"), (3, "kappa"), (4, "zeta"), (5, "--")]
     t, p = spark.createDataFrame(texts, "t int, text string"), spark.createDataFrame(phrases, "p int, phrase string")
     got = {tuple(r) for r in prefilter.phrase_join(t, p, "t", "text", "p", "phrase").collect()}
+    joined = {tuple(r) for r in prefilter.phrase_join(t, p, "t", "text", "p", "phrase", most_chars=5).collect()}
     from newsgauge.functions.text import contains_phrase
 
     want = {(r["t"], r["p"]) for r in t.join(p, contains_phrase("text", F.col("phrase"))).select("t", "p").collect()}
-    assert got == {x for x in want if x[1] != 5}
+    assert got == want and joined == {x for x in want if x[1] != 5}
 
 
 MENTION = "id string, label string, first_seen_at string"
