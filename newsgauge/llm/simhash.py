@@ -14,14 +14,19 @@ which is linear in their number and finds the same components.
 
 Near-duplicate texts. Texts of similarity 0.8 (shared share of their distinct five-word
 shingles) differ in some 15 % of the bits of their fingerprints, ten of 64, too many for
-whole blocks to agree. drop_near_duplicates takes fingerprints of 256 bits and blocks of
-bits drawn from one of their four words, as long as the logarithm of the number of texts
-and as many as give a pair at the threshold the asked chance to share one (0.98). Pairs
-that share a block are held to a Hamming distance above the expected one, and then to the exact
-similarity. In each block every text meets the first one only, and the closest of these is
+whole blocks to agree, and blocks short enough to agree are shared by unlike texts the more of them
+there are. drop_near_duplicates therefore takes blocks of a few bits of a 256-bit fingerprint and sets
+beside each the least of the text's shingles under an order of its own: like texts have
+the same least shingle as often as they share shingles, unlike ones hardly ever, so the number of keys of a text
+(16 for a chance of 0.98 at the threshold) does not grow with the corpus. Where very many texts have one
+least shingle, a passage that they all hold, their key is cut by more blocks of the fingerprint, as long as
+the number of texts asks for and as many as keep the chance.
+
+Pairs that share a key are held to a Hamming distance above the expected one, and then to the exact
+similarity. Under each key every text meets the first one only, and the closest of these is
 held to the similarity; what is linked so far is one component. Of the other meetings with a
 first text, the closest between each two components is held to it too, and components are made
-again. Then the texts of a block are
+again. Then the texts of a key are
 compared with each other where they lie in different components: those that are close to
 another one are kept (one row each), and of these the pairs that are similar. So a group of n
 near copies gives rows in proportion to n, and no link between two components is left out.
@@ -38,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import first_of_each, materialize, row_key, slices
+from .common import first_of_each, materialize, slices
 from .components import components
 
 SEED = 42
@@ -179,43 +184,59 @@ def simhash_components(
     )
 
 
-#: 64-bit words of the fingerprint that near-duplicate texts are found by.
+#: 64-bit words of the fingerprint that near-duplicate texts are compared by.
 WORDS = 4
+#: Bits of the fingerprint in a key, beside the least shingle.
+KEY_BITS = 8
+#: Texts of one key from which it is cut by further bits.
+HOT = 4096
+_MIX = 0x9E3779B97F4A7C15
 
 
-def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """node, doc_id, fp (WORDS long integers), grams (distinct shingles as sorted integers), no shuffle.
+def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int, blocks: list[tuple[int, int]]) -> DataFrame:
+    """name, doc_id, fp (WORDS long integers), keys (one a block), grams (distinct shingles as sorted integers), no shuffle.
 
-    node is a hash of the id and the text, which names the row again later.
+    name is a digest of the id and the text, which finds the row again later. Shingles are compared by 32 bits of
+    their hashes: of a text's thousands, one in a million meets another.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    thin = df.select(node_of(id_col, text_col).alias("node"), F.col(id_col).alias("doc_id"), text.alias("text"))
+    thin = df.select(name_of(id_col, text_col).alias("name"), F.col(id_col).alias("doc_id"), text.alias("text"))
     id_type = thin.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        salts = [np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1) for k in range(WORDS)]
+        salts = [np.uint64(_MIX * k & (1 << 64) - 1) for k in range(max(WORDS, len(blocks)))]
+        numbers = np.array(salts[: len(blocks)], np.uint64)
+        factors = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
-        def one(text: str) -> tuple[list[int], np.ndarray]:
+        def mixed(x):
+            x = x * factors[0]
+            return (x ^ x >> np.uint64(32)) * factors[1]
+
+        def one(text: str) -> tuple[list[int], list[int], np.ndarray]:
             h = np.unique(shingle_hashes(text, shingle))
-            fps = []
-            for salt in salts:  # a word of its own from each mixing of the same hashes
-                x = (h ^ salt) * np.uint64(0xBF58476D1CE4E5B9)
-                fps.append(majority((x ^ x >> np.uint64(32)) * np.uint64(0x94D049BB133111EB)))
-            return fps, np.unique(h.astype(np.uint32)).view(np.int32)
+            fps = [majority(mixed(h ^ salt)) for salt in salts[:WORDS]]  # a word of its own from each mixing of the same hashes
+            least = [mixed(h ^ ~salts[i]).min() if len(h) else np.uint64(0) for i in range(len(blocks))]
+            cut = [np.uint64(fps[w] & m & (1 << 64) - 1) for w, m in blocks]
+            keys = mixed(np.array(least, np.uint64) ^ mixed(np.array(cut, np.uint64) + numbers)).view(np.int64)
+            return fps, keys.tolist(), np.unique(h.astype(np.uint32)).view(np.int32)
 
         for whole in batches:
             for batch in slices(whole, 2):
-                fps, grams = zip(*[one(t) for t in batch.column(2).to_pylist()], strict=True)
-                columns = [pa.array(fps, pa.list_(pa.int64())), pa.array(grams, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["node", "doc_id", "fp", "grams"])
+                with np.errstate(over="ignore"):
+                    fps, keys, grams = zip(*[one(t) for t in batch.column(2).to_pylist()], strict=True)
+                columns = [pa.array(x, pa.list_(pa.int64())) for x in (fps, keys)] + [pa.array(grams, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["name", "doc_id", "fp", "keys", "grams"])
 
-    return thin.mapInArrow(run, f"node bigint, doc_id {id_type}, fp array<bigint>, grams array<int>")
+    return thin.mapInArrow(run, f"name string, doc_id {id_type}, fp array<bigint>, keys array<bigint>, grams array<int>")
 
 
-def node_of(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(row_key(F.col(id_col)), F.coalesce(F.col(text_col), F.lit("")))
+def name_of(id_col: str, text_col: str) -> Column:
+    """SHA-256 of a row's id and text; a null id differs from every other, a null text is empty."""
+    given = F.col(id_col).cast("string")
+    named = F.coalesce(F.concat(F.lit("="), F.length(given).cast("string"), F.lit(":"), given), F.lit("-"))
+    return F.sha2(F.concat(named, F.lit(":"), F.coalesce(F.col(text_col), F.lit(""))), 256)
 
 
 def agreement(similarity: float) -> float:
@@ -223,29 +244,56 @@ def agreement(similarity: float) -> float:
     return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def drawn_blocks(texts: int, similarity: float, recall: float) -> list[tuple[int, int]]:
-    """(word, mask) of each block: log2(texts) bits, as many blocks as reach the recall at this similarity."""
-    bits = min(60, max(12, math.ceil(math.log2(max(2, texts)))))
-    number = math.ceil(math.log(1 - recall) / math.log(1 - agreement(similarity) ** bits))
-    rng = random.Random(0)
+def drawn_blocks(bits: int, chance: float, recall: float, seed: int) -> list[tuple[int, int]]:
+    """(word, mask) of each block of so many bits: as many blocks as make one of the given chance each succeed with the recall."""
+    number = math.ceil(math.log(1 - recall) / math.log(1 - chance))
+    rng = random.Random(seed)
     return [(k % WORDS, sum(1 << b for b in rng.sample(range(64), bits))) for k in range(number)]
 
 
+def cut_keys(keyed: DataFrame, hot: int, similarity: float, recall: float) -> DataFrame:
+    """keyed (key, fp, ...) with the keys that more than ``hot`` texts have cut by further blocks of their fingerprints.
+
+    A key of n texts is cut by 2 * log2(n / hot) bits, as many times over as give a pair at the threshold the recall
+    again. Texts that share a passage and no more agree in up to 0.7 of their bits, so such keys come down to some ``hot`` texts.
+    """
+    counts = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot), "hot-keys")
+    most = counts.agg(F.max("n")).first()[0]
+    if most is None:
+        return keyed
+    bits = F.least(F.ceil(2 * F.log2(F.col("n") / hot)).cast("int"), F.lit(40))
+    sets = {}
+    for size in range(1, min(40, math.ceil(2 * math.log2(most / hot))) + 1):
+        drawn = drawn_blocks(size, agreement(similarity) ** size, recall, size)
+        sets[size] = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(_signed(m)).cast("bigint").alias("m")) for w, m in drawn])
+    drawn = F.create_map(*[x for size, blocks in sets.items() for x in (F.lit(size), blocks)])
+    none = F.array(F.struct(F.lit(0).alias("w"), F.lit(0).cast("bigint").alias("m")))
+    each = F.coalesce(F.try_element_at(drawn, bits), none)
+    # counts has a row for each hot key only: fewer than the rows by a factor of hot
+    cut = keyed.join(counts, "key", "left").select("*", F.posexplode(each).alias("cut_no", "cut"))
+    part = F.get("fp", F.col("cut.w")).bitwiseAND(F.col("cut.m"))
+    key = F.when(F.col("n").isNull(), F.col("key")).otherwise(F.xxhash64("key", "cut_no", part))
+    return cut.withColumn("key", key).drop("n", "cut_no", "cut")
+
+
 def _distance(a: Column, b: Column) -> Column:
     return sum((F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(WORDS)), F.lit(0))
 
 
 def near_components(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.98
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.98,
+    hot: int = HOT,
 ) -> DataFrame:
-    """node, doc_id, root, one row per distinct id and text: root names the component of near-duplicates.
+    """name, node, doc_id, root, one row per distinct id and text: root names the component of near-duplicates.
 
     Two texts are near-duplicates if they share at least ``similarity`` of their distinct shingles (of
     ``shingle`` words, letters A-Z in lower case); texts without words are equal. A pair right at the
     threshold is found with probability ``recall``, one well above it nearly always; none below it is linked.
+    Nodes are numbers that the rows get once their table is written, so no two texts have one.
     """
-    rows = materialize(sketches(df, id_col, text_col, shingle).dropDuplicates(["node"]), "sketches")
-    blocks = drawn_blocks(rows.count(), similarity, recall)
+    blocks = drawn_blocks(KEY_BITS, similarity * agreement(similarity) ** KEY_BITS, recall, 0)
+    rows = sketches(df, id_col, text_col, shingle, blocks).dropDuplicates(["name"])
+    rows = materialize(rows.select(F.monotonically_increasing_id().alias("node"), "*"), "sketches")
 
     def reach(bits: int, deviations: float) -> int:
         """The distance of this many bits that a pair at the threshold exceeds by so many deviations only."""
@@ -253,21 +301,18 @@ def near_components(
         return math.floor(expected + deviations * math.sqrt(expected * agreement(similarity)))
 
     within, within_word = reach(64 * WORDS, 2.5), reach(64, 3.5)
-    each = F.array(*[F.get("fp", F.lit(w)).bitwiseAND(F.lit(_signed(m)).cast("bigint")) for w, m in blocks])
-    known = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(_signed(m)).cast("bigint").alias("mask")) for w, m in blocks])
     grams = rows.select("node", "grams")
+    # a row for each text and key, with one word of the fingerprint to check a meeting by
+    every = rows.select("node", "fp", F.posexplode("keys").alias("c", "key"))
+    every = cut_keys(every, hot, similarity, recall)
+    every = every.select("key", "c", "node", F.get("fp", (F.col("c") + 1) % WORDS).alias("other"))
 
     def keyed(nodes: DataFrame, *more: str) -> DataFrame:
-        """A row for each text and block, with one more word of the fingerprint to check a meeting by."""
-        out = nodes.select("node", "fp", *more, F.posexplode(each).alias("c", "part"))
-        other = F.get("fp", (F.col("c") + 1) % WORDS).alias("other")
-        return out.select(F.xxhash64("c", "part").alias("key"), "c", "node", other, *more)
+        return every.join(nodes.select("node", *more), "node") if more else every
 
     def met_before(a: Column, b: Column, c: Column) -> Column:
-        """Whether two fingerprints agree on a block before the one numbered c."""
-        return F.exists(
-            F.slice(known, F.lit(1), c), lambda k: F.get(a, k["w"]).bitwiseXOR(F.get(b, k["w"])).bitwiseAND(k["mask"]) == 0
-        )
+        """Whether two texts share a key before the one numbered c."""
+        return F.exists(F.zip_with(F.slice(a, F.lit(1), c), F.slice(b, F.lit(1), c), lambda x, y: x == y), lambda same: same)
 
     def close(a: str, b: str) -> Column:
         return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= within_word
@@ -311,14 +356,14 @@ def near_components(
     mixed = held.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
     a, b = held.join(mixed.select("key"), "key", "left_semi").alias("a"), held.alias("b")
     meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & close("a.other", "b.other")
-    held = a.join(b, meet, "left_semi").select("key", "c", "node", "root").join(rows.select("node", "fp", "grams"), "node")
+    held = a.join(b, meet, "left_semi").select("key", "c", "node", "root").join(rows.select("node", "fp", "keys", "grams"), "node")
     held = materialize(held, "close")
     a, b = held.alias("a"), held.alias("b")
     meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & (_distance(F.col("a.fp"), F.col("b.fp")) <= within)
-    meet = meet & ~met_before(F.col("a.fp"), F.col("b.fp"), F.col("a.c"))  # a pair comes out once
+    meet = meet & ~met_before(F.col("a.keys"), F.col("b.keys"), F.col("a.c"))  # a pair comes out once
     more = a.join(b, meet & similar(F.col("a.grams"), F.col("b.grams"))).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
     rooted = roots(links.unionByName(more))
-    return rows.select("node", "doc_id").join(rooted.select("node", "root"), "node")
+    return rows.select("name", "node", "doc_id").join(rooted.select("node", "root"), "node")
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -328,6 +373,6 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     a null id is above every other. An empty input gives no rows.
     """
     found = near_components(df, id_col, text_col, **options)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("node").alias("node"))
-    kept = found.groupBy("root").agg(F.min(place).alias("least")).select(F.col("least.node").alias("key"))
-    return first_of_each(df, node_of(id_col, text_col), kept)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("name").alias("name"))
+    kept = found.groupBy("root").agg(F.min(place).alias("least")).select(F.col("least.name").alias("key"))
+    return first_of_each(df, name_of(id_col, text_col), kept)

@@ -8,6 +8,7 @@ import re
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 import tiktoken
 
 import corpus_pipeline
@@ -81,7 +82,8 @@ def test_near_stage(stages):
     assert sorted(i for i, _ in pairs(stages[2][1])) == sorted(i for i in root if root[i] == i)
 
 
-def test_near_copies_of_many_grades(spark):
+@pytest.mark.parametrize("hot", [4096, 4])
+def test_near_copies_of_many_grades(spark, hot):
     """Copies with 0 to 12 of 200 words changed: what is under the threshold stays, what is over it is found."""
     rng = random.Random(3)
     rows = []
@@ -95,7 +97,7 @@ def test_near_copies_of_many_grades(spark):
             rows.append((base * 100 + k, " ".join(changed)))
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["root"] for r in simhash.near_components(df).collect()}
+    got = {r["doc_id"]: r["root"] for r in simhash.near_components(df, hot=hot).collect()}
     root = brute_near(rows)
     assert all(root[i] == root[j] for i in root for j in root if got[i] == got[j])
     pairs_ = [(i, j) for i in root for j in root if i < j and root[i] == root[j]]
@@ -112,6 +114,21 @@ def test_a_large_group_of_near_copies(spark):
     assert held == [0, *range(1000, 1050)]
 
 
+def test_a_passage_that_unlike_texts_share(spark):
+    """Most least shingles lie in the passage; the keys are cut by the fingerprint until few texts share one."""
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(100))
+    rows = [(i, f"{passage} " + " ".join(f"v{rng.randrange(10**6)}" for _ in range(90))) for i in range(1_500)]
+    rows += [(9_000 + i, rows[i][1] + " again") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    blocks = simhash.drawn_blocks(simhash.KEY_BITS, 0.22, 0.98, 0)
+    sketched = simhash.sketches(df, "doc_id", "text", 5, blocks).select("doc_id", "fp", F.explode("keys").alias("key"))
+    largest = lambda keyed: keyed.groupBy("key").count().agg(F.max("count")).first()[0]
+    assert largest(simhash.cut_keys(sketched, 8, 0.8, 0.98)) < largest(sketched) / 2.5
+    held = [r["doc_id"] for r in simhash.drop_near_duplicates(df, hot=8).collect()]
+    assert sorted(held) == list(range(1_500))
+
+
 def test_near_stage_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "a"), (5, "A"), (5, "A"), (None, "a b"), (None, "a b"), (6, "A B"), (7, "c " * 50_000), (8, "d e f g h")]
     df = spark.createDataFrame([(i, t, 1, "k") for i, t in rows], "doc_id long, text string, node int, key string")
