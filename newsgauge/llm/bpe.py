@@ -140,7 +140,7 @@ class Tables:
         self.tokens = b"".join(ranks)
         self.sizes = np.array([len(t) for t in ranks], np.int32)
         self.ids = np.array(list(ranks.values()), np.int32)
-        db = duckdb.connect(config={"threads": 1})
+        db = duckdb.connect(config={"threads": 1, "temp_directory": ""})
 
         def parts() -> Iterator[tuple[int, int, int, int]]:
             for token, rank in ranks.items():
@@ -182,7 +182,8 @@ class Codec:
         self.single = {token: rank.to_bytes(4, "little") for token, rank in zip(tokens, tables.ids.tolist(), strict=True)}
         self.byte = np.array([int.from_bytes(self.single[bytes([i])], "little") for i in range(256)], np.int32)
         self.longest = int(tables.sizes.max())
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB"})
+        # nothing is spilled to a folder of the machine: a batch fits or fails
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         _load(self.db, "pairs", pa.table(tables.pairs))
         self.db.execute(f"CREATE TEMP TABLE merges AS SELECT l, r, m FROM pairs WHERE m < {NONE}")
         _load(self.db, "vocab", pa.table({"id": tables.ids, "bytes": pa.array([b.hex() for b in tokens])}))
