@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from newsgauge.functions.text import alert_id, alert_line
 
+from .linking import stored
 from .persist import pending_alerts
 
 
@@ -38,8 +39,9 @@ Sink = Callable[[DataFrame], int]
 
 def json_sink(path: str) -> Sink:
     def send(alerts: DataFrame) -> int:
-        alerts.write.mode("append").json(path)
-        return alerts.count()
+        sent = Observation()
+        alerts.observe(sent, F.count(F.lit(1)).alias("n")).write.mode("append").json(path)
+        return sent.get["n"]  # counted by the write itself
 
     return send
 
@@ -64,18 +66,19 @@ def dispatch(alerts: DataFrame, sent: DataFrame, sinks: dict[str, Sink], run_id:
     together; a failing sink records nothing and does not stop the others. A dry run
     computes the candidates and neither sends nor records.
     """
-    due = pending_alerts(alerts, sent, list(sinks)).persist()
-    done, summary = [], []
-    total = alerts.count()
+    offered = Observation()
+    every = alerts.observe(offered, F.count(F.lit(1)).alias("n"))
+    due = stored(pending_alerts(every, sent, list(sinks)), "due")  # written once; candidates are counted on the way
+    pending = {r[0]: r[1] for r in due.groupBy("channel").count().collect()}  # a row a channel
+    done, summary, total = [], [], offered.get["n"]
     for channel, send in sinks.items():
-        own = due.where(F.col("channel") == channel)
-        n = own.count()
+        n = pending.get(channel, 0)
         row = {"channel": channel, "candidates": total, "delivered": 0, "skipped": total - n, "failed": 0, "outcome": "nothing-new"}
         if n and dry_run:
             row["outcome"] = "dry-run"
         elif n:
             try:
-                row |= {"delivered": send(own.drop("channel")), "outcome": "sent"}
+                row |= {"delivered": send(due.where(F.col("channel") == channel).drop("channel")), "outcome": "sent"}
                 done.append(channel) if row["delivered"] else None
             except Exception as problem:  # a sink is outside code: its failure is its own
                 row |= {"failed": n, "outcome": f"failed: {problem}"[:200]}

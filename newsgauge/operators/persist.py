@@ -56,6 +56,24 @@ def pending_alerts(alerts: DataFrame, sent: DataFrame, channels: list[str]) -> D
     return every.join(sent.select("mention_id", "channel"), ["mention_id", "channel"], "left_anti")
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def swap_file(spark: SparkSession, root: str, name: str, text: str) -> None:
+    """Write a small file below root in one step: readers see the old text until the rename and this one from then on."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    fresh, path = hadoop_path(spark, f"{root}/NEXT-{uuid.uuid4().hex}"), hadoop_path(spark, f"{root}/{name}")
+    fs = path.getFileSystem(conf)
+    out = fs.create(fresh, True)
+    out.write(text.encode())
+    out.close()
+    kinds = getattr(hadoop, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kinds, 1)
+    how[0] = kinds.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(fresh), fs.makeQualified(path), how)
+
+
 class Table:
     """A Parquet table of versions below one folder; the pointer names the current one."""
 
@@ -63,7 +81,7 @@ class Table:
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
 
     def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return hadoop_path(self.spark, f"{self.root}/{name}")
 
     def current(self) -> str | None:
         """The version that the pointer names; none only for a table that was never written."""
@@ -88,17 +106,8 @@ class Table:
         """
         version = f"v-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.root}/{version}")
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        fresh, path = self._path(f"NEXT-{version}"), self._path("CURRENT")
-        conf = self.spark._jsc.hadoopConfiguration()
-        fs = path.getFileSystem(conf)
-        out = fs.create(fresh, True)
-        out.writeBytes(version)
-        out.close()
-        kinds = getattr(hadoop, "Options$Rename")
-        how = self.spark.sparkContext._gateway.new_array(kinds, 1)
-        how[0] = kinds.OVERWRITE
-        hadoop.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(fresh), fs.makeQualified(path), how)
+        swap_file(self.spark, self.root, "CURRENT", version)
+        fs = self._path("NAMED").getFileSystem(self.spark._jsc.hadoopConfiguration())
         fs.create(self._path("NAMED"), True).close()
         return self.read()
 

@@ -13,7 +13,9 @@ from newsgauge.functions.text import mention_id
 
 from .classify import Model, classify, rejections, results
 from .collect import collect, collection_totals
-from .persist import Table, insert_if_absent, set_state, upsert
+from .ledger import Keyed, Ledger
+from .linking import stored
+from .persist import Table, set_state
 
 MENTIONS = (
     "id string, company_id {0}, article_id string, relevant boolean, rejection_reason string, sentiment string, "
@@ -24,33 +26,15 @@ RUNS = "id string, started_at timestamp, finished_at timestamp, status string, c
 
 
 class Store:
-    """The tables of a run below one folder."""
+    """The tables of a run below one folder; one manifest names them all."""
 
-    def __init__(self, spark: SparkSession, folder: str, company_type: str = "bigint"):
-        named = {
-            "mentions": MENTIONS.format(company_type), "articles": ARTICLES, "runs": RUNS,
-            "cache": "key string, raw string", "state": "key string, value string",
-        }
-        self.mentions, self.articles, self.runs, self.cache, self.state = (
-            Table(spark, f"{folder}/{name}", schema) for name, schema in named.items()
-        )
-
-
-def _fit(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """rows with the columns and types of table, null where they have none."""
-    return rows.select(*[
-        (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in table.schema
-    ])
-
-
-def _add(table: Table, rows: DataFrame, key: str) -> None:
-    held = table.read()
-    table.replace(insert_if_absent(held, _fit(rows, held), [key], key)[0])
-
-
-def _put(table: Table, rows: DataFrame, key: str, keep: tuple[str, ...] = ()) -> None:
-    held = table.read()
-    table.replace(upsert(held, _fit(rows, held), [key], keep))
+    def __init__(self, spark: SparkSession, folder: str, company_type: str = "bigint", buckets: int = 64):
+        self.ledger = Ledger(spark, folder, {
+            "mentions": Keyed(MENTIONS.format(company_type), ("id",), buckets), "articles": Keyed(ARTICLES, ("article_id",), buckets),
+            "cache": Keyed("key string, raw string", ("key",), buckets), "runs": Keyed(RUNS, ("id",), 1),
+        })
+        self.mentions, self.articles, self.runs, self.cache = (self.ledger.table(n) for n in ("mentions", "articles", "runs", "cache"))
+        self.state = Table(spark, f"{folder}/state", "key string, value string")
 
 
 def write_pending(store: Store, kept: DataFrame, rejected: DataFrame, now: Column) -> None:
@@ -58,9 +42,11 @@ def write_pending(store: Store, kept: DataFrame, rejected: DataFrame, now: Colum
     named = lambda rows: rows.withColumnRenamed("id", "article_id").withColumn("id", mention_id("company_id", "article_id"))
     kept, rejected = named(kept), named(rejected)
     seen = kept.unionByName(rejected).drop("url").withColumnRenamed("canonical_url", "url")
-    _add(store.articles, seen, "article_id")
     waiting = kept.select("id", "company_id", "article_id")
-    _add(store.mentions, waiting.unionByName(rejections(rejected, now), allowMissingColumns=True), "id")
+    commit = store.ledger.begin()
+    commit.insert("articles", seen)
+    commit.insert("mentions", waiting.unionByName(rejections(rejected, now), allowMissingColumns=True))
+    commit.publish()
 
 
 def classify_waiting(store: Store, companies: DataFrame, model: Model, name: str, prompt_version: str, now: Column) -> DataFrame:
@@ -74,11 +60,12 @@ def classify_waiting(store: Store, companies: DataFrame, model: Model, name: str
     counts = full.agg(F.count("*").alias("waiting"), F.count_if(F.col("company").isNull() | F.col("title").isNull()).alias("lost")).first()
     asked = full.where("company IS NOT NULL AND title IS NOT NULL")
     done, fresh = classify(asked, store.cache.read(), model, name, prompt_version)
-    before = store.mentions.read()
-    _put(store.mentions, results(done, name, prompt_version, now), "id")
-    _add(store.cache, fresh, "key")
-    answered = before.where("classified_at IS NULL").count() - store.mentions.read().where("classified_at IS NULL").count()
-    return before.sparkSession.createDataFrame([(*counts, answered)], "waiting long, lost long, answered long")
+    said = stored(results(done, name, prompt_version, now), "results")
+    commit = store.ledger.begin()
+    commit.upsert("mentions", said)
+    commit.insert("cache", fresh)
+    commit.publish()
+    return companies.sparkSession.createDataFrame([(*counts, said.count())], "waiting long, lost long, answered long")
 
 
 def run_pipeline(
@@ -92,7 +79,7 @@ def run_pipeline(
     """
     spark = raw.sparkSession
     started = spark.range(1).select(F.lit(run_id).alias("id"), now.cast("timestamp").alias("started_at"), F.lit("running").alias("status"))
-    _put(store.runs, started, "id")
+    store.runs.upsert(started)
     kept, rejected, stats = collect(raw, companies, calls, most)
     write_pending(store, kept, rejected, now)
     classify_waiting(store, companies, model, name, prompt_version, now)
@@ -100,7 +87,7 @@ def run_pipeline(
     ended = collection_totals(stats, most).select(
         F.lit(run_id).alias("id"), "*", now.cast("timestamp").alias("finished_at"), state.alias("status")
     )
-    _put(store.runs, ended, "id", ("started_at",))
+    store.runs.upsert(ended, ("started_at",))
     last = store.runs.read().where(F.col("id") == run_id).select("status", F.col("started_at").cast("string")).first()
     if last[0] == "completed":
         set_state(store.state, {"watermark": last[1]})

@@ -12,6 +12,7 @@ from newsgauge.functions import dates, query_language, repair, text, urls
 from newsgauge.operators import (
     alerts, classify, collect, evaluate, exports, normalize, persist, planner, prefilter, registry_build, run, status,
 )
+from newsgauge.operators.ledger import Keyed, Ledger
 from newsgauge.sources import feeds
 from newsgauge.streaming import daily
 
@@ -820,7 +821,10 @@ def bucket_counts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").groupBy(dates.bucket(days).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH f AS (SELECT user_id, event_type, min(ts) AS at FROM events GROUP BY ALL)
+    SELECT 0 AS batch, 'file' AS channel, count(*) AS new_mentions, 'sent' AS outcome,
+      count(*) FILTER (WHERE event_type = 'purchase' AND at >= TIMESTAMP '2024-01-31' - INTERVAL 40 DAY AND user_id IN (SELECT c_custkey FROM customer)) AS delivered FROM f
+    UNION ALL SELECT 1, 'file', 0, 'nothing-new', 0""")
 def daily_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The daily check over the events, landed twice: the second time it finds nothing new."""
     root = daily.work_folder(spark, "daily-stream")
@@ -837,6 +841,25 @@ def daily_stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "batch int, channel string, new_mentions long, delivered long, outcome string")
 
 
+SQL_LEDGER = """
+    l AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'second' ELSE 'first' END AS label,
+      CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN 'first' WHEN o_orderkey % 3 = 0 THEN 'second' ELSE 'first' END AS seen
+      FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0)"""
+
+
+@query(f"WITH {SQL_LEDGER} SELECT label, seen, count(*) AS n, sum(id)::BIGINT AS ids FROM l GROUP BY label, seen")
+def ledger_writes(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders written to a table by key in three batches: half inserted, a third upserted, the half offered again."""
+    books = Ledger(spark, daily.work_folder(spark, "ledger"), {"orders": Keyed("id bigint, label string, seen string", ("id",), 16)})
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    rows = lambda x, label: o.where(x).select("id", F.lit(label).alias("label"), F.lit(label).alias("seen"))
+    orders = books.table("orders")
+    orders.insert(rows("id % 2 = 0", "first"))
+    orders.upsert(rows("id % 3 = 0", "second"), keep=("seen",))
+    orders.insert(rows("id % 2 = 0", "third"))
+    return orders.read().groupBy("label", "seen").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
 def _event_mentions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     key = F.concat_ws(":", F.col("user_id").cast("string"), "event_type")
     first = rows.groupBy("user_id", "event_type").agg(F.min("ts").cast("timestamp").alias("published_at"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsgauge.operators.alerts import Sink, candidates, dispatch
-from newsgauge.operators.persist import Table, insert_if_absent
+from newsgauge.operators.ledger import Keyed, Ledger
 
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder in the shared checkpoint folder; a temporary one only where that is unset on a local master."""
@@ -51,23 +51,33 @@ def run_daily(
     to_mentions turns raw rows into (mentions, articles), keyed by id and article_id.
     root holds the tables and the stream's checkpoint. only_new limits alerts to mentions
     of this batch; by default whatever is recent and not recorded is offered again.
+
+    A batch's mentions and articles become visible together, marked with its number, and its mentions
+    carry it: a batch that comes again after a failure writes nothing and alerts on the same mentions. What
+    was sent is recorded in a second step, so a failure between the two offers an alert again.
     """
-    mentions = Table(spark, f"{root}/mentions", mention_schema)
-    articles = Table(spark, f"{root}/articles", article_schema)
-    sent = Table(spark, f"{root}/sent", SENT)
+    books = ledger(spark, root, mention_schema, article_schema)
     said: list[dict] = []
 
     def batch(rows: DataFrame, number: int) -> None:
-        found, their = to_mentions(rows)
-        every, new = insert_if_absent(mentions.read(), found, ["id"], "id")
-        new = new.select("id").persist()
-        fresh = new.count()  # settles newness before the table changes
-        mentions.replace(every)
-        articles.replace(insert_if_absent(articles.read(), their, ["article_id"], "article_id")[0])
-        due = candidates(mentions.read(), articles.read(), companies, now, lookback_hours, new if only_new else None)
-        record, summary = dispatch(due, sent.read(), sinks, f"batch-{number}", now, dry_run)
+        if (books.mark("batch") if books.mark("batch") is not None else -1) < number:
+            found, their = to_mentions(rows)
+            commit = books.begin()
+            commit.insert("mentions", found.withColumn("batch", F.lit(number)))
+            commit.insert("articles", their)
+            for name in ("mentions", "articles"):
+                commit.compact(name)
+            commit.publish(batch=number)
+        mentions = books.read("mentions")
+        new = mentions.where(F.col("batch") == number).select("id")
+        due = candidates(mentions, books.read("articles"), companies, now, lookback_hours, new if only_new else None)
+        record, summary = dispatch(due, books.read("sent"), sinks, f"batch-{number}", now, dry_run)
         if not dry_run:
-            sent.replace(sent.read().unionByName(record))
+            commit = books.begin()
+            commit.insert("sent", record)
+            commit.compact("sent")
+            commit.publish()
+        fresh = new.count()
         said.extend(r.asDict() | {"new_mentions": fresh} for r in summary.collect())  # one row a channel
 
     stream = spark.readStream.schema(schema).parquet(landed)
@@ -76,6 +86,14 @@ def run_daily(
     return said
 
 
+def ledger(spark: SparkSession, root: str, mention_schema: str, article_schema: str, buckets: int = 64) -> Ledger:
+    """The tables of the daily check."""
+    return Ledger(spark, f"{root}/tables", {
+        "mentions": Keyed(f"{mention_schema}, batch bigint", ("id",), buckets), "articles": Keyed(article_schema, ("article_id",), buckets),
+        "sent": Keyed(SENT, ("mention_id", "channel"), buckets),
+    })
+
+
 def windowed_counts(events: DataFrame, time: str, key: str, size: str = "1 day", lateness: str = "1 day") -> DataFrame:
     """Counts by tumbling window and key with a watermark; for batch and stream alike."""
     timed = events.withColumn(time, F.col(time).cast("timestamp"))
