@@ -13,8 +13,8 @@ from newsgauge.operators import (
     alerts, classify, collect, evaluate, exports, normalize, persist, planner, prefilter, registry_build, run, status,
 )
 from newsgauge.operators.ledger import Keyed, Ledger
-from newsgauge.sources import feeds
-from newsgauge.streaming import daily
+from newsgauge.sources import feeds, landed
+from newsgauge.streaming import daily, first_seen
 
 from .standins import (
     NOW_TEXT, SQL_COMPANIES, SQL_MENTIONS, SQL_ROLLUP, articles, companies, mentions, now, table,
@@ -821,9 +821,9 @@ def bucket_counts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").groupBy(dates.bucket(days).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH f AS (SELECT user_id, event_type, min(ts) AS at FROM events GROUP BY ALL)
+@query("""WITH f AS (SELECT user_id, event_type, min(ts) AS seen FROM events GROUP BY ALL)
     SELECT 0 AS batch, 'file' AS channel, count(*) AS new_mentions, 'sent' AS outcome,
-      count(*) FILTER (WHERE event_type = 'purchase' AND at >= TIMESTAMP '2024-01-31' - INTERVAL 40 DAY AND user_id IN (SELECT c_custkey FROM customer)) AS delivered FROM f
+      count(*) FILTER (WHERE event_type = 'purchase' AND seen >= TIMESTAMP '2024-01-31' - INTERVAL 40 DAY AND user_id IN (SELECT c_custkey FROM customer)) AS delivered FROM f
     UNION ALL SELECT 1, 'file', 0, 'nothing-new', 0""")
 def daily_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The daily check over the events, landed twice: the second time it finds nothing new."""
@@ -841,6 +841,43 @@ def daily_stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "batch int, channel string, new_mentions long, delivered long, outcome string")
 
 
+@query("""WITH e AS (SELECT user_id || ':' || event_type AS key, event_id % 2 AS b, ts FROM events),
+    f AS (SELECT key, min(ts) FILTER (WHERE b = 0) AS even, min(ts) FILTER (WHERE b = 1) AS odd FROM e GROUP BY key)
+    SELECT key, strftime(coalesce(even, odd), '%Y-%m-%d %H:%M:%S.%f') AS first_at,
+      (SELECT count(*) FROM e WHERE e.key = f.key AND e.b = 1 AND e.ts < f.even) AS late FROM f""")
+def first_seen_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of even number land first, then the others: when each key was first seen, and how many rows came late."""
+    root = daily.work_folder(spark, "first-seen")
+    first_seen.use_state_store(spark)
+    e = table(spark, sf, "events").select(F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("key"), F.col("ts").cast("timestamp").alias("at"), "event_id")
+    for part in (0, 1):
+        e.where(F.col("event_id") % 2 == part).select("key", "at").write.mode("append").parquet(f"{root}/landed")
+        rows = spark.readStream.schema("key string, at timestamp").parquet(f"{root}/landed")
+        made = first_seen.first_seen(rows, "key", "at").writeStream.option("checkpointLocation", f"{root}/checkpoint").format("parquet")
+        made.trigger(availableNow=True).start(f"{root}/seen").awaitTermination()
+    seen = spark.read.schema("key string, at timestamp, kind string").parquet(f"{root}/seen")
+    at = F.date_format(F.min("at"), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    first = seen.where("kind = 'first'").groupBy("key").agg(at.alias("first_at"))
+    late = seen.where("kind = 'late'").groupBy("key").agg(F.count("*").alias("late"))
+    return first.join(late, "key", "left").fillna(0, ["late"])
+
+
+@query(f"""SELECT (page_id % 5)::VARCHAR AS company_id, 'p' || page_id % 3 AS provider, url,
+      strftime(TIMESTAMP '{NOW_TEXT}' - INTERVAL (page_id % 40) DAY, '%Y-%m-%d') AS day
+    FROM pages WHERE page_id % 17 <> 0 AND page_id % 5 IN (1, 3) AND page_id % 40 BETWEEN 1 AND 9""")
+def landed_window(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages landed as payloads by company and provider, read through the source with companies and window pushed into it."""
+    n = F.col("page_id")
+    at = F.when(n % 17 != 0, F.date_format(now() - F.make_dt_interval((n % 40).cast("int")), "yyyy-MM-dd'T'HH:mm:ssXXX"))
+    given = table(spark, sf, "pages").select((n % 5).alias("company"), F.concat(F.lit("p"), (n % 3).cast("string")).alias("provider"), "url", at.alias("published_at"))
+    path = f"{daily.work_folder(spark, 'landed')}/in"
+    given.write.partitionBy("company", "provider").json(path)
+    landed.register(spark)
+    rows = spark.read.format("landed").load(path).where(F.col("company_id").isin("1", "3"))
+    rows = rows.where((F.col("published_at") >= now() - F.expr("interval 9 days")) & (F.col("published_at") < now()))
+    return rows.select("company_id", "provider", "url", F.date_format("published_at", "yyyy-MM-dd").alias("day"))
+
+
 SQL_LEDGER = """
     l AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'second' ELSE 'first' END AS label,
       CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN 'first' WHEN o_orderkey % 3 = 0 THEN 'second' ELSE 'first' END AS seen
