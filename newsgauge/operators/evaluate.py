@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from newsgauge.functions.repair import safe_div
 
+from .linking import stored
+
 #: Words that mark a loss (English), for strata of a gold set.
 LOSS_WORDS = (
     "layoff|lay off|lawsuit|sued|sues|probe|investigation|breach|recall|shut|shuts|shutdown|down round|resign|steps down|"
@@ -69,17 +71,30 @@ def run_pairs(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     return relevance, mood
 
 
-def nearest_rank(values: str, by: list[str], rows: DataFrame, quantiles: dict[str, float]) -> DataFrame:
+def nearest_rank(values: str, by: list[str], rows: DataFrame, quantiles: dict[str, float], cells: int = 1024) -> DataFrame:
     """For each group the value at place floor(q * n), counted from 0 and at most n - 1, in ascending order.
 
-    Values are counted first: what a window orders is one row for each different value of a group.
+    No group is sorted: values are counted in ``cells`` cells between the least and the greatest, and the cell that holds
+    the place is cut again until one value is left in it. What a window orders is a row a cell.
     """
-    counted = rows.where(F.col(values).isNotNull()).groupBy(*by, values).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by)
-    placed = counted.withColumn("_upto", F.sum("_n").over(w.orderBy(values))).withColumn("_all", F.sum("_n").over(w))
-    at = lambda q: F.least(F.col("_all") - 1, F.floor(F.col("_all") * F.lit(q)))
-    picked = [F.min(F.when(F.col("_upto") > at(q), F.col(values))).alias(name) for name, q in quantiles.items()]
-    return placed.groupBy(*by).agg(*picked)
+    v = F.col(values)
+    given = rows.where(v.isNotNull()).select(*by, v.alias("_v"))
+    ends = given.groupBy(*by).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_all"))
+    at = F.array(*[F.struct(F.lit(name).alias("q"), F.least(F.col("_all") - 1, F.floor(F.col("_all") * F.lit(q)).cast("bigint")).alias("at")) for name, q in quantiles.items()])
+    found = stored(ends.select(*by, "_low", "_high", F.explode(at).alias("_q")).select(*by, "_low", "_high", "_q.q", F.col("_q.at").alias("_at")), "ranks")
+    while not found.where("_low < _high").isEmpty():
+        open_ = found.where("_low < _high")
+        on = [given[c].eqNullSafe(open_[c]) for c in by]
+        inside = given.join(open_, [*on, given["_v"].between(open_["_low"], open_["_high"])]).select(*[open_[c] for c in by], "q", "_at", "_low", "_high", "_v")
+        share = (F.col("_v") - F.col("_low")).cast("double") / (F.col("_high") - F.col("_low")).cast("double")
+        counted = inside.groupBy(*by, "q", "_at", F.least(F.floor(share * cells), F.lit(cells - 1)).alias("_cell")).agg(
+            F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_n")
+        )
+        upto = F.sum("_n").over(Window.partitionBy(*by, "q").orderBy("_cell"))
+        placed = counted.withColumn("_upto", upto).where((F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("_n") <= F.col("_at")))
+        cut = placed.select(*by, "_low", "_high", "q", (F.col("_at") - F.col("_upto") + F.col("_n")).alias("_at"))
+        found = stored(found.where("_low = _high").unionByName(cut), "ranks")
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("q") == name, F.col("_low"))).alias(name) for name in quantiles])
 
 
 def to_fixed(x: Column, digits: int) -> Column:
@@ -156,26 +171,33 @@ def stratum(text: Column, soft_pass: Column, tier: Column) -> Column:
     )
 
 
+def first_of_each(rows: DataFrame, by: list[str], order: list[Column | str], most: int, name: str, salts: int = 64) -> DataFrame:
+    """The first ``most`` rows of each group with their place in column name; ties in any order.
+
+    Taken twice: of each group's parts by hash, then of what the parts gave, so a group is ``salts`` tasks and no
+    task of the second window holds more than salts times most of its rows.
+    """
+    salt = F.pmod(F.xxhash64(*order), F.lit(salts))
+    part = Window.partitionBy(*by, "_salt").orderBy(*order)
+    near = rows.withColumn("_salt", salt).withColumn("_rn", F.row_number().over(part)).where(F.col("_rn") <= most)
+    whole = Window.partitionBy(*by).orderBy(*order)
+    return near.drop("_salt", "_rn").withColumn(name, F.row_number().over(whole)).where(F.col(name) <= most)
+
+
 def round_robin(rows: DataFrame, strata: str, group: str, order: Column | str, targets: dict[str, int]) -> DataFrame:
     """Of each stratum as many rows as its target, one from each group a round, groups in order."""
-    turn = Window.partitionBy(strata, group).orderBy(order)
-    place = Window.partitionBy(strata).orderBy("_round", group)
-    table = F.create_map(*[F.lit(x) for pair in targets.items() for x in pair])
-    most = max(targets.values())
-    taken = rows.withColumn("_round", F.row_number().over(turn)).where(F.col("_round") <= most)
-    taken = taken.withColumn("place", F.row_number().over(place))
-    return taken.where(F.col("place") <= F.try_element_at(table, F.col(strata))).drop("_round")
+    most, table = max(targets.values()), F.create_map(*[F.lit(x) for pair in targets.items() for x in pair])
+    wanted = rows.where(F.col(strata).isin(*targets)).withColumn("_order", order if isinstance(order, Column) else F.col(order))
+    taken = first_of_each(first_of_each(wanted, [strata, group], ["_order"], most, "_round"), [strata], ["_round", group], most, "place")
+    return taken.where(F.col("place") <= F.try_element_at(table, F.col(strata))).drop("_round", "_order")
 
 
 def hash_sample(rows: DataFrame, strata: str, group: str, key: Column, per_group: int, targets: dict[str, int]) -> DataFrame:
     """Of each stratum as many rows as its target in order of sha256 of key, at most per_group of a group."""
-    keyed = rows.withColumn("hash", F.sha2(key, 256))
-    own = Window.partitionBy(strata, group).orderBy("hash")
-    place = Window.partitionBy(strata).orderBy("hash")
-    table = F.create_map(*[F.lit(x) for pair in targets.items() for x in pair])
-    few = keyed.withColumn("_rn", F.row_number().over(own)).where(F.col("_rn") <= per_group)
-    few = few.withColumn("place", F.row_number().over(place))
-    return few.where(F.col("place") <= F.try_element_at(table, F.col(strata))).drop("_rn")
+    most, table = max(targets.values()), F.create_map(*[F.lit(x) for pair in targets.items() for x in pair])
+    keyed = rows.where(F.col(strata).isin(*targets)).withColumn("hash", F.sha2(key, 256))
+    few = first_of_each(keyed, [strata, group], ["hash"], per_group, "_rn").drop("_rn")
+    return first_of_each(few, [strata], ["hash"], most, "place").where(F.col("place") <= F.try_element_at(table, F.col(strata)))
 
 
 def percent(part: Column, whole: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsgauge.functions.dates import bucket, days_before, days_since, describe, month
@@ -45,6 +45,27 @@ def window_start(now: Column, days: int, by_date: bool = False) -> Column:
     return F.to_date(start).cast("timestamp") if by_date else start
 
 
+def coverage_series(companies: DataFrame, published: DataFrame, first: str, last: str, days: int = 90) -> DataFrame:
+    """company_id, day, mentions: coverage in the trailing window of every company at every day from first to last (inclusive).
+
+    A mention enters on its day and leaves ``days`` days later: two events a mention, added up by (company, day)
+    before anything is ordered, so that the running sum passes over at most one row a company and day and no
+    row is multiplied by the length of the window.
+    """
+    day = F.to_date("published_at")
+    start, end = F.lit(first).cast("date"), F.lit(last).cast("date")
+    near = published.where((day > F.date_sub(start, days)) & (day <= end))
+    # what entered before the first day counts from it on; what leaves after the last day is left out
+    events = near.select("company_id", F.explode(F.array(
+        F.struct(F.greatest(day, start).alias("day"), F.lit(1).alias("step")), F.struct(F.date_add(day, days).alias("day"), F.lit(-1).alias("step"))
+    )).alias("e")).select("company_id", "e.*")
+    steps = events.where(F.col("day") <= end).groupBy("company_id", "day").agg(F.sum("step").alias("step"))
+    every = companies.select("company_id", F.explode(F.sequence(start, end)).alias("day"))
+    running = Window.partitionBy("company_id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    joined = every.join(steps, ["company_id", "day"], "left")
+    return joined.select("company_id", "day", F.sum(F.coalesce("step", F.lit(0))).over(running).alias("mentions"))
+
+
 def counts_by(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("n"))
 

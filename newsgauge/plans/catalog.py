@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from newsgauge.functions import dates, query_language, repair, text, urls
 from newsgauge.operators import (
-    alerts, classify, collect, evaluate, exports, normalize, persist, planner, prefilter, registry_build, run, status,
+    alerts, breaker, classify, collect, evaluate, exports, normalize, persist, planner, prefilter, registry_build, run, status,
 )
 from newsgauge.operators.ledger import Keyed, Ledger
 from newsgauge.sources import feeds, landed
@@ -878,6 +878,31 @@ def landed_window(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("company_id", "provider", "url", F.date_format("published_at", "yyyy-MM-dd").alias("day"))
 
 
+@query("""WITH d AS (SELECT unnest(generate_series(DATE '2001-05-01', DATE '2001-07-31', INTERVAL 1 DAY))::DATE AS day)
+    SELECT c_custkey AS company_id, strftime(day, '%Y-%m-%d') AS day,
+      (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_orderdate::DATE <= day AND o_orderdate::DATE > day - INTERVAL 90 DAY) AS mentions
+    FROM customer CROSS JOIN d""")
+def coverage_series(spark: SparkSession, sf: str) -> DataFrame:
+    published = mentions(spark, sf).where("relevant")
+    made = status.coverage_series(companies(spark, sf), published, "2001-05-01", "2001-07-31")
+    return made.select("company_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "mentions")
+
+
+@query("""WITH c AS (SELECT event_type AS provider, ts, event_id, event_id % 50 = 0 AS stop, event_id % 50 = 0 OR user_id % 3 <> 0 AS bad FROM events),
+    r AS (SELECT *, count(*) FILTER (WHERE NOT bad) OVER (PARTITION BY provider ORDER BY ts, event_id) AS run FROM c),
+    n AS (SELECT *, count(*) FILTER (WHERE bad) OVER (PARTITION BY provider, run ORDER BY ts, event_id) AS failures FROM r),
+    o AS (SELECT *, max(CASE WHEN bad AND (stop OR failures >= 3) THEN ts END) OVER (PARTITION BY provider, run ORDER BY ts, event_id) AS opened FROM n),
+    m AS (SELECT *, lag(opened) OVER (PARTITION BY provider ORDER BY ts, event_id) AS before FROM o)
+    SELECT event_id, CASE WHEN before IS NULL THEN 'closed' WHEN epoch_us(ts) - epoch_us(before) >= 3600000000 THEN 'half-open' ELSE 'open' END AS met,
+      failures, strftime(opened, '%Y-%m-%d %H:%M:%S.%f') AS opened_at FROM m""")
+def breaker_history(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as calls of five providers: most fail, every fiftieth is a rate limit."""
+    said = F.when(F.col("event_id") % 50 == 0, "rate-limited").when(F.col("user_id") % 3 != 0, "failure").otherwise("success")
+    calls = table(spark, sf, "events").select(F.col("event_type").alias("provider"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), said.alias("outcome"))
+    made = breaker.history(calls, cool_down=3600)
+    return made.select(F.col("seq").alias("event_id"), "met", "failures", F.date_format("opened_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("opened_at"))
+
+
 SQL_LEDGER = """
     l AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'second' ELSE 'first' END AS label,
       CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN 'first' WHEN o_orderkey % 3 = 0 THEN 'second' ELSE 'first' END AS seen

@@ -357,3 +357,50 @@ def test_loss_words_and_assent(spark):
     text = spark.createDataFrame([("Acme lays off", "2"), ("a down round", "Yes"), ("Acme sues", "-3"), ("gains", "1")], "t string, a string")
     got = text.select(evaluate.stratum(F.col("t"), F.lit(False), F.lit("low")).alias("s"), repair.to_boolean_text("a").alias("b")).collect()
     assert [(r["s"], r["b"]) for r in got] == [("kept-distinctive", False), ("negative-signal", True), ("negative-signal", False), ("kept-distinctive", True)]
+
+
+def test_nearest_rank_narrows_to_one_value(spark):
+    rng = random.Random(9)
+    rows = [("a", rng.choice([rng.gauss(0, 1), 10.0 ** rng.randrange(-8, 9), 3.0])) for _ in range(700)] + [("b", 5.0)] * 9 + [("c", -1.0), (None, 2.0), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r["g"]: (r["p0"], r["p50"], r["p95"], r["p100"]) for r in evaluate.nearest_rank("x", ["g"], df, {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}, cells=7).collect()}
+    want = {}
+    for g in ("a", "b", "c", None):
+        own = sorted(x for k, x in rows if k == g and x is not None)
+        want[g] = tuple(own[min(len(own) - 1, int(len(own) * q))] for q in (0.0, 0.5, 0.95, 1.0))
+    assert got == want
+
+
+def test_first_of_each_takes_a_hot_group_in_parts(spark):
+    df = spark.range(5_000).select((F.col("id") % 100 < 95).alias("g"), (F.col("id") * 7919 % 5003).alias("o"))
+    got = evaluate.first_of_each(df, ["g"], ["o"], 20, "place").collect()
+    for g in (True, False):
+        own = sorted(i * 7919 % 5003 for i in range(5_000) if (i % 100 < 95) is g)[:20]
+        assert sorted((r["place"], r["o"]) for r in got if r["g"] is g) == list(enumerate(own, 1))
+
+
+def test_breaker_history_equals_a_replay(spark):
+    from newsgauge.operators import breaker
+
+    rng = random.Random(2)
+    start = dt.datetime(2026, 7, 1)
+    calls = []
+    for p in "ab":
+        at = start
+        for n in range(200):
+            at += dt.timedelta(seconds=rng.choice([0, 60, 400, 40_000, 90_000]))
+            calls.append((p, at, n, rng.choices(["success", "failure", "rate-limited"], [2, 6, 1])[0]))
+    got = breaker.history(spark.createDataFrame(calls, "provider string, at timestamp, seq int, outcome string")).collect()
+    got = {(r["provider"], r["seq"]): (r["met"], r["failures"], r["opened_at"]) for r in got}
+    state, want = {}, {}
+    for p, at, n, outcome in calls:
+        failures, opened = state.get(p, (0, None))
+        met = "closed" if opened is None else "half-open" if (at - opened).total_seconds() >= 300 else "open"
+        if outcome == "success":
+            failures, opened = 0, None
+        else:
+            failures += 1
+            opened = at if outcome == "rate-limited" or failures >= 3 else opened
+        state[p] = failures, opened
+        want[p, n] = met, failures, opened
+    assert got == want
