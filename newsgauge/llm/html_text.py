@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Generator, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,16 +52,21 @@ _DECIDES = re.compile(r"hidden|style|display|visibility", re.I)
 _ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*+)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?")
 #: Comments, strings and arguments of a style, in which nothing is a declaration.
 _ASIDE = re.compile(r"/\*.*?(?:\*/|\Z)|\"[^\"]*+\"?|'[^']*+'?|\([^()]*+\)?", re.S)
+_COLSPAN = re.compile(r"(?:^|[\s\"'/])colspan\s*+=\s*+[\"']?\s*+(\d{1,4})", re.I)
+#: Lists and tables that lie deeper in others than this are shown as running text.
+DEEPEST = 20
+#: Characters up to which a column is aligned, and up to which a cell over several columns is: longer text runs over.
+WIDEST, WIDEST_SPAN = 40, 160
 _GAP = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
     """An element; hidden ones show nothing, the text right in an unlit one is not shown."""
 
-    __slots__ = ("tag", "hidden", "lit", "foreign", "children")
+    __slots__ = ("tag", "hidden", "lit", "foreign", "span", "children")
 
-    def __init__(self, tag: str, hidden: bool = False, lit: bool = True, foreign: bool = False):
-        self.tag, self.hidden, self.lit, self.foreign, self.children = tag, hidden, lit, foreign, []
+    def __init__(self, tag: str, hidden: bool = False, lit: bool = True, foreign: bool = False, span: int = 1):
+        self.tag, self.hidden, self.lit, self.foreign, self.span, self.children = tag, hidden, lit, foreign, span, []
 
 
 def _visibility(attributes: str, foreign: bool) -> tuple[bool, str]:
@@ -100,7 +107,9 @@ def parse(page: str) -> Node:
             stack[-1].children.append(html.unescape(text))
 
     end_of_raw: dict[str, re.Pattern] = {}
-    while m := _TOKEN.search(page, at):
+    last = page.rfind(">") + 1  # no tag ends after it; of what follows only a comment that does not end is markup
+    open_comment = page.find("<!--", last)
+    while m := _TOKEN.search(page, at, last):
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
@@ -118,7 +127,8 @@ def parse(page: str) -> Node:
         foreign = tag in FOREIGN or over.foreign and over.tag != "foreignobject"
         hidden, own = _visibility(m[3], foreign) if m[3] and _DECIDES.search(m[3]) else (False, "")
         lit = own not in ("hidden", "collapse") if own not in ("", "inherit") else over.lit
-        node = Node(tag, hidden or tag in UNSEEN or foreign and tag in FOREIGN_UNSEEN, lit, foreign)
+        wide = _COLSPAN.search(m[3]) if tag in ("td", "th") and m[3] else None
+        node = Node(tag, hidden or tag in UNSEEN or foreign and tag in FOREIGN_UNSEEN, lit, foreign, max(1, int(wide[1])) if wide else 1)
         over.children.append(node)
         if foreign and m[3].endswith("/"):
             continue
@@ -131,8 +141,9 @@ def parse(page: str) -> Node:
         elif tag not in VOID:
             places.setdefault(tag, []).append(len(stack))
             stack.append(node)
-    if at < len(page):
-        add(page[at:])
+    end = open_comment if open_comment >= at and open_comment >= 0 else len(page)
+    if at < end:
+        add(page[at:end])
     return root
 
 
@@ -191,6 +202,11 @@ def _render(node: Node, out: _Out, depth: int) -> Generator:
             out.space()
             out.add("".join(_plain(child)).strip("\n").split("\n"))
             out.blank = True
+        elif depth >= DEEPEST and tag in ("table", "ul", "ol"):
+            out.line()
+            for words in _plain(child):
+                out.text(f"{words} ")
+            out.line()
         elif tag == "table":
             out.space()
             out.add((yield _table(child, depth)))
@@ -247,7 +263,11 @@ def _plain(node: Node) -> Iterator[str]:
 
 
 def _table(table: Node, depth: int) -> Generator:
-    """Rows of cells, each column padded to its widest line; captions and stray text go before."""
+    """Rows of cells, each column padded to its widest line of at most WIDEST; captions and stray text go before.
+
+    A cell over several columns is as wide as they are and does not widen them. Cells that reach over several rows
+    stand in the first of them.
+    """
     before, rows = _Out(), []
 
     def gather(node: Node) -> Generator:
@@ -278,18 +298,22 @@ def _table(table: Node, depth: int) -> Generator:
             inner.line()
             cells.append([x for x in inner.lines if x] or [""])
         grid.append(cells)
-    widths: list[int] = []
-    for cells in grid:
-        for k, cell in enumerate(cells):
-            widest = max(map(len, cell)) if k + 1 < len(cells) else 0
-            if k == len(widths):
-                widths.append(widest)
-            widths[k] = max(widths[k], widest)
+    places = [list(accumulate((c.span for c in row), initial=0))[:-1] for row in rows]
+    widths: dict[int, int] = {}  # of the columns that some cell begins at
+    for row, cells, at in zip(rows, grid, places, strict=True):
+        for k, (cell, place) in enumerate(zip(cells, at, strict=True)):
+            fits = [len(x) for x in cell if len(x) <= WIDEST] if row[k].span == 1 and k + 1 < len(cells) else []
+            widths[place] = max(widths.get(place, 0), *fits, 0)
+    columns = sorted(widths)
+    upto = [0, *accumulate(widths[c] + 2 for c in columns)]
     lines = list(before.lines)
-    for cells in grid:
+    for row, cells, at in zip(rows, grid, places, strict=True):
+        own = []
+        for cell, node, place in zip(cells, row, at, strict=True):
+            a, b = bisect_left(columns, place), bisect_left(columns, place + node.span)
+            own.append((cell, min(upto[b] - upto[a] - 2, WIDEST if node.span == 1 else WIDEST_SPAN)))
         for n in range(max(map(len, cells), default=0)):
-            parts = [(cell[n] if n < len(cell) else "").ljust(w) for cell, w in zip(cells, widths, strict=False)]
-            lines.append("  ".join(parts).rstrip(" "))
+            lines.append("  ".join((cell[n] if n < len(cell) else "").ljust(w) for cell, w in own).rstrip(" "))
     return lines
 
 

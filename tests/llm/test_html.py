@@ -1,3 +1,7 @@
+import re
+import time
+from html.parser import HTMLParser
+
 import pytest
 
 from newsgauge.llm import html_text, registry
@@ -73,3 +77,74 @@ def test_visibility_and_depth(page, want):
 def test_depth_has_no_bound():
     assert html_text.page_text("<div>" * 100_000 + "<table><tr><td>a<td>b") == "a  b"
     assert html_text.page_text("<pre>" + "<b>" * 100_000 + "x") == "x"
+
+
+TABLES = [
+    ("<table><tr><td colspan=2>Head<td>Z<tr><td>a<td>bbb<td>c</table>", "Head    Z\na  bbb  c"),
+    ("<table><tr><td>a<td>b<tr><td colspan='2'>a long heading over both<tr><td>cc<td>d</table>", "a   b\na long heading over both\ncc  d"),
+    ("<table><tr><td colspan=0>a<td colspan=x>b<tr><td>c<td>d</table>", "a  b\nc  d"),
+    (f"<table><tr><td>{'x' * 60}<td>b<tr><td>c<td>d</table>", f"{'x' * 60}  b\nc  d"),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), TABLES)
+def test_tables_are_aligned(page, want):
+    assert html_text.page_text(page) == want
+
+
+def test_comments_and_signs_at_the_end():
+    for page, want in [("a<!-- no > yes <b>", "a"), ("a > b <", "a > b <"), ("a<b", "a<b"), ("<p>x<!--", "x"), ("<p>x</p><!-- > --> y", "x\n\ny"), ("1 < 2", "1 < 2")]:
+        assert html_text.page_text(page) == want
+
+
+BIG = {
+    "unclosed": "<a" * 500_000, "unclosed-quotes": "<a '" * 250_000 + ">", "lists": "<ul><li>" * 60_000 + "x", "items": "<ul><li>y" * 60_000,
+    "wide": "<table><tr><td>" + "w" * 400_000 + "<td>z" + "<tr><td>a<td>b" * 40_000, "tables": "<table><tr><td>q" * 60_000,
+    "spans": "<table>" + "<tr>" + "<td>aaaa" * 300 + ("<tr>" + "<td colspan=300>x<td>y" * 3) * 10_000, "open-comments": "<!--" * 250_000,
+}
+
+
+@pytest.mark.parametrize("name", sorted(BIG))
+def test_a_megabyte_takes_seconds_and_stays_in_bounds(name):
+    page = BIG[name]
+    began = time.perf_counter()
+    text = html_text.page_text(page)
+    assert time.perf_counter() - began < 20 and len(text) < 10 * len(page)
+
+
+class Words(HTMLParser):
+    """Visible words in order, by another parser: hidden elements are skipped with all they hold."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.found = [], []
+
+    def handle_starttag(self, tag, attrs):
+        given = dict(attrs)
+        style = (given.get("style") or "").replace(" ", "").lower()
+        if tag not in html_text.VOID:
+            unseen = tag in ("script", "style", "template", "noscript", "title", "head") or "hidden" in given or "display:none" in style or "visibility:hidden" in style
+            self.open.append((tag, unseen))
+
+    def handle_endtag(self, tag):
+        if any(t == tag for t, _ in self.open):
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if not any(unseen for _, unseen in self.open):
+            self.found += data.split()
+
+
+def test_the_words_of_whole_tables_equal_another_parser(spark):
+    sf = "/root/testdata/sf0.01"
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    different = []
+    for r in registry.QUERIES["op7_html_text"](spark, sf).collect():
+        other = Words()
+        other.feed(pages[r["page_id"]])
+        other.close()
+        marks = re.compile(r"^ *(?:- |\d+\. )+", re.M)
+        if sorted(marks.sub("", r["text"]).split()) != sorted(other.found):
+            different.append(r["page_id"])
+    assert len(pages) == 250 and different == []
