@@ -15,7 +15,7 @@ nearest one matters. A document full of candidates makes rows in proportion to t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -82,8 +82,8 @@ def secret_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     base, weak = _parts(F.col("text"))
     rows = materialize(rows.select("rid", "doc_id", base.alias("base"), weak.alias("weak")), "parts")
 
-    free = F.filter("weak", lambda w: ~F.exists("base", lambda b: (w["start"] >= b["start"]) & (w["start"] < b["end"])))
-    some = rows.where(F.size("weak") > 0).select("rid", F.explode(F.concat("base", free)).alias("s"))
+    held = rows.where(F.size("weak") > 0)
+    some = held.select("rid", F.explode("base").alias("s")).unionByName(_outside(held))
     some = some.select("rid", "s", F.element_at(_map(ROLE), F.col("s.kind")).alias("role"), F.col("s.start").alias("at"))
     bin_ = F.floor(F.col("at") / scope)
     near = some.groupBy("rid", "role", bin_.alias("bin")).agg(F.min("at").alias("low"), F.max("at").alias("high"))
@@ -109,6 +109,19 @@ def secret_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     )
 
 
+def _outside(rows: DataFrame) -> DataFrame:
+    """rid and the weak spans that begin in no strong one: a sweep over the starts and ends of each row's spans."""
+    none = F.lit(None).cast("struct<kind:string,start:int,end:int,value:string>")
+    event = lambda at, order, step, s: F.struct(at.alias("at"), F.lit(order).alias("order"), F.lit(step).alias("step"), s.alias("s"))
+    events = F.concat(
+        F.transform("base", lambda b: event(b["end"], 0, -1, none)), F.transform("base", lambda b: event(b["start"], 1, 1, none)),
+        F.transform("weak", lambda w: event(w["start"], 2, 0, w)),
+    )
+    sweep = Window.partitionBy("rid").orderBy("e.at", "e.order").rowsBetween(Window.unboundedPreceding, 0)
+    within = rows.select("rid", F.explode(events).alias("e")).withColumn("open", F.sum("e.step").over(sweep))
+    return within.where((F.col("e.order") == 2) & (F.col("open") == 0)).select("rid", "e.s")
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The query's columns of secret_scan's output."""
     return found.select(

@@ -153,3 +153,15 @@ def test_account_numbers_in_groups(spark):
     got = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find_pii(docs(spark, rows))).collect()}
     iban = {i: ",".join(x for x in s.split(",") if x.startswith("iban")) for i, s in got.items()}
     assert iban == {1: "iban:5:32", 2: "iban:0:27", 3: "", 4: "iban:0:19,iban:25:52", 5: "iban:8:35", 6: "", 7: "iban:0:22,iban:23:45"}
+
+
+def test_a_text_of_very_many_spans_takes_seconds(spark):
+    """Half a megabyte of strong and weak parts in turn: a sweep over them, no comparison of all with all."""
+    import time
+
+    text = "".join(f"user=u{i} password=Ab{i:06d}x AKIAABCDEFGH{i:08d} Zz9yXw8vUt7sRq6pOn5m{i}A https://h{i}.example/ " for i in range(5_000))
+    df = spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in secret_scan.digest(secret_scan.secret_scan(df)).collect()}
+    assert got[1]["n_assign"] == 5_000 and got[1]["n_access"] == 5_000 and got[2]["spans"] == ""
+    assert time.perf_counter() - began < 60
