@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spans import let
+
 #: Letters; digits and underscores end a word. No-letter numerals are dropped below.
 LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -104,12 +106,16 @@ def train(
     padded = F.concat(F.lit("^"), "w", F.lit("$"))
     size = F.length("w") + 2
 
-    def grams_of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), size - n + 1)
-        cut = F.transform(starts, lambda i: F.substring(padded, i, F.lit(n)))
-        return F.when(size >= n, cut).otherwise(F.array().cast("array<string>"))
+    def cut(letters: Column) -> Column:
+        """All n-grams of a word from its letters, each from its own place: linear in the word."""
+
+        def of(n: int) -> Column:
+            every = F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.array_join(F.slice(letters, i, F.lit(n)), ""))
+            return F.when(size >= n, every).otherwise(F.array().cast("array<string>"))
+
+        return F.flatten(F.array(*[of(n) for n in range(1, max_gram + 1)]))
 
-    cuts = F.flatten(F.array(*[grams_of(n) for n in range(1, max_gram + 1)]))
+    cuts = let(F.regexp_extract_all(padded, F.lit("(?s)."), F.lit(0)), cut)
     grams = counts.select("lang", "n", F.explode(cuts).alias("g")).groupBy("lang", "g").agg(F.sum("n").alias("n"))
 
     def logs(found: list[tuple[str, dict]]) -> tuple[dict[str, np.ndarray], np.ndarray]:

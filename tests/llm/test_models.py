@@ -209,3 +209,12 @@ def test_a_hot_language_leaves_the_others_their_words(spark):
     model = langid.train(docs(spark, rows), "doc_id", "text", "lang", max_words=2, max_grams=3)
     assert len(model.words) == 4 and {"qqq", "rrr"} <= set(model.words)
     assert len(model.grams) <= 6 and "q" in model.grams
+
+
+def test_a_very_long_word_is_learned_in_seconds(spark):
+    import time
+
+    rows = [(1, "ab" * 50_000, "x"), (2, "the dog", "y"), (3, "ab cd", "x")]
+    began = time.perf_counter()
+    model = langid.train(docs(spark, rows), "doc_id", "text", "lang")
+    assert time.perf_counter() - began < 40 and "abab" in model.grams and "^abab"[:4] in model.grams
