@@ -107,7 +107,7 @@ class _Fold:
 
 
 def _sessions(rows: DataFrame, tolerance: int) -> DataFrame:
-    """content, week, node, low, high, open: runs of weeks of a content key without a gap above the tolerance.
+    """content, week, node: runs of weeks of a content key without a gap above the tolerance.
 
     Counted by (content key, week) first, so that a key of very many items is a few rows. A key
     with an item without a date is one run, since such an item is near to any.
@@ -116,43 +116,31 @@ def _sessions(rows: DataFrame, tolerance: int) -> DataFrame:
     order = Window.partitionBy("content").orderBy("week")
     undated = F.max(F.col("low").isNull()).over(Window.partitionBy("content"))
     gap = (F.col("low") - F.lag("high").over(order) > tolerance).cast("int")
-    cut = cells.withColumn("open", undated).withColumn("gap", F.when(undated, 0).otherwise(F.coalesce(gap, F.lit(0))))
-    node = F.xxhash64("content", F.sum("gap").over(order))
-    return cut.select("content", "week", node.alias("node"), "low", "high", "open")
+    cut = cells.withColumn("gap", F.when(undated, 0).otherwise(F.coalesce(gap, F.lit(0))))
+    return cut.select("content", "week", F.xxhash64("content", F.sum("gap").over(order)).alias("node"))
 
 
 def _stories(rows: DataFrame, tolerance: int) -> DataFrame:
     """rows with ``story``: whatever can bear on one another in the fold has one story.
 
-    Content keys are cut at gaps in time and joined again by the URLs that cross. A holder may
-    take a slot of one key to the dates of another, so runs of a key that lie within the
-    tolerance of what its run was joined with come in too, until none is left outside. Names are hashes:
-    two that fall together make one story of two, which the fold keeps apart.
+    Content keys are cut at gaps in time, and pieces of one key that a URL was reported in are joined again. A key that
+    shares a URL with another key stays whole: a holder may take its slot to the other key's dates, near to any of its
+    pieces. Names are hashes: two that fall together make one story of two, which the fold keeps apart.
     """
     sessions = stored(_sessions(rows, tolerance), "sessions")
     week = rows["week"].eqNullSafe(sessions["week"])
     placed = rows.join(sessions.select("content", "week", "node"), (rows["content"] == sessions["content"]) & week).select(rows["*"], "node")
     placed = stored(placed, "placed")
-    links = placed.groupBy("url").agg(F.min("node").alias("v"), F.max("node").alias("most")).where("v <> most")
-    links = placed.join(links.select("url", "v"), "url").select(F.col("node").alias("u"), "v").where("u <> v").distinct()
-    links = stored(links, "links")
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("node", "content") for f in (F.min, F.max)]
+    reported = stored(placed.groupBy("url").agg(*ends).where("min_node <> max_node"), "reported")
+    near = placed.join(reported.select("url", F.col("min_node").alias("v")), "url").select(F.col("node").alias("u"), "v")
+    whole = placed.join(reported.where("min_content <> max_content"), "url", "left_semi").select("content").distinct()
+    least = sessions.groupBy("content").agg(F.min("node").alias("v")).join(whole, "content", "left_semi")
+    pieces = sessions.join(least, "content").select(F.col("node").alias("u"), "v")
+    links = stored(near.unionByName(pieces).where("u <> v").distinct(), "links")
     if links.isEmpty():
         return placed.withColumnRenamed("node", "story")
-    runs = sessions.groupBy("content", "node").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("open").alias("open"))
-    while True:
-        roots = groups(links)
-        of = runs.join(roots, "node", "left").withColumn("story", F.coalesce("root", "node"))
-        reach = of.where("root IS NOT NULL").groupBy("story").agg(
-            F.min("low").alias("from"), F.max("high").alias("to"), F.max("open").alias("any"), F.min("content").alias("a"), F.max("content").alias("b")
-        ).where("a <> b").drop("a", "b")  # runs of one key lie apart, whichever of them are joined
-        keys = of.where("root IS NOT NULL").select("story", "content").distinct().join(reach, "story")
-        outside = of.select("content", "node", "low", "high", F.col("story").alias("own"))
-        near = F.col("any") | ((F.col("low") - tolerance <= F.col("to")) & (F.col("high") + tolerance >= F.col("from")))
-        more = keys.join(outside, "content").where((F.col("own") != F.col("story")) & near)
-        more = stored(more.select(F.col("node").alias("u"), F.col("story").alias("v")).distinct(), "links")
-        if more.isEmpty():
-            return placed.join(roots, "node", "left").select(*rows.columns, F.coalesce("root", "node").alias("story"))
-        links = links.unionByName(more)
+    return placed.join(groups(links), "node", "left").select(*rows.columns, F.coalesce("root", "node").alias("story"))
 
 
 def dedupe_items(items: DataFrame, scope: str, tolerance_days: int = 7) -> DataFrame:

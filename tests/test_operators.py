@@ -404,3 +404,19 @@ def test_breaker_history_equals_a_replay(spark):
         state[p] = failures, opened
         want[p, n] = met, failures, opened
     assert got == want
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_groups_of_chains_stars_and_random_edges(spark, parts):
+    from newsgauge.operators.linking import groups
+
+    rng = random.Random(parts)
+    edges = [(i, i + 1) for i in range(60)] + [(100, x) for x in range(101, 140)] + [(x, 100) for x in range(120, 150)] + [(200, 200)]
+    edges += [(rng.randrange(300, 420), rng.randrange(300, 420)) for _ in range(70)]
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in range(500):
+        for u, v in edges:
+            if u != v:
+                root[u] = root[v] = min(root[u], root[v])
+    found = groups(spark.createDataFrame(edges, "u long, v long").repartition(parts))
+    assert {r["node"]: r["root"] for r in found.collect()} == root and found.count() == len(root)
