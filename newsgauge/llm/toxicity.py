@@ -11,7 +11,7 @@ Distinct words, since copies of one word say no more than the word does. Once tr
 margin is a sum over its words, so scoring looks up one number a word and reads whole texts.
 
 Training takes at most ``max_rows`` labelled texts (smallest hashes of their ids) and ``max_bytes``
-of packed bags. They are one task: shards that learn apart and are averaged lose a tenth of the
+of packed bags. They are one task: shards that learn apart and are averaged miss more of the
 toxic texts. Neither that task nor the model that comes back grows with the corpus.
 """
 
