@@ -5,10 +5,10 @@ Features of a text are its words, adjacent word pairs, and pairs of word shapes
 word is a feature of its own. A feature's value is its share of the text's features,
 times a constant. Scoring is a sparse dot product of the whole text.
 
-Training takes at most ``max_rows`` labelled rows (smallest hashes of their ids), deals
-them by hash to a fixed number of shards, runs follow-the-regularised-leader on every
-shard in its own task and averages the weights, so neither the tasks nor what comes
-to the driver grow with the corpus.
+Training takes at most ``max_rows`` labelled documents (smallest hashes of their ids, one
+text an id), deals them by hash to a fixed number of shards, runs
+follow-the-regularised-leader on every shard in its own task and averages the weights,
+so neither the tasks nor what comes to the driver grow with the corpus.
 """
 
 from __future__ import annotations
@@ -122,25 +122,33 @@ def train(
     l2: float = 0.1,
     epochs: int = 3,
 ) -> np.ndarray:
-    """Averaged FTRL weights from the labelled rows; zeros if there is none."""
+    """Averaged FTRL weights from the labelled rows; zeros if there is none.
+
+    An id's labels tie to the largest, and of its rows the text with the least hash is
+    learnt, so an id that many rows share is one document of the ``max_rows``.
+    """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropna()
     ids = known.groupBy("id").agg(F.max("label").alias("label"))
     rank = F.xxhash64(F.col("id").cast("string"))
     ids = ids.orderBy(rank, "id").limit(max_rows)
     thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = thin.join(F.broadcast(ids), "id")  # at most max_rows ids
-    rows = rows.select(F.pmod(F.hash("id"), F.lit(SHARDS)).alias("shard"), rank.alias("rank"), "label", "text")
+    rows = rows.select(F.pmod(F.hash("id"), F.lit(SHARDS)).alias("shard"), rank.alias("rank"), "label", "text", "id", F.xxhash64("text").alias("one"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for whole in batches:
             for batch in slices(whole, 3):
                 at, times, value = zip(*[packed(t, hashes) for t in batch.column(3).to_pylist()], strict=True)
-                columns = [*batch.columns[:3], pa.array(at, pa.binary()), pa.array(times, pa.binary()), pa.array(value, pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, ["shard", "rank", "label", "at", "times", "value"])
+                bags = [pa.array(at, pa.binary()), pa.array(times, pa.binary()), pa.array(value, pa.float64())]
+                yield pa.RecordBatch.from_arrays([*batch.columns[4:], *batch.columns[:3], *bags], ["id", "one", *bag])
 
     # a text's features are at most 2**BITS numbers, however long it is
-    cuts = rows.mapInArrow(cut, "shard int, rank bigint, label int, at binary, times binary, value double")
+    bag = ("shard", "rank", "label", "at", "times", "value")
+    id_type = ids.schema["id"].dataType.simpleString()
+    cuts = rows.mapInArrow(cut, f"id {id_type}, one bigint, shard int, rank bigint, label int, at binary, times binary, value double")
+    # repeats of an id meet in part where they lie, so none of them fills a task
+    cuts = cuts.groupBy("id").agg(F.min(F.struct("one", *bag)).alias("r")).select(*[f"r.{c}" for c in bag])
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["rank", "value", "at"])

@@ -171,6 +171,18 @@ def test_quality_query_equals_brute_force(spark):
         assert abs(r["score"] - want[r["doc_id"]]) < 1e-4
 
 
+def test_an_id_of_many_rows_is_one_document_of_the_training(spark):
+    import numpy as np
+
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 41)] + [(1, 0)], "doc_id long, quality int")
+    rows = [(i, "good words here" if i % 2 else "bad spam spam", "en") for i in range(1, 41)]
+    once = quality_classifier.train(docs(spark, rows), labels)
+    again = quality_classifier.train(docs(spark, rows * 3 + [rows[0]] * 500).repartition(7), labels)
+    assert np.array_equal(once, again)
+    many = docs(spark, rows + [(1, f"other text {i}", "en") for i in range(300)] + [(1, None, None)])
+    assert np.array_equal(quality_classifier.train(many, labels), quality_classifier.train(many.repartition(5), labels))
+
+
 @pytest.mark.parametrize("text", ["one two", "a a a", ""])
 def test_score_is_a_sparse_dot_product(text):
     import numpy as np
