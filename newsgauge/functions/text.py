@@ -147,15 +147,19 @@ def split_negatives(x: Column | str) -> Column:
 
 
 def classify_prompt(company: Column, sector: Column, aliases: Column, exclusions: Column, headline: Column) -> Column:
-    """The user part of a classification request: at most three aliases and five exclusions."""
-    some = lambda label, xs, n: F.when(
-        F.size(xs) > 0, F.concat(F.lit(label), F.array_join(F.slice(xs, 1, n), ", "))
-    )
+    """The user part of a classification request: at most three aliases and five exclusions, blank ones passed over.
+
+    Exclusions come as an instruction with a line each, set off by blank lines, and so does the headline.
+    """
+    named = F.slice(F.filter(aliases, lambda a: a != ""), 1, 3)
+    left_out = F.slice(F.filter(F.transform(exclusions, lambda k: F.trim(k)), lambda k: k != ""), 1, 5)
+    listed = F.array_join(F.transform(left_out, lambda k: F.concat(F.lit("  - "), k)), "\n")
     return F.concat_ws(
         "\n",
         F.concat(F.lit("Company: "), company),
         F.when(text_or_empty(sector) != "", F.concat(F.lit("Sector: "), sector)),
-        some("Also known as: ", aliases, 3),
-        some("Not to be confused with: ", exclusions, 5),
-        F.concat(F.lit("Headline: "), headline),
+        F.when(F.size(named) > 0, F.concat(F.lit("Also written as: "), F.array_join(named, ", "))),
+        # fixed value: the instruction as models are given it
+        F.when(F.size(left_out) > 0, F.concat(F.lit("\nEXCLUDE — if the headline is about any of these, answer relevant: false:\n"), listed)),
+        F.concat(F.lit("\nHeadline: "), F.trim(text_or_empty(headline))),
     )

@@ -163,9 +163,10 @@ def ship_choice(results: DataFrame, within: float = 0.02) -> DataFrame:
 
 
 def stratum(text: Column, soft_pass: Column, tier: Column) -> Column:
+    """The stratum of a candidate; words of loss end where no ASCII letter, digit or underscore follows."""
     return (
-        F.when(text.rlike(rf"(?i)\b(?:{LOSS_WORDS})\b"), "negative-signal")
-        .when(soft_pass, "soft-pass")
+        F.when(text.rlike(rf"(?i)(?<![A-Za-z0-9_])(?:{LOSS_WORDS})(?![A-Za-z0-9_])"), "negative-signal")
+        .when(soft_pass, "softpass")
         .when(tier.isin("critical", "high"), "kept-ambiguous")
         .otherwise("kept-distinctive")
     )
@@ -224,16 +225,31 @@ def spot_check(judged: DataFrame) -> DataFrame:
 
 
 def coverage_audit(rows: DataFrame) -> DataFrame:
-    """Per company: fetched, kept, reasons; a failed company has -1. One row of totals, failures counted as 0."""
+    """One row of totals over companies (fetched, kept; -1 for a failed one, counted as 0); zero_kept includes zero_fetched."""
     clamp = lambda c: F.sum(F.greatest(F.lit(0), F.col(c)))
     return rows.agg(
         F.count("*").alias("companies"), clamp("fetched").alias("fetched"), clamp("kept").alias("kept"),
         F.count_if(F.col("fetched") == 0).alias("zero_fetched"),
-        F.count_if((F.col("fetched") > 0) & (F.col("kept") == 0)).alias("zero_kept"),
+        F.count_if(F.col("kept") == 0).alias("zero_kept"),
         F.count_if(F.col("fetched") < 0).alias("failed"),
     )
 
 
+def zero_coverage(rows: DataFrame) -> DataFrame:
+    """Companies of which nothing was kept, or nothing came: name, ambiguity, fetched, kept. Failed ones are neither."""
+    return rows.where("kept = 0").select("company_id", "name", "ambiguity", "fetched", "kept")
+
+
+def write_coverage(rows: DataFrame, folder: str, generated_for: str = "human-approved", window_days: int = 90) -> DataFrame:
+    """Write an audit (collect.audit_rows) as JSON lines below folder: rows, zero and totals. Returns the totals."""
+    rows.write.mode("overwrite").json(f"{folder}/rows")
+    written = rows.sparkSession.read.schema(rows.schema).json(f"{folder}/rows")
+    zero_coverage(written).write.mode("overwrite").json(f"{folder}/zero")
+    marked = coverage_audit(written).select(F.lit(generated_for).alias("generated_for"), F.lit(window_days).alias("window_days"), "*")
+    marked.write.mode("overwrite").json(f"{folder}/totals")
+    return rows.sparkSession.read.schema(marked.schema).json(f"{folder}/totals")
+
+
 def prefilter_measurement(judged: DataFrame, company: str) -> DataFrame:
     """fetched, kept, dropped and the dropped share by company, and over all where company is null."""
     keep = F.col("verdict.keep")

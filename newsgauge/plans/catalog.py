@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from newsgauge.functions import dates, query_language, repair, text, urls
 from newsgauge.operators import (
-    alerts, breaker, classify, collect, evaluate, exports, normalize, persist, planner, prefilter, registry_build, run, status,
+    alerts, breaker, classify, collect, evaluate, exports, goldset, normalize, persist, planner, prefilter, registry_build, run, status,
 )
 from newsgauge.operators.ledger import Keyed, Ledger
-from newsgauge.sources import feeds, landed
+from newsgauge.sources import feeds, landed, records
 from newsgauge.streaming import daily, first_seen
 
 from .standins import (
@@ -429,7 +429,7 @@ def prefilter_measurement(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {SQL_VERDICT}, r AS (SELECT source, CASE WHEN source = 'src5' THEN -1 ELSE count(*) END AS fetched,
         CASE WHEN source = 'src5' THEN -1 ELSE count(*) FILTER (WHERE keep) END AS kept FROM verdicts GROUP BY source)
     SELECT count(*) AS companies, sum(greatest(0, fetched))::BIGINT AS fetched, sum(greatest(0, kept))::BIGINT AS kept,
-      count(*) FILTER (WHERE fetched = 0) AS zero_fetched, count(*) FILTER (WHERE fetched > 0 AND kept = 0) AS zero_kept,
+      count(*) FILTER (WHERE fetched = 0) AS zero_fetched, count(*) FILTER (WHERE kept = 0) AS zero_kept,
       count(*) FILTER (WHERE fetched < 0) AS failed FROM r""")
 def coverage_audit(spark: SparkSession, sf: str) -> DataFrame:
     rows = prefilter.prefilter_stats(_judged(spark, sf), "source")
@@ -438,6 +438,58 @@ def coverage_audit(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.coverage_audit(rows.select("source", marked("received").alias("fetched"), marked("kept")))
 
 
+@query(f"""WITH {SQL_VERDICT}, g AS (SELECT source, count(*) AS fetched, count(*) FILTER (WHERE keep) AS kept,
+        count(*) FILTER (WHERE reason = 'no-name-match') AS unnamed FROM verdicts GROUP BY source)
+    SELECT s.source AS name, CASE WHEN s.source = 'src5' THEN -1 ELSE coalesce(fetched, 0) END AS fetched,
+      CASE WHEN s.source = 'src5' THEN -1 ELSE coalesce(kept, 0) END AS kept, CASE WHEN s.source <> 'src5' THEN coalesce(unnamed, 0) END AS no_name_match
+    FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL UNION ALL SELECT DISTINCT 'no ' || lang FROM documents WHERE lang IS NOT NULL) s LEFT JOIN g USING (source)""")
+def coverage_audit_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources as companies, one of them failed, and a company without items for each language."""
+    d = table(spark, sf, "documents")
+    names = d.select(F.col("source").alias("name")).dropna().distinct().union(d.select(F.concat(F.lit("no "), "lang")).dropna().distinct())
+    audited = names.select(F.col("name").alias("company_id"), "name", F.lit("critical").alias("ambiguity"))
+    judged = _judged(spark, sf).withColumn("company_id", F.col("source"))
+    rows = collect.audit_rows(audited, judged, audited.where("name = 'src5'"))
+    return rows.select("name", "fetched", "kept", F.try_element_at("reasons", F.lit("no_name_match")).alias("no_name_match"))
+
+
+_TIERS = {"en": "high", "de": None, "fr": "low", "es": "critical"}
+
+
+def _gold_pool(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates from documents: each twice, some headed by a word of loss."""
+    items = _doc_items(spark, sf).withColumn("url", F.coalesce("url", F.concat(F.lit("https://n.example/"), F.col("doc_id").cast("string"))))
+    items = items.withColumn("title", F.when(F.col("doc_id") % 17 == 0, F.concat(F.lit("Layoff: "), "title")).otherwise(F.col("title")))
+    known = _registry(spark)
+    tier = spark.createDataFrame(list(_TIERS.items()), "company_id string, ambiguity string")
+    judged = prefilter.prefilter(items, known).withColumn("published_at", F.lit(None).cast("timestamp"))
+    return goldset.candidates(judged.union(judged), known.join(tier, "company_id"))
+
+
+SQL_GOLD = f"""{SQL_VERDICT}, named AS (SELECT doc_id, text AS title, lang, soft_pass FROM verdicts JOIN documents USING (doc_id, lang) WHERE keep),
+    pool AS (SELECT sha256(lang || ':https://n.example/' || doc_id)[1:16] AS id, CASE lang {" ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in _REGISTRY.items())} END AS company,
+      CASE WHEN doc_id % 17 = 0 OR regexp_matches(title, '(?i)(^|[^A-Za-z0-9_])({evaluate.LOSS_WORDS})([^A-Za-z0-9_]|$)') THEN 'negative-signal' WHEN soft_pass THEN 'softpass'
+        WHEN lang IN ('en', 'es') THEN 'kept-ambiguous' ELSE 'kept-distinctive' END AS stratum FROM named),
+    rounds AS (SELECT *, row_number() OVER (PARTITION BY stratum, company ORDER BY id) AS round FROM pool),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY round, company) AS place FROM rounds),
+    chosen AS (SELECT * FROM placed WHERE place <= CASE stratum {" ".join(f"WHEN '{k}' THEN {v}" for k, v in goldset.TARGETS.items())} END)"""
+
+
+@query(f"WITH {SQL_GOLD} SELECT id, company, stratum, place, NULL::BOOLEAN AS relevant, '' AS note FROM chosen")
+def gold_set(spark: SparkSession, sf: str) -> DataFrame:
+    return goldset.choose(_gold_pool(spark, sf)).select("id", "company", "stratum", "place", "label.relevant", "label.note")
+
+
+@query(f"""WITH {SQL_GOLD} SELECT (SELECT count(*) FROM pool) AS candidates, (SELECT count(DISTINCT stratum) FROM pool) AS strata, count(*) AS items,
+    count(DISTINCT company) AS companies, {", ".join(f"count(*) FILTER (WHERE stratum = '{s}') AS {s.replace('-', '_')}" for s in goldset.TARGETS)} FROM chosen""")
+def gold_set_header(spark: SparkSession, sf: str) -> DataFrame:
+    pool = _gold_pool(spark, sf)
+    of_pool = pool.agg(F.count("*").alias("candidates"), F.count_distinct("stratum").alias("strata"))
+    made = goldset.header(goldset.choose(pool), now(), 90, "landed")
+    by = [F.col("strata")[s].alias(s.replace("-", "_")) for s in goldset.TARGETS]
+    return made.select(*[of_pool.select(c).scalar().alias(c) for c in of_pool.columns], "items", "companies", *by)
+
+
 SQL_PLANS = """
     c AS (SELECT c_custkey AS k, '"' || c_name || '"' AS n, '"' || c_mktsegment || '"' AS seg FROM customer),
     plans AS (SELECT k AS company_id, CASE k % 6 WHEN 0 THEN n || ' AND ' || seg WHEN 1 THEN n || ' OR ("x" AND "y")' WHEN 5 THEN seg ELSE n END AS query,
@@ -787,6 +839,68 @@ def seed_parse(spark: SparkSession, sf: str) -> DataFrame:
     return registry_build.parse_seed(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("position"), line.alias("value")))
 
 
+def _triage_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as lines of triage, in eight a kind: sound, and with each sort of fault, some with two."""
+    k, lit = F.col("c_custkey"), F.lit
+    said = lambda name, value: F.concat(lit(f'"{name}":'), value)
+    word = lambda c: F.concat(lit('"'), c, lit('"'))
+    fields = [
+        said("idx", F.when(k % 8 == 1, "0").when(k % 8 == 2, F.concat(k.cast("string"), lit(".5"))).otherwise((k + 1).cast("string"))),
+        said("name", F.when(k % 8 == 3, '""').otherwise(word("c_name"))),
+        said("tier", F.when(k % 24 == 1, '"URGENT"').otherwise('"HIGH"')),
+        F.when(k % 8 != 4, said("volume", lit('"NORMAL"'))),
+        said("reason", F.when(k % 8 == 5, "null").otherwise('""')),
+        said("query", word("c_name")), said("neg", lit('"—"')), said("sector", word("c_mktsegment")),
+    ]
+    line = F.concat(lit("{"), F.concat_ws(",", *fields), F.when(k % 8 == 6, "").otherwise("}"))
+    line = F.when(k % 8 == 7, F.concat(lit("["), line, lit(","), k.cast("string"), lit("]"))).otherwise(line)
+    return records.parse_records(table(spark, sf, "customer").select("c_custkey", line.alias("value")))
+
+
+@query("""SELECT c_custkey, 0 AS at, 'idx' AS field, 'too small' AS problem, '0' AS found FROM customer WHERE c_custkey % 8 = 1
+    UNION ALL SELECT c_custkey, 0, 'idx', 'type', c_custkey || '.5' FROM customer WHERE c_custkey % 8 = 2
+    UNION ALL SELECT c_custkey, 0, 'name', 'too small', '""' FROM customer WHERE c_custkey % 8 = 3
+    UNION ALL SELECT c_custkey, 0, 'tier', 'choice', '"URGENT"' FROM customer WHERE c_custkey % 24 = 1
+    UNION ALL SELECT c_custkey, 0, 'volume', 'missing', NULL FROM customer WHERE c_custkey % 8 = 4
+    UNION ALL SELECT c_custkey, 0, 'reason', 'null', 'null' FROM customer WHERE c_custkey % 8 = 5
+    UNION ALL SELECT c_custkey, 0, NULL, 'json', NULL FROM customer WHERE c_custkey % 8 = 6
+    UNION ALL SELECT c_custkey, 1, NULL, 'object', c_custkey::VARCHAR FROM customer WHERE c_custkey % 8 = 7""")
+def record_faults(spark: SparkSession, sf: str) -> DataFrame:
+    _, bad = records.split_records(_triage_lines(spark, sf), records.TRIAGE_RECORD)
+    return bad.select("c_custkey", "at", F.explode("faults").alias("f")).select("c_custkey", "at", "f.*")
+
+
+@query("SELECT c_custkey + 1 AS idx, c_name AS name, 'HIGH' AS tier, 'NORMAL' AS volume, c_mktsegment AS sector FROM customer WHERE c_custkey % 8 IN (0, 7)")
+def accepted_records(spark: SparkSession, sf: str) -> DataFrame:
+    good, _ = records.split_records(_triage_lines(spark, sf), records.TRIAGE_RECORD)
+    return good.select("idx", "name", "tier", "volume", "sector")
+
+
+@query(r"""WITH p AS (SELECT s_suppkey AS k, s_name AS n, s_nationkey AS nation FROM supplier)
+    SELECT k, 'Company: ' || n || CASE WHEN k % 3 = 0 THEN '' ELSE chr(10) || 'Sector: S' || nation END
+      || CASE k % 4 WHEN 0 THEN '' WHEN 1 THEN chr(10) || 'Also written as: a' || k ELSE chr(10) || 'Also written as: a, b, c' END
+      || CASE k % 5 WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN chr(10) || chr(10) || 'EXCLUDE — if the headline is about any of these, answer relevant: false:' || chr(10) || '  - x' || nation
+        ELSE chr(10) || chr(10) || 'EXCLUDE — if the headline is about any of these, answer relevant: false:' || chr(10) || '  - 1' || chr(10) || '  - 2' || chr(10) || '  - 3' || chr(10) || '  - 4' || chr(10) || '  - 5' END
+      || chr(10) || chr(10) || 'Headline: News of ' || n AS prompt FROM p""")
+def classify_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    k, none = F.col("s_suppkey"), F.array().cast("array<string>")
+    of = lambda *xs: F.array(*[x if not isinstance(x, str) else F.lit(x) for x in xs])
+    sector = F.when(k % 3 == 1, F.concat(F.lit("S"), F.col("s_nationkey").cast("string"))).when(k % 3 == 2, F.concat(F.lit("S"), F.col("s_nationkey").cast("string"))).otherwise("")
+    aliases = F.when(k % 4 == 1, of("", F.concat(F.lit("a"), k.cast("string")))).when(k % 4 != 0, of("a", "", "b", "c", "d"))
+    left_out = F.when(k % 5 == 1, of(" ", "")).when(k % 5 == 2, of(" ", F.concat(F.lit(" x"), F.col("s_nationkey").cast("string"))))
+    left_out = left_out.when(k % 5 == 0, none).otherwise(of("1", " 2 ", "3", "4", " ", "5", "6"))
+    prompt = text.classify_prompt(F.col("s_name"), sector, aliases, left_out, F.concat(F.lit("  News of "), "s_name", F.lit(" ")))
+    return table(spark, sf, "supplier").select(k.alias("k"), prompt.alias("prompt"))
+
+
+@query("""SELECT o_orderkey AS item, c_mktsegment AS sector, c_custkey IS NOT NULL AS known FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 4 <> 0""")
+def gold_context(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as gold items; one customer in four is not in the registry."""
+    items = table(spark, sf, "orders").select(F.col("o_orderkey").alias("item"), F.col("o_custkey").alias("company"))
+    known = table(spark, sf, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("name"), F.col("c_mktsegment").alias("sector"), F.lit(True).alias("known"))
+    return evaluate.with_context(items, known).select("item", "sector", F.coalesce("known", F.lit(False)).alias("known"))
+
+
 def _every_kind(prompts: list[str]) -> list[str | None]:
     """A stand-in model: an answer of each kind by the number in the headline, some calls failed."""
     numbers = [int(re.search(r"(\d+)\D*$", p)[1]) for p in prompts]

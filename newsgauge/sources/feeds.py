@@ -113,7 +113,7 @@ def rss_query(query: str, since_days: float) -> str:
 
 def seed_lines(spark: SparkSession, path: str) -> DataFrame:
     """value, position: lines of one small text file in order."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.posexplode(F.split("value", "\r?\n")).alias("position", "value"))
 
 

@@ -79,3 +79,4 @@ def test_combine_and_select(spark):
 def test_seed_file(spark, tmp_path):
     (tmp_path / "seed.txt").write_text("1. A\r\n# c\nB\n")
     assert [r["value"] for r in feeds.seed_lines(spark, str(tmp_path / "seed.txt")).orderBy("position").collect()][:3] == ["1. A", "# c", "B"]
+    assert [(r["position"], r["value"]) for r in feeds.seed_lines(spark, str(tmp_path / "seed.txt")).collect()][:3] == [(0, "1. A"), (1, "# c"), (2, "B")]
