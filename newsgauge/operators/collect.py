@@ -57,6 +57,23 @@ def collection_totals(stats: DataFrame, most: int = 25) -> DataFrame:
     )
 
 
+def company_outcomes(companies: DataFrame, calls: DataFrame, kept: DataFrame) -> DataFrame:
+    """company_id, kept, providers_ok, warnings, error: what went wrong is a column of the company, never the end of a run.
+
+    calls: company_id, provider, status, detail. kept: company_id, kept. warnings name each source that did not
+    answer with its least detail (its status where there is none), in order of source; they are the error of a
+    company of which no source answered. A company that was not asked about has neither.
+    """
+    ok, said = F.col("status") == "ok", F.coalesce("detail", "status")
+    each = calls.groupBy("company_id", "provider").agg(F.count_if(ok).alias("ok"), F.min(F.when(~ok, said)).alias("said"))
+    line = F.when(F.col("said").isNotNull(), F.concat(F.coalesce("provider", F.lit("")), F.lit(": "), "said"))
+    asked = each.groupBy("company_id").agg(  # a row a source
+        F.sum("ok").alias("providers_ok"), F.nullif(F.array_join(F.array_sort(F.collect_list(line)), "; "), F.lit("")).alias("warnings")
+    )
+    out = companies.select("company_id").join(kept.select("company_id", "kept"), "company_id", "left").join(asked, "company_id", "left")
+    return out.fillna(0, ["kept", "providers_ok"]).withColumn("error", F.when(F.col("providers_ok") == 0, F.col("warnings")))
+
+
 def audit_rows(companies: DataFrame, judged: DataFrame, failed: DataFrame) -> DataFrame:
     """name, ambiguity, fetched, kept, reasons of every company; -1 and no reasons for those in failed (company_id)."""
     counted = prefilter_stats(judged, "company_id")

@@ -19,6 +19,11 @@ def pending(mentions: DataFrame, most: int = 500) -> DataFrame:
     return mentions.where(F.col("classified_at").isNull()).orderBy("id").limit(most)
 
 
+def recent_alerts(alerts: DataFrame, most: int = 50) -> DataFrame:
+    """The alerts sent last, newest first; ties by mention and channel, unsent ones at the end."""
+    return alerts.orderBy(F.col("sent_at").desc_nulls_last(), "mention_id", "channel").limit(most)
+
+
 def status_rollup(companies: DataFrame, mentions: DataFrame, since: Column, now: Column) -> DataFrame:
     """One row for every company, with or without coverage.
 

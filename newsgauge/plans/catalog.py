@@ -1090,6 +1090,52 @@ def collection_stats(spark: SparkSession, sf: str) -> DataFrame:
     return collect.collect(_order_items(spark, sf), _order_companies(spark), _calls(spark, sf))[2]
 
 
+SQL_OUTCOMES = """
+    calls AS (SELECT o_custkey AS company_id, 'p' || o_orderkey % 3 AS provider, o_orderkey % 8 = 0 AS ok,
+      CASE WHEN o_orderkey % 8 = 1 THEN 'error ' || o_orderstatus WHEN o_orderkey % 8 <> 0 THEN 'skipped' END AS said FROM orders),
+    each AS (SELECT company_id, provider, count(*) FILTER (WHERE ok) AS ok, min(said) AS said FROM calls GROUP BY ALL),
+    asked AS (SELECT company_id, sum(ok)::BIGINT AS providers_ok, string_agg(provider || ': ' || said, '; ' ORDER BY provider) AS warnings FROM each GROUP BY 1),
+    k AS (SELECT o_custkey AS company_id, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS kept FROM orders GROUP BY 1),
+    outcomes AS (SELECT c_custkey AS company_id, coalesce(kept, 0) AS kept, coalesce(providers_ok, 0) AS providers_ok, warnings,
+      CASE WHEN coalesce(providers_ok, 0) = 0 THEN warnings END AS error
+      FROM customer LEFT JOIN k ON k.company_id = c_custkey LEFT JOIN asked ON asked.company_id = c_custkey)"""
+
+
+def _outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as calls to three sources: one in eight answered, one failed, the others skipped."""
+    o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    calls = o.select(
+        F.col("o_custkey").alias("company_id"), F.concat(F.lit("p"), (k % 3).cast("string")).alias("provider"),
+        F.when(k % 8 == 0, "ok").when(k % 8 == 1, "failed").otherwise("skipped").alias("status"),
+        F.when(k % 8 == 1, F.concat(F.lit("error "), "o_orderstatus")).alias("detail"),
+    )
+    kept = o.groupBy(F.col("o_custkey").alias("company_id")).agg(F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("kept"))
+    return collect.company_outcomes(companies(spark, sf), calls, kept)
+
+
+@query(f"WITH {SQL_OUTCOMES} SELECT * FROM outcomes")
+def company_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    return _outcomes(spark, sf)
+
+
+@query(f"""WITH {SQL_OUTCOMES} SELECT count(*) AS companies, count(error) AS failures, count(*) FILTER (WHERE error IS NULL AND kept = 0) AS no_coverage,
+    CASE WHEN count(*) = count(error) THEN 'failed' ELSE 'completed' END AS status FROM outcomes""")
+def run_outcome(spark: SparkSession, sf: str) -> DataFrame:
+    return classify.run_status(_outcomes(spark, sf))
+
+
+@query(f"WITH {SQL_MENTIONS} SELECT id FROM mentions WHERE classified_at IS NULL ORDER BY id LIMIT 500")
+def pending_work(spark: SparkSession, sf: str) -> DataFrame:
+    return status.pending(mentions(spark, sf)).select("id")
+
+
+@query("SELECT o_orderkey AS mention_id, channel FROM orders, (VALUES ('console'), ('file')) AS c(channel) ORDER BY o_orderdate DESC NULLS LAST, 1, 2 LIMIT 50")
+def recent_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    both = F.explode(F.array(F.lit("console"), F.lit("file"))).alias("channel")
+    sent = table(spark, sf, "orders").select(F.col("o_orderkey").alias("mention_id"), F.col("o_orderdate").alias("sent_at"), both)
+    return status.recent_alerts(sent).select("mention_id", "channel")
+
+
 @query(f"""WITH {SQL_RUN}, r AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY pos) AS rn FROM unique_ WHERE reason IS NULL)
     SELECT company_id, 'https://example.com/' || pos AS url, true AS relevant, NULL AS rejection_reason, 'neutral' AS sentiment, 0.6::DOUBLE AS confidence FROM r WHERE rn <= 25
     UNION ALL SELECT company_id, 'https://example.com/' || pos, false, reason, NULL, NULL FROM unique_ WHERE reason IS NOT NULL""")

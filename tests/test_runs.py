@@ -86,3 +86,17 @@ def test_score_of_no_answers(spark):
     rows = spark.createDataFrame([], "gold_relevant boolean, gold_sentiment string, relevant boolean, sentiment string, latency_ms long")
     out = evaluate.run_score(rows, 0).first()
     assert (out["items"], out["failures"], out["p50_latency_ms"], out["relevance_n"], out["items_per_minute"]) == (0, 0, 0, 0, 0.0)
+
+
+def test_failures_stay_with_their_company(spark):
+    who = spark.createDataFrame([(i,) for i in range(5)], "company_id long")
+    said = [(0, "a", "ok", None), (0, "b", "failed", "boom"), (1, "a", "failed", "late"), (1, "a", "failed", "broken"), (1, "b", "skipped", None), (2, None, "failed", None), (9, "a", "ok", None)]
+    calls = spark.createDataFrame(said, "company_id long, provider string, status string, detail string")
+    kept = spark.createDataFrame([(0, 3), (9, 4)], "company_id long, kept long")
+    out = collect.company_outcomes(who, calls, kept)
+    assert sorted(tuple(r) for r in out.collect() if r["company_id"] < 3) == [
+        (0, 3, 1, "b: boom", None), (1, 0, 0, "a: broken; b: skipped", "a: broken; b: skipped"), (2, 0, 0, ": failed", ": failed"),
+    ]
+    assert tuple(classify.run_status(out).first()) == (5, 2, 2, "completed")
+    assert classify.run_status(out.where("error IS NOT NULL")).first()["status"] == "failed"
+    assert classify.run_status(out.where("false")).first()["status"] == "failed"
