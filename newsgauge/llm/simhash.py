@@ -26,10 +26,13 @@ Pairs that share a key are held to a Hamming distance above the expected one, an
 similarity. Under each key every text meets the first one only, and the closest of these is
 held to the similarity; what is linked so far is one component. Of the other meetings with a
 first text, the closest between each two components is held to it too, and components are made
-again. Then the texts of a key are
-compared with each other where they lie in different components: those that are close to
-another one are kept (one row each), and of these the pairs that are similar. So a group of n
-near copies gives rows in proportion to n, and no link between two components is left out.
+again. So a group of n near copies gives rows in proportion to n.
+
+What is linked so far is nearly all, by chance. The rest is found exactly: shingles have one order for all
+texts, the common ones last, and two texts of similarity s share one of the first n - ceil(s * n) + 1 of a text's n
+shingles. Texts of different components that do are compared where their sizes, the places of what they share and
+the parities of their shingles leave room for the similarity. Common shingles come from one text in sixteen; they
+only set the order, any order finds the same pairs.
 """
 
 from __future__ import annotations
@@ -39,6 +42,7 @@ import random
 from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -190,22 +194,49 @@ WORDS = 4
 KEY_BITS = 8
 #: Texts of one key from which it is cut by further bits.
 HOT = 4096
+#: Bounds of sizes are taken this much wider than computed, since they are rounded.
+SLACK = 1e-6
 _MIX = 0x9E3779B97F4A7C15
 
 
-def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int, blocks: list[tuple[int, int]]) -> DataFrame:
-    """name, doc_id, fp (WORDS long integers), keys (one a block), grams (distinct shingles as sorted integers), no shuffle.
+def common_shingles(df: DataFrame, text_col: str, shingle: int, one_in: int = 16, most: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, log2 of their counts) of shingles that several of one text in ``one_in`` hold: the most common ones, ``most`` at most."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    thin = df.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 0):
+                grams = np.concatenate([np.unique(shingle_hashes(t, shingle)) for t in batch.column(0).to_pylist()])
+                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64))], ["gram"])
+
+    counts = thin.mapInArrow(run, "gram bigint").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    levels = materialize(counts.select("gram", F.floor(F.log2("n")).cast("int").alias("level")), "common")
+    of_level = sorted(((r["level"], r["count"]) for r in levels.groupBy("level").count().collect()), reverse=True)
+    sums = np.cumsum([0] + [n for _, n in of_level])
+    least = [level for (level, _), upto in zip(of_level, sums[1:], strict=True) if upto <= most]
+    held = levels.where(F.col("level") >= (least[-1] if least else 99)).toArrow()  # ``most`` rows of 12 bytes
+    grams, level = held["gram"].to_numpy().view(np.uint64), held["level"].to_numpy()
+    order = np.argsort(grams)
+    return grams[order], level[order].astype(np.uint8)
+
+
+def sketches(
+    df: DataFrame, id_col: str, text_col: str, shingle: int, blocks: list[tuple[int, int]], common: tuple | None = None, similarity: float = 0.8
+) -> DataFrame:
+    """One row a row of df, no shuffle: name, doc_id, fp (WORDS long integers), keys (one a block), grams (distinct shingles as
+    sorted integers), size (their number), rare (those of which texts of the similarity share one, rarest first), odd (of
+    each of 256 parts of the shingles whether their number is odd).
 
     name is a digest of the id and the text, which finds the row again later. Shingles are compared by 32 bits of
-    their hashes: of a text's thousands, one in a million meets another.
+    their hashes: of a text's thousands, one in a million meets another. common: see common_shingles.
     """
+    shared = df.sparkSession.sparkContext.broadcast(common or (np.array([], np.uint64), np.array([], np.uint8)))
     text = F.coalesce(F.col(text_col), F.lit(""))
     thin = df.select(name_of(id_col, text_col).alias("name"), F.col(id_col).alias("doc_id"), text.alias("text"))
     id_type = thin.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         salts = [np.uint64(_MIX * k & (1 << 64) - 1) for k in range(max(WORDS, len(blocks)))]
         numbers = np.array(salts[: len(blocks)], np.uint64)
         factors = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -214,22 +245,33 @@ def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int, blocks: li
             x = x * factors[0]
             return (x ^ x >> np.uint64(32)) * factors[1]
 
-        def one(text: str) -> tuple[list[int], list[int], np.ndarray]:
+        known, level = shared.value
+
+        def rarest(h: np.ndarray) -> np.ndarray:
+            at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+            rank = np.where(known[at] == h, level[at], 0) if len(known) else np.zeros(len(h), np.uint8)
+            return h[np.lexsort((h, rank))[: len(h) - math.ceil(similarity * len(h) - SLACK) + 1]]
+
+        def one(text: str) -> tuple[list[int], list[int], np.ndarray, int, np.ndarray, np.ndarray]:
             h = np.unique(shingle_hashes(text, shingle))
+            odd = np.packbits((np.bincount((h & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64)
             fps = [majority(mixed(h ^ salt)) for salt in salts[:WORDS]]  # a word of its own from each mixing of the same hashes
             least = [mixed(h ^ ~salts[i]).min() if len(h) else np.uint64(0) for i in range(len(blocks))]
             cut = [np.uint64(fps[w] & m & (1 << 64) - 1) for w, m in blocks]
             keys = mixed(np.array(least, np.uint64) ^ mixed(np.array(cut, np.uint64) + numbers)).view(np.int64)
-            return fps, keys.tolist(), np.unique(h.astype(np.uint32)).view(np.int32)
+            return fps, keys.tolist(), np.unique(h.astype(np.uint32)).view(np.int32), len(h), rarest(h).view(np.int64), odd
 
         for whole in batches:
             for batch in slices(whole, 2):
                 with np.errstate(over="ignore"):
-                    fps, keys, grams = zip(*[one(t) for t in batch.column(2).to_pylist()], strict=True)
-                columns = [pa.array(x, pa.list_(pa.int64())) for x in (fps, keys)] + [pa.array(grams, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["name", "doc_id", "fp", "keys", "grams"])
+                    fps, keys, grams, sizes, rare, odd = zip(*[one(t) for t in batch.column(2).to_pylist()], strict=True)
+                columns = [pa.array(x, pa.list_(pa.int64())) for x in (fps, keys)] + [pa.array(grams, pa.list_(pa.int32())), pa.array(sizes, pa.int32())]
+                columns += [pa.array(x, pa.list_(pa.int64())) for x in (rare, odd)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["name", "doc_id", "fp", "keys", "grams", "size", "rare", "odd"])
 
-    return thin.mapInArrow(run, f"name string, doc_id {id_type}, fp array<bigint>, keys array<bigint>, grams array<int>")
+    return thin.mapInArrow(
+        run, f"name string, doc_id {id_type}, fp array<bigint>, keys array<bigint>, grams array<int>, size int, rare array<bigint>, odd array<bigint>"
+    )
 
 
 def name_of(id_col: str, text_col: str) -> Column:
@@ -280,6 +322,34 @@ def _distance(a: Column, b: Column) -> Column:
     return sum((F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(WORDS)), F.lit(0))
 
 
+def pairs_left(rows: DataFrame, rooted: DataFrame, similarity: float) -> DataFrame:
+    """(u, v) of different components (rooted: node, root); every pair of at least the similarity is among them.
+
+    rows: node, size, rare, odd (see sketches). Under each key the texts of the component that most of its texts
+    are in meet the others only, so a group of near copies is not compared with itself.
+    """
+    place = F.shiftleft(F.col("size").cast("bigint"), 32) + F.col("at")  # one number: what is shuffled is a row a key
+    each = rows.select("node", "size", F.posexplode("rare").alias("at", "key")).select("key", "node", place.alias("place"))
+    shared = each.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").drop("n")
+    placed = materialize(materialize(shared, "sharing").join(rooted.select("node", "root"), "node"), "placed")
+    most = placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(
+        F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("parts")
+    )
+    mixed = materialize(placed.join(most.where("parts > 1").drop("parts"), "key"), "mixed")
+    size, at = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit((1 << 32) - 1))
+    mixed = mixed.join(rows.select("node", "odd"), "node").select("key", "node", "root", "most", "odd", size.alias("size"), at.alias("at"))
+    a, b = mixed.where("root <> most").alias("a"), mixed.alias("b")
+    both, s = F.col("a.size") + F.col("b.size"), similarity
+    meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root"))
+    meet = meet & ((F.col("b.root") == F.col("b.most")) | (F.col("a.node") < F.col("b.node")))
+    meet = meet & (F.least("a.size", "b.size") >= s * F.greatest("a.size", "b.size") - SLACK)
+    # a pair meets first at its rarest common shingle: at most what follows it in both is shared
+    rest = F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at"))
+    meet = meet & (rest >= s / (1 + s) * both - SLACK)
+    meet = meet & (_distance(F.col("a.odd"), F.col("b.odd")) <= (1 - s) / (1 + s) * both + SLACK)
+    return a.join(b, meet).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+
+
 def near_components(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.98,
     hot: int = HOT,
@@ -287,12 +357,12 @@ def near_components(
     """name, node, doc_id, root, one row per distinct id and text: root names the component of near-duplicates.
 
     Two texts are near-duplicates if they share at least ``similarity`` of their distinct shingles (of
-    ``shingle`` words, letters A-Z in lower case); texts without words are equal. A pair right at the
-    threshold is found with probability ``recall``, one well above it nearly always; none below it is linked.
+    ``shingle`` words, letters A-Z in lower case); texts without words are equal. Every such pair is linked, none below
+    the threshold is; ``recall`` is the part that keys of least shingles find at it, the rest is found by rare shingles.
     Nodes are numbers that the rows get once their table is written, so no two texts have one.
     """
     blocks = drawn_blocks(KEY_BITS, similarity * agreement(similarity) ** KEY_BITS, recall, 0)
-    rows = sketches(df, id_col, text_col, shingle, blocks).dropDuplicates(["name"])
+    rows = sketches(df, id_col, text_col, shingle, blocks, common_shingles(df, text_col, shingle), similarity)
     rows = materialize(rows.select(F.monotonically_increasing_id().alias("node"), "*"), "sketches")
 
     def reach(bits: int, deviations: float) -> int:
@@ -310,10 +380,6 @@ def near_components(
     def keyed(nodes: DataFrame, *more: str) -> DataFrame:
         return every.join(nodes.select("node", *more), "node") if more else every
 
-    def met_before(a: Column, b: Column, c: Column) -> Column:
-        """Whether two texts share a key before the one numbered c."""
-        return F.exists(F.zip_with(F.slice(a, F.lit(1), c), F.slice(b, F.lit(1), c), lambda x, y: x == y), lambda same: same)
-
     def close(a: str, b: str) -> Column:
         return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= within_word
 
@@ -349,21 +415,11 @@ def near_components(
     across = materialize(crossing(near, roots(links)), "across")
     closest = across.where("n > 2").groupBy(F.least("ru", "rv"), F.greatest("ru", "rv")).agg(F.min(F.struct("far", "u", "v")).alias("p"))
     links = links.unionByName(alike(across.where("n = 2").select("u", "v").unionByName(closest.select("p.u", "p.v"))))
-    rooted = roots(links)
-
-    # texts of one block that still lie in different components, each close to another one
-    held = materialize(keyed(rooted, "root").join(first.where("n > 2").select("key"), "key"), "blocks")
-    mixed = held.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
-    a, b = held.join(mixed.select("key"), "key", "left_semi").alias("a"), held.alias("b")
-    meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & close("a.other", "b.other")
-    held = a.join(b, meet, "left_semi").select("key", "c", "node", "root").join(rows.select("node", "fp", "keys", "grams"), "node")
-    held = materialize(held, "close")
-    a, b = held.alias("a"), held.alias("b")
-    meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & (_distance(F.col("a.fp"), F.col("b.fp")) <= within)
-    meet = meet & ~met_before(F.col("a.keys"), F.col("b.keys"), F.col("a.c"))  # a pair comes out once
-    more = a.join(b, meet & similar(F.col("a.grams"), F.col("b.grams"))).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-    rooted = roots(links.unionByName(more))
-    return rows.select("name", "node", "doc_id").join(rooted.select("node", "root"), "node")
+
+    # what is left between components, by rare shingles
+    rest = alike(materialize(pairs_left(rows, roots(links), similarity), "left"))
+    rooted = roots(links.unionByName(rest))
+    return rows.select("name", "node", "doc_id").join(rooted.select("node", "root"), "node").dropDuplicates(["name"])
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

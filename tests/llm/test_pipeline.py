@@ -104,6 +104,23 @@ def test_near_copies_of_many_grades(spark, hot):
     assert sum(got[i] == got[j] for i, j in pairs_) / len(pairs_) >= 0.97
 
 
+def test_no_pair_right_at_the_threshold_is_left_out(spark):
+    """400 pairs that share 160 of 200 shingles, and 100 that share 159 of 201: keys by chance miss one in fifty."""
+    rng = random.Random(8)
+    rows, want = [], set()
+    for base in range(500):
+        words = [f"w{rng.randrange(10**7)}" for _ in range(184)]
+        other = words[:]
+        for at in (20, 60, 100, 140):
+            other[at] = f"x{rng.randrange(10**7)}"
+        if base >= 400:
+            words, other = words[:183] + ["a"], other[:183] + ["b"]
+        rows += [(2 * base, " ".join(words)), (2 * base + 1, " ".join(other))]
+        want |= {2 * base} if base < 400 else {2 * base, 2 * base + 1}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()} == want
+
+
 def test_a_large_group_of_near_copies(spark):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(120)]
