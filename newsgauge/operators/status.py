@@ -54,8 +54,8 @@ def coverage_series(companies: DataFrame, published: DataFrame, first: str, last
     """company_id, day, mentions: coverage in the trailing window of every company at every day from first to last (inclusive).
 
     A mention enters on its day and leaves ``days`` days later: two events a mention, added up by (company, day)
-    before anything is ordered, so that the running sum passes over at most one row a company and day and no
-    row is multiplied by the length of the window.
+    first, so that a company holds at most one step a day, and no row is multiplied by the length of the window. The
+    days of a company are made after its steps have met it, so none of them is shuffled.
     """
     day = F.to_date("published_at")
     start, end = F.lit(first).cast("date"), F.lit(last).cast("date")
@@ -65,10 +65,12 @@ def coverage_series(companies: DataFrame, published: DataFrame, first: str, last
         F.struct(F.greatest(day, start).alias("day"), F.lit(1).alias("step")), F.struct(F.date_add(day, days).alias("day"), F.lit(-1).alias("step"))
     )).alias("e")).select("company_id", "e.*")
     steps = events.where(F.col("day") <= end).groupBy("company_id", "day").agg(F.sum("step").alias("step"))
-    every = companies.select("company_id", F.explode(F.sequence(start, end)).alias("day"))
-    running = Window.partitionBy("company_id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    joined = every.join(steps, ["company_id", "day"], "left")
-    return joined.select("company_id", "day", F.sum(F.coalesce("step", F.lit(0))).over(running).alias("mentions"))
+    # a company's steps are one row, a day each at most; its days come out of it after the last shuffle
+    held = steps.groupBy("company_id").agg(F.collect_list(F.struct("day", "step")).alias("steps"))
+    upto = lambda d: F.aggregate("steps", F.lit(0).cast("bigint"), lambda n, s: n + F.when(s["day"] <= d, s["step"]).otherwise(0))
+    series = F.transform(F.sequence(start, end), lambda d: F.struct(d.alias("day"), F.coalesce(upto(d), F.lit(0)).cast("bigint").alias("mentions")))
+    every = companies.select("company_id").join(held, "company_id", "left").select("company_id", series.alias("series"))
+    return every.select("company_id", F.explode("series").alias("e")).select("company_id", "e.*")
 
 
 def counts_by(rows: DataFrame, key: str) -> DataFrame:

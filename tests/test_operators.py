@@ -420,3 +420,25 @@ def test_groups_of_chains_stars_and_random_edges(spark, parts):
                 root[u] = root[v] = min(root[u], root[v])
     found = groups(spark.createDataFrame(edges, "u long, v long").repartition(parts))
     assert {r["node"]: r["root"] for r in found.collect()} == root and found.count() == len(root)
+
+
+def test_coverage_series_orders_no_days(spark):
+    """Days of a company are made where its steps are: no window over them, so none is shuffled."""
+    from newsgauge.operators import status
+
+    companies = spark.createDataFrame([(1,), (2,)], "company_id long")
+    said = spark.createDataFrame([(1, "2024-01-02"), (1, "2024-01-02"), (1, "2023-12-30")], "company_id long, at string")
+    made = status.coverage_series(companies, said.selectExpr("company_id", "cast(at AS timestamp) AS published_at"), "2024-01-01", "2024-01-04", days=2)
+    assert "Window" not in made._jdf.queryExecution().executedPlan().toString()
+    got = [r["mentions"] for r in made.orderBy("company_id", "day").collect()]
+    assert got == [0, 2, 2, 0, 0, 0, 0, 0]
+
+
+def test_prefilter_deals_no_items_by_company(spark):
+    """Companies of few phrases go to the items, whatever Spark knows of their size."""
+    from newsgauge.operators import prefilter
+
+    items = spark.createDataFrame([(1, "u", "A name", None, None)] * 3, "company_id long, url string, title string, snippet string, source_name string")
+    known = spark.createDataFrame([(1, "name", [], [], None, None)], "company_id long, name string, aliases array<string>, negative_keywords array<string>, query string, query_source string")
+    plan = prefilter.prefilter(items, known)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
