@@ -20,17 +20,15 @@ def normalize_items(raw: DataFrame) -> DataFrame:
     Reasons in order: no-title, no-date, invalid-url. Needs url, title, source_name and
     published_at; all columns stay.
     """
-    canonical = canonical_url("url")
+    made = raw.select("*", canonical_url("url").alias("canonical_url"), publisher_domain("url", "source_name").alias("publisher"))
     reason = (
         F.when(F.trim(text_or_empty("title")) == "", "no-title")
         .when(F.col("published_at").isNull(), "no-date")
-        .when(canonical.isNull(), "invalid-url")
+        .when(F.col("canonical_url").isNull(), "invalid-url")
     )
-    publisher = publisher_domain("url", "source_name")
-    return raw.select(
-        "*", reason.alias("skip_reason"), canonical.alias("canonical_url"), article_id(canonical).alias("id"),
-        publisher.alias("publisher"), content_key(F.trim("title"), publisher).alias("content_key"),
-        is_opaque("url").alias("opaque"),
+    return made.select(
+        *[made[c] for c in raw.columns], reason.alias("skip_reason"), "canonical_url", article_id("canonical_url").alias("id"),
+        "publisher", content_key(F.trim("title"), "publisher").alias("content_key"), is_opaque("url").alias("opaque"),
     )
 
 
@@ -143,6 +141,23 @@ def _stories(rows: DataFrame, tolerance: int) -> DataFrame:
     return placed.join(groups(links), "node", "left").select(*rows.columns, F.coalesce("root", "node").alias("story"))
 
 
+def _heads(placed: DataFrame, tolerance: int) -> DataFrame:
+    """story, first, url, plain of the stories of several items: the first to arrive, its URL, and whether it stays for certain.
+
+    It does where all items have one content key and dates within the tolerance of one another, and none is better than
+    the first: then each joins its slot and none takes it, so only the first one's URL ever leads there.
+    """
+    of, rank = F.struct("scope", "content_key"), F.struct("opaque", "date")
+    seen = placed.groupBy("story").agg(
+        F.count("*").alias("n"), F.count("date").alias("dated"), F.min("date").alias("low"), F.max("date").alias("high"), F.min(rank).alias("best"),
+        F.min(of).alias("least"), F.max(of).alias("most"), F.min(F.struct("position", "opaque", "date", F.col("id").alias("url"))).alias("head"),
+    )
+    one = (F.col("least") == F.col("most")) & (F.col("dated") == F.col("n")) & (F.col("high") - F.col("low") <= tolerance)
+    stays = F.struct("head.opaque", "head.date") <= F.col("best")
+    plain = F.coalesce(one & stays, F.lit(False)).alias("plain")
+    return seen.where("n > 1").select("story", F.col("head.position").alias("first"), F.col("head.url").alias("url"), plain)
+
+
 def dedupe_items(items: DataFrame, scope: str, tolerance_days: int = 7) -> DataFrame:
     """items with duplicate_reason: null for those that remain, else same-url or same-content.
 
@@ -150,8 +165,9 @@ def dedupe_items(items: DataFrame, scope: str, tolerance_days: int = 7) -> DataF
     if title and publisher are and their dates are within the tolerance; a missing date
     is within any. Which items remain depends on the order of arrival (``position``,
     unique in a scope). A title is cut into stories where no report comes for longer than the
-    tolerance and no shared URL crosses; stories are folded apart, each as a stream of five narrow columns
-    of which only open slots are held. ``items`` is read twice and must give the same rows.
+    tolerance and no shared URL crosses. Stories whose first report stays are settled by an aggregate; the others
+    are folded apart, each as a stream of five narrow columns of which only open slots are held. ``items``
+    is read twice and must give the same rows.
     """
     tolerance = max(1, tolerance_days * 86_400_000_000)
     date = F.unix_micros(F.col("published_at").cast("timestamp"))
@@ -162,7 +178,9 @@ def dedupe_items(items: DataFrame, scope: str, tolerance_days: int = 7) -> DataF
         F.floor(date / tolerance).alias("week"),
     )
     placed = _stories(stored(rows, "items"), tolerance)
-    told = placed.select("story", "scope", "position", "id", "content_key", "opaque", "date")
+    placed = placed.select("story", "scope", "position", "id", "content_key", "opaque", "date")
+    heads = stored(_heads(placed, tolerance), "heads")
+    told = placed.join(heads.where("NOT plain").select("story"), "story", "left_semi")
     told = told.repartition("story").sortWithinPartitions("story", "position")
     schema = placed.select("scope", "position").withColumn("reason", F.lit("")).schema
 
@@ -179,7 +197,10 @@ def dedupe_items(items: DataFrame, scope: str, tolerance_days: int = 7) -> DataF
             types = [batch.schema.field(n).type for n in ("scope", "position")] + [pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["scope", "position", "reason"])
 
-    lost = told.mapInArrow(run, schema).select(F.col("scope").alias("_of"), F.col("position").alias("_at"), F.col("reason").alias("duplicate_reason"))
+    same = F.when(F.col("id").eqNullSafe(F.col("url")), "same-url").otherwise("same-content")
+    settled = placed.join(heads.where("plain"), "story").where("position <> first").select("scope", "position", same.alias("reason"))
+    lost = settled.unionByName(told.mapInArrow(run, schema))
+    lost = lost.select(F.col("scope").alias("_of"), F.col("position").alias("_at"), F.col("reason").alias("duplicate_reason"))
     return items.join(lost, of.eqNullSafe(F.col("_of")) & (F.col("position") == F.col("_at")), "left").select(*items.columns, "duplicate_reason")
 
 

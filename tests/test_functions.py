@@ -195,3 +195,17 @@ def test_query_shape(q, more, both):
     assert query_language.shape(q) == {"disambiguates": more, "conjunctive": both}
     tree = query_language.parse('"Harvey AI" OR ("Harvey" AND "law firm")')
     assert tree.phrases == ["Harvey AI", "Harvey", "law firm"]
+
+
+def test_no_part_of_a_link_is_made_again_at_every_place(spark):
+    """Each use of a Column writes it out anew: thousands of patterns a row, unless variables hold the parts."""
+    plan = spark.createDataFrame([], "x string").select(urls.canonical_url("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract(") < 40
+
+
+def test_links_in_their_form_already_are_left_alone(spark):
+    paths = ["", "/", "/a", "/a/", "//a", "/a//b", "/a/../b", "/a/.", "/..a", "/a.b/c", "/%41", "/a?x=1", "/a#f", "/a b", "/ä", "/a\\b", "/a@b:c", "/a\n", "/A|~", "/a{"]
+    hosts = ["a.example", "A.example", "www.a.example", "www.", "a..example", "a_b.example", "1.2.3.4", "u@a.example", "a.example:443", "ä.example"]
+    links = [f"{s}://{h}{p}" for s in ("https", "http", "HTTPS") for h in hosts for p in paths]
+    assert values(spark, links, urls.canonical_url) == values(spark, links, urls._made_canonical)
+    assert "https://a.example/a" in values(spark, ["https://a.example/a"], urls.canonical_url)

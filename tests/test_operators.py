@@ -332,6 +332,23 @@ def test_a_hot_title_is_many_stories(spark):
     assert len(found) == 49 and sorted(r["count"] for r in found)[-2:] == [20, 40]
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_stories_whose_first_report_stays_are_not_folded(spark, seed):
+    """Reports of a title in order of date need no fold; with a better one later, or a week between, they do."""
+    rng, day = random.Random(seed), dt.datetime(2026, 7, 1)
+    rows = [(i, f"u{i % 70 if i % 3 else 0}-{i % 7}", f"k{i % 7}", i % 7 == 6, day + dt.timedelta(minutes=i)) for i in range(210)]
+    rows += [(210 + i, f"v{rng.randrange(9)}", "late", rng.random() < 0.5, day + dt.timedelta(hours=rng.randrange(90))) for i in range(40)]
+    rows += [(250 + i, f"w{i}", "long", False, day + dt.timedelta(days=5 * i)) for i in range(5)] + [(255 + i, f"x{i}", "no date", False, None) for i in range(5)]
+    df = spark.createDataFrame([(*r, "c") for r in rows], "position int, id string, content_key string, opaque boolean, published_at timestamp, company_id string")
+    got = {r["position"]: r["duplicate_reason"] for r in normalize.dedupe_items(df, "company_id").collect()}
+    assert got == plain_dedupe(rows) and {"same-url", "same-content"} < set(got.values())
+    placed = df.select(
+        F.hash("content_key").alias("story"), F.col("company_id").alias("scope"), "position", "id", "content_key", "opaque", F.unix_micros("published_at").alias("date")
+    )
+    heads = {r["first"]: r["plain"] for r in normalize._heads(placed, 7 * 86_400_000_000).collect()}
+    assert heads == {**{i: True for i in range(7)}, 210: False, 250: False, 255: False}
+
+
 def test_many_slots_of_one_title_are_found_by_week():
     fold = normalize._Fold(7)
     for i in range(20_000):
