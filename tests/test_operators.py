@@ -1,10 +1,11 @@
 import datetime as dt
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from newsgauge.operators import alerts, classify, control, evaluate, normalize, persist, planner, prefilter, registry_build, status
+from newsgauge.operators import alerts, classify, collect, control, evaluate, linking, normalize, persist, planner, prefilter, registry_build, status
 
 def now():
     return F.lit("2026-08-01 12:00:00").cast("timestamp")
@@ -349,6 +350,51 @@ def test_stories_whose_first_report_stays_are_not_folded(spark, seed):
     assert heads == {**{i: True for i in range(7)}, 210: False, 250: False, 255: False}
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_remaining_items_are_those_of_a_plain_loop(spark, seed):
+    """Single items, stories settled by numbers and folded ones, of two companies whose positions are the same numbers."""
+    rng, rows = random.Random(seed), []
+    for i in range(200):
+        date = None if seed == 3 and rng.random() < 0.02 else dt.datetime(2024, 1, 1) + dt.timedelta(hours=rng.randrange(24 * 300))
+        url = f"u{rng.randrange(30)}" if rng.random() < (0, 0.1, 0.4, 0.1)[seed] else f"own{i}"
+        rows.append((i, url, f"t{rng.randrange(40)}", rng.random() < 0.2, date))
+    rows += [(200 + i, f"p{i % 9}", "plain", False, dt.datetime(2025, 5, 1, i)) for i in range(20)]
+    of = "position int, id string, content_key string, opaque boolean, published_at timestamp, company_id string"
+    df = spark.createDataFrame([(*r, c) for r in rows for c in "cd"], of).withColumn("more", F.col("position") * 2)
+    got = normalize.remaining_items(df.withColumnRenamed("id", "link"), "company_id", "link").collect()
+    left = {at for at, why in plain_dedupe(rows).items() if why is None}
+    assert sorted((r["company_id"], r["position"], r["more"]) for r in got) == sorted((c, at, at * 2) for c in "cd" for at in left)
+    empty = normalize.remaining_items(df.limit(0), "company_id")
+    assert empty.columns == df.columns and empty.count() == 0
+
+
+def test_collection_writes_its_items_once(spark, monkeypatch):
+    """Of 2000 reports of four titles no step but the first writes more than a few rows."""
+    written = []
+
+    def counted(df, tag):
+        made = linking.stored(df, tag)
+        written.append(made.count())
+        return made
+
+    for module in (normalize, collect):
+        monkeypatch.setattr(module, "stored", counted)
+    raw = spark.range(2_000).select(
+        F.col("id").alias("position"), F.lit("c").alias("company_id"), F.concat(F.lit("https://a.example/"), F.col("id").cast("string")).alias("url"),
+        F.concat(F.lit("Acme "), (F.col("id") % 4).cast("string")).alias("title"), F.lit(None).cast("string").alias("snippet"),
+        F.lit(None).cast("string").alias("source_name"), F.lit("2026-07-01").cast("timestamp").alias("published_at"),
+    )
+    who = spark.createDataFrame(
+        [("c", "Acme", [], [], '"Acme"', None)], "company_id string, name string, aliases array<string>, negative_keywords array<string>, query string, query_source string"
+    )
+    calls = spark.createDataFrame([], "company_id string, provider string, status string")
+    kept, rejected, stats = collect.collect(raw, who, calls)
+    assert sorted(r["id"] for r in kept.collect()) == sorted(hashlib.sha256(f"https://a.example/{i}".encode()).hexdigest() for i in range(4))
+    row = stats.first()
+    assert (row["fetched"], row["normalized"], row["deduped"], row["kept"], rejected.count()) == (2_000, 2_000, 4, 4, 0)
+    assert sorted(written)[-1] == 2_000 and sum(written) < 2_100
+
+
 def test_many_slots_of_one_title_are_found_by_week():
     fold = normalize._Fold(7)
     for i in range(20_000):
