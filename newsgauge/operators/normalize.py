@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsgauge.functions.text import article_id, content_key, text_or_empty
-from newsgauge.functions.urls import canonical_url, is_opaque, publisher_domain
+from newsgauge.functions.urls import canonical_url, host, opaque_host, publisher_of_host
 
 from .linking import groups, stored
 
@@ -20,7 +20,8 @@ def normalize_items(raw: DataFrame) -> DataFrame:
     Reasons in order: no-title, no-date, invalid-url. Needs url, title, source_name and
     published_at; all columns stay.
     """
-    made = raw.select("*", canonical_url("url").alias("canonical_url"), publisher_domain("url", "source_name").alias("publisher"))
+    made = raw.select("*", canonical_url("url").alias("canonical_url"), host("url").alias("_host"))  # each made once a row
+    made = made.withColumn("publisher", publisher_of_host(F.col("_host"), "source_name"))
     reason = (
         F.when(F.trim(text_or_empty("title")) == "", "no-title")
         .when(F.col("published_at").isNull(), "no-date")
@@ -28,7 +29,7 @@ def normalize_items(raw: DataFrame) -> DataFrame:
     )
     return made.select(
         *[made[c] for c in raw.columns], reason.alias("skip_reason"), "canonical_url", article_id("canonical_url").alias("id"),
-        "publisher", content_key(F.trim("title"), "publisher").alias("content_key"), is_opaque("url").alias("opaque"),
+        "publisher", content_key(F.trim("title"), "publisher").alias("content_key"), opaque_host(F.col("_host")).alias("opaque"),
     )
 
 
